@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .media import media_columns
+from .mixing import UNIT, WEIGHTS, copies, word_count
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", word_count(docs["text"]).alias("size"))
+    return copies(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,4 +26,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source
+), w AS (
+  SELECT *, (CASE n % 3 WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END)::BIGINT AS w, 2 * source_size AS cap FROM s
+), r AS (
+  SELECT *, cap::DOUBLE / w AS ratio FROM w
+), p AS (
+  SELECT *,
+    (sum(source_size) OVER () * 150 - coalesce(sum(cap) OVER (ORDER BY ratio, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 100)::BIGINT AS rest,
+    (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT * 100 AS opened
+  FROM r
+), f AS (
+  SELECT rest AS rest0, opened AS opened0 FROM p WHERE rest::DOUBLE < ratio * opened ORDER BY ratio, n LIMIT 1
+), t AS (
+  SELECT source, source_size,
+    CASE WHEN rest::DOUBLE >= ratio * opened THEN cap::DOUBLE ELSE (rest0 * w)::DOUBLE / opened0::DOUBLE END AS target,
+    ('0x' || substr(md5('0:' || coalesce(source, chr(0))), 1, 8))::BIGINT % {UNIT} AS offset0
+  FROM p LEFT JOIN f ON true
+), k AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, offset0,
+    CASE WHEN t.source_size > 0 THEN floor(t.target * {UNIT} / t.source_size)::BIGINT ELSE 0 END AS step,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS k
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, size * ((((k + 1) * step + offset0) >> 26) - ((k * step + offset0) >> 26)) AS taken FROM k
+""",
+}
