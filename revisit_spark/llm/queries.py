@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ALNUM_WORD, table
+from .decontaminate import WINDOW, report
 from .media import media_columns
 from .mixing import UNIT, WEIGHTS, copies, word_count
 
@@ -18,6 +19,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), keep_image=False)
 
@@ -55,5 +62,28 @@ WITH d AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, size * ((((k + 1) * step + offset0) >> 26) - ((k * step + offset0) >> 26)) AS taken FROM k
+""",
+    "op4_decontaminate": rf"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM_WORD}'), []) AS w FROM documents
+), iw AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM_WORD}') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item, array_to_string(w[i : i + {WINDOW} - 1], ' ') AS content, least(len(w), {WINDOW}) AS n
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - {WINDOW} + 1, 1))) AS i FROM iw WHERE len(w) > 0)
+), pos AS (
+  SELECT r, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n
+), hit AS (
+  SELECT r, i, pos.n, item FROM pos JOIN win ON win.n = pos.n AND win.content = array_to_string(w[i : i + pos.n - 1], ' ')
+), words AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS k FROM hit) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """,
 }
