@@ -12,6 +12,7 @@ from .decontaminate import WINDOW, report
 from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import UNIT, WEIGHTS, copies, word_count
+from .substrings import substring_dedup
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), keep_image=False)
 
@@ -110,5 +116,19 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+""",
+    "op7_substrings": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), win AS (
+  SELECT r, doc_id, i, array_to_string(w[i : i + 49], ' ') AS c FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)
+), firsts AS (
+  SELECT c, min(doc_id) AS lo FROM win GROUP BY c HAVING count(*) > 1
+), gone AS (
+  SELECT r, list_distinct(flatten(list(generate_series(i, i + 49)))) AS k FROM win JOIN firsts USING (c) WHERE lo < doc_id GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(k), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN k IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([w[j] for j in generate_series(1, len(w)) if not list_contains(k, j)], ' ') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
 """,
 }

@@ -176,3 +176,51 @@ def runs(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
     return shift + np.arange(total)
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Smallest of x[i:i+width] for each i that has so many."""
+    n = len(x)
+    if n < width:
+        return x[:0]
+    blocks = np.full(-(-n // width) * width, np.iinfo(x.dtype).max, x.dtype)
+    blocks[:n] = x
+    blocks = blocks.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+
+
+def range_hashes(w: Words, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the words begin[i]:end[i], for ranges of any lengths."""
+    h = mixed(w.hash + np.uint64(seed * _STEP & (1 << 64) - 1))
+    pw, inv = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * pw[: len(h)], out=total[1:])
+    return mixed((total[end] - total[begin]) * inv[begin] + (end - begin).astype(np.uint64))
+
+
+@dataclass
+class Anchors:
+    """Runs of neighbouring windows that have the same smallest gram: its hash, first window, windows."""
+
+    value: np.ndarray
+    begin: np.ndarray
+    count: np.ndarray
+
+
+def anchors(w: Words, window: int, gram: int) -> Anchors:
+    """The windows of ``window`` words of each text, by the smallest of their grams' hashes.
+
+    Equal windows have equal smallest grams, wherever they stand. About every (window - gram) / 2 words
+    a new one begins.
+    """
+    g, _ = grams(w, gram)
+    low = sliding_min(g, window - gram + 1)
+    ok = w.left()[: len(low)] >= window
+    new = ok.copy()
+    new[1:] &= ~ok[:-1] | (low[1:] != low[:-1])
+    last = ok.copy()
+    last[:-1] &= ~ok[1:] | (low[1:] != low[:-1])
+    begin = np.flatnonzero(new)
+    return Anchors(low[begin], begin, np.flatnonzero(last) + 1 - begin)
