@@ -13,6 +13,11 @@ from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import UNIT, WEIGHTS, copies, word_count
 from .substrings import substring_dedup
+from .tokens import packed_tokens
+
+
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_tokens(table(spark, sf_dir, "documents"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
