@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .words import pieces, text_bytes
 
@@ -171,4 +172,4 @@ def images(media: DataFrame, column: str = "media") -> DataFrame:
 
     if "payload" in {c.lower() for c in media.columns}:
         raise ValueError("media already has a column named payload")
-    return media.mapInArrow(run, media.schema.add("payload", "binary"))
+    return media.mapInArrow(run, T.StructType([*media.schema.fields, T.StructField("payload", T.BinaryType())]))
