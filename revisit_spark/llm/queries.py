@@ -15,6 +15,7 @@ from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import UNIT, WEIGHTS, copies, word_count
 from .substrings import substring_dedup
+from .suffixes import repeated_passages
 from .tokens import packed_tokens
 
 
@@ -28,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
