@@ -12,13 +12,14 @@ is spread over tasks; neighbours are compared, across the partitions' borders to
 common part is extended word by word to the left and right. Common parts of at least 50 words are
 repeats in the documents of both entries.
 
-With more than two different entries for a gram, an entry's match with one that is next to it in
-neither order is seen only as far as the neighbours have it in common; the ends of such a match may
-be cut short, where the windows there have no other copy.
+Sorting shows how far at most an entry has anything in common with another to either side. Where
+windows lie within that, but in no match with a neighbour (three or more entries that differ on both
+sides), the windows of that gram's entries, as far as they lie within it, are grouped exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,34 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .bitmap import bitmap, possible, spot
 from .common import saved
-from .words import PLAIN, anchors, grams, pieces, range_hashes, words
+from .words import PLAIN, Words, anchors, grams, pieces, range_hashes, words
 
 WINDOW, GRAM = 50, 20
 
 
+def minimisers(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(value, begin, n, p): windows begin .. begin + n - 1 have their leftmost smallest gram at p."""
+    found = anchors(w, window, gram)
+    value, begin, n = found.value, found.begin, found.count
+    if not len(begin):
+        return value, begin, n, begin
+    g, _ = grams(w, gram)
+    ahead = np.arange(window - gram + 1)
+    next_from = lambda at: at + (g[np.minimum(at[:, None] + ahead, len(g) - 1)] == value[:, None]).argmax(axis=1)
+    last = begin + n - 1
+    p = next_from(last)
+    tied = np.flatnonzero(next_from(begin) != p)  # the gram stands more than once, in repetitive text
+    if not len(tied):
+        return value, begin, n, p
+    parts, more = [np.delete(x, tied) for x in (value, begin, n, p)], []
+    for i in tied.tolist():
+        b, z = int(begin[i]), int(last[i])
+        places = b + np.flatnonzero(g[b : int(p[i]) + 1] == value[i])
+        starts = np.concatenate([[b], places[:-1] + 1])
+        more.append((np.full(len(places), value[i]), starts, np.minimum(places, z) - starts + 1, places))
+    return tuple(np.concatenate([x, *(m[k] for m in more)]) for k, x in enumerate(parts))
+
+
 def _suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, text_key, n_words, value, d1, d2, at, n, p): minimisers; d1 and d2 hash the words within reach.
 
@@ -43,17 +67,12 @@ def _suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
             w = words(batch.column("_text"), PLAIN)
-            found = anchors(w, window, gram)
-            begin, n = found.begin, found.count
-            g, _ = grams(w, gram)
-            last = begin + n - 1
-            near = np.minimum(last[:, None] + np.arange(window - gram + 1), len(g) - 1)
-            p = last + (g[near] == found.value[:, None]).argmax(axis=1) if len(last) else last
+            value, begin, n, p = minimisers(w, window, gram)
             end = begin + n + window - 1
             of = np.searchsorted(w.at, begin, side="right") - 1
             first = w.at[of]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(of)), batch.column("_key").take(pa.array(of)), pa.array(w.counts[of]), pa.array(found.value.view(np.int64)), pa.array(range_hashes(w, begin, end, 1).view(np.int64)), pa.array(range_hashes(w, begin, end, 2).view(np.int64)), pa.array(begin - first), pa.array(n), pa.array(p - first)],
+                [batch.column("_id").take(pa.array(of)), batch.column("_key").take(pa.array(of)), pa.array(w.counts[of]), pa.array(value.view(np.int64)), pa.array(range_hashes(w, begin, end, 1).view(np.int64)), pa.array(range_hashes(w, begin, end, 2).view(np.int64)), pa.array(begin - first), pa.array(n), pa.array(p - first)],
                 names=["id", "text_key", "n_words", "value", "d1", "d2", "at", "n", "p"],
             )
 
@@ -62,7 +81,10 @@ def _suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _contexts(asked: DataFrame, window: int) -> DataFrame:
-    """(run, value, lo, hi, after, before): the words from each minimiser on and, going left, before it."""
+    """(run, value, lo, hi, n, shift, after, before): words from the minimiser on and, going left, before it.
+
+    ``shift`` is the place of the minimiser within its reach of n windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text", 1 << 20):
@@ -71,14 +93,14 @@ def _contexts(asked: DataFrame, window: int) -> DataFrame:
             lists = batch.column("asked")
             flat = lists.flatten()
             of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            at, n, p = (flat.field(k).to_numpy() + w.at[of] for k in ("at", "n", "p"))
-            end = n + flat.field("at").to_numpy() + window - 1
+            at, p = (flat.field(k).to_numpy() + w.at[of] for k in ("at", "p"))
+            end = at + flat.field("n").to_numpy() + window - 1
             after = [h[a:z].tobytes() for a, z in zip(p.tolist(), end.tolist(), strict=True)]
             before = [h[a:z][::-1].tobytes() for a, z in zip(at.tolist(), p.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([flat.field("run"), flat.field("value"), batch.column("_id").take(pa.array(of)), flat.field("last"), pa.array(after, pa.binary()), pa.array(before, pa.binary())], names=["run", "value", "lo", "hi", "after", "before"])
+            yield pa.RecordBatch.from_arrays([flat.field("run"), flat.field("value"), batch.column("_id").take(pa.array(of)), flat.field("last"), flat.field("n"), pa.array(p - at), pa.array(after, pa.binary()), pa.array(before, pa.binary())], names=["run", "value", "lo", "hi", "n", "shift", "after", "before"])
 
     kind = asked.schema["_id"].dataType.simpleString()
-    return asked.mapInArrow(run, f"run long, value long, lo {kind}, hi {kind}, after binary, before binary")
+    return asked.mapInArrow(run, f"run long, value long, lo {kind}, hi {kind}, n long, shift long, after binary, before binary")
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -88,11 +110,11 @@ def _common(x: bytes, y: bytes) -> int:
     return int(unlike[0]) if len(unlike) else n
 
 
-def _compared(ordered: DataFrame, window: int, edges: bool) -> DataFrame:
+def _compared(ordered: DataFrame, edges: bool) -> DataFrame:
     """Neighbours of sorted entries, in each partition.
 
-    A row (run, left, right, lo, hi) says: words from ``left`` before the run's minimiser to ``right``
-    after it also stand in an entry of the documents lo to hi. With ``edges`` come the first and last
+    A row (run, left, right, lo, hi) says: ``left`` words before the run's minimiser and ``right`` from it
+    on also stand in an entry of the documents lo to hi, no word more. With ``edges`` come the first and last
     entries of the partition too, whole (left is null), for the comparison across borders.
     """
 
@@ -116,8 +138,7 @@ def _compared(ordered: DataFrame, window: int, edges: bool) -> DataFrame:
                         streak.append(entry)
                     for x in against:
                         right, left = _common(x[4], entry[4]), _common(x[5], entry[5])
-                        if left + right >= window:
-                            out += [(x[0], left, right, entry[2], entry[3]), (entry[0], left, right, x[2], x[3])]
+                        out += [(x[0], left, right, entry[2], entry[3]), (entry[0], left, right, x[2], x[3])]
                 last = entry
             yield batch_of([(*row, None, None, None) for row in out])
         if edges and first is not None:
@@ -134,20 +155,55 @@ def _compared(ordered: DataFrame, window: int, edges: bool) -> DataFrame:
     return ordered.select("run", "value", "lo", "hi", "after", "before").mapInArrow(run, f"run long, left long, right long, lo {kind}, hi {kind}, value long, after binary, before binary")
 
 
-def _matches(contexts: DataFrame, window: int) -> DataFrame:
+def _beside(contexts: DataFrame) -> DataFrame:
     """(run, left, right, lo, hi) of neighbours in both orders."""
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = []
     for side in ("after", "before"):
         ordered = contexts.repartitionByRange(parts, "value", side, "run").sortWithinPartitions("value", side, "run")
-        within = saved(_compared(ordered, window, edges=True), "neighbours")
+        within = saved(_compared(ordered, edges=True), "neighbours")
         # Two entries of each partition at most: the borders.
         borders = within.where("left is null").repartition(1).sortWithinPartitions("value", side, "run")
-        found += [within.where("left is not null"), _compared(borders, window, edges=False)]
+        found += [within.where("left is not null"), _compared(borders, edges=False)]
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.select("run", "left", "right", "lo", "hi").distinct()
+    return out.select("run", "left", "right", "lo", "hi")
+
+
+def _open_windows(contexts: DataFrame, window: int) -> DataFrame:
+    """(run, value, lo, hi, left, h): the windows s0 to s1 of each entry, by digest; ``left`` words precede the minimiser."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, left, digest = [], [], []
+            for i, (after, before, shift, s0, s1) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("after", "before", "shift", "s0", "s1")), strict=True)):
+                whole = np.concatenate([np.frombuffer(before, ">u4")[::-1], np.frombuffer(after, ">u4")])
+                for s in range(s0, s1 + 1):
+                    which.append(i)
+                    left.append(shift - s)
+                    digest.append(hashlib.blake2b(whole[s : s + window].tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(which, pa.int64())) for c in ("run", "value", "lo", "hi")), pa.array(left, pa.int64()), pa.array(digest, pa.binary())], names=["run", "value", "lo", "hi", "left", "h"])
+
+    kind = contexts.schema["lo"].dataType.simpleString()
+    return contexts.select("run", "value", "lo", "hi", "after", "before", "shift", "s0", "s1").mapInArrow(run, f"run long, value long, lo {kind}, hi {kind}, left long, h binary")
+
+
+def _matches(contexts: DataFrame, window: int) -> DataFrame:
+    """(run, matches): for each entry the parts of at least ``window`` words that others have too."""
+    part = F.struct("left", "right", "lo", "hi")
+    enough = F.when(F.col("left") + F.col("right") >= window, part)
+    beside = saved(_beside(contexts), "beside")
+    per = saved(beside.groupBy("run").agg(F.max("left").alias("far_left"), F.max("right").alias("far_right"), F.array_distinct(F.collect_list(enough)).alias("matches")), "per-run")
+    reach = contexts.join(per, "run").withColumn("s0", F.greatest(F.lit(0), F.col("shift") - F.col("far_left"))).withColumn("s1", F.least(F.col("n") - 1, F.col("shift") + F.col("far_right") - window)).where("s0 <= s1")
+    inside = lambda s: F.exists("matches", lambda m: (F.col("shift") - s <= m["left"]) & (window - F.col("shift") + s <= m["right"]))
+    unsure = reach.where("lo = hi").where(F.exists(F.sequence("s0", "s1"), lambda s: ~inside(s))).select("value").distinct()
+    each = saved(_open_windows(reach.join(unsure, "value"), window), "open")
+    groups = each.groupBy("value", "h").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most")
+    more = each.join(groups, ["value", "h"]).select("run", "left", (F.lit(window) - F.col("left")).alias("right"), F.col("least").alias("lo"), F.col("most").alias("hi"))
+    more = more.groupBy("run").agg(F.collect_list(part).alias("further"))
+    both = F.concat("matches", F.coalesce("further", F.array().cast(per.schema["matches"].dataType)))
+    return per.join(more, "run", "left").select("run", both.alias("matches")).where("size(matches) > 0")
 
 
 def _merged(spans: DataFrame, id_col: str) -> DataFrame:
@@ -194,8 +250,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, t
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select(spot("_id", "_key"))))
     texts = possible(rows.withColumn("_spot", spot("_id", "_key")), wanted, "_spot").dropDuplicates(["_id", "_key"])
     contexts = saved(_contexts(texts.join(asked, ["_id", "_key"]).select("_id", "_text", "asked"), window), "contexts")
-    matches = _matches(contexts, window).groupBy("run").agg(F.collect_list(F.struct("left", "right", "lo", "hi")).alias("matches"))
-    known = entries.join(matches, "run", "left").where("first.id < last or matches is not null")
+    known = entries.join(_matches(contexts, window), "run", "left").where("first.id < last or matches is not null")
     marked = found.join(known.select("value", "d1", "d2", F.col("first.id").alias("lo"), "last", "matches"), ["value", "d1", "d2"])
     everything = F.array(F.struct(F.col("at").alias("begin"), (F.col("at") + F.col("n") + window - 1).alias("end")))
     others = F.filter("matches", lambda m: (m["lo"] != F.col("id")) | (m["hi"] != F.col("id")))
