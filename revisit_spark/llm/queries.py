@@ -14,6 +14,7 @@ from .language import identified, learn
 from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import UNIT, WEIGHTS, copies, word_count
+from .secrets import secrets
 from .substrings import substring_dedup
 from .suffixes import repeated_passages
 from .tokens import packed_tokens
@@ -56,6 +57,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"), path="source").select("doc_id", "place", "name", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("n_chars"), "score")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(docs["doc_id"], 5) == 0
