@@ -5,7 +5,10 @@ A hash that is in the set always tests true; others do so with the bitmap's shar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +39,21 @@ def member(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which of the hashes (uint64) may be in the set."""
     at = h & np.uint64(len(packed) * 8 - 1)
     return (packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def spot(*columns: str, bits: int = BITS) -> Column:
+    """The cell of a row's values in these columns."""
+    return cell(F.xxhash64(*columns), bits)
+
+
+def possible(rows: DataFrame, packed, spots: str, there: bool = True) -> DataFrame:
+    """Rows whose cell (column ``spots``) is in the broadcast bitmap; with ``there`` false, the others.
+
+    Ahead of a join with the keys that the bitmap was made of, it keeps most other rows from being shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(member(packed.value, batch.column(spots).to_numpy().view(np.uint64)) == there))
+
+    return rows.mapInArrow(run, rows.schema)

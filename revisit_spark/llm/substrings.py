@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import bitmap, member
+from .bitmap import bitmap, member, possible, spot
 from .common import saved
 from .words import PLAIN, anchors, mixed, pieces, range_hashes, runs, text_bytes, words
 
@@ -75,7 +75,7 @@ def _repeated(rows: DataFrame, seen, window: int, gram: int) -> DataFrame:
 
 
 def _windows(asked: DataFrame, window: int) -> DataFrame:
-    """(value, d1, d2, shift, h): each window of the runs asked for; ``asked`` has their texts."""
+    """(run, value, id, last, shift, h): each window of the runs asked for; ``asked`` has their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text", 1 << 20):
@@ -85,13 +85,14 @@ def _windows(asked: DataFrame, window: int) -> DataFrame:
             of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             at, n = (flat.field(k).to_numpy() for k in ("at", "n"))
             begin = runs(w.at[of] + at, n)
-            which = pa.array(np.repeat(np.arange(len(n)), n))
+            which = np.repeat(np.arange(len(n)), n)
             yield pa.RecordBatch.from_arrays(
-                [*(flat.field(k).take(which) for k in ("value", "d1", "d2")), pa.array(runs(np.zeros(len(n), np.int64), n)), pa.array(range_hashes(w, begin, begin + window, 3).view(np.int64))],
-                names=["value", "d1", "d2", "shift", "h"],
+                [*(flat.field(k).take(pa.array(which)) for k in ("run", "value")), batch.column("_id").take(pa.array(of[which])), flat.field("last").take(pa.array(which)), pa.array(runs(np.zeros(len(n), np.int64), n).astype(np.int32)), pa.array(range_hashes(w, begin, begin + window, 3).view(np.int64))],
+                names=["run", "value", "id", "last", "shift", "h"],
             )
 
-    return asked.select("_text", "asked").mapInArrow(run, "value long, d1 long, d2 long, shift long, h long")
+    kind = asked.schema["_id"].dataType.simpleString()
+    return asked.select("_id", "_text", "asked").mapInArrow(run, f"run long, value long, id {kind}, last {kind}, shift int, h long")
 
 
 def _kept(texts: DataFrame, id_col: str) -> DataFrame:
@@ -143,17 +144,29 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     seen = docs.sparkSession.sparkContext.broadcast(bitmap(sketch.where("n > 1").select("cell"), ROW_BITS + 1))
     found = saved(_repeated(named, seen, window, gram), "runs")
     place = F.struct("id", "text_key", "at", "n")
-    whole = saved(found.groupBy("value", "d1", "d2").agg(F.min(place).alias("first"), F.max("id").alias("last")), "whole")
-    several = whole.groupBy("value").agg(F.count("*").alias("c"), F.min("first.id").alias("lo"), F.max("last").alias("hi")).where("c > 1 and lo < hi").select("value")
-    unlike = whole.join(several, "value")
-    asked = unlike.groupBy(F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key")).agg(F.collect_list(F.struct("value", "d1", "d2", "first.at", "first.n")).alias("asked"))
-    single = saved(_windows(named.join(asked, ["_id", "_key"]).select("_text", "asked"), window).distinct(), "windows")
-    single = single.join(unlike.select("value", "d1", "d2", F.col("first.id").alias("id"), "last"), ["value", "d1", "d2"])
+    whole = found.groupBy("value", "d1", "d2").agg(F.min(place).alias("first"), F.max("id").alias("last"), F.count("*").alias("c"))
+    whole = saved(whole.withColumn("run", F.monotonically_increasing_id()), "whole")
+    several = whole.groupBy("value").agg(F.count("*").alias("k"), F.min("first.id").alias("lo"), F.max("last").alias("hi")).where("k > 1 and lo < hi").select("value")
+    asked = whole.join(several, "value").groupBy(F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key"))
+    asked = saved(asked.agg(F.collect_list(F.struct("run", "value", "last", "first.at", "first.n")).alias("asked")), "asked")
+    single = saved(_windows(_texts_of(named, asked).select("_id", "_text", "asked"), window), "windows")
     first = single.groupBy("value", "h").agg(F.min("id").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("value", "h", "lo")
-    earlier = single.join(first, ["value", "h"]).where("lo < last").groupBy("value", "d1", "d2").agg(F.collect_list(F.struct("shift", "lo")).alias("windows"))
-    marked = found.join(whole.select("value", "d1", "d2", F.col("first.id").alias("lo")), ["value", "d1", "d2"]).join(earlier, ["value", "d1", "d2"], "left")
+    earlier = single.join(first, ["value", "h"]).where("lo < last").groupBy("run").agg(F.collect_list(F.struct("shift", "lo")).alias("windows"))
+    # A run that stands once and has no window from elsewhere removes nothing.
+    useful = whole.join(earlier, "run", "left").where("c > 1 or windows is not null").select("value", "d1", "d2", F.col("first.id").alias("lo"), "windows")
+    marked = found.join(useful, ["value", "d1", "d2"])
     parts = F.transform(F.filter("windows", lambda x: x["lo"] < F.col("id")), lambda x: F.struct((F.col("at") + x["shift"]).alias("begin"), (F.col("at") + x["shift"] + window).alias("end")))
     everything = F.array(F.struct(F.col("at").alias("begin"), (F.col("at") + F.col("n") + window - 1).alias("end")))
     ranges = marked.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.when(F.col("lo") < F.col("id"), everything).otherwise(parts).alias("r")).where("size(r) > 0")
-    ranges = ranges.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("ranges"))
-    return _kept(rows.join(ranges, ["_id", "_key"], "left").select("_id", "_text", "ranges"), id_col)
+    ranges = saved(ranges.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("ranges")), "ranges")
+    touched = docs.sparkSession.sparkContext.broadcast(bitmap(ranges.select(spot("_id", "_key"))))
+    spotted = rows.withColumn("_spot", spot("_id", "_key"))
+    changed = possible(spotted, touched, "_spot").join(ranges, ["_id", "_key"], "left").select("_id", "_text", "ranges")
+    same = possible(spotted, touched, "_spot", there=False).select("_id", "_text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
+    return _kept(changed, id_col).union(_kept(same, id_col))
+
+
+def _texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keys`` by (_id, _key); a bitmap keeps most other rows out of the shuffle."""
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(keys.select(spot("_id", "_key"))))
+    return possible(rows.withColumn("_spot", spot("_id", "_key")), wanted, "_spot").join(keys, ["_id", "_key"])
