@@ -27,6 +27,8 @@ from .words import mixed, pieces, powers, runs
 LONGEST = 4
 #: Bounds of the sample (documents of each language, about) and of the model (entries).
 SAMPLE, WORDS, GRAMS = 10_000, 60_000, 30_000
+#: Languages at most; those with the most documents.
+LANGUAGES = 1000
 _POINTS = 0x33480  # code points with letters
 
 
@@ -168,15 +170,17 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
     """A model of the labelled texts: about ``sample`` documents of each language, chosen by their ids'
-    hashes, ``words`` words and ``grams`` n-grams of each length, the most frequent of all languages.
+    hashes, of LANGUAGES languages at most, ``words`` words and ``grams`` n-grams of each length, the most frequent of all languages.
 
     Null languages and texts are left out. Without any the model has no language.
     """
     rows = docs.select(docs[id_col].alias("_id"), docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("_text")).where("lang is not null and _text is not null")
-    many = rows.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
+    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not many:
+        return Model([])
+    share = F.create_map(*(F.lit(x) for lang_of, n in many.items() for x in (lang_of, min(1.0, sample / n))))[F.col("lang")]
     spot = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string"), F.lit(9)), 11) / float(1 << 53)
-    chosen = rows.join(many.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang")).where(spot < share)
+    chosen = rows.where(spot < share)
     counts = saved(_counts(chosen), "language")
     totals = {(r["n"], r["lang"]): r["c"] for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect()}
     model = Model(sorted({k for _, k in totals}))
