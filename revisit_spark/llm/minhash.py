@@ -9,25 +9,31 @@ Documents with equal sets are one class from the start. Buckets don't emit their
 
 1. each class is confirmed against one bucket centre (the bucket's smallest id), the one it shares
    most bands with;
-2. then against its other centres, as far as they are not yet in one component;
+2. then against its other centres, and against its neighbours when buckets are sorted by the bands
+   after their own, as far as they are not yet in one component;
 3. what is left are members of a bucket in different components: those outside of the bucket's
    largest component are compared with the members they aren't linked with yet.
 
-After step 3 every two members of a bucket are linked, confirmed as not similar enough, or in
-one component, so nothing is lost to the stars and a bucket's cost is (members) x (members that
-don't belong), not members squared.
+Before the full sets, step 3 compares sketches (4 bits of each bin): pairs that agree on fewer bins
+than similar sets ever do go no further. In buckets of more than LARGE members it deals the members
+into blocks of some BLOCK, joins blocks that meet in a bucket, and compares their members within
+the task that has both, so that only confirmed links leave it. After step 3 every two members of a bucket are linked, not
+similar enough, or in one component, so nothing is lost to the stars, and a bucket's cost is
+(members) x (members that don't belong), not members squared.
 
 With 32 bands of 4 bins, two sets at similarity 0.8 share no band with probability (1 - 0.8**4)**32,
-about 5e-8; that is the method's only loss.
+about 5e-8, and agree on too few bins with one below 1e-9; that is the method's only loss.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +44,7 @@ from .words import FOLDED, grams, mixed, pieces, ragged, words
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+LARGE, BLOCK = 64, 256
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 
 
@@ -86,23 +93,72 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(rows, BINS / 16): 4 bits of each bin's hash."""
+    nibbles = (mixed(sig ^ np.uint64(0x5BD1E995)) & np.uint64(15)).reshape(len(sig), BINS // 16, 16)
+    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
+def fewest_equal(percent: int, loss: float = 1e-9) -> int:
+    """Sets at the least similarity agree on fewer than so many nibbles with a probability below ``loss``."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    below, t = 0.0, 0
+    while t < BINS and (below := below + math.comb(BINS, t) * p**t * (1 - p) ** (BINS - t)) < loss:
+        t += 1
+    return t
+
+
+def _equal_nibbles(x: str, y: str) -> Column:
+    """How many of BINS nibbles two sketch columns share."""
+    unlike = F.lit(0)
+    for i in range(BINS // 16):
+        z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        unlike = unlike + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return BINS - unlike
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """(a, a_digest, b, b_digest): rows next to each other with one key and different parts.
+
+    ``rows`` (id, digest, key, part) lie in order within their partitions. Neighbours in two partitions
+    are left out; they come with the rest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            last = batch.slice(batch.num_rows - 1)
+            one, two = batch.slice(0, batch.num_rows - 1), batch.slice(1)
+            keep = pa.compute.and_(pa.compute.equal(one.column("key"), two.column("key")), pa.compute.not_equal(one.column("part"), two.column("part")))
+            columns = [x.column(c).filter(keep) for x in (one, two) for c in ("id", "digest")]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "a_digest", "b", "b_digest"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "digest", "key", "part").mapInArrow(run, f"a {kind}, a_digest binary, b {kind}, b_digest binary")
+
+
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, digest, keys) of each row; digest and keys are null for an empty set."""
+    """(id, n_shingles, digest, keys, sketch) of each row; digest is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
             sets = shingle_sets(batch.column("_text"), n)
-            keys = band_keys(signatures(sets))
+            sig = signatures(sets)
+            keys, sketch = band_keys(sig), sketches(sig)
             some = np.array([len(u) > 0 for u in sets])
             digest = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None for u in sets]
-            at = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
+            at = np.concatenate([[0], np.cumsum(some)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()), ragged(keys[some].ravel().view(np.int64), at, pa.int64())],
-                names=["id", "n_shingles", "digest", "keys"],
+                [batch.column("_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array(digest, pa.binary()), *(ragged(x[some].ravel().view(np.int64), at * x.shape[1], pa.int64()) for x in (keys, sketch))],
+                names=["id", "n_shingles", "digest", "keys", "sketch"],
             )
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_shingles long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n_shingles long, digest binary, keys array<long>, sketch array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -146,6 +202,54 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _confirmed_blocks(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the members of joined blocks that share a key and lie in different parts.
+
+    ``pairs`` (x, y) has x <= y; ``contents`` (block, members) has some BLOCK structs for each block.
+    """
+    least = fewest_equal(percent)
+    low = np.uint64(0x1111111111111111)
+
+    def unpacked(members: pa.StructArray) -> dict:
+        n = len(members)
+        matrix = lambda c: members.field(c).flatten().to_numpy().view(np.uint64).reshape(n, -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.field("hashes")]
+        part, id_col = members.field("part"), members.field("id")
+        return {"keys": matrix("keys"), "sketch": matrix("sketch"), "sets": sets, "size": np.array([len(u) for u in sets]), "part": part.to_pylist(), "id": id_col}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                same = batch.column("x")[r].as_py() == batch.column("y")[r].as_py()
+                one, two = (unpacked(batch.column(c)[r].values) for c in ("x_members", "y_members"))
+                number = {p: i for i, p in enumerate(dict.fromkeys(one["part"] + two["part"]))}
+                pa_, pb = (np.array([number[p] for p in d["part"]]) for d in (one, two))
+                left, right = [], []
+                for i, u in enumerate(one["sets"]):
+                    ok = (pb != pa_[i]) & (two["keys"] == one["keys"][i]).any(axis=1)
+                    ok &= np.minimum(two["size"], len(u)) * 100 >= np.maximum(two["size"], len(u)) * percent
+                    if same:
+                        ok[: i + 1] = False
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    z = two["sketch"][at] ^ one["sketch"][i]
+                    z |= z >> np.uint64(2)
+                    z |= z >> np.uint64(1)
+                    for j in at[BINS - np.bitwise_count(z & low).sum(axis=1, dtype=np.int64) >= least].tolist():
+                        v = two["sets"][j]
+                        place = np.searchsorted(v, u)
+                        both = int((v[np.minimum(place, len(v) - 1)] == u).sum())
+                        if 100 * both >= percent * (len(u) + len(v) - both):
+                            left.append(i)
+                            right.append(j)
+                yield pa.RecordBatch.from_arrays([one["id"].take(pa.array(left, pa.int64())), two["id"].take(pa.array(right, pa.int64()))], names=["a", "b"])
+
+    kind = contents.schema["members"].dataType.elementType["id"].dataType.simpleString()
+    one, two = (contents.select(F.col("block").alias(c), F.col("members").alias(f"{c}_members")) for c in ("x", "y"))
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "x_members", "y_members").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def _near_size(x: Column | str, y: Column | str, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
@@ -170,7 +274,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     rows = docs.select(docs[id_col].alias("_id"), docs[text].cast("string").alias("_text"))
     signed = saved(_signed(rows, shingle), "signed")
     classes = signed.where("id is not null and n_shingles > 0").groupBy("digest")
-    classes = saved(classes.agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = saved(classes.agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
     same = signed.where("id is not null and n_shingles > 0").select(F.col("id").alias("a"), "digest").join(classes.select("digest", F.col("id").alias("b")), "digest").where("a <> b").select("a", "b").distinct()
     buckets = classes.select("id", "digest", "n", F.explode("keys").alias("key"))
     node = F.struct("id", "digest", "n")
@@ -183,30 +287,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     ends = members.select("id").distinct()
     sets = saved(_sets_of(rows, ends, shingle), "sets")
 
-    links = same.union(_confirmed(best, sets, percent))
+    # A first grouping without rounds: each class hangs under its confirmed centre, and that one's centre.
+    under = saved(_confirmed(best, sets, percent), "under")
+    up = under.select(F.col("a").alias("_x"), F.col("b").alias("_y"))
+    labels = saved(under.join(up, F.col("a") == F.col("_y"), "left").select(F.col("b").alias("id"), F.coalesce("_x", "a").alias("component")), "labels")
+    split = _split_buckets(members, labels)
+    place = F.array_position("keys", F.col("key")).cast("int")
+    further = [F.col("keys")[(place + i) % BANDS] for i in range(2)]
+    split = saved(split.join(classes.select("id", "digest", "sketch", "keys"), ["id", "digest"]).withColumns({"o1": further[0], "o2": further[1]}).drop("keys"), "split")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = split.repartitionByRange(parts, "key", "o1", "o2", "digest").sortWithinPartitions("key", "o1", "o2", "digest")
+    edge = ["a", "a_digest", "b", "b_digest"]
+    rest = _apart(stars.drop("bands"), labels).join(best, edge, "left_anti").union(_neighbours(ordered)).distinct()
+    links = same.union(under).union(_confirmed(rest, sets, percent))
     labels = saved(components(links), "labels")
-    rest = _apart(stars.drop("bands"), labels).join(best, ["a", "a_digest", "b", "b_digest"], "left_anti")
-    more = saved(_confirmed(rest, sets, percent), "more")
-    labels = _joined(labels, more)
 
-    part = members.join(labels.select("id", "component"), "id", "left").select("key", "id", "digest", "n", F.coalesce("component", "id").alias("part"))
-    sizes = part.groupBy("key", "part").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "part"))["part"].alias("largest")).where("parts > 1").drop("parts")
-    mixed_buckets = saved(part.join(largest, "key"), "mixed")
-    strange = mixed_buckets.where("part <> largest").select("key", F.col("id").alias("a"), F.col("digest").alias("a_digest"), F.col("n").alias("a_n"), F.col("part").alias("a_part"))
-    any_of = mixed_buckets.select("key", F.col("id").alias("b"), F.col("digest").alias("b_digest"), F.col("n").alias("b_n"), F.col("part").alias("b_part"), F.col("largest"))
-    pairs = strange.join(any_of, "key").where((F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("largest")) | (F.col("a_digest") < F.col("b_digest"))) & _near_size("a_n", "b_n", percent))
-    pairs = pairs.select("a", "a_digest", "b", "b_digest").distinct()
-    tried = stars.select("a", "a_digest", "b", "b_digest")
+    split = _split_buckets(split.drop("part", "largest"), labels)
+    split = saved(split.join(split.groupBy("key").agg((F.count("*") > LARGE).alias("large")), "key"), "split")
+    sizes = ("id", "digest", "n", "part", "sketch")
+    small = split.where(~F.col("large"))
+    strange = small.where("part <> largest").select("key", *(F.col(c).alias("a" if c == "id" else f"a_{c}") for c in sizes))
+    any_of = small.select("key", "largest", *(F.col(c).alias("b" if c == "id" else f"b_{c}") for c in sizes))
+    once = (F.col("b_part") == F.col("largest")) | (F.col("a_digest") < F.col("b_digest"))
+    alike = _near_size("a_n", "b_n", percent) & (_equal_nibbles("a_sketch", "b_sketch") >= fewest_equal(percent))
+    pairs = strange.join(any_of, (strange["key"] == any_of["key"]) & (F.col("a_part") != F.col("b_part")) & once & alike).select(*edge).distinct()
+    tried = stars.select(*edge)
     tried = tried.union(tried.select("b", "b_digest", "a", "a_digest"))
-    last = saved(_confirmed(pairs.join(tried, ["a", "a_digest", "b", "b_digest"], "left_anti"), sets, percent), "last")
-    labels = _joined(labels, last)
+    last = _confirmed(pairs.join(tried, edge, "left_anti"), sets, percent)
+
+    large = split.where("large")
+    nodes = large.groupBy("id", "digest").agg(F.min("key").alias("home"), F.first("part").alias("part"), F.first("sketch").alias("sketch"))
+    homes = nodes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    nodes = saved(nodes.join(homes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("digest"), "blocks"))), "nodes")
+    met = large.join(nodes.select("id", "digest", "block"), ["id", "digest"]).groupBy("key", "block").agg(F.max(F.col("part") != F.col("largest")).alias("strange"))
+    met = saved(met, "met")
+    first, second = met.where("strange").select("key", F.col("block").alias("p")), met.select("key", F.col("block").alias("q"))
+    meet = saved(first.join(second, "key").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "meet")
+    full = nodes.join(classes.select("id", "digest", "keys"), ["id", "digest"]).join(sets, ["id", "digest"])
+    contents = saved(full.groupBy("block").agg(F.collect_list(F.struct("id", "part", "keys", "sketch", "hashes")).alias("members")), "blocks")
+    labels = _joined(labels, saved(last.union(_confirmed_blocks(meet, contents, percent)), "last"))
 
     out = signed.select("id", "n_shingles").join(labels, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that have several components, with their own (part) and the bucket's largest."""
+    part = members.join(labels.select("id", "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    sizes = part.groupBy("key", "part").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "part"))["part"].alias("largest")).where("parts > 1").drop("parts")
+    return part.join(largest, "key")
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links."""
     if links.isEmpty():
