@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ISSUES = "array<struct<code:string,severity:string,field:string,raw_value:string>>"
 MARKER = "… [truncated]"
@@ -18,6 +19,11 @@ FALSE_WORDS = ("n", "no", "false", "f", "0", "")
 NO_AMOUNT = ("", "-", "n/a", "na", "null")
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x worked out once: expressions that use a value many times stay small."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def no_issues() -> Column:
     return F.array().cast(ISSUES)
 
@@ -35,13 +41,13 @@ def result(value: Column, *issues: tuple[Column, Column]) -> Column:
     return F.struct(value.alias("value"), found.alias("issues"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for x in values:
         yield x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for x in values:
         yield x.map(lambda s: None if s is None else s.casefold())
@@ -59,10 +65,10 @@ def casefold(x: Column) -> Column:
 def clean_text(raw: Column) -> Column:
     """Without control and format characters (newline and tab stay), composed, blanks collapsed; empty is null."""
     bare = F.regexp_replace(raw, r"[\p{C}&&[^\n\t]]", "")
-    whole = F.when(_non_ascii(bare), _composed(F.when(_non_ascii(bare), bare))).otherwise(bare)
+    # Not bound: Python helpers can't stand in a lambda, and this one is used twice only.
+    whole = F.when(_non_ascii(raw), _composed(F.when(_non_ascii(raw), bare))).otherwise(bare)
     single = F.regexp_replace(whole, r"(?U)[\s&&[^\n\t]]+", " ")
-    out = F.regexp_replace(single, r"(?U)^\s+|\s+$", "")
-    return F.when(out != "", out)
+    return F.nullif(F.regexp_replace(single, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
 def truncated(x: Column, most: int) -> Column:
@@ -77,9 +83,11 @@ def truncated(x: Column, most: int) -> Column:
 
 
 def text(raw: Column, most: int = MAX_BYTES, field: str | None = None) -> Column:
-    value = clean_text(raw)
-    long = F.octet_length(value) > most
-    return result(F.when(long, truncated(value, most)).otherwise(value), (long, issue("FIELD_TOO_LONG", "warning", field, raw)))
+    def made(value: Column) -> Column:
+        long = F.octet_length(value) > most
+        return result(F.when(long, truncated(value, most)).otherwise(value), (long, issue("FIELD_TOO_LONG", "warning", field, raw)))
+
+    return bound(clean_text(raw), made)
 
 
 def name(raw: Column) -> Column:
@@ -87,13 +95,13 @@ def name(raw: Column) -> Column:
     plain = F.regexp_replace(casefold(clean_text(raw)), r"[^\p{L}\p{M}\p{N}\p{Pc}\s]", " ")
     plain = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
     bare = F.regexp_replace(plain, r"(?i)(\s+(?:llc|incorporated|inc|limited|ltd|corp(?:oration)?)\.?)+$", "")
-    return F.when(bare != "", bare)
+    return F.nullif(bare, F.lit(""))
 
 
 def boolean(raw: Column, more_true: tuple[str, ...] = (), field: str | None = None) -> Column:
-    value = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
-    true = value.isin(*TRUE_WORDS, *(w.strip().lower() for w in more_true))
-    return result(true, (~true & ~value.isin(*FALSE_WORDS), issue("UNKNOWN_ENUM_VALUE", "warning", field, raw)))
+    words = (*TRUE_WORDS, *(w.strip().lower() for w in more_true))
+    known = lambda value: result(value.isin(*words), (~value.isin(*words, *FALSE_WORDS), issue("UNKNOWN_ENUM_VALUE", "warning", field, raw)))
+    return bound(F.lower(F.trim(F.coalesce(raw, F.lit("")))), known)
 
 
 def money(raw: Column, decimal: str | None = None, thousands: str | None = None, field: str | None = None) -> Column:
@@ -101,30 +109,39 @@ def money(raw: Column, decimal: str | None = None, thousands: str | None = None,
     the decimal one; of one kind it is decimal only if it stands once, before exactly two characters."""
     absent = raw.isNull() | F.lower(F.trim(raw)).isin(*NO_AMOUNT)
     kept = F.regexp_replace(F.regexp_replace(raw, r"[^\p{Nd},.'() +\-]", ""), "[ ']", "")
-    wrapped = kept.startswith("(") & kept.endswith(")")
-    body = F.when(wrapped, F.substring(kept, F.lit(2), F.length(kept) - 2)).otherwise(kept)
-    comma, dot = F.instr(F.reverse(body), ","), F.instr(F.reverse(body), ".")
-    both = (comma > 0) & (dot > 0)
-    sep = F.when(comma > 0, ",").when(dot > 0, ".")
-    last = F.when(comma > 0, comma).otherwise(dot)
-    single = (F.length(body) - F.length(F.replace(body, sep, F.lit("")))) == 1
-    guess_decimal = F.when(both, F.when(comma < dot, ",").otherwise(".")).when(single & (last == 3), sep)
-    guess_thousands = F.when(both, F.when(comma < dot, ".").otherwise(",")).when(~(single & (last == 3)), sep)
-    point = F.lit(decimal) if decimal else guess_decimal
-    group = F.lit(thousands) if thousands else F.when(~guess_thousands.eqNullSafe(point), guess_thousands)
-    plain = F.when(group.isNotNull(), F.replace(body, group, F.lit(""))).otherwise(body)
-    plain = F.when(point.isNotNull() & (point != "."), F.replace(plain, point, F.lit("."))).otherwise(plain)
-    signed = F.when(wrapped, F.concat(F.lit("-"), plain)).otherwise(plain)
-    exact = F.when(signed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), signed).try_cast("decimal(38,10)")
-    rounded = F.round(exact, 2)
-    fits = F.abs(rounded) <= F.lit("999999999999.99").cast("decimal(14,2)")
-    value = F.when(~absent & fits, rounded).cast("decimal(14,2)")
-    return result(
-        value,
-        (~absent & ~F.coalesce(fits, F.lit(False)), issue("INVALID_NUMBER", "error", field, raw)),
-        (~absent & fits & (rounded != exact), issue("NUMBER_ROUNDED", "warning", field, raw)),
-        (~absent & fits & (rounded < 0), issue("NEGATIVE_AMOUNT", "warning", field, raw)),
-    )
+    unwrapped = bound(kept, lambda k: F.struct((k.startswith("(") & k.endswith(")")).alias("wrapped"), F.regexp_replace(k, r"^\((.*)\)$", "$1").alias("body")))
+
+    def separated(parts: Column) -> Column:
+        body = parts["body"]
+        comma, dot = F.instr(F.reverse(body), ","), F.instr(F.reverse(body), ".")
+        return F.struct(parts["wrapped"].alias("wrapped"), body.alias("body"), comma.alias("comma"), dot.alias("dot"), (F.greatest(comma, dot) == 3).alias("two"), (F.regexp_count(body, F.lit("[,.]")) == 1).alias("once"))
+
+    def cleaned(p: Column) -> Column:
+        later = F.when(p["comma"] < p["dot"], ",").otherwise(".")
+        earlier = F.when(p["comma"] < p["dot"], ".").otherwise(",")
+        both = (p["comma"] > 0) & (p["dot"] > 0)
+        sep = F.when(p["comma"] > 0, ",").when(p["dot"] > 0, ".")
+        guess_point = F.when(both, later).when(p["once"] & p["two"], sep)
+        guess_group = F.when(both, earlier).when(~(p["once"] & p["two"]), sep)
+        point = F.lit(decimal) if decimal else guess_point
+        group = F.lit(thousands) if thousands else F.when(~guess_group.eqNullSafe(point), guess_group)
+        plain = F.replace(p["body"], F.coalesce(group, F.lit("\u0000")), F.lit(""))
+        plain = F.replace(plain, F.coalesce(point, F.lit(".")), F.lit("."))
+        signed = F.concat(F.when(p["wrapped"], "-").otherwise(""), plain)
+        return bound(signed, lambda x: F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), x).try_cast("decimal(38,10)"))
+
+    def judged(x: Column) -> Column:
+        exact, rounded = x["exact"], x["rounded"]
+        fits = ~x["absent"] & F.coalesce(F.abs(rounded) <= F.lit("999999999999.99").cast("decimal(14,2)"), F.lit(False))
+        return result(
+            F.when(fits, rounded).cast("decimal(14,2)"),
+            (~x["absent"] & ~fits, issue("INVALID_NUMBER", "error", field, raw)),
+            (fits & (rounded != exact), issue("NUMBER_ROUNDED", "warning", field, raw)),
+            (fits & (rounded < 0), issue("NEGATIVE_AMOUNT", "warning", field, raw)),
+        )
+
+    exact = bound(bound(unwrapped, separated), cleaned)
+    return bound(bound(exact, lambda e: F.struct(absent.alias("absent"), e.alias("exact"), F.round(e, 2).alias("rounded"))), judged)
 
 
 _SLASHED = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}(\s|$)"
@@ -151,41 +168,44 @@ def _moment(value: Column, order: Column, explicit: str | None) -> Column:
 def date(raw: Column, today: str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Column:
     """A calendar day as written. ``today`` is a parameter so that runs repeat; it bounds the future by 366 days."""
     order = F.lit(order) if isinstance(order, str) else order
-    value = F.trim(raw)
-    blank = raw.isNull() | (value == "")
-    unclear = F.lit(False) if explicit else value.rlike(_SLASHED) & (order == "ambiguous")
-    day = F.when(~blank & ~unclear, _moment(value, order, explicit)).cast("date")
-    inside = day.between(F.lit("1990-01-01").cast("date"), F.date_add(F.lit(today).cast("date"), 366))
-    return result(
-        F.when(inside, day),
-        (blank, issue("MISSING_REQUIRED_FIELD", "error", field, raw)),
-        (~blank & unclear, issue("AMBIGUOUS_DATE_FORMAT", "error", field, raw)),
-        (~blank & ~unclear & day.isNull(), issue("INVALID_DATE", "error", field, raw)),
-        (~inside, issue("DATE_OUT_OF_RANGE", "error", field, raw)),
-    )
+    unclear = lambda v: F.lit(False) if explicit else v.rlike(_SLASHED) & (order == "ambiguous")
+    read = lambda v: F.struct((v == "").alias("blank"), unclear(v).alias("unclear"), F.when((v != "") & ~unclear(v), _moment(v, order, explicit)).cast("date").alias("day"))
+
+    def judged(x: Column) -> Column:
+        inside = x["day"].between(F.lit("1990-01-01").cast("date"), F.date_add(F.lit(today).cast("date"), 366))
+        return result(
+            F.when(inside, x["day"]),
+            (x["blank"], issue("MISSING_REQUIRED_FIELD", "error", field, raw)),
+            (~x["blank"] & x["unclear"], issue("AMBIGUOUS_DATE_FORMAT", "error", field, raw)),
+            (~x["blank"] & ~x["unclear"] & x["day"].isNull(), issue("INVALID_DATE", "error", field, raw)),
+            (~inside, issue("DATE_OUT_OF_RANGE", "error", field, raw)),
+        )
+
+    return bound(bound(F.trim(F.coalesce(raw, F.lit(""))), read), judged)
 
 
 def moment(raw: Column, zone: Column | str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Column:
     """A moment in UTC; without an offset it is read in the tenant's zone. Blank is null."""
     order = F.lit(order) if isinstance(order, str) else order
     zone = F.lit(zone) if isinstance(zone, str) else zone
-    value = F.trim(raw)
-    blank = raw.isNull() | (value == "")
-    unclear = F.lit(False) if explicit else value.rlike(_SLASHED) & (order == "ambiguous")
-    naive = F.when(~blank & ~unclear, _moment(value, order, explicit))
-    sign = F.regexp_extract(value, r"([+-])(\d{2}):(\d{2})$", 1)
-    minutes = F.regexp_extract(value, r"([+-])(\d{2}):(\d{2})$", 2).try_cast("int") * 60 + F.regexp_extract(value, r"([+-])(\d{2}):(\d{2})$", 3).try_cast("int")
-    shift = F.when(value.endswith("Z"), 0).when(sign == "+", -minutes).when(sign == "-", minutes)
-    there = F.when(shift.isNotNull(), F.timestamp_add("MINUTE", shift, naive.cast("timestamp"))).otherwise(F.to_utc_timestamp(naive.cast("timestamp"), zone))
-    return result(there, (~blank & unclear, issue("AMBIGUOUS_DATE_FORMAT", "error", field, raw)), (~blank & ~unclear & naive.isNull(), issue("INVALID_DATE", "error", field, raw)))
+    unclear = lambda v: F.lit(False) if explicit else v.rlike(_SLASHED) & (order == "ambiguous")
+    offset = r"([+-])(\d{2}):(\d{2})$"
+    minutes = lambda v: F.regexp_extract(v, offset, 2).try_cast("int") * 60 + F.regexp_extract(v, offset, 3).try_cast("int")
+    shift = lambda v: F.when(v.endswith("Z"), 0).when(v.rlike(r"\+\d{2}:\d{2}$"), -minutes(v)).when(v.rlike(r":\d{2}-\d{2}:\d{2}$"), minutes(v))
+    read = lambda v: F.struct((v == "").alias("blank"), unclear(v).alias("unclear"), shift(v).alias("shift"), F.when((v != "") & ~unclear(v), _moment(v, order, explicit)).cast("timestamp").alias("naive"))
+
+    def judged(x: Column) -> Column:
+        there = F.when(x["shift"].isNotNull(), F.timestamp_add("MINUTE", x["shift"], x["naive"])).otherwise(F.to_utc_timestamp(x["naive"], zone))
+        return result(there, (~x["blank"] & x["unclear"], issue("AMBIGUOUS_DATE_FORMAT", "error", field, raw)), (~x["blank"] & ~x["unclear"] & x["naive"].isNull(), issue("INVALID_DATE", "error", field, raw)))
+
+    return bound(bound(F.trim(F.coalesce(raw, F.lit(""))), read), judged)
 
 
 def integer(raw: Column, field: str | None = None) -> Column:
     """A whole number; 90.0 is one. Blank is null."""
-    value = F.trim(raw)
-    blank = raw.isNull() | (value == "")
-    number = F.when(value.rlike(r"^[+-]?\d{1,18}(\.0*)?$"), value).try_cast("decimal(38,10)")
-    return result(number.cast("long"), (~blank & number.isNull(), issue("INVALID_NUMBER", "error", field, raw)))
+    read = lambda v: F.struct((v == "").alias("blank"), F.when(v.rlike(r"^[+-]?\d{1,18}(\.0*)?$"), v).try_cast("decimal(38,10)").cast("long").alias("n"))
+    judged = lambda x: result(x["n"], (~x["blank"] & x["n"].isNull(), issue("INVALID_NUMBER", "error", field, raw)))
+    return bound(bound(F.trim(F.coalesce(raw, F.lit(""))), read), judged)
 
 
 def phone(raw: Column) -> Column:
