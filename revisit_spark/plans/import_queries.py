@@ -17,10 +17,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, days: tuple[str, ...] = ()):
+    """Registers a query; its columns ``days`` are shown as text on both sides."""
+
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
+        def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+            found = f(spark, sf_dir)
+            return found.withColumns({c: F.col(c).cast("date").cast("string") for c in days}) if days else found
+
+        QUERIES[f.__name__] = shown
+        if sql and days:
+            SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'{c}::DATE::VARCHAR AS {c}' for c in days)}) FROM ({sql})"
+        elif sql:
             SQL[f.__name__] = sql
         return f
 
@@ -59,7 +67,7 @@ def money_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", (F.col("m.value") * 100).cast("long").alias("cents"), F.array_join(F.transform("m.issues", lambda i: i["code"]), ",").alias("codes"))
 
 
-@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 IN (3, 6) THEN NULL ELSE o_orderdate::DATE END AS day, CASE o_orderkey % 7 WHEN 3 THEN 'AMBIGUOUS_DATE_FORMAT' WHEN 6 THEN 'INVALID_DATE' ELSE '' END AS codes FROM orders""")
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 IN (3, 6) THEN NULL ELSE o_orderdate::DATE END AS day, CASE o_orderkey % 7 WHEN 3 THEN 'AMBIGUOUS_DATE_FORMAT' WHEN 6 THEN 'INVALID_DATE' ELSE '' END AS codes FROM orders""", days=("day",))
 def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
     forms = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "d MMM yyyy", "MMMM d yyyy"]
@@ -145,7 +153,7 @@ y AS (SELECT *, CASE WHEN skipped THEN 'skipped_filtered' WHEN bad_date OR no_cu
 
 @query(_VALIDATED + """ SELECT organization_id, batch_id, row_number, status_of AS status, CASE WHEN skipped THEN 'ROW_SKIPPED_BY_FILTER' ELSE concat_ws(',', CASE WHEN bad_date THEN 'INVALID_DATE' END, CASE WHEN minus THEN 'NEGATIVE_AMOUNT' END,
  CASE WHEN odd THEN 'UNKNOWN_ENUM_VALUE' END, CASE WHEN no_customer THEN 'UNRESOLVABLE_CUSTOMER' END, CASE WHEN no_gear THEN 'EQUIPMENT_NOT_RESOLVED' END) END AS codes,
- CASE WHEN status_of IN ('pending', 'warning') THEN service_date END AS service_date, CASE WHEN status_of IN ('pending', 'warning') THEN CASE WHEN odd THEN 'unknown' ELSE 'completed' END END AS job_status FROM y""")
+ CASE WHEN status_of IN ('pending', 'warning') THEN service_date END AS service_date, CASE WHEN status_of IN ('pending', 'warning') THEN CASE WHEN odd THEN 'unknown' ELSE 'completed' END END AS job_status FROM y""", days=("service_date",))
 def validated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = validate.validated(raw_rows(spark, sf_dir), MAPPING, today="2026-01-01")
     return rows.select("organization_id", "batch_id", "row_number", "status", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"), F.col("record.service_date").alias("service_date"), F.col("record.job_status").alias("job_status"))
@@ -256,7 +264,7 @@ def _batches(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
 _TWO = f"{v.JOBS_SQL}, b AS (SELECT *, CASE WHEN id % 2 = 1 THEN 2 ELSE 1 END AS batch_id, sha256(concat_ws('|', organization_id, customer_id)) AS digest, CASE WHEN id % 5 = 0 THEN 'c' || customer_id || '@x' END AS email FROM jobs)"
 
 
-@query(_TWO + " SELECT organization_id, digest, arg_min('Customer ' || customer_id, batch_id * 1000000000 + id) AS name, coalesce(arg_min(email, id) FILTER (batch_id = 1 AND email IS NOT NULL), arg_min(email, id) FILTER (batch_id = 2 AND email IS NOT NULL)) AS email, min(service_date) AS first_seen, max(service_date) AS last_seen, count(*) AS job_count FROM b GROUP BY 1, 2")
+@query(_TWO + " SELECT organization_id, digest, arg_min('Customer ' || customer_id, batch_id * 1000000000 + id) AS name, coalesce(arg_min(email, id) FILTER (batch_id = 1 AND email IS NOT NULL), arg_min(email, id) FILTER (batch_id = 2 AND email IS NOT NULL)) AS email, min(service_date) AS first_seen, max(service_date) AS last_seen, count(*) AS job_count FROM b GROUP BY 1, 2", days=("first_seen", "last_seen"))
 def resolved_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshot = None
     for late in (False, True):
@@ -291,7 +299,7 @@ def job_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.notes(first, docs.where("note_id >= 500")).select("organization_id", "job_id", "content_hash", "note_id")
 
 
-@query(f"{v.JOBS_SQL} SELECT id % 20 AS batch_id, min(service_date) AS date_from, max(service_date) AS date_to FROM jobs GROUP BY 1")
+@query(f"{v.JOBS_SQL} SELECT id % 20 AS batch_id, min(service_date) AS date_from, max(service_date) AS date_to FROM jobs GROUP BY 1", days=("date_from", "date_to"))
 def batch_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.batch_range(v.jobs(spark, sf_dir).withColumn("batch_id", F.col("id") % 20))
 
