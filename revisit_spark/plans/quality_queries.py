@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, reviews, usage
+from ..operators import analytics, audit, queue, reviews, usage
 from . import testviews as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,19 @@ def breakdown_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.jobs(spark, sf_dir).withColumn("kept", F.col("service_date") >= "1996-01-01")
     return rows.select("id", analytics.pruned(F.col("raw_job_type"), F.col("service_date"), F.lit("imported"), "1998-04-01").alias("raw_data"), F.col("kept").alias("retained"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 51")
+def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = v.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("occurred_at"))
+    kept = audit.filtered(e, action="error", occurred_from="2024-01-05", occurred_to="2024-01-20")
+    return queue.ascending(kept, ["occurred_at", "event_id"], descending=True).select("event_id")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN user_id::VARCHAR WHEN 'view' THEN event_type END AS name, CASE event_type WHEN 'click' THEN left(repeat('x', (event_id % 300)::INTEGER), 200) END AS slug FROM events")
+def audit_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, t = F.col("event_id"), F.col("event_type")
+    kind = F.when(t == "click", "organization").when(t == "view", "organization").when(t == "error", "nothing")
+    changes = F.when(t == "click", F.create_map(F.lit("name"), F.col("user_id").cast("string"), F.lit("slug"), F.repeat(F.lit("x"), (k % 300).cast("int")), F.lit("password"), F.lit("p"))).otherwise(F.create_map(F.lit("name"), t))
+    rows = v.table(spark, sf_dir, "events").select(k, audit.sanitized(kind, changes).alias("c"))
+    return rows.select("event_id", F.try_element_at("c", F.lit("name")).alias("name"), F.try_element_at("c", F.lit("slug")).alias("slug"))
