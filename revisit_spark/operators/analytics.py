@@ -20,3 +20,45 @@ def pruned(raw: Column, day: Column, status: Column, today: str, days: int = 90)
     """Raw payload, null after ``days`` for rows that are done with."""
     old = day < F.date_sub(F.lit(today).cast("date"), days)
     return F.when(~(old & status.isin("imported", "updated", "skipped_duplicate")), raw)
+
+
+_PAIR = ["organization_id", "prior_id", "followup_id"]
+
+
+def _reviewed(rows: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Rows of pairs with their current decision, where there is one."""
+    return rows.join(reviews.select(*_PAIR, "decision"), _PAIR)
+
+
+def precision_by_band(scored: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Per band: confirmed, rejected and confirmed per ten thousand of both."""
+    n = _reviewed(scored, reviews).groupBy("band").agg(F.count_if(F.col("decision") == "confirmed").alias("confirmed"), F.count_if(F.col("decision") == "rejected").alias("rejected"))
+    return n.withColumn("precision", F.expr("(confirmed * 10000) div nullif(confirmed + rejected, 0)"))
+
+
+def calibration(scored: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Per ten points of score: reviewed pairs and those confirmed."""
+    bucket = F.least(F.expr("basis_points div 1000"), F.lit(9))
+    return _reviewed(scored, reviews).groupBy(bucket.cast("int").alias("bucket")).agg(F.count("*").alias("reviewed"), F.count_if(F.col("decision") == "confirmed").alias("confirmed"))
+
+
+def signal_lift(evidence: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Per signal: reviewed and confirmed pairs where it matched and where it didn't."""
+    of = lambda outcome, *more: F.count_if((F.col("outcome") == outcome) & (more[0] if more else F.lit(True)))
+    yes = F.col("decision") == "confirmed"
+    return _reviewed(evidence, reviews).groupBy("key").agg(of("matched").alias("matched"), of("matched", yes).alias("matched_confirmed"), of("not_matched").alias("not_matched"), of("not_matched", yes).alias("not_matched_confirmed"))
+
+
+def failing_parts(context: DataFrame) -> DataFrame:
+    """Part codes by the number of pairs that used them on both visits."""
+    both = F.explode(F.array_intersect("prior_codes", "followup_codes")).alias("code")
+    return context.select(both).groupBy("code").agg(F.count("*").alias("pairs"))
+
+
+def related_visits(pairs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(id, other_id): visits paired with each of the jobs, on either side. Two equi-joins, not an OR."""
+    ids = jobs.select("organization_id", "id")
+    sides = []
+    for own, other in (("prior_id", "followup_id"), ("followup_id", "prior_id")):
+        sides.append(pairs.select("organization_id", F.col(own).alias("id"), F.col(other).alias("other_id")).join(ids, ["organization_id", "id"], "left_semi"))
+    return sides[0].union(sides[1]).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, pairs, queue, scoring, signals
+from ..operators import analytics, candidates, pairs, queue, scoring, signals
 from . import testviews as v
 from .detect import detect
 
@@ -218,3 +218,37 @@ def queue_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queue_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = queue.filtered(open_queue(spark, sf_dir), v.jobs(spark, sf_dir), min_basis_points=3000, band="medium", date_from="1996-01-01", date_to="2000-12-31")
     return kept.select("candidate_id", "basis_points", "band")
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on two of three pairs, by the follow-up's number."""
+    k = F.col("followup_id") % 3
+    found = pairs.candidate_pairs(v.jobs(spark, sf_dir)).where(k < 2)
+    return found.select("organization_id", "prior_id", "followup_id", F.when(k == 0, "confirmed").otherwise("rejected").alias("decision"))
+
+
+@query(scores_sql() + " SELECT band, count_if(followup_id % 3 = 0)::BIGINT AS confirmed, count_if(followup_id % 3 = 1)::BIGINT AS rejected, (count_if(followup_id % 3 = 0) * 10000 // count(*))::BIGINT AS precision FROM scores WHERE followup_id % 3 < 2 GROUP BY band")
+def precision_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.precision_by_band(scored(spark, sf_dir), truth(spark, sf_dir))
+
+
+@query(scores_sql() + " SELECT least(basis_points // 1000, 9)::INTEGER AS bucket, count(*) AS reviewed, count_if(followup_id % 3 = 0)::BIGINT AS confirmed FROM scores WHERE followup_id % 3 < 2 GROUP BY 1")
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.calibration(scored(spark, sf_dir), truth(spark, sf_dir))
+
+
+@query(scores_sql() + " SELECT key, count_if(outcome = 'matched')::BIGINT AS matched, count_if(outcome = 'matched' AND followup_id % 3 = 0)::BIGINT AS matched_confirmed, count_if(outcome = 'not_matched')::BIGINT AS not_matched, count_if(outcome = 'not_matched' AND followup_id % 3 = 0)::BIGINT AS not_matched_confirmed FROM each WHERE followup_id % 3 < 2 GROUP BY key")
+def signal_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.signal_lift(scoring.evidence(evaluated(spark, sf_dir)), truth(spark, sf_dir))
+
+
+@query(PAIRS + " SELECT a.l_partkey::VARCHAR AS code, count(DISTINCT (prior_id, followup_id)) AS pairs FROM pairs JOIN lineitem a ON a.l_orderkey = prior_id AND a.l_returnflag = 'R' JOIN lineitem b ON b.l_orderkey = followup_id AND b.l_returnflag = 'R' AND a.l_partkey = b.l_partkey GROUP BY 1")
+def failing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = v.jobs(spark, sf_dir)
+    return analytics.failing_parts(signals.pair_context(pairs.candidate_pairs(jobs), jobs, None, v.line_items(spark, sf_dir)))
+
+
+@query(PAIRS + " SELECT DISTINCT organization_id, id, other_id FROM (SELECT organization_id, prior_id AS id, followup_id AS other_id FROM pairs UNION ALL SELECT organization_id, followup_id, prior_id FROM pairs) WHERE id % 2 = 0")
+def related_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = v.jobs(spark, sf_dir)
+    return analytics.related_visits(pairs.candidate_pairs(jobs), jobs.where("id % 2 = 0"))
