@@ -53,7 +53,9 @@ def possible(rows: DataFrame, packed, spots: str, there: bool = True) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(member(packed.value, batch.column(spots).to_numpy().view(np.uint64)) == there))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                yield batch.filter(pa.array(member(packed.value, batch.column(spots).to_numpy().view(np.uint64)) == there))
 
     return rows.mapInArrow(run, rows.schema)

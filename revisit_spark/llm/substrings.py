@@ -44,7 +44,7 @@ def _sketch(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """(cell, n) of the merged sketch; counts of a part beyond 2 are kept as 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", 2 << 20):
             found = anchors(words(batch.column("_text"), PLAIN), window, gram)
             for cells in _cells(found.value):
                 cell, n = np.unique(cells, return_counts=True)
@@ -57,7 +57,7 @@ def _repeated(rows: DataFrame, seen, window: int, gram: int) -> DataFrame:
     """(id, text_key, value, d1, d2, at, n): runs that the sketch takes for repeated; d1, d2 hash their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", 2 << 20):
             w = words(batch.column("_text"), PLAIN)
             found = anchors(w, window, gram)
             one, two = _cells(found.value)
@@ -95,9 +95,13 @@ def _windows(asked: DataFrame, window: int) -> DataFrame:
     return asked.select("_id", "_text", "asked").mapInArrow(run, f"run long, value long, id {kind}, last {kind}, shift int, h long")
 
 
-def _kept(texts: DataFrame, id_col: str) -> DataFrame:
+def _kept(texts: DataFrame, id_col: str, without=None) -> DataFrame:
+    """Texts without their ranges; with a bitmap, only rows whose ``_spot`` isn't in it (in one worker)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", 2 << 20):
+            if without is not None:
+                batch = batch.filter(pa.array(~member(without.value, batch.column("_spot").to_numpy().view(np.uint64))))
             data, at = text_bytes(batch.column("_text"))
             raw = data.tobytes()
             total, removed, kept, spans = [], [], [], []
@@ -162,8 +166,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     touched = docs.sparkSession.sparkContext.broadcast(bitmap(ranges.select(spot("_id", "_key"))))
     spotted = rows.withColumn("_spot", spot("_id", "_key"))
     changed = possible(spotted, touched, "_spot").join(ranges, ["_id", "_key"], "left").select("_id", "_text", "ranges")
-    same = possible(spotted, touched, "_spot", there=False).select("_id", "_text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
-    return _kept(changed, id_col).union(_kept(same, id_col))
+    same = spotted.select("_id", "_text", "_spot", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
+    return _kept(changed, id_col).union(_kept(same, id_col, touched))
 
 
 def _texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
