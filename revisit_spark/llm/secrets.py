@@ -1,6 +1,8 @@
 """Operator 8 [native]: secret scans, with a random forest that removes false findings.
 
-Candidates are words of eight characters or more with a digit or sixteen capitals in a row. Each is described by its length,
+Candidates are words of eight characters or more with a digit or sixteen capitals in a row, addresses
+with credentials, and all values that a secret's name is set to, whatever their length and characters,
+also several in one word. Each is described by its length,
 changes of character class, share of classes, how much of it a dictionary of the corpus' own words
 covers, its path, and the words around it. A forest that has learnt from labelled findings scores
 candidates; those below the threshold are false and go. Everything is DataFrame functions and the
@@ -29,27 +31,66 @@ _CANDIDATE = "[0-9]|[A-Z]{16}"
 KEYWORDS = r"(?i)pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private"
 EXAMPLES = r"(?i)example|sample|dummy|fake|placeholder|changeme|your[_-]|xxxx|test"
 
+#: Names that hold nothing but secrets; values that stand for one.
+SURE = r"(?i)(pass(word|wd|phrase)|(^|[^\p{L}])pass|pwd|secret|token|(api|access|private|auth|secret)[_-]?key|credentials?)[\"'`]?$"
+_HOLDERS = r"(?i)^(example|sample|dummy|fake|placeholder|change_?me|your[_-]\w*|test|null|none|nil|undefined|true|false|string|[*x.]+|<.*>|\$?\{.*\}?|\$[a-z_]+|%[a-z_]+%)$"
+#: Formats of issuers, and an address with a user's password.
+ISSUED = r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|xox[abeoprs]-[\w\-]{10,}|[srp]k_(live|test)_[0-9A-Za-z]{16,}|sk-[\w\-]{20,}|AIza[\w\-]{35}|SG\.[\w\-]{16,}\.[\w\-]{16,}|npm_[0-9A-Za-z]{36}|pypi-[\w\-]{16,}|hf_[0-9A-Za-z]{30,}|ya29\.[\w\-]{20,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]*)$"
+_WITH_USER = r"\p{L}[\p{L}\p{N}+.\-]*://[^/\s:@]*:[^/\s@]+@[^\s\"'`,;]+"
+_NAME = r"[\p{L}_][\p{L}\p{N}_.\-]*"
+#: A name, what sets it, and (looked at only, so that the next name may be in it) its value.
+_PART = rf"({_NAME})[\"'`]?\]?(?:=>|:=|==?|:(?!//))(?=(\"[^\"]*\"|'[^']*'|[^\s\"'`,;&{{}}]+))"
+_SETS = "[=:]>?[\"'`]?$"
+_FLAG = rf"^--?{_NAME}$"
+
 FEATURES = ["length", "changes", "digits", "uppers", "lowers", "signs", "distinct", "hex", "only_digits", "dotted", "has_at", "assigned", "quoted", "keyword_own", "keyword_before", "keyword_after", "example_near", "path_example", "path_depth", "covered"]
 
 
+def announced(before2: Column, before: Column) -> Column:
+    """Whether the words before name a secret that is set to what follows: ``pwd: x``, ``pwd = x``, ``--pwd x``, ``Bearer x``."""
+    sign = before.isin("=", ":", ":=", "=>", "==") & before2.rlike(KEYWORDS)
+    return sign | (before.rlike(KEYWORDS) & (before.rlike(_SETS) | before.rlike(_FLAG))) | before.rlike("(?i)^[\"'`]?bearer$")
+
+
 def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
-    """(id, path, place, word, before2, before, after, name, value): each candidate word of each text.
+    """(id, path, place, word, before2, before, after, name, value): each candidate of each text.
 
-    ``place`` counts words (split at the six ASCII spaces) from 0. ``value`` is what stands after a first
-    ``=`` or ``:`` that follows a name, without quotes and punctuation at its ends, ``name`` what stands
-    before it. Null texts have none.
+    ``place`` counts words (split at the six ASCII spaces) from 0; a word may have several candidates.
+    ``value`` is what stands after a ``=`` or ``:`` that follows a name, without quotes and punctuation at
+    its ends (a secret's keeps all but quotes, brackets and what ends a clause), ``name`` what stands before
+    it. Null texts have none.
     """
     body = docs[text].cast("string")
     words = F.split(F.regexp_replace(body, f"^{_SPACES}|{_SPACES}$", ""), _SPACES)
-    rows = docs.select(docs[id_col].alias("id"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path"), words.alias("w")).where(body.rlike(_CANDIDATE))
-    at = F.filter(F.transform("w", lambda x, i: F.when((F.length(x) >= 8) & x.rlike(_CANDIDATE), i)), lambda i: i.isNotNull())
+    rows = docs.select(docs[id_col].alias("id"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path"), words.alias("w")).where(body.rlike(_CANDIDATE) | body.rlike(KEYWORDS) | body.rlike(_WITH_USER))
+    shaped = lambda x: (F.length(x) >= 8) & x.rlike(_CANDIDATE)
+    beside = lambda k: F.coalesce(F.get("w", k), F.lit(""))
+    wanted = lambda x, i: shaped(x) | (x.rlike("[=:]") & (x.rlike(KEYWORDS) | x.rlike(_WITH_USER))) | announced(beside(i - 2), beside(i - 1))
+    at = F.filter(F.transform("w", lambda x, i: F.when(wanted(x, i), i)), lambda i: i.isNotNull())
     each = rows.select("id", "path", "w", F.explode(at).alias("place"))
-    near = lambda k: F.coalesce(F.get("w", F.col("place") + k), F.lit(""))
+    near = lambda k: beside(F.col("place") + k)
     each = each.select("id", "path", "place", near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
-    bare = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    name = F.regexp_extract(bare, r"^([\p{L}_][\p{L}\p{N}_.\-]*)\s*[=:]", 1)
-    value = F.regexp_replace(F.when(name != "", F.regexp_replace(bare, r"^[\p{L}_][\p{L}\p{N}_.\-]*\s*[=:]", "")).otherwise(bare), r"^[^\p{L}\p{N}]+", "")
-    return each.withColumn("name", name).withColumn("value", value).where("length(value) >= 8")
+    trimmed = lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    secret = lambda x: F.regexp_replace(x, r"^[\"'`(\[{<]+|[\"'`)\]}>,;.:]+$", "")
+    of = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+    word = F.col("word")
+    bare = trimmed(word)
+    name = F.regexp_extract(bare, rf"^({_NAME})\s*(?:=|:(?!//))", 1)
+    value = F.regexp_replace(F.when(name != "", F.regexp_replace(bare, rf"^{_NAME}\s*[=:]", "")).otherwise(bare), r"^[^\p{L}\p{N}]+", "")
+    whole = F.when(shaped(word) & (F.length(value) >= 8) & ~name.rlike(KEYWORDS), F.array(of(name, value)))
+    own = F.regexp_extract(word, rf"^[^\p{{L}}\p{{N}}_]*({_NAME})[\"'`]?\]?(?:=>|:=|==?|:(?!//))", 1)
+    rest = F.regexp_replace(word, rf"^[^\p{{L}}\p{{N}}_]*{_NAME}[\"'`]?\]?(?:=>|:=|==?|:)", "")
+    # All that follows the first name, for a secret may have the signs that end a part; not where more names follow.
+    set_to = F.when(own.rlike(KEYWORDS) & ~rest.rlike(rf"[,;&{{]\W*{_NAME}[\"'`]?[=:]"), F.array(of(own, secret(rest))))
+    follows = F.when(announced(F.col("before2"), F.col("before")), F.array(of(F.lit(""), secret(word))))
+    parts = F.arrays_zip(F.regexp_extract_all(word, F.lit(_PART), F.lit(1)).alias("name"), F.regexp_extract_all(word, F.lit(_PART), F.lit(2)).alias("value"))
+    cut = F.transform(parts, lambda p: of(p["name"], F.when(p["name"].rlike(KEYWORDS), secret(p["value"])).otherwise(trimmed(p["value"]))))
+    cut = F.filter(cut, lambda p: p["name"].rlike(KEYWORDS) | shaped(p["value"]))
+    users = F.transform(F.regexp_extract_all(word, F.lit(_WITH_USER), F.lit(0)), lambda u: of(F.lit(""), trimmed(u)))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    found = F.array_distinct(F.concat(*(F.coalesce(x, none) for x in (whole, set_to, follows, cut, users))))
+    each = each.withColumn("_c", F.explode(found))
+    return each.select(*each.columns[:-1], "_c.name", "_c.value").where("length(value) > 0")
 
 
 def dictionary(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> DataFrame:
@@ -70,7 +111,7 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
         classes = F.regexp_replace(classes, pattern, one)
     flag = lambda c: c.cast("double")
     path = F.coalesce("path", F.lit(""))
-    sign = F.col("before").isin("=", ":", ":=", "=>")
+    sign = F.col("before").isin("=", ":", ":=", "=>") | F.col("before").rlike(_SETS)
     made: dict[str, Column] = {
         "length": n, "changes": F.length(classes) - 1, "digits": share("[0-9]"), "uppers": share(r"\p{Lu}"), "lowers": share(r"\p{Ll}"), "signs": share(r"[^\p{L}\p{N}]"),
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n, "hex": flag(v.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "only_digits": flag(v.rlike("^[0-9]+$")), "dotted": flag(v.rlike(r"^[0-9]+(\.[0-9]+)+$")), "has_at": flag(v.contains("@")),
@@ -108,22 +149,31 @@ def scored(findings: DataFrame, model: RandomForestClassificationModel | None, n
 
 
 def by_format(value: Column, name: Column, before2: Column, before: Column) -> Column:
-    """Labels of findings by issuers' formats, where there are no people's: 1 for an access key id, or a hex
-    value that a secret's name is set to; 0 for addresses, numbers and plain words; null where unknown."""
-    named = name.rlike(KEYWORDS) | (before.isin("=", ":") & before2.rlike(KEYWORDS))
-    plain = value.rlike(r"@") | value.rlike(r"^[0-9.,\-+() /]+$") | value.rlike(r"^\p{L}+[0-9]{1,3}$")
-    return F.when(value.rlike("^AKIA[0-9A-Z]{16}$") | (named & value.rlike("^(?i)[0-9a-f]{16,}$")), 1).when(plain, 0)
+    """Labels of findings by form, where there are no people's: 1 for issuers' formats, addresses with
+    credentials, and values that a secret's name is set to (of letters in one case only from 12 on; shorter
+    ones may be prose); 0 for what stands for a secret, and for addresses, numbers and plain words that no
+    such name is set to; null where unknown."""
+    set_to = announced(before2, before)
+    named = name.rlike(KEYWORDS) | set_to
+    sure = name.rlike(SURE) | (set_to & F.when(before.isin("=", ":", ":=", "=>", "=="), before2).otherwise(F.regexp_replace(before, _SETS, "")).rlike(SURE))
+    holder = value.rlike(_HOLDERS)
+    word = value.rlike(r"^(\p{Lu}?\p{Ll}*|\p{Lu}+)$") & (F.length(value) < 12)
+    secret = value.rlike(ISSUED) | value.rlike(f"^{_WITH_USER}") | (named & value.rlike("^(?i)[0-9a-f]{16,}$"))
+    plain = value.rlike(r"^[^@:/=]+@[^@:/=]+$") | value.rlike(r"^[0-9.,\-+() /]+$") | value.rlike(r"^\p{L}+[0-9]{1,3}$")
+    return F.when(secret, 1).when(holder, 0).when(sure & ~word, 1).when(~named & plain, 0)
 
 
 def secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Findings that the forest takes for secrets: id, place, name, value, score, and the words around.
 
     ``labelled`` is a described table of findings with a label; without one, the corpus' own findings
-    are labelled by format. Null and empty texts have no findings; a null id stays null; repeated rows
+    are labelled by format, those labelled as secrets stay and the forest decides on the rest. Null and empty texts have no findings; a null id stays null; repeated rows
     give repeated findings. Other columns are not read.
     """
     found = saved(described(candidates(docs, text, id_col, path), dictionary(docs, text)), "findings")
+    known = F.lit(None).cast("int")
     if labelled is None:
-        labelled = found.withColumn("label", by_format(F.col("value"), F.col("name"), F.col("before2"), F.col("before")))
-    kept = scored(found, learn(labelled)).where(F.col("score") >= threshold)
+        known = by_format(F.col("value"), F.col("name"), F.col("before2"), F.col("before"))
+        labelled = found.withColumn("label", known)
+    kept = scored(found, learn(labelled)).where((F.col("score") >= threshold) | F.coalesce(known == 1, F.lit(False)))
     return kept.select(F.col("id").alias(id_col), "place", "name", "value", "score", "before2", "before", "after")
