@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, cell, member
-from .common import ALNUM_WORD, saved
+from .common import ALNUM_WORD, free_name, saved
 from .words import ALNUM, grams, pieces, words
 
 WINDOW, SHINGLE = 10, 3
@@ -152,7 +152,8 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", **kinds) -> DataFrame:
-    """Rows of ``docs`` whose id has no contaminated text; null ids are one id here."""
-    _, hits = matches(docs, items, window, id_col=id_col, **kinds)
-    gone = hits.select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """Rows of ``docs`` whose text has no match, whatever ids they have."""
+    row = free_name(docs, "_number")
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    _, hits = matches(numbered, items, window, id_col=row, **kinds)
+    return numbered.join(hits.select(row).distinct(), row, "left_anti").select(*docs.columns)

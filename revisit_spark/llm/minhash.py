@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import BITS, bitmap, member
-from .common import saved
+from .common import free_name, saved
 from .components import components
 from .words import FOLDED, grams, mixed, pieces, ragged, words
 
@@ -348,7 +348,17 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` but for those whose id is not its component's smallest."""
-    found = near_duplicates(docs, shingle, percent, text, id_col)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One row of each group of near-duplicate rows of ``docs``, and all rows that are in none.
+
+    Rows are grouped by their texts, whatever ids they have; the one with the smallest id stays, of equal
+    ids the first row. A null id comes after all others.
+    """
+    row = free_name(docs, "_number")
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, shingle, percent, text, row)
+    others = saved(found.where(~F.col("kept")).select(row, "component_id"), "others")
+    grouped = others.union(others.select("component_id", "component_id").distinct())
+    grouped = saved(grouped.join(numbered.select(row, F.col(id_col).alias("_id")), row), "grouped")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", row)).alias("first"))
+    gone = grouped.select(row, "component_id").join(first.select("component_id", F.col(f"first.{row}").alias("_stays")), "component_id").where(F.col(row) != F.col("_stays"))
+    return numbered.join(gone.select(row), row, "left_anti").select(*docs.columns)

@@ -1,7 +1,11 @@
 """Findings of reviews: what an operator once left out."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from revisit_spark.llm.decontaminate import decontaminated
+from revisit_spark.llm.minhash import without_near_duplicates
 from revisit_spark.llm.secrets import candidates, secrets
 
 JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcDEF_123-x"
@@ -26,3 +30,24 @@ def test_secrets_of_any_form(spark):
     assert {(i, v) for i, (_, v) in enumerate(SECRETS)} <= got
     assert not {i for i, _ in got if i >= 100}
     assert {r.name for r in candidates(d).where(F.col("value") == "x9Yz").collect()} == {"secret"}
+
+
+def prose(seed, n=60):
+    return " ".join("".join(random.Random(f"{seed}-{i}").choices("abcdefgh", k=5)) for i in range(n))
+
+
+def test_stages_remove_rows_not_ids(spark):
+    leak = prose("leak", 12)
+    rows = [(None, leak), (None, prose(1)), (7, "so " + leak), (7, prose(2)), (8, prose(3)), (None, prose(1))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in decontaminated(d, bench).collect())
+    assert kept == sorted([(0, prose(1)), (0, prose(1)), (7, prose(2)), (8, prose(3))])
+
+    copies = [(5, prose(1)), (4, prose(1) + " end"), (5, prose(2)), (6, prose(3)), (6, prose(3)), (None, prose(4)), (None, prose(4)), (None, prose(5)), (9, prose(5)), (None, prose(6)), (None, None), (None, None)]
+    d = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
+    got = without_near_duplicates(d)
+    assert got.columns == d.columns
+    expect = [(4, prose(1) + " end"), (5, prose(2)), (6, prose(3)), (None, prose(4)), (9, prose(5)), (None, prose(6)), (None, None), (None, None)]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(expect, key=key)
