@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -110,49 +111,110 @@ def _common(x: bytes, y: bytes) -> int:
     return int(unlike[0]) if len(unlike) else n
 
 
-def _compared(ordered: DataFrame, edges: bool) -> DataFrame:
-    """Neighbours of sorted entries, in each partition.
+#: Rows of a partition's borders: entries of the streaks that touch its beginning and its end, and for the
+#: partitions beside it its last entry, the one before the last streak, its first, the one after the first streak.
+HEAD, TAIL, LAST, BEFORE, FIRST, AFTER = range(6)
+
+
+def _alone(x: tuple, y: tuple) -> bool:
+    """Whether one and the same document has both entries (run, value, lo, hi, after, before) alone."""
+    return x[2] == x[3] == y[2] == y[3]
+
+
+def _matched(x: tuple, y: tuple) -> list[tuple]:
+    right, left = _common(x[4], y[4]), _common(x[5], y[5])
+    return [(x[0], left, right, y[2], y[3]), (y[0], left, right, x[2], x[3])]
+
+
+def _compared(ordered: DataFrame) -> DataFrame:
+    """Neighbours of sorted entries, in each partition, and its borders.
 
     A row (run, left, right, lo, hi) says: ``left`` words before the run's minimiser and ``right`` from it
-    on also stand in an entry of the documents lo to hi, no word more. With ``edges`` come the first and last
-    entries of the partition too, whole (left is null), for the comparison across borders.
+    on also stand in an entry of the documents lo to hi, no word more. Rows with a role are whole entries
+    (left is null), for the comparison across borders: four a partition, and the streaks at its ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         streak: list[tuple] = []  # entries with the last value that one and the same document has alone
-        earlier = first = last = None  # the entry before the streak, of the same value
-        columns = ("run", "value", "lo", "hi", "after", "before")
+        earlier = first = last = beyond = None  # earlier: the entry before the streak, of the same value
+        heading = True  # the streak is the partition's first
+        border = lambda e, role: (e[0], None, None, e[2], e[3], e[1], e[4], e[5], part, role)
         for batch in batches:
             out = []
             for entry in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                against: list[tuple] = []
                 if last is None:
-                    first = entry
-                if last is None or last[1] != entry[1]:
-                    streak, earlier = [entry], None
+                    first, streak = entry, [entry]
+                elif last[1] != entry[1]:
+                    streak, earlier, heading = [entry], None, False
+                elif not _alone(entry, last):
+                    if heading:
+                        beyond, heading = entry, False
+                    against, earlier, streak = streak, last, [entry]
                 else:
-                    alone = entry[2] == entry[3] == last[2] == last[3]
-                    if not alone:
-                        against, earlier, streak = streak, last, [entry]
-                    else:
-                        against = [earlier] if earlier is not None else []
-                        streak.append(entry)
-                    for x in against:
-                        right, left = _common(x[4], entry[4]), _common(x[5], entry[5])
-                        out += [(x[0], left, right, entry[2], entry[3]), (entry[0], left, right, x[2], x[3])]
+                    against = [earlier] if earlier is not None else []
+                    streak.append(entry)
+                for x in against:
+                    out += [(*row, None, None, None, None, None) for row in _matched(x, entry)]
+                if heading:
+                    out.append(border(entry, HEAD))
                 last = entry
-            yield batch_of([(*row, None, None, None) for row in out])
-        if edges and first is not None:
-            yield batch_of([(e[0], None, None, e[2], e[3], e[1], e[4], e[5]) for e in ((first, last) if first is not last else (first,))])
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        parts = list(zip(*rows, strict=True)) if rows else [()] * 8
-        return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds, strict=True)], names=names)
+            yield _batch_of(out, names, kinds)
+        if first is not None:
+            ends = ((last, LAST), (earlier, BEFORE), (first, FIRST), (beyond, AFTER))
+            yield _batch_of([*(border(e, TAIL) for e in streak), *(border(e, role) for e, role in ends if e is not None)], names, kinds)
 
     kind = ordered.schema["lo"].dataType.simpleString()
     arrow_id = to_arrow_type(ordered.schema["lo"].dataType)
-    names = ["run", "left", "right", "lo", "hi", "value", "after", "before"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), arrow_id, arrow_id, pa.int64(), pa.binary(), pa.binary()]
-    return ordered.select("run", "value", "lo", "hi", "after", "before").mapInArrow(run, f"run long, left long, right long, lo {kind}, hi {kind}, value long, after binary, before binary")
+    columns = ("run", "value", "lo", "hi", "after", "before")
+    names = ["run", "left", "right", "lo", "hi", "value", "after", "before", "part", "role"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), arrow_id, arrow_id, pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+    return ordered.select(*columns).mapInArrow(run, f"run long, left long, right long, lo {kind}, hi {kind}, value long, after binary, before binary, part int, role int")
+
+
+def _batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    parts = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds, strict=True)], names=names)
+
+
+def _facing(ends: dict[int, dict[int, tuple]]) -> dict[tuple[int, int], tuple]:
+    """(partition, HEAD or TAIL): the nearest entry beyond that border that its streak is compared with.
+
+    A streak may go on over any number of partitions.
+    """
+    found: dict[tuple[int, int], tuple] = {}
+    for role, order, own, near, far in ((HEAD, sorted(ends), FIRST, LAST, BEFORE), (TAIL, sorted(ends, reverse=True), LAST, FIRST, AFTER)):
+        for next_part, part in zip(order, order[1:], strict=False):
+            entry, other = ends[part][own], ends[next_part][near]
+            if entry[1] != other[1]:
+                continue
+            if not _alone(entry, other):
+                found[part, role] = other
+            elif far in ends[next_part]:
+                found[part, role] = ends[next_part][far]
+            elif ends[next_part][FIRST][1] == ends[next_part][LAST][1] and (next_part, role) in found:
+                found[part, role] = found[next_part, role]
+    return found
+
+
+def _across(borders: DataFrame, facing: dict[tuple[int, int], tuple]) -> DataFrame:
+    """(run, left, right, lo, hi) of the streaks at the borders with the entries that they face."""
+    sent = borders.sparkSession.sparkContext.broadcast(facing)
+    kind = borders.schema["lo"].dataType.simpleString()
+    kinds = [pa.int64(), pa.int64(), pa.int64(), *[to_arrow_type(borders.schema["lo"].dataType)] * 2]
+    columns = ("run", "value", "lo", "hi", "after", "before")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for *entry, part, role in zip(*(batch.column(c).to_pylist() for c in (*columns, "part", "role")), strict=True):
+                other = sent.value.get((part, role))
+                if other is not None and other[1] == entry[1]:
+                    out += _matched(tuple(entry), other)
+            yield _batch_of(out, ["run", "left", "right", "lo", "hi"], kinds)
+
+    return borders.select(*columns, "part", "role").mapInArrow(run, f"run long, left long, right long, lo {kind}, hi {kind}")
 
 
 def _beside(contexts: DataFrame) -> DataFrame:
@@ -161,14 +223,16 @@ def _beside(contexts: DataFrame) -> DataFrame:
     found = []
     for side in ("after", "before"):
         ordered = contexts.repartitionByRange(parts, "value", side, "run").sortWithinPartitions("value", side, "run")
-        within = saved(_compared(ordered, edges=True), "neighbours")
-        # Two entries of each partition at most: the borders.
-        borders = within.where("left is null").repartition(1).sortWithinPartitions("value", side, "run")
-        found += [within.where("left is not null"), _compared(borders, edges=False)]
+        within = saved(_compared(ordered), "neighbours")
+        ends: dict[int, dict[int, tuple]] = {}
+        # Four entries of each partition at most.
+        for r in within.where(F.col("role") >= LAST).collect():
+            ends.setdefault(r.part, {})[r.role] = (r.run, r.value, r.lo, r.hi, bytes(r.after), bytes(r.before))
+        found += [within.where("left is not null").select("run", "left", "right", "lo", "hi"), _across(within.where(F.col("role") < LAST), _facing(ends))]
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.select("run", "left", "right", "lo", "hi")
+    return out
 
 
 def _open_windows(contexts: DataFrame, window: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revisit_spark.llm.decontaminate import decontaminated
 from revisit_spark.llm.minhash import without_near_duplicates
 from revisit_spark.llm.secrets import candidates, secrets
+from revisit_spark.llm.suffixes import _beside, _common
 
 JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcDEF_123-x"
 SECRETS = [
@@ -51,3 +52,18 @@ def test_stages_remove_rows_not_ids(spark):
     expect = [(4, prose(1) + " end"), (5, prose(2)), (6, prose(3)), (None, prose(4)), (9, prose(5)), (None, prose(6)), (None, None), (None, None)]
     key = lambda r: (r[0] or 0, r[1] or "")
     assert sorted(map(tuple, got.collect()), key=key) == sorted(expect, key=key)
+
+
+def test_streaks_across_partitions(spark):
+    """One document has nearly all entries of a gram, so that its streaks go over many partitions."""
+    made = random.Random(3)
+    word = lambda: made.randrange(3).to_bytes(4, "big")
+    many = [(k, 1, 1 if made.random() < 0.97 else made.randrange(2, 5), b"".join(word() for _ in range(12)), b"".join(word() for _ in range(12))) for k in range(400)]
+    d = spark.createDataFrame([(k, v, doc, doc, a, b) for k, v, doc, a, b in many], "run long, value long, lo long, hi long, after binary, before binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {r[0]: (r[1], r[2]) for r in _beside(d).groupBy("run").agg(F.max("left"), F.max("right")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {k: tuple(max(_common(x[i], y[i]) for y in many if y[2] != x[2]) for i in (4, 3)) for x in many for k in (x[0],)}
