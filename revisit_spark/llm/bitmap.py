@@ -1,4 +1,4 @@
-"""A set of hashes as a bitmap of fixed size: small enough to send to every task, whatever the data.
+"""A set of hashes as a bitmap of bounded size: small enough to send to every task, whatever the data.
 
 A hash that is in the set always tests true; others do so with the bitmap's share of set bits.
 """
@@ -12,10 +12,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: 2**25 bits are 4 MB.
 BITS = 25
 
 
+#: Bitmaps that are sized by what they hold take 4 MB to 32 MB.
+FEWEST, MOST = 25, 28
+
+
+def bits_for(items: int) -> int:
+    """Bits of a bitmap for so many items: eight for each, as long as it stays small enough to send.
+
+    A fuller bitmap lets more through to the exact step behind it; results don't depend on it.
+    """
+    return min(MOST, max(FEWEST, (8 * max(items, 1) - 1).bit_length()))
+
+
 def cell(h: Column, bits: int = BITS) -> Column:
     return h.bitwiseAND(F.lit((1 << bits) - 1))
 
@@ -59,3 +73,18 @@ def possible(rows: DataFrame, packed, spots: str, there: bool = True) -> DataFra
                 yield batch.filter(pa.array(member(packed.value, batch.column(spots).to_numpy().view(np.uint64)) == there))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``rows`` but for those whose ``key`` is in the only column of ``gone`` (distinct, not null).
+
+    Only rows whose cell is in a bitmap of ``gone`` are shuffled for the anti-join; the others pass as they are.
+    """
+    k, s = free_name(rows, "_key"), free_name(rows, "_cell")
+    name = gone.columns[0]
+    bits = bits_for(gone.count())
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(gone.select(spot(name, bits=bits)), bits))
+    keyed = rows.withColumn(k, key)
+    keyed = keyed.withColumn(s, F.coalesce(spot(k, bits=bits), F.lit(0)))
+    near = possible(keyed, sent, s).join(gone.select(F.col(name).alias(k)), k, "left_anti").select(*rows.columns)
+    return possible(keyed, sent, s, False).select(*rows.columns).union(near)

@@ -39,7 +39,27 @@ def saved(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``saved`` that nothing reads any more, so that a long job's folder doesn't grow by each step.
+
+    Only for tables whose readers have been written themselves: those need no lineage behind them.
+    """
+    for df in tables:
+        path = df.__dict__.get("_written_to")
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text, the same wherever it is; null for null."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def id_remainder(doc_id: Column, of: int) -> Column:
