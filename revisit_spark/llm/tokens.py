@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,33 +25,69 @@ from pyspark.sql import functions as F
 from .words import pieces, ragged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-ROW, BLOCK, END = 2048, 2_000_000, 50256
+ROW, BLOCK = 2048, 2_000_000
 #: Fixed value: the vocabulary's published pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_made: dict[str, Encoder] = {}
+#: Fixed value: the characters that the pattern's \\s stands for.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on are encoded as one piece, and longer texts in parts of that size.
+LONG_RUN, PART = 256, 1 << 20
+_long_run = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+_cut = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+_made: dict[tuple, Encoder] = {}
 
 
 class Encoder:
-    """A vocabulary's ids of texts, in the smallest type that holds them."""
+    """A vocabulary's ids of texts, in the smallest type that holds them and ``end``."""
 
-    def __init__(self, ranks: bytes, pattern: str = PATTERN):
+    def __init__(self, ranks: bytes, pattern: str = PATTERN, end: int | None = None):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.encoding = tiktoken.Encoding("packed", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.dtype = np.dtype("<u2" if max(table.values()) < 0xFFFF else "<u4")
+        self.end = max(table.values()) + 1 if end is None else end
+        self.dtype = np.dtype("<u2" if max(*table.values(), self.end) <= 0xFFFF else "<u4")
+        self.known = pattern == PATTERN
 
     @staticmethod
-    def of(ranks: bytes, pattern: str = PATTERN) -> Encoder:
+    def of(ranks: bytes, pattern: str = PATTERN, end: int | None = None) -> Encoder:
         """The one of this process."""
-        key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
+        key = hashlib.sha256(ranks + pattern.encode()).hexdigest(), end
         if key not in _made:
             _made.clear()
-            _made[key] = Encoder(ranks, pattern)
+            _made[key] = Encoder(ranks, pattern, end)
         return _made[key]
 
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text, the same as of encoding it at once.
+
+        Under the fixed pattern a run of white space begins a token, and but for its last character (all of
+        it at the text's end) is a token's whole input; so long runs are encoded alone, as the pattern's
+        look-ahead would need a stack as deep as the run, and long texts are cut where such runs begin.
+        """
+        if not self.known or len(text) < LONG_RUN:
+            return self._plain(text)
+        out, at = [], 0
+        for run in _long_run.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self._parts(text, at, run.start())
+            out.append(np.array(self.encoding._encode_single_piece(text[run.start() : end]), np.uint32))
+            at = end
+        out += self._parts(text, at, len(text))
+        return np.concatenate(out).astype(self.dtype)
+
+    def _parts(self, text: str, at: int, until: int) -> Iterator[np.ndarray]:
+        while at < until:
+            found = _cut.search(text, at + PART, until) if until - at > PART else None
+            to = found.start() if found else until
+            yield self._plain(text[at:to])
+            at = to
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.uint32).astype(self.dtype)
+
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [np.array(self.encoding.encode_ordinary(t or ""), self.dtype) for t in texts]
+        return [self.ids(t or "") for t in texts]
 
 
 class RoomTree:
@@ -139,17 +176,18 @@ def _pack(ids: list[np.ndarray], docs: pa.Array, row: int, dtype: np.dtype, pad:
     )
 
 
-def packed_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, block: int = BLOCK, end: int | None = END, pattern: str = PATTERN, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def packed_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, block: int = BLOCK, end: int | None = None, mark_ends: bool = True, pattern: str = PATTERN, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows of ``row`` token ids. Columns:
 
     input_ids (binary): ``row`` little-endian unsigned ids, of 2 bytes if the vocabulary allows, else 4;
-    the rest after n_tokens is padding (``end``, or 0 without one). cu_seqlens: 0 and the end of each
+    the rest after n_tokens is padding (``end``). cu_seqlens: 0 and the end of each
     segment. position_resets: where positions start at 0 again, each segment's first place. doc_ids:
     the document of each segment. doc_starts: the segment's first token within its document, so
-    that a document cut over rows can be joined again. ``end`` follows each document's last token.
+    that a document cut over rows can be joined again. ``end`` (by default the id after the vocabulary's largest) follows each document's
+    last token, unless ``mark_ends`` is false.
 
-    Null and empty texts have no tokens and are in no row. A null id is kept as null; repeated rows are
-    packed once each. Texts are taken whole. ``vocabulary`` is a file on the driver, of fixed size, that
+    Null and empty texts have no tokens and are in no row, an empty table has no rows. A null id is kept as
+    null; repeated rows are packed once each. Texts are taken whole, whatever their length and characters. ``vocabulary`` is a file on the driver, of fixed size, that
     is sent to the tasks. Other columns are not read.
     """
     if row < 1 or block < 1:
@@ -158,9 +196,9 @@ def packed_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW,
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(ranks.value, pattern)
+        encoder = Encoder.of(ranks.value, pattern, end)
         ids, owners, held = [], [], 0
-        tail = np.array([] if end is None else [end], encoder.dtype)
+        tail = np.array([encoder.end] * mark_ends, encoder.dtype)
         for batch in pieces(batches, "_text", 1 << 20):
             got = encoder.batch(batch.column("_text").to_pylist())
             some = np.array([len(x) > 0 for x in got])
@@ -168,10 +206,10 @@ def packed_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW,
             owners.append(batch.column("_id").filter(pa.array(some, pa.bool_())))
             held += sum(map(len, got))
             if held >= block:
-                yield _pack(ids, pa.concat_arrays(owners), row, encoder.dtype, end or 0)
+                yield _pack(ids, pa.concat_arrays(owners), row, encoder.dtype, encoder.end)
                 ids, owners, held = [], [], 0
         if ids:
-            yield _pack(ids, pa.concat_arrays(owners), row, encoder.dtype, end or 0)
+            yield _pack(ids, pa.concat_arrays(owners), row, encoder.dtype, encoder.end)
 
     rows = docs.select(docs[id_col].alias("_id"), docs[text].cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
