@@ -1,9 +1,10 @@
 """Operator 2: mixing sources to target weights by systematic sampling.
 
 Every document of a source expects the same number of copies: its source's target over its source's
-size. The expected copies are summed along the source, in order of size; one offset per source is
-added; a document is emitted once for each integer that its part of the sum crosses. As neighbours
-in that order have nearly the same size, the words taken come close to the target.
+size. The expected copies are summed along the source, largest document first; one offset per source
+is added; a document is emitted once for each integer that its part of the sum crosses. After any
+number of documents the copies so far differ from the expected ones by less than one, so in this order
+the words taken differ from the target by less than the source's largest document.
 
 The sum needs no task that holds a source: rows are range-partitioned by (source, size, id), a
 row's rank is its place within its partition plus what earlier partitions have of its source, and
@@ -69,34 +70,35 @@ def copies(docs: DataFrame, source: str = "source", size: str = "size", order: s
     ``size`` names a column of whole numbers, null counts as 0. Null is a source of its own. Ties in
     (source, size, ``order``) are broken by the row's other simple columns, rows equal in all of them
     are interchangeable. A null ``order`` sorts first. A source of size 0 has target 0 and gives no
-    copies; an empty table stays empty. Columns named source_size, target or copies are refused.
+    copies; an empty table stays empty. Where ``docs`` has a column of such a name already, the new
+    one gets underscores before it (see ``result_names``).
     """
-    clash = {"source_size", "target", "copies"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    if any(c.startswith("_") and c in ("_source", "_size", "_at", "_part") for c in docs.columns):
-        raise ValueError("docs has columns that begin with an underscore and clash with this operator's")
     key, n = docs[source].cast("string"), F.coalesce(docs[size].cast("long"), F.lit(0))
     simple = [c for c, kind in docs.dtypes if c not in (source, size, order) and not kind.startswith(("map", "array", "struct", "variant"))]
-    sort = ["_source", "_size", order, *simple]
+    # All of a row travels as one column, so that none of its names can clash with those made here.
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key.alias("source"), n.alias("size"), docs[order].alias("order"))
+    largest_first = ["source", F.desc("size"), "order"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.withColumns({"_source": key, "_size": n}).repartitionByRange(parts, "_source", "_size", order).sortWithinPartitions(*sort)
-    rows = saved(rows.withColumn("_at", F.monotonically_increasing_id()), "mix")
-    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.withColumn("_part", part).withColumn("_at", at)
-    counts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_rows"), F.sum("_size").alias("_words"), F.min("_at").alias("_low"))
-    counts = saved(counts, "mix-counts")
-    sizes = counts.groupBy("_source").agg(F.sum("_words").alias("source_size"))
-    earlier = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_source", "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_low")).alias("_shift"))
-    plan = before.join(targets(sizes, weights, percent, most).withColumnRenamed("_source", "_named"), F.col("_source").eqNullSafe(F.col("_named"))).drop("_named")
-    plan = plan.withColumnRenamed("_source", "_named").withColumnRenamed("_part", "_of")
-    joined = rows.join(plan, rows["_part"].eqNullSafe(plan["_of"]) & rows["_source"].eqNullSafe(plan["_named"]))
+    rows = packed.repartitionByRange(parts, *largest_first).sortWithinPartitions(*largest_first, *(F.col("row").getField(c) for c in simple)).drop("order")
+    rows = saved(rows.withColumn("at", F.monotonically_increasing_id()), "mix")
+    rows = rows.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = saved(rows.groupBy("source", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("words"), F.min("at").alias("low")), "mix-counts")
+    sizes = counts.groupBy(F.col("source").alias("_source")).agg(F.sum("words").alias("source_size"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("source").alias("_from"), F.col("part").alias("_part"), (F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("low")).alias("shift"))
+    plan = before.join(targets(sizes, weights, percent, most), F.col("_from").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = rows.join(plan, rows["part"].eqNullSafe(plan["_part"]) & rows["source"].eqNullSafe(plan["_from"]))
     step = F.when(F.col("source_size") > 0, F.floor(F.col("target") * UNIT / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    k = F.col("_at") + F.col("_shift")
-    offset = source_offset(F.col("_source"), seed)
+    k = F.col("at") + F.col("shift")
+    offset = source_offset(F.col("source"), seed)
     crossed = F.shiftright((k + 1) * step + offset, 26) - F.shiftright(k * step + offset, 26)
-    return joined.select(*[rows[c] for c in docs.columns], "source_size", "target", crossed.cast("long").alias("copies"))
+    made = dict(zip(result_names(docs), (F.col("source_size"), F.col("target"), crossed.cast("long")), strict=True))
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *(c.alias(name) for name, c in made.items()))
+
+
+def result_names(docs: DataFrame) -> tuple[str, str, str]:
+    """Names that ``copies`` gives to source_size, target and copies beside the columns of ``docs``."""
+    return tuple(free_name(docs, c) for c in ("source_size", "target", "copies"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", order: str = "doc_id", **kinds) -> DataFrame:
@@ -105,7 +107,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", order: str
     A document's size is its number of words (null text: 0). See ``copies`` for the rest.
     """
     size = free_name(docs, "_words_of_text")
-    sized = docs.withColumn(size, word_count(docs[text]))
-    taken = copies(sized, source, size, order, **kinds).where("copies > 0")
-    again = free_name(docs, "_again")
-    return taken.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    sized = docs.withColumn(size, word_count(docs[text].cast("string")))
+    times = F.col(result_names(sized)[2])
+    taken = copies(sized, source, size, order, **kinds).where(times > 0)
+    return taken.withColumn(free_name(taken, "_again"), F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*docs.columns)

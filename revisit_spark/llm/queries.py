@@ -102,7 +102,7 @@ WITH d AS (
 ), k AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, offset0,
     CASE WHEN t.source_size > 0 THEN floor(t.target * {UNIT} / t.source_size)::BIGINT ELSE 0 END AS step,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS k
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id) - 1 AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, size * ((((k + 1) * step + offset0) >> 26) - ((k * step + offset0) >> 26)) AS taken FROM k
