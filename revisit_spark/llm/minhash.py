@@ -37,14 +37,16 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import BITS, bitmap, member
-from .common import free_name, saved
+from .bitmap import bits_for, bitmap, member, possible, spot, without
+from .common import forget, free_name, saved, text_key
 from .components import components
 from .words import FOLDED, grams, mixed, pieces, ragged, words
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 LARGE, BLOCK = 64, 256
+#: Bytes of hashes that a block of members may have, about.
+BLOCK_BYTES = 4 << 20
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)).astype(np.uint64)
 
 
@@ -163,8 +165,8 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(id, digest, hashes): the sets of documents whose id is in ``ids`` or shares a bit with one that is."""
-    spot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << BITS) - 1))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(spot(F.col("id")))))
+    bits = bits_for(ids.count())
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(spot("id", bits=bits)), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -177,7 +179,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 )
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.where("_id is not null").withColumn("_spot", spot(F.col("_id"))).mapInArrow(run, f"id {kind}, digest binary, hashes binary")
+    return docs.where("_id is not null").withColumn("_spot", spot("_id", bits=bits)).mapInArrow(run, f"id {kind}, digest binary, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,15 +264,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(of("a") != of("b")).drop("a_label", "b_label")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept.
-
-    A link is 100 * intersection >= percent * union of two distinct shingle sets (``shingle`` words,
-    A-Z lower-cased; a text of fewer words is one shingle). Texts without words and null texts have
-    no links. An id is one node: rows that repeat an id share its component, whatever their texts. A
-    null id has no links, its component is null and it is kept. Sets are compared by 64-bit hashes of
-    their shingles. Other columns are not read.
-    """
+def _grouped(docs: DataFrame, shingle: int, percent: int, text: str, id_col: str, large_from: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables (id, n_shingles, ..) of all rows, and (id, component) of ids with a link."""
     rows = docs.select(docs[id_col].alias("_id"), docs[text].cast("string").alias("_text"))
     signed = saved(_signed(rows, shingle), "signed")
     classes = signed.where("id is not null and n_shingles > 0").groupBy("digest")
@@ -284,7 +279,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     stars = others.where(_near_size("n", "centre.n", percent)).groupBy(F.col("centre.id").alias("a"), F.col("centre.digest").alias("a_digest"), F.col("id").alias("b"), F.col("digest").alias("b_digest")).agg(F.count("*").alias("bands"))
     stars = saved(stars, "stars")
     best = stars.groupBy("b", "b_digest").agg(F.max(F.struct("bands", "a", "a_digest")).alias("best")).select("best.a", "best.a_digest", "b", "b_digest")
-    ends = members.select("id").distinct()
+    ends = saved(members.select("id").distinct(), "ends")
     sets = saved(_sets_of(rows, ends, shingle), "sets")
 
     # A first grouping without rounds: each class hangs under its confirmed centre, and that one's centre.
@@ -302,8 +297,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     links = same.union(under).union(_confirmed(rest, sets, percent))
     labels = saved(components(links), "labels")
 
-    split = _split_buckets(split.drop("part", "largest"), labels)
-    split = saved(split.join(split.groupBy("key").agg((F.count("*") > LARGE).alias("large")), "key"), "split")
+    wide, split = split, saved(_split_buckets(split.drop("part", "largest"), labels), "split")
+    forget(wide)
+    whole, split = split, saved(split.join(split.groupBy("key").agg((F.count("*") > large_from).alias("large")), "key"), "split")
+    forget(whole)
     sizes = ("id", "digest", "n", "part", "sketch")
     small = split.where(~F.col("large"))
     strange = small.where("part <> largest").select("key", *(F.col(c).alias("a" if c == "id" else f"a_{c}") for c in sizes))
@@ -316,8 +313,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     last = _confirmed(pairs.join(tried, edge, "left_anti"), sets, percent)
 
     large = split.where("large")
-    nodes = large.groupBy("id", "digest").agg(F.min("key").alias("home"), F.first("part").alias("part"), F.first("sketch").alias("sketch"))
-    homes = nodes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    nodes = large.groupBy("id", "digest").agg(F.min("key").alias("home"), F.first("part").alias("part"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    homes = nodes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
     nodes = saved(nodes.join(homes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("digest"), "blocks"))), "nodes")
     met = large.join(nodes.select("id", "digest", "block"), ["id", "digest"]).groupBy("key", "block").agg(F.max(F.col("part") != F.col("largest")).alias("strange"))
     met = saved(met, "met")
@@ -326,7 +323,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     full = nodes.join(classes.select("id", "digest", "keys"), ["id", "digest"]).join(sets, ["id", "digest"])
     contents = saved(full.groupBy("block").agg(F.collect_list(F.struct("id", "part", "keys", "sketch", "hashes")).alias("members")), "blocks")
     labels = _joined(labels, saved(last.union(_confirmed_blocks(meet, contents, percent)), "last"))
+    forget(classes, members, stars, ends, sets, under, split, nodes, met, meet, contents)
+    return signed, labels
+
 
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", large_from: int = LARGE) -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept.
+
+    A link is 100 * intersection >= percent * union of two distinct shingle sets (``shingle`` words,
+    A-Z lower-cased; a text of fewer words is one shingle). Texts without words and null texts have
+    no links. An id is one node: rows that repeat an id share its component, whatever their texts. A
+    null id has no links, its component is null and it is kept. Sets are compared by 64-bit hashes of
+    their shingles. Other columns are not read. ``large_from`` is the bucket size from which members are
+    compared in blocks; results are the same for any.
+    """
+    signed, labels = _grouped(docs, shingle, percent, text, id_col, large_from)
     out = signed.select("id", "n_shingles").join(labels, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -350,15 +361,32 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row of each group of near-duplicate rows of ``docs``, and all rows that are in none.
 
-    Rows are grouped by their texts, whatever ids they have; the one with the smallest id stays, of equal
-    ids the first row. A null id comes after all others.
+    Rows are grouped by their texts, whatever ids they have; the one with the smallest id stays (a null id
+    comes after all others), of rows equal in id and text any one. Rows without words are in no group.
+    Columns of any names pass through. 16 bytes stand for a text and for a row (its text and id), so the
+    input isn't written again, and copies of one text with many ids are no key of their own.
     """
-    row = free_name(docs, "_number")
-    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, shingle, percent, text, row)
-    others = saved(found.where(~F.col("kept")).select(row, "component_id"), "others")
-    grouped = others.union(others.select("component_id", "component_id").distinct())
-    grouped = saved(grouped.join(numbered.select(row, F.col(id_col).alias("_id")), row), "grouped")
-    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", row)).alias("first"))
-    gone = grouped.select(row, "component_id").join(first.select("component_id", F.col(f"first.{row}").alias("_stays")), "component_id").where(F.col(row) != F.col("_stays"))
-    return numbered.join(gone.select(row), row, "left_anti").select(*docs.columns)
+    body, id_ = docs[text].cast("string"), docs[id_col]
+    key = text_key(body)
+    row = text_key(F.concat(F.coalesce(F.hex(key), F.lit("")), F.when(id_.isNull(), F.lit("-")).otherwise(F.lit("=")), F.coalesce(id_.cast("string"), F.lit(""))))
+    signed, labels = _grouped(docs.select(key.alias("key"), body.alias("text")), shingle, percent, "text", "key", LARGE)
+    filled = signed.where("n_shingles > 0").select("id").distinct()
+    groups = saved(filled.join(labels, "id", "left").select(F.col("id").alias("key"), F.coalesce("component", "id").alias("component_id")), "groups")
+    forget(signed, labels)
+    each = docs.select(row.alias("row"), key.alias("key"), id_.alias("id")).groupBy("row").agg(F.first("key").alias("key"), F.first("id").alias("id"), F.count("*").alias("c"))
+    rows = saved(each.join(groups, "key").select("row", "id", "c", "component_id"), "grouped")
+    first = rows.groupBy("component_id").agg(F.sum("c").alias("all"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    first = saved(first.where("all > 1").select("component_id", F.col("first.row").alias("stays")), "first")
+    judged = rows.join(first, "component_id")
+    gone = saved(judged.where("row <> stays").select("row"), "gone")
+    again = saved(judged.where("row = stays and c > 1").select("row"), "again")
+    forget(groups, rows, first)
+    left = without(docs, row, gone)
+    if again.isEmpty():
+        return left
+    k, s = free_name(docs, "_row"), free_name(docs, "_cell")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(again.select(spot("row"))))
+    keyed = without(docs.withColumn(k, row), F.col(k), gone).withColumn(s, spot(k))
+    maybe, repeated = possible(keyed, sent, s), again.select(F.col("row").alias(k))
+    one = maybe.join(repeated, k, "left_semi").dropDuplicates([k])
+    return possible(keyed, sent, s, False).select(*docs.columns).union(maybe.join(repeated, k, "left_anti").select(*docs.columns)).union(one.select(*docs.columns))
