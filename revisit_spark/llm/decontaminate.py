@@ -7,7 +7,7 @@ on that one; where the shingle stands bounds where the window begins, it must li
 and the words there are compared exactly.
 
 Documents are read twice: to count the items' shingles, and to find the prefix shingles. Both
-passes let only hashes through that a bitmap of fixed size has, so that what is shuffled follows
+passes let only hashes through that a bitmap has, so that what is shuffled follows
 the number of matches, not of words. Windows are joined by Spark, hence items may be any number.
 """
 
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import bitmap, cell, member
-from .common import ALNUM_WORD, free_name, saved
+from .bitmap import bitmap, bits_for, cell, member, without
+from .common import ALNUM_WORD, saved, text_key
 from .words import ALNUM, grams, pieces, words
 
 WINDOW, SHINGLE = 10, 3
@@ -123,14 +123,15 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: in
     shingles = saved(_window_shingles(windows.select("content", "size").distinct(), shingle), "shingles")
     lengths = sorted(r["n"] for r in shingles.select("n").distinct().collect())
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[id_col].alias("_id"), docs[text].cast("string").alias("_text"))
-    every = spark.sparkContext.broadcast(bitmap(shingles.select(cell(F.col("h")))))
+    bits = bits_for(shingles.count())
+    every = spark.sparkContext.broadcast(bitmap(shingles.select(cell(F.col("h"), bits)), bits))
     seen = _counted(rows, lengths, every)
     rarest = F.min(F.struct("seen", "h", "shift", "n")).alias("r")
     # A shingle that no document has rules its window out: the join below is an inner one for counts of one up,
     # and a window with any unseen shingle is dropped.
     ordered = shingles.join(seen, "h", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     prefix = saved(ordered.groupBy("content", "size").agg(rarest).where("r.seen > 0").select("content", "size", "r.h", "r.shift"), "prefix")
-    prefixes = spark.sparkContext.broadcast(bitmap(prefix.select(cell(F.col("h")))))
+    prefixes = spark.sparkContext.broadcast(bitmap(prefix.select(cell(F.col("h"), bits)), bits))
     found = saved(_found(rows, lengths, prefixes, window), "found")
     start = F.col("at") - F.col("shift")
     there = found.where("h is not null").select("_row", "_id", "h", "at", "low", "around").join(prefix, "h").where(start >= F.col("low"))
@@ -151,9 +152,12 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
     return out.select(id_col, "n_words", n.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n > 0).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", **kinds) -> DataFrame:
-    """Rows of ``docs`` whose text has no match, whatever ids they have."""
-    row = free_name(docs, "_number")
-    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    _, hits = matches(numbered, items, window, id_col=row, **kinds)
-    return numbered.join(hits.select(row).distinct(), row, "left_anti").select(*docs.columns)
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", **kinds) -> DataFrame:
+    """Rows of ``docs`` whose text has no match; whatever their ids, equal texts stay or go together.
+
+    A null or empty text stays. Columns of any names pass through.
+    """
+    body = docs[text].cast("string")
+    keyed = docs.select(text_key(body).alias("key"), body.alias("text"))
+    _, hits = matches(keyed, items, window, text="text", id_col="key", **kinds)
+    return without(docs, text_key(body), saved(hits.select("key").distinct(), "gone"))
