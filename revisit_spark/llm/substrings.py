@@ -4,8 +4,10 @@ A window is 50 words in a row. Every window has a smallest 20-word gram (by hash
 the window stands; neighbouring windows mostly share it and form a run, some 16 windows long.
 
 1. Each partition counts its runs by smallest gram in a sketch of two rows; the sketches are merged
-   by an aggregation. A cell's count is never below the count of any window that falls into it.
-   Which cells have two or more is a bitmap of fixed size.
+   by an aggregation. Equal windows have equal grams, so a cell's count is never below the number of
+   runs that hold any one window of those that fall into it. (Windows of different documents are in
+   different runs; how often one repeats within a run is not counted, as no document removes its own
+   words.) Which cells have two or more is a bitmap, sized by the text there is, 32 MB at most.
 2. The second pass lets only runs through whose cells are repeated in both rows, and groups them
    exactly: first whole runs, by their words; then, where one gram has several different runs, their
    single windows. None is lost: a window that repeats has a gram that repeats.
@@ -26,41 +28,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import bitmap, member, possible, spot
-from .common import saved
+from .bitmap import bitmap, bits_for, member, possible, spot
+from .common import forget, saved
 from .words import PLAIN, anchors, mixed, pieces, range_hashes, runs, text_bytes, words
 
 WINDOW, GRAM = 50, 20
-#: Two rows of 2**24 cells: bitmap of 2**25 bits, 4 MB.
-ROW_BITS = 24
+#: Bytes of text for each run, about; two cells of the sketch are for a run.
+RUN_BYTES = 100
 
 
-def _cells(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, low = mixed(value), np.uint64((1 << ROW_BITS) - 1)
-    return h & low, (h >> np.uint64(ROW_BITS) & low) + np.uint64(1 << ROW_BITS)
+def _cells(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of hashes in the sketch's two rows of 2**bits cells."""
+    h, low = mixed(value), np.uint64((1 << bits) - 1)
+    return h & low, (h >> np.uint64(bits) & low) + np.uint64(1 << bits)
 
 
-def _sketch(rows: DataFrame, window: int, gram: int) -> DataFrame:
+def _sketch(rows: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
     """(cell, n) of the merged sketch; counts of a part beyond 2 are kept as 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text", 2 << 20):
             found = anchors(words(batch.column("_text"), PLAIN), window, gram)
-            for cells in _cells(found.value):
+            for cells in _cells(found.value, bits):
                 cell, n = np.unique(cells, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(np.minimum(n, 2))], names=["cell", "n"])
 
     return rows.select("_text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _repeated(rows: DataFrame, seen, window: int, gram: int) -> DataFrame:
+def _repeated(rows: DataFrame, seen, window: int, gram: int, bits: int) -> DataFrame:
     """(id, text_key, value, d1, d2, at, n): runs that the sketch takes for repeated; d1, d2 hash their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text", 2 << 20):
             w = words(batch.column("_text"), PLAIN)
             found = anchors(w, window, gram)
-            one, two = _cells(found.value)
+            one, two = _cells(found.value, bits)
             keep = np.flatnonzero(member(seen.value, one) & member(seen.value, two))
             begin, n = found.begin[keep], found.count[keep]
             end = begin + n + window - 1
@@ -144,9 +147,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     body = docs[text].cast("string")
     rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(body).alias("_key"), body.alias("_text"))
     named = rows.where("_id is not null")
-    sketch = _sketch(named, window, gram)
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap(sketch.where("n > 1").select("cell"), ROW_BITS + 1))
-    found = saved(_repeated(named, seen, window, gram), "runs")
+    size = named.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    bits = bits_for(size // RUN_BYTES) - 1
+    sketch = _sketch(named, window, gram, bits)
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(sketch.where("n > 1").select("cell"), bits + 1))
+    found = saved(_repeated(named, seen, window, gram, bits), "runs")
     place = F.struct("id", "text_key", "at", "n")
     whole = found.groupBy("value", "d1", "d2").agg(F.min(place).alias("first"), F.max("id").alias("last"), F.count("*").alias("c"))
     whole = saved(whole.withColumn("run", F.monotonically_increasing_id()), "whole")
@@ -154,7 +159,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     asked = whole.join(several, "value").groupBy(F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key"))
     asked = saved(asked.agg(F.collect_list(F.struct("run", "value", "last", "first.at", "first.n")).alias("asked")), "asked")
     single = saved(_windows(_texts_of(named, asked).select("_id", "_text", "asked"), window), "windows")
-    first = single.groupBy("value", "h").agg(F.min("id").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("value", "h", "lo")
+    # Written, so that the join isn't tied to the groups' partitions: Spark then splits a window that very many runs have.
+    first = saved(single.groupBy("value", "h").agg(F.min("id").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("value", "h", "lo"), "firsts")
     earlier = single.join(first, ["value", "h"]).where("lo < last").groupBy("run").agg(F.collect_list(F.struct("shift", "lo")).alias("windows"))
     # A run that stands once and has no window from elsewhere removes nothing.
     useful = whole.join(earlier, "run", "left").where("c > 1 or windows is not null").select("value", "d1", "d2", F.col("first.id").alias("lo"), "windows")
@@ -163,8 +169,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     everything = F.array(F.struct(F.col("at").alias("begin"), (F.col("at") + F.col("n") + window - 1).alias("end")))
     ranges = marked.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.when(F.col("lo") < F.col("id"), everything).otherwise(parts).alias("r")).where("size(r) > 0")
     ranges = saved(ranges.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("ranges")), "ranges")
-    touched = docs.sparkSession.sparkContext.broadcast(bitmap(ranges.select(spot("_id", "_key"))))
-    spotted = rows.withColumn("_spot", spot("_id", "_key"))
+    forget(found, whole, asked, single, first)
+    wide = bits_for(ranges.count())
+    touched = docs.sparkSession.sparkContext.broadcast(bitmap(ranges.select(spot("_id", "_key", bits=wide)), wide))
+    spotted = rows.withColumn("_spot", spot("_id", "_key", bits=wide))
     changed = possible(spotted, touched, "_spot").join(ranges, ["_id", "_key"], "left").select("_id", "_text", "ranges")
     same = spotted.select("_id", "_text", "_spot", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
     return _kept(changed, id_col).union(_kept(same, id_col, touched))
@@ -172,5 +180,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
 
 def _texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """``rows`` joined with ``keys`` by (_id, _key); a bitmap keeps most other rows out of the shuffle."""
-    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(keys.select(spot("_id", "_key"))))
-    return possible(rows.withColumn("_spot", spot("_id", "_key")), wanted, "_spot").join(keys, ["_id", "_key"])
+    bits = bits_for(keys.count())
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(keys.select(spot("_id", "_key", bits=bits)), bits))
+    return possible(rows.withColumn("_spot", spot("_id", "_key", bits=bits)), wanted, "_spot").join(keys, ["_id", "_key"])

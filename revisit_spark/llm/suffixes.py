@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bitmap import bitmap, possible, spot
+from .bitmap import bitmap, bits_for, possible, spot
 from .common import saved
 from .words import PLAIN, Words, anchors, grams, pieces, range_hashes, words
 
@@ -311,8 +311,9 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, t
     unlike = entries.groupBy("value").agg(F.count("*").alias("k")).where("k > 1").select("value")
     asked = entries.join(unlike, "value").groupBy(F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key"))
     asked = saved(asked.agg(F.collect_list(F.struct("run", "value", "last", "first.at", "first.n", "first.p")).alias("asked")), "asked")
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select(spot("_id", "_key"))))
-    texts = possible(rows.withColumn("_spot", spot("_id", "_key")), wanted, "_spot").dropDuplicates(["_id", "_key"])
+    bits = bits_for(asked.count())
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select(spot("_id", "_key", bits=bits)), bits))
+    texts = possible(rows.withColumn("_spot", spot("_id", "_key", bits=bits)), wanted, "_spot").dropDuplicates(["_id", "_key"])
     contexts = saved(_contexts(texts.join(asked, ["_id", "_key"]).select("_id", "_text", "asked"), window), "contexts")
     known = entries.join(_matches(contexts, window), "run", "left").where("first.id < last or matches is not null")
     marked = found.join(known.select("value", "d1", "d2", F.col("first.id").alias("lo"), "last", "matches"), ["value", "d1", "d2"])
