@@ -3,14 +3,18 @@
 The model has, for each language, the log frequency of frequent words and of frequent n-grams of 1
 to 4 characters (words' edges count as a character). A known word scores by its own frequencies;
 an unseen word by those of its known 4-grams, if it has none by its 3-grams, and so on. A text's
-languages are weighed by the sums over its words.
+languages are weighed by the sums over its words. Beside this rank there is a fit, which tells how well
+the likeliest language covers the text at all: the share of its words that this language has, where an
+unseen word counts by half the share of its 4-grams.
 
-The model is learnt by Spark from a bounded sample of labelled texts and has a bounded number of
-entries, so it is sent to every task; scoring is one pass over the texts without a shuffle.
+The model is learnt by Spark from a bounded sample of labelled texts. Each language has its own most
+frequent entries, so a small one isn't outvoted; there are no more than ENTRIES in all, so the model is
+sent to every task. Scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -21,26 +25,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import forget, free_name, saved
 from .words import mixed, pieces, powers, runs
 
 LONGEST = 4
-#: Bounds of the sample (documents of each language, about) and of the model (entries).
-SAMPLE, WORDS, GRAMS = 10_000, 60_000, 30_000
-#: Languages at most; those with the most documents.
-LANGUAGES = 1000
+#: Bounds of the sample (documents of each language, about) and of the model: words, and n-grams of each
+#: length, of a language; and all entries, which very many languages share equally.
+SAMPLE, WORDS, GRAMS, ENTRIES = 10_000, 60_000, 30_000, 4_000_000
+#: What an unseen word's 4-grams count next to a known word, in the fit.
+NEAR = 0.5
 _POINTS = 0x33480  # code points with letters
 
 
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """Which code points are letters, and each one's lower case."""
+    """Which code points are letters or the marks on them, and each one's lower case."""
     chars = [chr(i) for i in range(_POINTS)]
     low = np.arange(_POINTS, dtype=np.uint32)
     for i, c in enumerate(chars):
         if c != (x := c.lower()) and len(x) == 1:
             low[i] = ord(x)
-    return np.array([c.isalpha() for c in chars]), low
+    return np.array([c.isalpha() or unicodedata.category(c)[0] == "M" for c in chars]), low
 
 
 @dataclass
@@ -92,55 +97,83 @@ def gram_places(words: LetterWords, which: np.ndarray, n: int) -> tuple[np.ndarr
 
 
 @dataclass
-class Model:
-    """keys[n] are sorted hashes of n-grams, keys[0] of words; logs[n] their log frequencies by language."""
+class Table:
+    """Entries of words, or of n-grams of one length: sorted hashes, and for each the languages that have it.
 
-    languages: list[str]
-    keys: list[np.ndarray] = field(default_factory=list)
-    logs: list[np.ndarray] = field(default_factory=list)
+    Entry i is in the languages lang[start[i]:start[i + 1]], with a log frequency of ``gain`` over ``base``,
+    the log frequency of what a language doesn't have.
+    """
+
+    keys: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    base: np.ndarray
 
-    def look_up(self, n: int, h: np.ndarray) -> np.ndarray:
-        """Place of each hash among keys[n], -1 where it isn't there."""
-        keys = self.keys[n]
-        if not len(keys):
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it isn't there."""
+        if not len(self.keys):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, at, -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, at, -1)
+
+    def spread(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of lang and gain of these entries, and which of the entries each belongs to."""
+        many = self.start[place + 1] - self.start[place]
+        return runs(self.start[place], many), np.repeat(np.arange(len(place)), many)
+
+
+@dataclass
+class Model:
+    """Languages by name; tables[0] has words, tables[n] n-grams."""
+
+    languages: list[str]
+    tables: list[Table] = field(default_factory=list)
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) sums of log frequencies, and the number of words of each text."""
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, languages) sums of log frequencies and of covered words, and the number of words of each text."""
         w = letter_words(texts)
-        counts = np.diff(w.at)
-        of_word = np.zeros((len(w.begin), len(self.languages)), np.float32)
+        counts, many = np.diff(w.at), len(self.languages)
+        text = np.repeat(np.arange(len(texts)), counts)
+        total, covered = np.zeros(len(texts) * many), np.zeros(len(texts) * many)
+        plain = np.zeros((len(texts), many))
         sums = w.sums()
-        place = self.look_up(0, w.hashes(sums, w.begin, w.length))
-        seen = place >= 0
-        of_word[seen] = self.logs[0][place[seen]]
-        open_words = np.flatnonzero(~seen)
+        place = self.tables[0].find(w.hashes(sums, w.begin, w.length))
+        seen = np.flatnonzero(place >= 0)
+        rows, of = self.tables[0].spread(place[seen])
+        cell = text[seen][of] * many + self.tables[0].lang[rows]
+        total += np.bincount(cell, self.tables[0].gain[rows], len(total))
+        covered += np.bincount(cell, minlength=len(total))
+        plain += np.bincount(text[seen], minlength=len(texts))[:, None] * self.tables[0].base
+        open_words = np.flatnonzero(place < 0)
         for n in range(LONGEST, 0, -1):
             if not len(open_words):
                 break
-            begin, of = gram_places(w, open_words, n)
-            place = self.look_up(n, w.hashes(sums, begin, np.full(len(begin), n)))
-            known = place >= 0
-            times = np.bincount(of[known], minlength=len(open_words))
-            some = times > 0
-            for k in range(len(self.languages)):
-                total = np.bincount(of[known], self.logs[n][place[known], k], len(open_words))
-                of_word[open_words[some], k] = total[some] / times[some]
-            open_words = open_words[~some]
-        total = np.zeros((len(of_word) + 1, len(self.languages)))
-        np.cumsum(of_word, axis=0, out=total[1:])
-        return total[w.at[1:]] - total[w.at[:-1]], counts
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Each text's likeliest language and its share; ``und`` and 0 without a letter or a language."""
+            begin, of_word = gram_places(w, open_words, n)
+            place = self.tables[n].find(w.hashes(sums, begin, np.full(len(begin), n)))
+            known = np.flatnonzero(place >= 0)
+            times = np.bincount(of_word[known], minlength=len(open_words))
+            rows, of = self.tables[n].spread(place[known])
+            word = of_word[known][of]
+            cell = text[open_words[word]] * many + self.tables[n].lang[rows]
+            total += np.bincount(cell, self.tables[n].gain[rows] / times[word], len(total))
+            if n == LONGEST:
+                grams = np.bincount(of_word, minlength=len(open_words))
+                covered += np.bincount(cell, NEAR / grams[word], len(total))
+            plain += np.bincount(text[open_words[times > 0]], minlength=len(texts))[:, None] * self.tables[n].base
+            open_words = open_words[times == 0]
+        return total.reshape(plain.shape) + plain, covered.reshape(plain.shape), counts
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Each text's likeliest language, its share and its fit; ``und`` and 0 without a letter or a language."""
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        sums, counts = self.scores(texts)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        sums, covered, counts = self.scores(texts)
         best = sums.argmax(axis=1)
         share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.languages[k] if n else "und" for k, n in zip(best.tolist(), counts.tolist(), strict=True)], np.where(counts > 0, share, 0.0)
+        fit = covered[np.arange(len(best)), best] / np.maximum(counts, 1)
+        there = counts > 0
+        return [self.languages[k] if n else "und" for k, n in zip(best.tolist(), counts.tolist(), strict=True)], np.where(there, share, 0.0), np.where(there, fit, 0.0)
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -151,10 +184,10 @@ def _counts(sample: DataFrame) -> DataFrame:
             langs = batch.column("lang").to_pylist()
             w = letter_words(batch.column("_text").to_pylist())
             lang, sums = np.repeat(np.arange(len(langs)), np.diff(w.at)), w.sums()
-            names = sorted(set(langs))
-            number = np.array([names.index(x) for x in langs], np.int64)
+            names = {x: k for k, x in enumerate(sorted(set(langs)))}
+            number = np.array([names[x] for x in langs], np.int64)
             lang = number[lang] if len(lang) else lang
-            for k, name in enumerate(names):
+            for name, k in names.items():
                 mine = np.flatnonzero(lang == k)
                 for n in range(LONGEST + 1):
                     if n:
@@ -168,54 +201,107 @@ def _counts(sample: DataFrame) -> DataFrame:
     return sample.select("lang", "_text").mapInArrow(run, "n int, key long, lang string, c long").groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """A model of the labelled texts: about ``sample`` documents of each language, chosen by their ids'
-    hashes, of LANGUAGES languages at most, ``words`` words and ``grams`` n-grams of each length, the most frequent of all languages.
+def _least_counts(counts: DataFrame, words: int, grams: int, entries: int) -> tuple[dict, dict]:
+    """For each (n, language): the least count that the model keeps, so that not more entries than allowed
+    have it, and all counts' sum.
+
+    Found from how many entries have each count; entries of one count stay or go together.
+    """
+    by_count: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    for r in counts.groupBy("n", "lang", "c").agg(F.count("*").alias("m")).collect():
+        by_count.setdefault((r.n, r.lang), []).append((r.c, r.m))
+    languages = max(1, len({k for _, k in by_count}))
+    least, every = {}, {}
+    for (n, k), found in by_count.items():
+        room = min(grams if n else words, max(1, entries // (languages * (LONGEST + 1))))
+        least[n, k] = max(c for c, _ in found) + 1
+        every[n, k] = sum(c * m for c, m in found)
+        for c, m in sorted(found, reverse=True):
+            room -= m
+            if room < 0:
+                break
+            least[n, k] = c
+    return least, every
+
+
+def sampled(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+    """(lang, _text) of about ``sample`` labelled documents of each language, chosen by their ids' hashes.
 
-    Null languages and texts are left out. Without any the model has no language.
+    Null languages and texts are left out; null ids are one id, chosen or not.
     """
     rows = docs.select(docs[id_col].alias("_id"), docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("_text")).where("lang is not null and _text is not null")
-    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not many:
-        return Model([])
+        return rows.select("lang", "_text").where("false")
     share = F.create_map(*(F.lit(x) for lang_of, n in many.items() for x in (lang_of, min(1.0, sample / n))))[F.col("lang")]
     spot = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string"), F.lit(9)), 11) / float(1 << 53)
-    chosen = rows.where(spot < share)
-    counts = saved(_counts(chosen), "language")
-    totals = {(r["n"], r["lang"]): r["c"] for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect()}
-    model = Model(sorted({k for _, k in totals}))
-    place = {k: i for i, k in enumerate(model.languages)}
+    return rows.where(spot < share).select("lang", "_text")
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS, entries: int = ENTRIES) -> Model:
+    """A model of the labelled texts: of a sample (see ``sampled``), each language's ``words`` most frequent
+    words and ``grams`` most frequent n-grams of each length, less if all were more than ``entries``.
+
+    No language is left out. Without any labelled text the model has none. One row for each language and
+    each count that occurs comes to the driver, then the model's entries.
+    """
+    counts = saved(_counts(sampled(docs, text, lang, id_col, sample)), "language")
+    least, every = _least_counts(counts, words, grams, entries)
+    if not least:
+        return Model([])
+    names = sorted({k for _, k in least})
+    limits = counts.sparkSession.createDataFrame([(n, k, c) for (n, k), c in least.items()], "n int, lang string, least long")
+    got = counts.join(F.broadcast(limits), ["n", "lang"]).where("c >= least").select("n", "key", "lang", "c").toPandas()
+    forget(counts)
+    place = {k: i for i, k in enumerate(names)}
+    tables = []
     for n in range(LONGEST + 1):
-        mine = counts.where(F.col("n") == n)
-        top = mine.groupBy("key").agg(F.sum("c").alias("all")).orderBy(F.desc("all"), "key").limit(grams if n else words)
-        got = mine.join(top, "key").select("key", "lang", "c").toPandas()
-        keys, row = np.unique(got["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        table = np.zeros((len(keys), len(model.languages)))
-        table[row, [place[x] for x in got["lang"]]] = got["c"]
-        every = np.array([totals.get((n, k), 0) for k in model.languages], float)
-        model.keys.append(keys)
-        model.logs.append(np.log((table + 0.5) / (every + 0.5 * max(len(keys), 1))).astype(np.float32))
-    return model
-
-
-def identified(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
-    """``docs`` with the predicted language and its score (0 to 1) under ``names``, which must be free.
-
-    A text that is null or has no letter is ``und`` with score 0. Ties go to the first language by name.
+        mine = got[got["n"] == n]
+        h, of, c = mine["key"].to_numpy(np.int64).view(np.uint64), np.array([place[x] for x in mine["lang"]], np.int32), mine["c"].to_numpy(float)
+        order = np.lexsort((of, h))
+        h, of, c = h[order], of[order], c[order]
+        keys, start = np.unique(h, return_index=True)
+        whole = np.array([every.get((n, k), 0) for k in names], float)
+        tables.append(Table(keys, np.append(start, len(h)), of, np.log(2 * c + 1).astype(np.float32), np.log(0.5 / (whole + 0.5 * max(len(keys), 1)))))
+    return Model(names, tables)
+
+
+NAMES = ("lang_pred", "lang_score", "lang_fit")
+
+
+def identified(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """``docs`` with the predicted language, its score and its fit (both 0 to 1) under ``names``.
+
+    A name that ``docs`` has already gets underscores before it (see ``result_names``). A text that is
+    null or has no letter is ``und`` with score and fit 0. Ties go to the first language by name. Ids
+    aren't looked at: null and repeated ones get their texts' results.
     """
-    if set(names) & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has one of {names}")
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    made = result_names(docs, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text, 1 << 20):
-            pred, score = sent.value.predict(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
+            pred, score, fit = sent.value.predict(batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())], names=[*batch.schema.names, *made])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(made, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
     return docs.mapInArrow(run, schema)
 
 
-def has_language(pred: Column, score: Column, least: float = 0.5) -> Column:
-    """Whether a prediction names a language with at least that score."""
-    return (pred != "und") & (score >= least)
+def result_names(docs: DataFrame, names: tuple[str, ...] = NAMES) -> tuple[str, ...]:
+    """The names that ``identified`` gives its columns beside those of ``docs``."""
+    return tuple(free_name(docs, n) for n in names)
+
+
+def least_fits(model: Model, docs: DataFrame, share: float = 0.5, low: float = 0.01, **sample) -> dict[str, float]:
+    """For each language the fit that a text of it has for sure: ``share`` of what all but the ``low`` part of
+    the labelled sample reach. One row for each language comes to the driver."""
+    found = identified(sampled(docs, **sample), model, "_text").where(F.col("lang_pred") == F.col("lang"))
+    rows = found.groupBy("lang").agg(F.percentile_approx("lang_fit", low, 1000).alias("fit")).collect()
+    return {r.lang: share * r.fit for r in rows}
+
+
+def has_language(pred: Column, score: Column, fit: Column, fits: dict[str, float], least: float = 0.5) -> Column:
+    """Whether a prediction names a language, with at least that score, that also fits."""
+    known = F.create_map(*(F.lit(x) for kv in fits.items() for x in kv)) if fits else F.lit(None).cast("map<string,double>")
+    return (pred != "und") & (score >= least) & (fit >= F.coalesce(F.try_element_at(known, pred), F.lit(0.0)))
