@@ -1,12 +1,15 @@
 """Operator 8 [native]: secret scans, with a random forest that removes false findings.
 
-Candidates are words of eight characters or more with a digit or sixteen capitals in a row, addresses
-with credentials, and all values that a secret's name is set to, whatever their length and characters,
-also several in one word. Each is described by its length,
-changes of character class, share of classes, how much of it a dictionary of the corpus' own words
-covers, its path, and the words around it. A forest that has learnt from labelled findings scores
-candidates; those below the threshold are false and go. Everything is DataFrame functions and the
-forest of pyspark.ml, which runs in the JVM.
+Candidates are words of eight characters or more with a digit, sixteen capitals in a row or many changes
+of case, addresses with credentials, heads of private keys, and all values that a secret's name is set to,
+whatever their length and characters, also several in one word. Each is described by its length, changes
+of character class and share of classes, how much of it a dictionary of the corpus' own words covers, its
+path, and the words beside it (whether the dictionary has them, and which they are, hashed). A forest
+that has learnt from labelled findings scores candidates; those below the threshold are false and go.
+Everything is DataFrame functions and the forest of pyspark.ml, which runs in the JVM.
+
+Labels are people's, joined by document and value (``marked``), or else those that forms and names make
+sure of (``by_format``). The forest never sees names, signs of assignment or formats, which those go by.
 
 Words are counted over all texts (partial sums before the shuffle); the dictionary is the most
 frequent ones, a bounded table. Training takes a bounded sample of the labelled findings.
@@ -15,7 +18,7 @@ frequent ones, a bounded table. Training takes a bounded sample of the labelled
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,27 +26,33 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Bounds: words of the dictionary, labelled findings to learn from (about), trees and their depth.
-DICTIONARY, SAMPLE, TREES, DEPTH = 5000, 20_000, 20, 6
+DICTIONARY, SAMPLE, TREES, DEPTH = 20_000, 20_000, 20, 6
+#: Places that the words beside a candidate are hashed into.
+BESIDE = 64
 
 _SPACES = r"[ \t\n\x0B\f\r]+"
-_CANDIDATE = "[0-9]|[A-Z]{16}"
+_EDGES = rf"^{_SPACES}|(?<![ \t\n\x0B\f\r]){_SPACES}$"
+_CANDIDATE = r"[0-9]|[A-Z]{16}|(\p{Ll}{1,16}\p{Lu}{1,16}){4}"
 #: Words that announce a secret, words and paths that announce an example.
-KEYWORDS = r"(?i)pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private"
+KEYWORDS = r"(?i)pass(word|wd|phrase)?|pwd|(?<!\p{L})pw(?!\p{L})|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private"
 EXAMPLES = r"(?i)example|sample|dummy|fake|placeholder|changeme|your[_-]|xxxx|test"
 
 #: Names that hold nothing but secrets; values that stand for one.
-SURE = r"(?i)(pass(word|wd|phrase)|(^|[^\p{L}])pass|pwd|secret|token|(api|access|private|auth|secret)[_-]?key|credentials?)[\"'`]?$"
+SURE = r"(?i)(pass(word|wd|phrase)|(^|[^\p{L}])pass|(^|[^\p{L}])pw|pwd|secret|token|(api|access|private|auth|secret)[_-]?key|credentials?)[\"'`]?$"
 _HOLDERS = r"(?i)^(example|sample|dummy|fake|placeholder|change_?me|your[_-]\w*|test|null|none|nil|undefined|true|false|string|[*x.]+|<.*>|\$?\{.*\}?|\$[a-z_]+|%[a-z_]+%)$"
 #: Formats of issuers, and an address with a user's password.
 ISSUED = r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|xox[abeoprs]-[\w\-]{10,}|[srp]k_(live|test)_[0-9A-Za-z]{16,}|sk-[\w\-]{20,}|AIza[\w\-]{35}|SG\.[\w\-]{16,}\.[\w\-]{16,}|npm_[0-9A-Za-z]{36}|pypi-[\w\-]{16,}|hf_[0-9A-Za-z]{30,}|ya29\.[\w\-]{20,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]*)$"
-_WITH_USER = r"\p{L}[\p{L}\p{N}+.\-]*://[^/\s:@]*:[^/\s@]+@[^\s\"'`,;]+"
-_NAME = r"[\p{L}_][\p{L}\p{N}_.\-]*"
+_WITH_USER = r"\p{L}[\p{L}\p{N}+.\-]{0,30}://[^/\s:@]{0,500}:[^/\s@]{1,500}@[^\s\"'`,;]+"
+#: Bounded, as are the other repetitions that a match may begin with: very long words stay linear work.
+_NAME = r"[\p{L}_][\p{L}\p{N}_.\-]{0,100}"
 #: A name, what sets it, and (looked at only, so that the next name may be in it) its value.
 _PART = rf"({_NAME})[\"'`]?\]?(?:=>|:=|==?|:(?!//))(?=(\"[^\"]*\"|'[^']*'|[^\s\"'`,;&{{}}]+))"
 _SETS = "[=:]>?[\"'`]?$"
 _FLAG = rf"^--?{_NAME}$"
 
-FEATURES = ["length", "changes", "digits", "uppers", "lowers", "signs", "distinct", "hex", "only_digits", "dotted", "has_at", "assigned", "quoted", "keyword_own", "keyword_before", "keyword_after", "example_near", "path_example", "path_depth", "covered"]
+FEATURES = ["length", "changes", "digits", "uppers", "lowers", "signs", "distinct", "covered", "before_known", "after_known", "before_length", "after_length", "path_example", "path_depth"]
+_NEAR = ["before_word", "after_word"]
+_PEM = "^KEY-----"
 
 
 def announced(before2: Column, before: Column) -> Column:
@@ -56,22 +65,22 @@ def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
     """(id, path, place, word, before2, before, after, name, value): each candidate of each text.
 
     ``place`` counts words (split at the six ASCII spaces) from 0; a word may have several candidates.
-    ``value`` is what stands after a ``=`` or ``:`` that follows a name, without quotes and punctuation at
+    A private key's head gives the name ``pem``. ``value`` is what stands after a ``=`` or ``:`` that follows a name, without quotes and punctuation at
     its ends (a secret's keeps all but quotes, brackets and what ends a clause), ``name`` what stands before
     it. Null texts have none.
     """
     body = docs[text].cast("string")
-    words = F.split(F.regexp_replace(body, f"^{_SPACES}|{_SPACES}$", ""), _SPACES)
-    rows = docs.select(docs[id_col].alias("id"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path"), words.alias("w")).where(body.rlike(_CANDIDATE) | body.rlike(KEYWORDS) | body.rlike(_WITH_USER))
+    words = F.split(F.regexp_replace(body, _EDGES, ""), _SPACES)
+    rows = docs.select(docs[id_col].alias("id"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path"), words.alias("w")).where(body.rlike(_CANDIDATE) | body.rlike(KEYWORDS) | body.rlike(_WITH_USER) | body.contains("PRIVATE KEY-----"))
     shaped = lambda x: (F.length(x) >= 8) & x.rlike(_CANDIDATE)
     beside = lambda k: F.coalesce(F.get("w", k), F.lit(""))
-    wanted = lambda x, i: shaped(x) | (x.rlike("[=:]") & (x.rlike(KEYWORDS) | x.rlike(_WITH_USER))) | announced(beside(i - 2), beside(i - 1))
+    wanted = lambda x, i: shaped(x) | (x.rlike("[=:]") & (x.rlike(KEYWORDS) | x.rlike(_WITH_USER))) | announced(beside(i - 2), beside(i - 1)) | (x.rlike(_PEM) & (beside(i - 1) == "PRIVATE"))
     at = F.filter(F.transform("w", lambda x, i: F.when(wanted(x, i), i)), lambda i: i.isNotNull())
     each = rows.select("id", "path", "w", F.explode(at).alias("place"))
     near = lambda k: beside(F.col("place") + k)
     each = each.select("id", "path", "place", near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
-    trimmed = lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    secret = lambda x: F.regexp_replace(x, r"^[\"'`(\[{<]+|[\"'`)\]}>,;.:]+$", "")
+    trimmed = lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]+$", "")
+    secret = lambda x: F.regexp_replace(x, r"^[\"'`(\[{<]+|(?<![\"'`)\]}>,;.:])[\"'`)\]}>,;.:]+$", "")
     of = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
     word = F.col("word")
     bare = trimmed(word)
@@ -81,45 +90,74 @@ def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
     own = F.regexp_extract(word, rf"^[^\p{{L}}\p{{N}}_]*({_NAME})[\"'`]?\]?(?:=>|:=|==?|:(?!//))", 1)
     rest = F.regexp_replace(word, rf"^[^\p{{L}}\p{{N}}_]*{_NAME}[\"'`]?\]?(?:=>|:=|==?|:)", "")
     # All that follows the first name, for a secret may have the signs that end a part; not where more names follow.
-    set_to = F.when(own.rlike(KEYWORDS) & ~rest.rlike(rf"[,;&{{]\W*{_NAME}[\"'`]?[=:]"), F.array(of(own, secret(rest))))
+    set_to = F.when(own.rlike(KEYWORDS) & ~rest.rlike(rf"[,;&{{]\W{{0,20}}{_NAME}[\"'`]?[=:]"), F.array(of(own, secret(rest))))
     follows = F.when(announced(F.col("before2"), F.col("before")), F.array(of(F.lit(""), secret(word))))
     parts = F.arrays_zip(F.regexp_extract_all(word, F.lit(_PART), F.lit(1)).alias("name"), F.regexp_extract_all(word, F.lit(_PART), F.lit(2)).alias("value"))
     cut = F.transform(parts, lambda p: of(p["name"], F.when(p["name"].rlike(KEYWORDS), secret(p["value"])).otherwise(trimmed(p["value"]))))
     cut = F.filter(cut, lambda p: p["name"].rlike(KEYWORDS) | shaped(p["value"]))
     users = F.transform(F.regexp_extract_all(word, F.lit(_WITH_USER), F.lit(0)), lambda u: of(F.lit(""), trimmed(u)))
+    pem = F.when(word.rlike(_PEM) & (F.col("before") == "PRIVATE"), F.array(of(F.lit("pem"), F.lit("PRIVATE KEY-----"))))
     none = F.array().cast("array<struct<name:string,value:string>>")
-    found = F.array_distinct(F.concat(*(F.coalesce(x, none) for x in (whole, set_to, follows, cut, users))))
+    found = F.array_distinct(F.concat(*(F.coalesce(x, none) for x in (whole, set_to, follows, cut, users, pem))))
     each = each.withColumn("_c", F.explode(found))
     return each.select(*each.columns[:-1], "_c.name", "_c.value").where("length(value) > 0")
 
 
 def dictionary(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """(known): the most frequent words of 3 letters or more, lower-cased, of all texts."""
+    """(known): the most frequent words of 3 letters or more, lower-cased, of all texts; ``most`` of them or less.
+
+    Counts are cut into sixteenths of a doubling, and words of as many of these from the top as fit are
+    taken: so no task sorts all words, and words of like frequency stay or go together. At 20,000 words a
+    rarer one only lacks its share in the features of what the dictionary covers.
+    """
     each = docs.select(F.explode(F.regexp_extract_all(F.lower(docs[text].cast("string")), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("known"))
-    return each.groupBy("known").count().orderBy(F.desc("count"), "known").limit(most).select("known")
+    counts = saved(each.groupBy("known").agg(F.floor(F.log2(F.count("*")) * 16).cast("int").alias("level")), "words")
+    levels = sorted(((r.level, r.n) for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least = levels[0][0] + 1 if levels else 0
+    for level, n in levels:
+        most -= n
+        if most < 0:
+            break
+        least = level
+    return counts.where(F.col("level") >= least).select("known")
 
 
 def described(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidates with the columns FEATURES, all doubles."""
-    numbered = saved(found.withColumn("_n", F.monotonically_increasing_id()), "candidates")
-    parts = numbered.select("_n", F.explode(F.regexp_extract_all(F.lower("value"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("known"))
-    covered = parts.join(F.broadcast(known), "known").groupBy("_n").agg(F.sum(F.length("known")).alias("_letters"))
+    """Candidates with the columns FEATURES, all doubles, and the words beside them."""
+    bare = lambda c: F.regexp_extract(F.lower(c), r"\p{L}[\p{L}_\-]*", 0)
+    numbered = saved(found.withColumns({"_n": F.monotonically_increasing_id(), "before_word": bare("before"), "after_word": bare("after")}), "candidates")
+    letters = lambda c, what: F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{3,}"), F.lit(0)), lambda w: F.struct(F.lit(what).alias("what"), w.alias("known")))
+    parts = numbered.select("_n", F.explode(F.concat(letters("value", "v"), letters("before_word", "b"), letters("after_word", "a"))).alias("p")).select("_n", "p.what", "p.known")
+    of = lambda what: F.sum(F.when(F.col("what") == what, F.length("known")))
+    covered = parts.join(F.broadcast(known), "known").groupBy("_n").agg(of("v").alias("_v"), of("b").alias("_b"), of("a").alias("_a"))
     v, n = F.col("value"), F.length("value")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     classes = v
     for pattern, one in (("[0-9]+", "0"), (r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), ("[^0aA]+", ".")):
         classes = F.regexp_replace(classes, pattern, one)
-    flag = lambda c: c.cast("double")
     path = F.coalesce("path", F.lit(""))
-    sign = F.col("before").isin("=", ":", ":=", "=>") | F.col("before").rlike(_SETS)
     made: dict[str, Column] = {
         "length": n, "changes": F.length(classes) - 1, "digits": share("[0-9]"), "uppers": share(r"\p{Lu}"), "lowers": share(r"\p{Ll}"), "signs": share(r"[^\p{L}\p{N}]"),
-        "distinct": F.size(F.array_distinct(F.split(v, ""))) / n, "hex": flag(v.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "only_digits": flag(v.rlike("^[0-9]+$")), "dotted": flag(v.rlike(r"^[0-9]+(\.[0-9]+)+$")), "has_at": flag(v.contains("@")),
-        "assigned": flag((F.col("name") != "") | sign), "quoted": flag(F.col("word").rlike("^[\"'`]|[=:][\"'`]")), "keyword_own": flag(F.col("name").rlike(KEYWORDS)),
-        "keyword_before": flag(F.concat_ws(" ", "before2", "before").rlike(KEYWORDS)), "keyword_after": flag(F.col("after").rlike(KEYWORDS)), "example_near": flag(F.concat_ws(" ", "before2", "before", "word", "after").rlike(EXAMPLES)),
-        "path_example": flag(path.rlike(EXAMPLES)), "path_depth": F.regexp_count(path, F.lit("/")), "covered": F.coalesce("_letters", F.lit(0)) / n,
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / n, "covered": F.coalesce("_v", F.lit(0)) / n,
+        "before_known": (F.coalesce("_b", F.lit(0)) > 0), "after_known": (F.coalesce("_a", F.lit(0)) > 0), "before_length": F.length("before"), "after_length": F.length("after"),
+        "path_example": path.rlike(EXAMPLES), "path_depth": F.regexp_count(path, F.lit("/")),
     }
-    return numbered.join(covered, "_n", "left").select(*found.columns, *(made[c].cast("double").alias(c) for c in FEATURES))
+    return numbered.join(covered, "_n", "left").select(*found.columns, *_NEAR, *(made[c].cast("double").alias(c) for c in FEATURES))
+
+
+def marked(findings: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "label") -> DataFrame:
+    """Described findings with people's labels (id, value, label); null where there is none.
+
+    A finding with both labels counts as unknown.
+    """
+    told = labels.groupBy(labels[id_col].alias("id"), "value").agg(F.min(label).alias("label"), F.max(label).alias("_most"))
+    told = told.select("id", "value", F.when(F.col("label") == F.col("_most"), F.col("label")).cast("int").alias("label"))
+    return findings.join(told, ["id", "value"], "left")
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    hashed = FeatureHasher(inputCols=_NEAR, outputCol="_beside", numFeatures=BESIDE).transform(rows)
+    return VectorAssembler(inputCols=[*FEATURES, "_beside"], outputCol="features").transform(hashed)
 
 
 def learn(labelled: DataFrame, label: str = "label", sample: int = SAMPLE, seed: int = 8) -> RandomForestClassificationModel | None:
@@ -132,20 +170,29 @@ def learn(labelled: DataFrame, label: str = "label", sample: int = SAMPLE, seed:
     if len(counts) < 2:
         return None
     spot = F.shiftrightunsigned(F.xxhash64("id", "place", "value"), 11) / float(1 << 53)
-    few = rows.where(spot < min(1.0, sample / sum(counts.values()))).select(*FEATURES, F.col(label).cast("double").alias("label"))
-    few = saved(few.orderBy(*FEATURES, "label"), "labelled")  # an order of their own, so that reruns agree
+    few = rows.where(spot < min(1.0, sample / sum(counts.values()))).select(*FEATURES, *_NEAR, F.col(label).cast("double").alias("label"))
+    few = saved(few.orderBy(*FEATURES, *_NEAR, "label"), "labelled")  # an order of their own, so that reruns agree
     if few.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featuresCol="features", labelCol="label")
-    return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(few))
+    return forest.fit(_vectors(few))
 
 
 def scored(findings: DataFrame, model: RandomForestClassificationModel | None, name: str = "score") -> DataFrame:
     """Described findings with the forest's share of votes for a secret; 1 without a model, so that none is lost."""
     if model is None:
         return findings.withColumn(name, F.lit(1.0))
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(findings)
-    return model.transform(ready).withColumn(name, vector_to_array("probability")[1]).select(*findings.columns, name)
+    return model.transform(_vectors(findings)).withColumn(name, vector_to_array("probability")[1]).select(*findings.columns, name)
+
+
+def evaluated(labelled: DataFrame, label: str = "label", threshold: float = 0.5, of: int = 5) -> dict[str, float]:
+    """Precision and recall of a forest on every ``of``-th part of the labelled findings (by their ids'
+    hashes) that it hasn't learnt from, with the numbers of true and false secrets there."""
+    out = F.pmod(F.xxhash64("id"), F.lit(of)) == 0
+    rows = labelled.where(F.col(label).isin(0, 1))
+    found = scored(rows.where(out), learn(rows.where(~out), label)).select(F.col(label).alias("y"), (F.col("score") >= threshold).alias("p"))
+    r = found.agg(F.count_if(F.expr("p and y = 1")).alias("hit"), F.count_if("p").alias("said"), F.count_if(F.expr("y = 1")).alias("true"), F.count_if(F.expr("y = 0")).alias("false")).first()
+    return {"precision": r.hit / max(r.said, 1), "recall": r.hit / max(r.true, 1), "secrets": r.true, "others": r.false}
 
 
 def by_format(value: Column, name: Column, before2: Column, before: Column) -> Column:
@@ -158,22 +205,27 @@ def by_format(value: Column, name: Column, before2: Column, before: Column) -> C
     sure = name.rlike(SURE) | (set_to & F.when(before.isin("=", ":", ":=", "=>", "=="), before2).otherwise(F.regexp_replace(before, _SETS, "")).rlike(SURE))
     holder = value.rlike(_HOLDERS)
     word = value.rlike(r"^(\p{Lu}?\p{Ll}*|\p{Lu}+)$") & (F.length(value) < 12)
-    secret = value.rlike(ISSUED) | value.rlike(f"^{_WITH_USER}") | (named & value.rlike("^(?i)[0-9a-f]{16,}$"))
+    secret = value.rlike(ISSUED) | value.rlike(f"^{_WITH_USER}") | (name == "pem") | (named & value.rlike("^(?i)[0-9a-f]{16,}$"))
     plain = value.rlike(r"^[^@:/=]+@[^@:/=]+$") | value.rlike(r"^[0-9.,\-+() /]+$") | value.rlike(r"^\p{L}+[0-9]{1,3}$")
     return F.when(secret, 1).when(holder, 0).when(sure & ~word, 1).when(~named & plain, 0)
 
 
-def secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def findings(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
+    """All candidates, described, with ``label`` by their form: what ``secrets`` learns from if it has nothing better."""
+    found = saved(described(candidates(docs, text, id_col, path), dictionary(docs, text)), "findings")
+    return found.withColumn("label", by_format(F.col("value"), F.col("name"), F.col("before2"), F.col("before")))
+
+
+def secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Findings that the forest takes for secrets: id, place, name, value, score, and the words around.
 
-    ``labelled`` is a described table of findings with a label; without one, the corpus' own findings
-    are labelled by format, those labelled as secrets stay and the forest decides on the rest. Null and empty texts have no findings; a null id stays null; repeated rows
-    give repeated findings. Other columns are not read.
+    ``labels`` are people's findings (id, value, label of 0 or 1); without them the corpus' own findings
+    are labelled by form, those labelled as secrets stay and the forest decides on the rest. Null and
+    empty texts have no findings, an empty table gives none; a null id stays null; repeated rows give
+    repeated findings. Texts are scanned whole. Other columns are not read.
     """
-    found = saved(described(candidates(docs, text, id_col, path), dictionary(docs, text)), "findings")
-    known = F.lit(None).cast("int")
-    if labelled is None:
-        known = by_format(F.col("value"), F.col("name"), F.col("before2"), F.col("before"))
-        labelled = found.withColumn("label", known)
-    kept = scored(found, learn(labelled)).where((F.col("score") >= threshold) | F.coalesce(known == 1, F.lit(False)))
+    found = findings(docs, text, id_col, path)
+    if labels is not None:
+        found = marked(found.drop("label"), labels, id_col)
+    kept = scored(found, learn(found)).where((F.col("score") >= threshold) | F.coalesce(F.col("label") == 1, F.lit(False)))
     return kept.select(F.col("id").alias(id_col), "place", "name", "value", "score", "before2", "before", "after")
