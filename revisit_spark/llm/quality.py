@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
 from .words import mixed, pieces, powers, ragged, text_bytes
 
 PLACES = 1 << 18
@@ -136,10 +137,12 @@ def _trained(examples: DataFrame, epochs: int) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, epochs: int = 4) -> Weights:
     """Weights from about ``sample`` of the labelled rows, chosen by their ids' hashes.
 
-    Only rows of ``docs`` whose id has a label of 0 or 1 take part; null ids, labels and texts don't.
-    Without any, all weights are 0 and every score is 0.5.
+    Only rows of ``docs`` whose id has a label of exactly 0 or 1 take part; null ids, labels and texts don't,
+    nor ids with both labels. Rows that repeat an id are learnt from each. Without any label, all weights
+    are 0 and every score is 0.5.
     """
-    marked = labels.select(labels[id_col].alias("_key"), labels[label].cast("int").alias("label")).where("_key is not null and label in (0, 1)").distinct()
+    marked = labels.select(labels[id_col].alias("_key"), labels[label].cast("double").alias("label")).where("_key is not null and label in (0, 1)")
+    marked = marked.groupBy("_key").agg(F.min("label").cast("int").alias("label"), F.max("label").alias("_most")).where("label = _most").drop("_most")
     spot = F.shiftrightunsigned(F.xxhash64(F.col("_key").cast("string"), F.lit(6)), 11) / float(1 << 53)
     rows = docs.select(docs[id_col].alias("_id"), docs[text].cast("string").alias("_text")).where("_id is not null and _text is not null")
     every = marked.join(rows.select(F.col("_id").alias("_key")).distinct(), "_key", "left_semi").count()
@@ -160,9 +163,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 
 def scored(docs: DataFrame, model: Weights, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a score of 0 to 1 under ``name``, which must be free; null counts as the empty text."""
-    if name.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has a column {name}")
+    """``docs`` with a score of 0 to 1 under ``name``; null counts as the empty text.
+
+    If ``docs`` has that name already, the new one gets underscores before it. Ids aren't looked at.
+    """
+    name = free_name(docs, name)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
