@@ -1,22 +1,52 @@
-"""Cell normalization as columns. Each function returns struct(value, issues); issues carry code and severity."""
+"""Cell normalization as columns. Each function returns struct(value, issues); issues carry code, severity and message."""
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ISSUES = "array<struct<code:string,severity:string,field:string,raw_value:string>>"
+ISSUE = "struct<code:string,severity:string,message:string,field:string,raw_value:string>"
+ISSUES = f"array<{ISSUE}>"
 MARKER = "… [truncated]"
 MAX_BYTES = 32 * 1024
 #: Words for truth, falsehood and absent amounts.
 TRUE_WORDS = ("y", "yes", "true", "t", "1", "x", "warranty")
 FALSE_WORDS = ("n", "no", "false", "f", "0", "")
 NO_AMOUNT = ("", "-", "n/a", "na", "null")
+#: All characters that are white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Every issue code (fixed values) with what it tells people.
+MESSAGES = {
+    "MISSING_REQUIRED_FIELD": "A required value is missing.",
+    "INVALID_DATE": "This is no date or time in a known form.",
+    "AMBIGUOUS_DATE_FORMAT": "Day and month can't be told apart; state the date format.",
+    "DATE_OUT_OF_RANGE": "The date is before 1990 or more than a year ahead.",
+    "UNRESOLVABLE_CUSTOMER": "There is no id, phone or name to know the customer by.",
+    "INVALID_NUMBER": "This is no number in a known form, or it is too large.",
+    "NUMBER_ROUNDED": "The amount was rounded to two decimals.",
+    "NEGATIVE_AMOUNT": "The amount is below zero.",
+    "TOO_MANY_COLUMNS": "The row has more fields than there are columns.",
+    "TOO_FEW_COLUMNS": "The row has fewer fields than there are columns.",
+    "FIELD_TOO_LONG": "The text is too long and is cut when it is imported.",
+    "UNKNOWN_ENUM_VALUE": "The value is none of those known; the default is used.",
+    "DUPLICATE_ROW_IN_FILE": "An earlier row of the file is the same.",
+    "POSSIBLE_DUPLICATE": "A job with the same customer, date and text is there already.",
+    "ENCODING_UNCERTAIN": "The file's encoding is a guess.",
+    "ENCODING_REPLACEMENT": "Bytes that could not be read were replaced.",
+    "DELIMITER_UNCERTAIN": "The file's delimiter is a guess.",
+    "EQUIPMENT_NOT_RESOLVED": "Nothing tells the equipment; the job is linked to none.",
+    "ROW_SKIPPED_BY_FILTER": "A filter of the mapping skips this row.",
+}
+
+
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(x, F.lit(WHITE))
 
 
 def bound(x: Column, f) -> Column:
@@ -24,21 +54,51 @@ def bound(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+class Steps:
+    """A parser as a first column and functions that each make the next one of it.
+
+    ``column`` is all of it as one expression; ``parsed`` gives each step of many parsers a projection of its
+    own, which Spark plans and compiles much faster.
+    """
+
+    def __init__(self, first: Column, *later: Callable[[Column], Column]):
+        self.first, self.later = first, later
+
+    def column(self) -> Column:
+        out = self.first
+        for f in self.later:
+            out = bound(out, f)
+        return out
+
+
+def parsed(rows: DataFrame, fields: dict[str, Steps]) -> DataFrame:
+    """``rows`` with a column (struct of value and issues) for each of the fields, which must be free names."""
+    keep = rows.columns
+    out = rows.select(*keep, *(s.first.alias(t) for t, s in fields.items()))
+    for k in range(max((len(s.later) for s in fields.values()), default=0)):
+        out = out.select(*keep, *((s.later[k](F.col(t)) if k < len(s.later) else F.col(t)).alias(t) for t, s in fields.items()))
+    return out
+
+
 def no_issues() -> Column:
     return F.array().cast(ISSUES)
 
 
-def issue(code: str, severity: str, field: str | None = None, raw: Column | None = None) -> Column:
+def issue(code: str, severity: str, field: str | Column | None = None, raw: Column | None = None) -> Column:
+    """A struct of ISSUE."""
     raw = F.lit(None).cast("string") if raw is None else raw
-    return F.array(F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(field).cast("string").alias("field"), raw.alias("raw_value"))).cast(ISSUES)
+    field = field if isinstance(field, Column) else F.lit(field).cast("string")
+    return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(MESSAGES[code]).alias("message"), field.alias("field"), raw.alias("raw_value")).cast(ISSUE)
+
+
+def issues_of(*found: tuple[Column, Column]) -> Column:
+    """The issues whose condition holds, in order."""
+    return F.array_compact(F.array(*(F.when(when, what) for when, what in found))) if found else no_issues()
 
 
 def result(value: Column, *issues: tuple[Column, Column]) -> Column:
     """struct(value, issues): each issue with the condition under which it holds."""
-    found = no_issues()
-    for when, what in issues:
-        found = F.concat(found, F.when(F.coalesce(when, F.lit(False)), what).otherwise(no_issues()))
-    return F.struct(value.alias("value"), found.alias("issues"))
+    return F.struct(value.alias("value"), issues_of(*issues).alias("issues"))
 
 
 @F.pandas_udf(T.StringType())
@@ -62,13 +122,46 @@ def casefold(x: Column) -> Column:
     return F.when(_non_ascii(x), _folded(F.when(_non_ascii(x), x))).otherwise(F.lower(x))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_composed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for x in values:
+        yield x.map(lambda a: None if a is None else [None if s is None else unicodedata.normalize("NFC", s) for s in a])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_folded(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for x in values:
+        yield x.map(lambda a: None if a is None else [None if s is None else s.casefold() for s in a])
+
+
+def casefold_all(values: list[Column]) -> Column:
+    """An array of the values' case foldings; rows of ASCII alone don't go to the helper, others go once."""
+    every, odd = F.array(*values), _non_ascii(F.concat_ws("", *values))
+    return F.when(odd, _all_folded(F.when(odd, every))).otherwise(F.array(*(F.lower(v) for v in values)))
+
+
+def _bare(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"[\p{C}&&[^\n\t]]", "")
+
+
+def _collapsed(composed: Column) -> Column:
+    return F.nullif(stripped(F.regexp_replace(composed, r"(?U)[\s&&[^\n\t]]+", " ")), F.lit(""))
+
+
 def clean_text(raw: Column) -> Column:
     """Without control and format characters (newline and tab stay), composed, blanks collapsed; empty is null."""
-    bare = F.regexp_replace(raw, r"[\p{C}&&[^\n\t]]", "")
     # Not bound: Python helpers can't stand in a lambda, and this one is used twice only.
-    whole = F.when(_non_ascii(raw), _composed(F.when(_non_ascii(raw), bare))).otherwise(bare)
-    single = F.regexp_replace(whole, r"(?U)[\s&&[^\n\t]]+", " ")
-    return F.nullif(F.regexp_replace(single, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return _collapsed(F.when(_non_ascii(raw), _composed(F.when(_non_ascii(raw), _bare(raw)))).otherwise(_bare(raw)))
+
+
+def clean_texts(rows: DataFrame, raws: dict[str, Column]) -> DataFrame:
+    """``rows`` with the cleaned text of each of the raw columns under its (free) name; the helper is called once a row."""
+    if not raws:
+        return rows
+    keep = rows.columns
+    bare, odd = F.array(*map(_bare, raws.values())), _non_ascii(F.concat_ws("", *raws.values()))
+    rows = rows.select(*keep, F.when(odd, _all_composed(F.when(odd, bare))).otherwise(bare).alias("_composed"))
+    return rows.select(*keep, *(_collapsed(F.get("_composed", F.lit(i))).alias(t) for i, t in enumerate(raws)))
 
 
 def truncated(x: Column, most: int) -> Column:
@@ -82,34 +175,43 @@ def truncated(x: Column, most: int) -> Column:
     return F.concat(F.coalesce(*tries, head.cast("string")), F.lit(MARKER))
 
 
+def bounded_text(value: Column, raw: Column, most: int = MAX_BYTES, field: str | None = None) -> Column:
+    """struct(value, issues) of a cleaned text: cut where it is too long."""
+    long = F.octet_length(value) > most
+    return result(F.when(long, truncated(value, most)).otherwise(value), (long, issue("FIELD_TOO_LONG", "warning", field, raw)))
+
+
 def text(raw: Column, most: int = MAX_BYTES, field: str | None = None) -> Column:
-    def made(value: Column) -> Column:
-        long = F.octet_length(value) > most
-        return result(F.when(long, truncated(value, most)).otherwise(value), (long, issue("FIELD_TOO_LONG", "warning", field, raw)))
+    return bound(clean_text(raw), lambda value: bounded_text(value, raw, most, field))
+
 
-    return bound(clean_text(raw), made)
+def name_of(folded: Column) -> Column:
+    """A name to compare by from cleaned, folded text: without punctuation and legal suffixes; empty is null."""
+    plain = F.regexp_replace(folded, r"[^\p{L}\p{M}\p{N}\p{Pc}\s]", " ")
+    plain = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    return F.nullif(F.regexp_replace(plain, r"(?i)(\s+(?:llc|incorporated|inc|limited|ltd|corp(?:oration)?)\.?)+$", ""), F.lit(""))
 
 
 def name(raw: Column) -> Column:
-    """A name to compare by: folded, without punctuation and legal suffixes; empty is null."""
-    plain = F.regexp_replace(casefold(clean_text(raw)), r"[^\p{L}\p{M}\p{N}\p{Pc}\s]", " ")
-    plain = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
-    bare = F.regexp_replace(plain, r"(?i)(\s+(?:llc|incorporated|inc|limited|ltd|corp(?:oration)?)\.?)+$", "")
-    return F.nullif(bare, F.lit(""))
+    return name_of(casefold(clean_text(raw)))
 
 
-def boolean(raw: Column, more_true: tuple[str, ...] = (), field: str | None = None) -> Column:
+def boolean_steps(raw: Column, more_true: tuple[str, ...] = (), field: str | None = None) -> Steps:
     words = (*TRUE_WORDS, *(w.strip().lower() for w in more_true))
     known = lambda value: result(value.isin(*words), (~value.isin(*words, *FALSE_WORDS), issue("UNKNOWN_ENUM_VALUE", "warning", field, raw)))
-    return bound(F.lower(F.trim(F.coalesce(raw, F.lit("")))), known)
+    return Steps(F.lower(stripped(F.coalesce(raw, F.lit("")))), known)
 
 
-def money(raw: Column, decimal: str | None = None, thousands: str | None = None, field: str | None = None) -> Column:
+def boolean(raw: Column, more_true: tuple[str, ...] = (), field: str | None = None) -> Column:
+    return boolean_steps(raw, more_true, field).column()
+
+
+def money_steps(raw: Column, decimal: str | None = None, thousands: str | None = None, field: str | None = None) -> Steps:
     """An amount of two decimals. Separators are inferred where they aren't given: of both the last is
     the decimal one; of one kind it is decimal only if it stands once, before exactly two characters."""
-    absent = raw.isNull() | F.lower(F.trim(raw)).isin(*NO_AMOUNT)
+    absent = raw.isNull() | F.lower(stripped(raw)).isin(*NO_AMOUNT)
     kept = F.regexp_replace(F.regexp_replace(raw, r"[^\p{Nd},.'() +\-]", ""), "[ ']", "")
-    unwrapped = bound(kept, lambda k: F.struct((k.startswith("(") & k.endswith(")")).alias("wrapped"), F.regexp_replace(k, r"^\((.*)\)$", "$1").alias("body")))
+    unwrapped = lambda k: F.struct((k.startswith("(") & k.endswith(")")).alias("wrapped"), F.regexp_replace(k, r"^\((.*)\)$", "$1").alias("body"))
 
     def separated(parts: Column) -> Column:
         body = parts["body"]
@@ -128,7 +230,10 @@ def money(raw: Column, decimal: str | None = None, thousands: str | None = None,
         plain = F.replace(p["body"], F.coalesce(group, F.lit("\u0000")), F.lit(""))
         plain = F.replace(plain, F.coalesce(point, F.lit(".")), F.lit("."))
         signed = F.concat(F.when(p["wrapped"], "-").otherwise(""), plain)
-        return bound(signed, lambda x: F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), x).try_cast("decimal(38,10)"))
+        return signed
+
+    def read(x: Column) -> Column:
+        return F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), x).try_cast("decimal(38,10)")
 
     def judged(x: Column) -> Column:
         exact, rounded = x["exact"], x["rounded"]
@@ -140,8 +245,12 @@ def money(raw: Column, decimal: str | None = None, thousands: str | None = None,
             (fits & (rounded < 0), issue("NEGATIVE_AMOUNT", "warning", field, raw)),
         )
 
-    exact = bound(bound(unwrapped, separated), cleaned)
-    return bound(bound(exact, lambda e: F.struct(absent.alias("absent"), e.alias("exact"), F.round(e, 2).alias("rounded"))), judged)
+    known = lambda e: F.struct(absent.alias("absent"), e.alias("exact"), F.round(e, 2).alias("rounded"))
+    return Steps(kept, unwrapped, separated, cleaned, read, known, judged)
+
+
+def money(raw: Column, decimal: str | None = None, thousands: str | None = None, field: str | None = None) -> Column:
+    return money_steps(raw, decimal, thousands, field).column()
 
 
 _SLASHED = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}(\s|$)"
@@ -165,7 +274,7 @@ def _moment(value: Column, order: Column, explicit: str | None) -> Column:
     return out
 
 
-def date(raw: Column, today: str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Column:
+def date_steps(raw: Column, today: str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Steps:
     """A calendar day as written. ``today`` is a parameter so that runs repeat; it bounds the future by 366 days."""
     order = F.lit(order) if isinstance(order, str) else order
     unclear = lambda v: F.lit(False) if explicit else v.rlike(_SLASHED) & (order == "ambiguous")
@@ -181,10 +290,14 @@ def date(raw: Column, today: str, order: Column | str = "ambiguous", explicit: s
             (~inside, issue("DATE_OUT_OF_RANGE", "error", field, raw)),
         )
 
-    return bound(bound(F.trim(F.coalesce(raw, F.lit(""))), read), judged)
+    return Steps(stripped(F.coalesce(raw, F.lit(""))), read, judged)
 
 
-def moment(raw: Column, zone: Column | str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Column:
+def date(raw: Column, today: str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Column:
+    return date_steps(raw, today, order, explicit, field).column()
+
+
+def moment_steps(raw: Column, zone: Column | str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Steps:
     """A moment in UTC; without an offset it is read in the tenant's zone. Blank is null."""
     order = F.lit(order) if isinstance(order, str) else order
     zone = F.lit(zone) if isinstance(zone, str) else zone
@@ -198,14 +311,22 @@ def moment(raw: Column, zone: Column | str, order: Column | str = "ambiguous", e
         there = F.when(x["shift"].isNotNull(), F.timestamp_add("MINUTE", x["shift"], x["naive"])).otherwise(F.to_utc_timestamp(x["naive"], zone))
         return result(there, (~x["blank"] & x["unclear"], issue("AMBIGUOUS_DATE_FORMAT", "error", field, raw)), (~x["blank"] & ~x["unclear"] & x["naive"].isNull(), issue("INVALID_DATE", "error", field, raw)))
 
-    return bound(bound(F.trim(F.coalesce(raw, F.lit(""))), read), judged)
+    return Steps(stripped(F.coalesce(raw, F.lit(""))), read, judged)
 
 
-def integer(raw: Column, field: str | None = None) -> Column:
+def moment(raw: Column, zone: Column | str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Column:
+    return moment_steps(raw, zone, order, explicit, field).column()
+
+
+def integer_steps(raw: Column, field: str | None = None) -> Steps:
     """A whole number; 90.0 is one. Blank is null."""
     read = lambda v: F.struct((v == "").alias("blank"), F.when(v.rlike(r"^[+-]?\d{1,18}(\.0*)?$"), v).try_cast("decimal(38,10)").cast("long").alias("n"))
     judged = lambda x: result(x["n"], (~x["blank"] & x["n"].isNull(), issue("INVALID_NUMBER", "error", field, raw)))
-    return bound(bound(F.trim(F.coalesce(raw, F.lit(""))), read), judged)
+    return Steps(stripped(F.coalesce(raw, F.lit(""))), read, judged)
+
+
+def integer(raw: Column, field: str | None = None) -> Column:
+    return integer_steps(raw, field).column()
 
 
 def phone(raw: Column) -> Column:
@@ -221,12 +342,12 @@ def category_key(raw: Column) -> Column:
 
 def label(*parts: Column) -> Column:
     """The first part that isn't blank."""
-    return F.coalesce(*(F.when(F.trim(p) != "", p) for p in parts))
+    return F.coalesce(*(F.when(stripped(p) != "", p) for p in parts))
 
 
 def header(raw: Column) -> Column:
     """A header to compare by: folded, runs of other than letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(raw), r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(casefold(raw), r"[^a-z0-9]+", " "))
 
 
 def csv_safe(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import casefold, stripped
+
 KEYS = ("customer_id", "equipment_id", "location_id")
 VISITED = ("completed", "unknown")
 _CARRIED = ("customer_id", "location_id", "equipment_id", "technician_id")
@@ -68,21 +70,26 @@ def candidate_pairs(jobs: DataFrame, window: int = 30, cap: int = 25, date_from:
 
 def recurrence(jobs: DataFrame, window: int = 30) -> DataFrame:
     """(organization_id, id, visits): visits of a job's customer or equipment from its date on, itself
-    included, up to ``window`` days later. Three range windows: by customer, by equipment, less both."""
+    included, up to ``window`` days later: by customer, and by equipment, less those by both.
+
+    Visits are counted per key and day first, so a range window has a row for each day of a key at most,
+    and keys that are missing are in none.
+    """
     rows = visits(jobs).select("organization_id", "id", "customer_id", "equipment_id", F.unix_date("service_date").alias("day"))
 
-    def count(*keys: str) -> Column:
-        w = Window.partitionBy("organization_id", *keys).orderBy("day").rangeBetween(0, window)
-        known = F.lit(True)
-        for k in keys:
-            known = known & F.col(k).isNotNull()
-        return F.when(known, F.count("*").over(w)).otherwise(0)
+    def counted(sign: int, *keys: str) -> DataFrame:
+        known = rows.select("organization_id", "id", "day", *keys).dropna(subset=list(keys))
+        on = ["organization_id", *keys, "day"]
+        ahead = Window.partitionBy("organization_id", *keys).orderBy("day").rangeBetween(0, window)
+        days = known.groupBy(*on).agg(F.count("*").alias("_n")).select(*on, F.sum("_n").over(ahead).alias("_ahead"))
+        return known.join(days, on).select("organization_id", "id", (F.col("_ahead") * sign).alias("visits"))
 
-    spread = rows.withColumns({"c": count("customer_id"), "e": count("equipment_id"), "b": count("customer_id", "equipment_id")})
-    return spread.select("organization_id", "id", (F.col("c") + F.col("e") - F.col("b")).alias("visits"))
+    parts = counted(1, "customer_id").union(counted(1, "equipment_id")).union(counted(-1, "customer_id", "equipment_id"))
+    every = parts.union(rows.select("organization_id", "id", F.lit(0).cast("long")))
+    return every.groupBy("organization_id", "id").agg(F.sum("visits").alias("visits"))
 
 
 def part_codes(line_items: DataFrame) -> DataFrame:
     """(job_id, codes): distinct trimmed, lower-cased part codes of each job, sorted."""
-    code = F.lower(F.trim(F.col("code").cast("string")))
+    code = casefold(stripped(F.col("code").cast("string")))
     return line_items.where((F.col("kind") == "part") & (code != "")).groupBy("job_id").agg(F.array_sort(F.collect_set(code)).alias("codes"))

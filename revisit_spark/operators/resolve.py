@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalize as n
+
 
 def resolved(old: DataFrame | None, rows: DataFrame, keys: list[str], columns: list[str], order: str = "row_number") -> DataFrame:
     """One row per key. Of new rows the first value that isn't null counts; what the snapshot has stays.
@@ -65,11 +67,24 @@ def jobs_upserted(old: DataFrame | None, rows: DataFrame, keys: list[str], batch
     )
 
 
+def job_id(keys: list[str]) -> Column:
+    """A job's id: the same for the same key, whichever batch it comes with."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)), 256)
+
+
 def row_outcomes(rows: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFrame:
-    """Written rows with their job's final status: imported, updated, or warning for a possible duplicate."""
-    change = jobs.select(*keys, F.col("change").alias("_change"))
+    """Rows with job_id and final status: imported, updated, or warning for a possible duplicate.
+
+    Rows that weren't written (errors, skipped ones, those of no job) keep their status and have no job.
+    """
+    change = jobs.where("change <> 'kept'").select(*keys, F.col("change").alias("_change"))
+    written = F.col("_change").isNotNull() & F.col("status").isin("pending", "warning")
     status = F.when(F.col("_change") == "created", "imported").when(F.col("_change") == "updated", "updated").when(F.col("_change") == "possible_duplicate", "warning")
-    return rows.join(change, keys, "left").withColumn("status", F.coalesce(status, "status")).drop("_change")
+    out = rows.join(change, keys, "left").withColumns({"job_id": F.when(written, job_id(keys)), "status": F.when(written, status).otherwise(F.col("status"))})
+    if "issues" in rows.columns:
+        again = F.col("job_id").isNotNull() & (F.col("_change") == "possible_duplicate")
+        out = out.withColumn("issues", F.when(again, F.concat(F.col("issues").cast(n.ISSUES), F.array(n.issue("POSSIBLE_DUPLICATE", "warning")))).otherwise(F.col("issues").cast(n.ISSUES)))
+    return out.drop("_change")
 
 
 def notes(old: DataFrame | None, rows: DataFrame) -> DataFrame:

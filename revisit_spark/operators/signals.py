@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalize import stripped
 from . import pairs
 
 M, NM, NE = "matched", "not_matched", "not_evaluable"
@@ -114,14 +115,14 @@ def _parts(params: dict) -> Signal:
 
 def _maintenance(params: dict) -> Signal:
     wanted = [x.strip().lower() for x in params.get("categories", MAINTENANCE)]
-    c = F.lower(F.trim("followup.raw_category"))
+    c = F.lower(stripped(F.col("followup.raw_category")))
     return _told(c.isNull() | (c == ""), c.isin(*wanted), c, "The follow-up is scheduled maintenance.", "The follow-up is no maintenance.", "The follow-up's category is missing.")
 
 
 def _planned(params: dict) -> Signal:
     markers = F.array(*(F.lit(x.strip().lower()) for x in params.get("markers", MULTIVISIT)))
     texts = F.concat(F.array("prior.raw_job_type"), F.coalesce(F.map_values("prior.extra_fields"), F.array().cast("array<string>")))
-    texts = F.filter(texts, lambda t: t.isNotNull() & (F.trim(t) != ""))
+    texts = F.filter(texts, lambda t: t.isNotNull() & (stripped(t) != ""))
     hits = F.filter(texts, lambda t: F.exists(markers, lambda m: F.contains(F.lower(t), m)))
     return _told(F.size(texts) == 0, F.size(hits) > 0, F.get(hits, F.lit(0)), "The prior visit is part of planned work.", "The prior visit is not planned as one of several.", "Nothing says whether more visits were planned.")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import normalize as n
+from ..sources.tables import staged
 from .profile import SYNONYMS, TYPES
 
 #: Statuses a job may have.
@@ -59,15 +60,16 @@ class Mapping:
 def shape_issues(raw_fields: Column, expected: int) -> Column:
     """Issues of a row's number of fields."""
     size = F.size(raw_fields)
-    return F.when(size > expected, n.issue("TOO_MANY_COLUMNS", "error")).when(size < expected, n.issue("TOO_FEW_COLUMNS", "error")).otherwise(n.no_issues())
+    return n.issues_of((size > expected, n.issue("TOO_MANY_COLUMNS", "error")), (size < expected, n.issue("TOO_FEW_COLUMNS", "error")))
 
 
 def cell_issues(raw: Column, most: int = MAX_CELL) -> Column:
-    """At most one issue per cell: replaced characters, or too many bytes."""
-    cells = F.array_sort(F.map_entries(raw))
-    made = lambda code, e: F.struct(F.lit(code).alias("code"), F.lit("warning").alias("severity"), e["key"].alias("field"), e["value"].alias("raw_value"))
-    found = F.transform(cells, lambda e: F.when(F.contains(e["value"], F.lit("�")), made("ENCODING_REPLACEMENT", e)).when(F.octet_length(e["value"]) > most, made("FIELD_TOO_LONG", e)))
-    return F.filter(found, lambda i: i.isNotNull()).cast(n.ISSUES)
+    """Issues of cells, by column: replaced characters, too many bytes."""
+    made = lambda code, e: n.issue(code, "warning", e["key"], e["value"])
+    replaced = lambda e: F.when(F.contains(e["value"], F.lit("\ufffd")), made("ENCODING_REPLACEMENT", e))
+    long = lambda e: F.when(F.octet_length(e["value"]) > most, made("FIELD_TOO_LONG", e))
+    odd = F.map_filter(raw, lambda k, v: F.contains(v, F.lit("\ufffd")) | (F.octet_length(v) > most))
+    return F.array_compact(F.flatten(F.transform(F.array_sort(F.map_entries(odd)), lambda e: F.array(replaced(e), long(e)))))
 
 
 def row_hash(raw: Column) -> Column:
@@ -78,67 +80,79 @@ def row_hash(raw: Column) -> Column:
 def _skipped(mapping: Mapping) -> Column:
     hit = F.lit(False)
     for s in mapping.skip:
-        cell = F.lower(F.trim(F.coalesce(F.col("raw")[s.column], F.lit(""))))
+        cell = F.lower(n.stripped(F.coalesce(F.col("raw")[s.column], F.lit(""))))
         value = (s.value or "").strip().lower()
         hit = hit | {"equals": cell == value, "not_equals": cell != value, "contains": F.contains(cell, F.lit(value)), "is_empty": cell == "", "is_not_empty": cell != ""}[s.operator]
     return hit
 
 
+#: Text fields that natural keys compare, folded.
+_COMPARED = ("customer_name", "postal_code", "address_line1", "equipment_manufacturer", "equipment_model", "equipment_type", "technician_code", "technician_name", "summary", "description", "invoice_number")
+
+
 def validated(rows: DataFrame, mapping: Mapping, today: str, order: Column | str = "ambiguous", source: str = "source") -> DataFrame:
-    """Rows (organization_id, batch_id, row_number, raw map, maybe issues) with issues, status and record.
+    """Rows (organization_id, batch_id, row_number, raw map, maybe issues) with issues, status, record and row_hash.
 
-    One projection: skip filters first (nothing else is looked at then), every field's transform, the
-    status, then customer and equipment identity. An error leaves no record.
+    Skip filters first (nothing else counts then), every field's transform, the status, then customer and
+    equipment identity. An error leaves no record. No shuffle: each step is a projection of plain columns.
+    The result is written into the shared folder (it is the outcome table of the import): a later filter on
+    issues or status would otherwise be pushed through every step, and make one huge expression of them.
     """
     mapping.checked()
     raw = lambda t: F.col("raw")[mapping.fields[t]] if t in mapping.fields else F.lit(None).cast("string")
-    made: dict[str, Column] = {}
-    for t in SYNONYMS:
-        kind = TYPES.get(t, "text")
-        if t == "job_status":
-            continue
-        if kind == "date":
-            made[t] = n.date(raw(t), today, order, mapping.date_format, t)
-        elif kind == "datetime":
-            made[t] = n.moment(raw(t), mapping.zone, order, None, t)
-        elif kind == "money":
-            made[t] = n.money(raw(t), mapping.decimal, mapping.thousands, t)
-        elif kind == "integer":
-            made[t] = n.integer(raw(t), t)
-        elif kind == "boolean":
-            made[t] = n.boolean(raw(t), field=t)
-        elif t in mapping.fields:
-            made[t] = n.text(raw(t), field=t)
-        else:
-            made[t] = n.result(F.lit(None).cast("string"))
-    made = {t: c for t, c in made.items() if t in mapping.fields or t == "service_date" or TYPES.get(t) == "boolean"}
-    told = n.clean_text(raw("job_status"))
-    words = F.create_map(*(F.lit(x) for kv in mapping.status_map.items() for x in kv)) if mapping.status_map else F.lit(None).cast("map<string,string>")
-    status = F.lower(F.coalesce(F.try_element_at(words, told), told))
-    known = told.isNull() | status.isin(*STATUSES)
-    made["job_status"] = n.result(F.when(told.isNotNull() & known, status).otherwise("unknown"), (~known, n.issue("UNKNOWN_ENUM_VALUE", "warning", "job_status", raw("job_status"))))
+    kinds = {t: TYPES.get(t, "text") for t in SYNONYMS if t in mapping.fields or t == "service_date" or TYPES.get(t) == "boolean"}
+    make = {
+        "date": lambda t: n.date_steps(raw(t), today, order, mapping.date_format, t), "datetime": lambda t: n.moment_steps(raw(t), mapping.zone, order, None, t), "integer": lambda t: n.integer_steps(raw(t), t),
+        "money": lambda t: n.money_steps(raw(t), mapping.decimal, mapping.thousands, t), "boolean": lambda t: n.boolean_steps(raw(t), field=t),
+    }
+    texts = [t for t, kind in kinds.items() if kind == "text" and t != "job_status"]
     have = rows if "issues" in rows.columns else rows.withColumn("issues", n.no_issues())
     keep = [c for c in have.columns if c != "issues"]
-    ordered = [t for t in SYNONYMS if t in made and t != "job_status"] + ["job_status"]
-    parsed = have.select(*keep, F.concat(F.col("issues").cast(n.ISSUES), cell_issues(F.col("raw"))).alias("_before"), _skipped(mapping).alias("_skip"), *(made[t].alias(f"_{t}") for t in ordered))
-    value = lambda t: F.col(f"_{t}.value") if t in made else F.lit(None).cast("string")
+    out = have.select(*keep, F.concat(F.col("issues").cast(n.ISSUES), cell_issues(F.col("raw"))).alias("_before"), _skipped(mapping).alias("_skip"))
+    out = n.parsed(out, {f"_{t}": make[kind](t) for t, kind in kinds.items() if kind in make})
+    retained = {f"_keep_{i}": F.col("raw")[c] for i, c in enumerate(mapping.retain)}
+    out = n.clean_texts(out, {f"_{t}": raw(t) for t in texts} | {"_job_status": raw("job_status")} | retained)
+    words = F.create_map(*(F.lit(x) for kv in mapping.status_map.items() for x in kv)) if mapping.status_map else F.lit(None).cast("map<string,string>")
+    status = F.lower(F.coalesce(F.try_element_at(words, F.col("_job_status")), F.col("_job_status")))
+    bounded = {f"_{t}": n.bounded_text(F.col(f"_{t}"), raw(t), field=t) for t in texts} | {f"_keep_{i}": n.bounded_text(F.col(f"_keep_{i}"), F.col("raw")[c], field=c) for i, c in enumerate(mapping.retain)}
+    out = out.select(*(c for c in out.columns if c not in bounded), status.alias("_status"), *(c.alias(t) for t, c in bounded.items()))
+    known = F.col("_status").isNull() | F.col("_status").isin(*STATUSES)
+    said = n.result(F.when(F.col("_status").isNotNull() & known, F.col("_status")).otherwise("unknown"), (~known, n.issue("UNKNOWN_ENUM_VALUE", "warning", "job_status", raw("job_status"))))
+    kinds["job_status"] = "text"
+    out = out.withColumn("_job_status", said)
+    value = lambda t: F.col(f"_{t}.value") if t in kinds else F.lit(None).cast("string")
+    compared = [t for t in _COMPARED if t in kinds]
+    out = out.withColumn("_e164", n.phone(value("customer_phone")))
+    if compared:
+        out = out.withColumn("_folds", n.casefold_all([value(t) for t in compared]))
+    folded = lambda t: F.get("_folds", F.lit(compared.index(t))) if t in compared else F.lit(None).cast("string")
     org, src = F.col("organization_id"), F.lit(source)
-    e164 = n.phone(value("customer_phone"))
-    customer = identity.customer(org, src, value("customer_external_id"), e164, value("customer_name"), value("postal_code"))
-    place = identity.location(org, src, value("location_external_id"), F.col("_customer.digest"), value("address_line1"), value("postal_code"))
-    gear = identity.equipment(org, src, value("equipment_external_id"), value("equipment_serial"), F.col("_location.digest"), value("equipment_manufacturer"), value("equipment_model"), value("equipment_type"))
-    worker = identity.technician(org, src, value("technician_external_id"), value("technician_code"), value("technician_name"))
-    parsed = parsed.withColumn("_customer", customer).withColumn("_location", place).withColumns({"_equipment": gear, "_technician": worker})
-    parsed = parsed.withColumn("_job", identity.job(org, src, value("external_job_id"), F.col("_customer.digest"), value("service_date"), value("summary"), value("description"), value("invoice_number")))
-    late = F.concat(F.when(F.col("_customer").isNull(), n.issue("UNRESOLVABLE_CUSTOMER", "error")).otherwise(n.no_issues()), F.when(F.col("_equipment").isNull(), n.issue("EQUIPMENT_NOT_RESOLVED", "info")).otherwise(n.no_issues()))
-    every = F.concat("_before", *(F.col(f"_{t}.issues") for t in ordered), late)
-    issues = F.when(F.col("_skip"), n.issue("ROW_SKIPPED_BY_FILTER", "info")).otherwise(every)
-    out = parsed.withColumn("issues", issues)
+    customer = identity.customer(org, src, value("customer_external_id"), F.col("_e164"), folded("customer_name"), folded("postal_code"), ready=True)
+    place = identity.location(org, src, value("location_external_id"), F.col("_customer.digest"), folded("address_line1"), folded("postal_code"), ready=True)
+    gear = identity.equipment(org, src, value("equipment_external_id"), value("equipment_serial"), F.col("_location.digest"), folded("equipment_manufacturer"), folded("equipment_model"), folded("equipment_type"), ready=True)
+    worker = identity.technician(org, src, value("technician_external_id"), folded("technician_code"), folded("technician_name"), ready=True)
+    task = identity.job(org, src, value("external_job_id"), F.col("_customer.digest"), value("service_date"), folded("summary"), folded("description"), folded("invoice_number"), ready=True)
+    out = out.withColumn("_customer", customer).withColumns({"_location": place, "_technician": worker, "_job": task}).withColumn("_equipment", gear)
+    late = n.issues_of((F.col("_customer").isNull(), n.issue("UNRESOLVABLE_CUSTOMER", "error")), (F.col("_equipment").isNull(), n.issue("EQUIPMENT_NOT_RESOLVED", "info")))
+    ordered = [t for t in SYNONYMS if t in kinds and t != "job_status"] + ["job_status"]
+    every = F.concat("_before", *(F.col(f"_{t}.issues") for t in ordered), *(F.col(f"{t}.issues") for t in retained), late)
+    out = out.withColumn("issues", F.when(F.col("_skip"), F.array(n.issue("ROW_SKIPPED_BY_FILTER", "info"))).otherwise(every))
     has = lambda s: F.exists("issues", lambda i: i["severity"] == s)
     out = out.withColumn("status", F.when(F.col("_skip"), "skipped_filtered").when(has("error"), "error").when(has("warning"), "warning").otherwise("pending"))
-    extra = F.map_filter(F.transform_values(F.map_filter("raw", lambda k, v: k.isin(*mapping.retain)), lambda k, v: F.when(F.trim(v) != "", F.trim(v))), lambda k, v: v.isNotNull()) if mapping.retain else F.lit(None).cast("map<string,string>")
-    record = F.struct(*(value(t).alias(t) for t in ordered), extra.alias("extra_fields"), *(F.col(f"_{k}").alias(f"{k}_key") for k in ("customer", "location", "equipment", "technician", "job")))
-    return out.select(*keep, "issues", "status", F.when(F.col("status").isin("pending", "warning"), record).alias("record"), row_hash(F.col("raw")).alias("row_hash"))
+    extra = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, mapping.retain)), F.array(*(F.col(f"{t}.value") for t in retained))), lambda k, v: v.isNotNull()) if retained else F.lit(None).cast("map<string,string>")
+    labels = {"customer_label": n.label(*map(value, ("customer_name", "customer_external_id", "customer_phone"))), "technician_label": n.label(*map(value, ("technician_name", "technician_code", "technician_external_id"))), "is_no_charge": n.no_charge(value("revenue_amount").cast("decimal(14,2)"))}
+    record = F.struct(*(value(t).alias(t) for t in ordered), F.col("_e164").alias("customer_phone_e164"), extra.alias("extra_fields"), *(c.alias(k) for k, c in labels.items()), *(F.col(f"_{k}").alias(f"{k}_key") for k in ("customer", "location", "equipment", "technician", "job")))
+    return staged(out.select(*keep, "issues", "status", F.when(F.col("status").isin("pending", "warning"), record).alias("record"), row_hash(F.col("raw")).alias("row_hash")))
+
+
+def record_json(record: Column) -> Column:
+    """A normalized record as JSON text; what is null stays out."""
+    return F.to_json(record, {"ignoreNullFields": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+
+
+def record_from_json(payload: Column, schema: str) -> Column:
+    """The record of ``record_json``, of the type ``schema`` (a struct's DDL)."""
+    return F.from_json(payload, schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
 
 
 def duplicates_marked(rows: DataFrame) -> DataFrame:
@@ -150,7 +164,7 @@ def duplicates_marked(rows: DataFrame) -> DataFrame:
     first = have.groupBy("batch_id", "row_hash").agg(F.min("row_number").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     both = have.join(first, ["batch_id", "row_hash"], "left")
     again = F.coalesce(F.col("row_number") > F.col("_first"), F.lit(False))
-    issues = F.when(again, F.concat(F.col("issues").cast(n.ISSUES), n.issue("DUPLICATE_ROW_IN_FILE", "info"))).otherwise(F.col("issues"))
+    issues = F.when(again, F.concat(F.col("issues").cast(n.ISSUES), F.array(n.issue("DUPLICATE_ROW_IN_FILE", "info")))).otherwise(F.col("issues"))
     return both.withColumns({"issues": issues, "status": F.when(again, "skipped_duplicate").otherwise(F.col("status"))}).drop("_first")
 
 
@@ -165,14 +179,14 @@ def issue_report(rows: DataFrame) -> DataFrame:
     """One line per issue, cells safe for spreadsheets."""
     each = rows.where(F.size("issues") > 0).select("batch_id", "row_number", "status", F.posexplode("issues").alias("at", "i"))
     safe = lambda c: n.csv_safe(c.cast("string"))
-    return each.select("batch_id", "row_number", "at", safe(F.col("status")).alias("status"), safe(F.col("i.code")).alias("error_code"), safe(F.col("i.field")).alias("field"), safe(F.col("i.code")).alias("message"), safe(F.col("i.raw_value")).alias("raw_value"))
+    return each.select("batch_id", "row_number", "at", safe(F.col("status")).alias("status"), safe(F.col("i.code")).alias("error_code"), safe(F.col("i.field")).alias("field"), safe(F.col("i.message")).alias("message"), safe(F.col("i.raw_value")).alias("raw_value"))
 
 
 def date_orders(values: DataFrame, most: int = 200) -> DataFrame:
     """(batch_id, date_order): a vote of each batch's first ``most`` values that aren't blank."""
     place = Window.partitionBy("batch_id").orderBy("row_number")
-    few = values.where(F.trim("value") != "").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most)
-    part = lambda k: F.regexp_extract(F.trim("value"), r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}(?:\s|$)", k).try_cast("int") > 12
+    few = values.where(n.stripped(F.col("value")) != "").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most)
+    part = lambda k: F.regexp_extract(n.stripped(F.col("value")), r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}(?:\s|$)", k).try_cast("int") > 12
     return few.groupBy("batch_id").agg(n.date_order(part(1), part(2)).alias("date_order"))
 
 
@@ -180,3 +194,8 @@ def file_duplicates(batches: DataFrame) -> DataFrame:
     """(organization_id, batch_id, original, duplicate): the tenant's earliest batch with the same bytes."""
     first = batches.groupBy("organization_id", "file_sha256").agg(F.min_by("batch_id", F.struct("created_at", "batch_id")).alias("original"))
     return batches.join(first, ["organization_id", "file_sha256"]).select("organization_id", "batch_id", "original", (F.col("batch_id") != F.col("original")).alias("duplicate"))
+
+
+def active_imports(batches: DataFrame) -> DataFrame:
+    """(organization_id, active): live batches of each tenant that are queued or processing."""
+    return batches.groupBy("organization_id").agg(F.count_if(F.col("status").isin("queued", "processing") & F.col("deleted_at").isNull()).alias("active"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import normalize as n
-from ..operators import profile, resolve, validate
-from ..sources.tables import staged
+from ..operators import analytics, profile, queue, resolve, validate
+from ..sources import delimited
+from ..sources.tables import stage_path, staged
 from . import testviews as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,12 @@ def names_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.union(suppliers).union(parts).select("id", n.name(F.col("raw")).alias("name"), n.category_key(F.col("raw")).alias("category_key"))
 
 
+def _padded(k, raw):
+    """Raw cells as they come: with tabs, returns, no-break and wide spaces around."""
+    sides = F.array(*map(F.lit, ["", "\t", " ", "\u00a0", "\r\n", "\u2003\t"]))
+    return F.concat(F.get(sides, (k % 6).cast("int")), raw, F.get(sides, (k % 5).cast("int")))
+
+
 @query("""WITH m AS (SELECT o_orderkey AS k, round(o_totalprice * 100)::BIGINT AS c FROM orders)
 SELECT k, CASE WHEN k % 6 = 4 THEN NULL WHEN k % 6 = 3 THEN -c ELSE c END AS cents, CASE k % 6 WHEN 3 THEN 'NEGATIVE_AMOUNT' WHEN 5 THEN 'NUMBER_ROUNDED' ELSE '' END AS codes FROM m""")
 def money_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +68,7 @@ def money_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.concat(F.format_number(whole, 0), F.lit("."), rest)
     eu = F.concat(F.replace(F.format_number(whole, 0), F.lit(","), F.lit(".")), F.lit(","), rest)
     raw = F.when(k % 6 == 0, F.concat(F.lit("$"), us)).when(k % 6 == 1, F.concat(F.lit("EUR "), eu)).when(k % 6 == 2, us).when(k % 6 == 3, F.concat(F.lit("("), us, F.lit(")"))).when(k % 6 == 4, F.lit("n/a")).otherwise(F.concat(whole.cast("string"), F.lit("."), rest, F.lit("4")))
-    rows = v.table(spark, sf_dir, "orders").withColumn("_c", c).select(k.alias("k"), raw.alias("raw"))
+    rows = v.table(spark, sf_dir, "orders").withColumn("_c", c).select(k.alias("k"), _padded(k, raw).alias("raw"))
     guess, fixed = n.money(F.col("raw")), n.money(F.col("raw"), decimal=".")
     rows = rows.select("k", F.when(F.col("k") % 6 == 5, fixed).otherwise(guess).alias("m"))
     return rows.select("k", (F.col("m.value") * 100).cast("long").alias("cents"), F.array_join(F.transform("m.issues", lambda i: i["code"]), ",").alias("codes"))
@@ -75,7 +82,7 @@ def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, form in enumerate(forms):
         raw = F.when(k % 7 == i, F.date_format(d, form)).otherwise(raw)
     order = F.when(k % 7 == 1, "dmy").when(k % 7 == 2, "mdy").otherwise("ambiguous")
-    got = v.table(spark, sf_dir, "orders").select(k.alias("k"), n.date(raw, "2026-01-01", order).alias("d"))
+    got = v.table(spark, sf_dir, "orders").select(k.alias("k"), n.date(_padded(k, raw), "2026-01-01", order).alias("d"))
     return got.select("k", F.col("d.value").alias("day"), F.array_join(F.transform("d.issues", lambda i: i["code"]), ",").alias("codes"))
 
 
@@ -83,14 +90,14 @@ def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def datetimes_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, t = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     raw = F.when(k % 4 == 0, " ").when(k % 4 == 1, t).when(k % 4 == 2, F.concat(t, F.lit("Z"))).otherwise(F.concat(t, F.lit("+02:00")))
-    return v.table(spark, sf_dir, "events").select(k, F.unix_micros(n.moment(raw, "Asia/Manila")["value"]).alias("us"))
+    return v.table(spark, sf_dir, "events").select(k, F.unix_micros(n.moment(_padded(k, raw), "Asia/Manila")["value"]).alias("us"))
 
 
 @query("SELECT event_id, event_type IN ('purchase', 'click') AS flag, CASE WHEN event_type = 'error' THEN 'UNKNOWN_ENUM_VALUE' ELSE '' END AS codes FROM events")
 def booleans_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
     raw = F.when(t == "purchase", " YES ").when(t == "click", "x").when(t == "error", "perhaps").when(t == "view", "No")
-    got = v.table(spark, sf_dir, "events").select("event_id", n.boolean(raw).alias("b"))
+    got = v.table(spark, sf_dir, "events").select("event_id", n.boolean(_padded(F.col("event_id"), raw)).alias("b"))
     return got.select("event_id", F.col("b.value").alias("flag"), F.array_join(F.transform("b.issues", lambda i: i["code"]), ",").alias("codes"))
 
 
@@ -98,7 +105,7 @@ def booleans_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def integers_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, u = F.col("event_id"), F.col("user_id").cast("string")
     raw = F.when(k % 5 == 0, u).when(k % 5 == 1, F.concat(u, F.lit(".0"))).when(k % 5 == 2, F.concat(F.lit(" "), u, F.lit(" "))).when(k % 5 == 3, "").otherwise(F.concat(u, F.lit(".5")))
-    got = v.table(spark, sf_dir, "events").select("event_id", n.integer(raw).alias("i"))
+    got = v.table(spark, sf_dir, "events").select("event_id", n.integer(_padded(k, raw)).alias("i"))
     return got.select("event_id", F.col("i.value").alias("number"), F.array_join(F.transform("i.issues", lambda i: i["code"]), ",").alias("codes"))
 
 
@@ -164,13 +171,73 @@ def batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.counters(validate.validated(raw_rows(spark, sf_dir), MAPPING, today="2026-01-01")).select("batch_id", "total", "errors", "warnings", "skipped", "importable")
 
 
-@query(_VALIDATED + """, e AS (SELECT batch_id, row_number, unnest(CASE WHEN skipped THEN ['ROW_SKIPPED_BY_FILTER'] ELSE list_filter([CASE WHEN bad_date THEN 'INVALID_DATE' END, CASE WHEN minus THEN 'NEGATIVE_AMOUNT' END,
+_MESSAGE = "CASE error_code " + " ".join(f"WHEN '{code}' THEN '{said.replace(chr(39), chr(39) * 2)}'" for code, said in n.MESSAGES.items()) + " END"
+_REPORT = _VALIDATED + f""", e AS (SELECT batch_id, row_number, unnest(CASE WHEN skipped THEN ['ROW_SKIPPED_BY_FILTER'] ELSE list_filter([CASE WHEN bad_date THEN 'INVALID_DATE' END, CASE WHEN minus THEN 'NEGATIVE_AMOUNT' END,
  CASE WHEN odd THEN 'UNKNOWN_ENUM_VALUE' END, CASE WHEN no_customer THEN 'UNRESOLVABLE_CUSTOMER' END, CASE WHEN no_gear THEN 'EQUIPMENT_NOT_RESOLVED' END], lambda c: c IS NOT NULL) END) AS error_code, status_of AS status,
- id, revenue FROM y) SELECT batch_id, row_number, status, error_code, CASE error_code WHEN 'INVALID_DATE' THEN 'soon' WHEN 'NEGATIVE_AMOUNT' THEN '''-' || revenue WHEN 'UNKNOWN_ENUM_VALUE' THEN 'Odd' ELSE '' END AS raw_value FROM e""")
+ id, revenue FROM y), report AS (SELECT batch_id, row_number, status, error_code, CASE error_code WHEN 'INVALID_DATE' THEN 'service_date' WHEN 'NEGATIVE_AMOUNT' THEN 'revenue_amount' WHEN 'UNKNOWN_ENUM_VALUE' THEN 'job_status' ELSE '' END AS field, {_MESSAGE} AS message,
+ CASE error_code WHEN 'INVALID_DATE' THEN 'soon' WHEN 'NEGATIVE_AMOUNT' THEN '''-' || revenue WHEN 'UNKNOWN_ENUM_VALUE' THEN 'Odd' ELSE '' END AS raw_value FROM e)"""
+
+
+@query(_REPORT + " SELECT * FROM report")
 def issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(validate.validated(raw_rows(spark, sf_dir), MAPPING, today="2026-01-01"))
-    report = validate.issue_report(rows)
-    return report.select("batch_id", "row_number", "status", "error_code", "raw_value")
+    rows = validate.validated(raw_rows(spark, sf_dir), MAPPING, today="2026-01-01")
+    return validate.issue_report(rows).select("batch_id", "row_number", "status", "error_code", "field", "message", "raw_value")
+
+
+@query(_REPORT + ", p AS (SELECT DISTINCT batch_id, row_number FROM report WHERE batch_id = 3 AND row_number > 40) SELECT row_number FROM p ORDER BY row_number LIMIT 51")
+def issue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a batch's rows with issues behind row 40."""
+    rows = validate.validated(raw_rows(spark, sf_dir), MAPPING, today="2026-01-01").where("batch_id = 3 and size(issues) > 0")
+    return queue.ascending(rows.select("row_number", "id"), ["row_number"], cursor=(40,)).select("row_number")
+
+
+@query(_REPORT + """ SELECT 'row_number,status,error_code,field,message,raw_value' AS line UNION ALL SELECT concat_ws(',', '"' || row_number || '"', '"' || status || '"', '"' || error_code || '"', '"' || field || '"', '"' || replace(message, '"', '""') || '"', '"' || raw_value || '"') FROM report""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = validate.issue_report(validate.validated(raw_rows(spark, sf_dir), MAPPING, today="2026-01-01"))
+    return delimited.report_lines(report).select(F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+@query(_VALIDATED + """ SELECT batch_id, row_number, CASE WHEN id % 9 <> 0 THEN 'J' || id END AS external_job_id, CASE WHEN odd THEN 'unknown' ELSE 'completed' END AS job_status, service_date,
+ CASE WHEN minus THEN -revenue ELSE revenue END::DOUBLE AS revenue, 'z' || id % 5 AS zone, coalesce(revenue = 0, false) AS is_no_charge, CASE WHEN id % 39 <> 0 THEN 'Customer ' || customer_id ELSE customer_id::VARCHAR END AS customer_label, true AS same FROM y WHERE status_of IN ('pending', 'warning')""", days=("service_date",))
+def record_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON and read again."""
+    rows = validate.validated(raw_rows(spark, sf_dir), MAPPING, today="2026-01-01").where("record is not null")
+    schema = rows.schema["record"].dataType.simpleString()
+    back = rows.withColumn("back", validate.record_from_json(validate.record_json(F.col("record")), schema))
+    same = validate.record_json(F.col("record")) == validate.record_json(F.col("back"))
+    b = lambda c: F.col(f"back.{c}")
+    return back.select("batch_id", "row_number", b("external_job_id").alias("external_job_id"), b("job_status").alias("job_status"), b("service_date").alias("service_date"), b("revenue_amount").cast("double").alias("revenue"), b("extra_fields")["Zone"].alias("zone"), b("is_no_charge").alias("is_no_charge"), b("customer_label").alias("customer_label"), same.alias("same"))
+
+
+_LINES = """WITH x AS (SELECT o_orderkey AS id, o_orderkey % 8 AS batch_id, o_custkey AS c, o_orderpriority AS p, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) AS n FROM orders)"""
+_COLUMNS = ["Job ID", "Customer", "Priority"]
+
+
+def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as eight delimited files with headers (quoted cells, short and long rows), and read again."""
+    k = F.col("o_orderkey")
+    quoted = F.concat(F.lit('"Customer ""'), "o_custkey", F.lit('"", Inc."'))
+    line = F.concat_ws(",", k.cast("string"), quoted, F.when(k % 7 != 0, F.col("o_orderpriority")), F.when(k % 11 == 0, F.concat_ws(",", *(F.lit(f"e{i}") for i in range(12)))))
+    lines = v.table(spark, sf_dir, "orders").select((k % 8).alias("batch"), k.alias("k"), line.alias("value"))
+    heads = spark.range(8).select(F.col("id").alias("batch"), F.lit(-1).cast("long").alias("k"), F.lit(",".join(_COLUMNS)).alias("value"))
+    path = stage_path(spark, "delimited")
+    lines.union(heads).repartition("batch").sortWithinPartitions("batch", "k").select("batch", "value").write.partitionBy("batch").text(path)
+    rows = delimited.read_rows(spark, f"{path}/batch=*/*", _COLUMNS)
+    return rows.withColumn("batch_id", F.regexp_extract("file", "batch=([0-9]+)", 1).cast("long"))
+
+
+@query(_LINES + """ SELECT batch_id, n + 1 AS row_number, id::VARCHAR AS job_id, 'Customer "' || c || '", Inc.' AS customer, CASE WHEN id % 7 <> 0 THEN p WHEN id % 11 = 0 THEN 'e0' ELSE '' END AS priority,
+ CASE WHEN id % 11 = 0 THEN CASE WHEN id % 7 <> 0 THEN 12 ELSE 11 END ELSE 0 END AS extra, CASE WHEN id % 11 = 0 THEN 'e11' END AS last_extra, CASE WHEN id % 11 = 0 THEN 'TOO_MANY_COLUMNS' WHEN id % 7 = 0 THEN 'TOO_FEW_COLUMNS' ELSE '' END AS codes FROM x""")
+def delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, extra = F.col("raw"), F.size("raw") - 3
+    return delimited_files(spark, sf_dir).select("batch_id", "row_number", raw["Job ID"].alias("job_id"), raw["Customer"].alias("customer"), raw["Priority"].alias("priority"), extra.alias("extra"), F.when(extra > 0, F.element_at(raw, F.concat(F.lit("__extra_"), extra.cast("string")))).alias("last_extra"), F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
+
+
+@query(_LINES + " SELECT batch_id, count(*) AS row_count, count_if(id % 7 = 0 OR id % 11 = 0)::BIGINT AS ragged, count_if((id % 7 = 0 OR id % 11 = 0) AND n <= 20)::BIGINT AS ragged_samples FROM x GROUP BY 1")
+def file_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(delimited_files(spark, sf_dir).drop("file").withColumnRenamed("batch_id", "file"))
+    near = profile.ragged_samples(rows).groupBy("file").agg(F.count("*").alias("ragged_samples"))
+    return profile.row_counts(rows).join(near, "file", "left").fillna(0, ["ragged_samples"]).withColumnRenamed("file", "batch_id")
 
 
 @query("SELECT source AS batch_id, doc_id AS row_number, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) > 1 AS duplicate FROM documents")
@@ -198,9 +265,26 @@ def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.date_orders(rows)
 
 
-@query("""SELECT * FROM (VALUES ('orders', 'flag', 'boolean'), ('orders', 'key', 'integer'), ('orders', 'total', 'money'), ('orders', 'day', 'date'), ('orders', 'moment', 'datetime'), ('orders', 'priority', 'text'), ('orders', 'nothing', 'text')) t(file, name, type)""")
+_KINDS = """WITH o AS (SELECT o_orderkey % 60 AS file, o_orderkey AS k, o_orderdate::DATE AS d, round(o_totalprice)::BIGINT AS t FROM orders), c AS (
+ SELECT file, k, 'a' AS name, CASE file % 4 WHEN 0 THEN CASE k % 3 WHEN 0 THEN 'Warranty' WHEN 1 THEN ' x ' ELSE 'NO' END WHEN 1 THEN CASE WHEN k % 2 = 0 THEN '1' ELSE '0' END WHEN 2 THEN '+' || k ELSE CASE WHEN k % 5 = 0 THEN '' ELSE 'word' END END AS value FROM o
+ UNION ALL SELECT file, k, 'b', CASE file % 5 WHEN 0 THEN year(d) || '-' || month(d) || '-' || day(d) WHEN 1 THEN day(d) || '/' || month(d) || '/' || year(d) WHEN 2 THEN day(d) || '.' || month(d) || '.' || right(year(d)::VARCHAR, 2) WHEN 3 THEN strftime(d, '%-d %b %Y') ELSE year(d) || '-' || month(d) || '-' || day(d) || 'T9:30' END FROM o
+ UNION ALL SELECT file, k, 'c', CASE file % 6 WHEN 0 THEN '¥ ' || t WHEN 1 THEN '-$' || t || '.50' WHEN 2 THEN '(' || t || ')' WHEN 3 THEN '1 ' || t WHEN 4 THEN t || ',5' ELSE '' END FROM o
+), s AS (SELECT file, name, trim(value) AS x FROM c WHERE trim(value) <> ''), g AS (SELECT file, name, bool_and(lower(x) IN ('y', 'yes', 'true', 't', '1', 'x', 'warranty', 'n', 'no', 'false', 'f', '0')) AS b, bool_and(regexp_full_match(x, '[+-]?[0-9]+')) AS i,
+ bool_and(regexp_matches(x, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{2}')) AS t, bool_and(regexp_full_match(x, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}')) AS d, bool_and(regexp_full_match(x, '[+-]?([$€£¥] *)?[(]?[0-9][0-9,.]*[)]?')) AS m FROM s GROUP BY 1, 2)
+SELECT f.file, f.name, CASE WHEN b THEN 'boolean' WHEN i THEN 'integer' WHEN t THEN 'datetime' WHEN d THEN 'date' WHEN m THEN 'money' ELSE 'text' END AS type FROM (SELECT DISTINCT file, name FROM c) f LEFT JOIN g USING (file, name)"""
+
+
+@query(_KINDS)
 def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.column_types(_cells(spark, sf_dir)).select("file", "name", "type")
+    k, file = F.col("o_orderkey"), F.col("o_orderkey") % 60
+    d, t = F.to_date("o_orderdate"), F.round("o_totalprice").cast("long").cast("string")
+    y, m, day = (f(d).cast("string") for f in (F.year, F.month, F.day))
+    pick = lambda of, *values: F.get(F.array(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in values)), (file % of).cast("int"))
+    a = pick(4, F.when(k % 3 == 0, "Warranty").when(k % 3 == 1, "\tx\u00a0").otherwise("NO"), F.when(k % 2 == 0, "1").otherwise("0"), F.concat(F.lit("+"), k), F.when(k % 5 == 0, "\t").otherwise("word"))
+    b = pick(5, F.concat_ws("-", y, m, day), F.concat_ws("/", day, m, y), F.concat_ws(".", day, m, F.substring(y, 3, 2)), F.date_format(d, "d MMM yyyy"), F.concat(F.concat_ws("-", y, m, day), F.lit("T9:30")))
+    c = pick(6, F.concat(F.lit("¥ "), t), F.concat(F.lit("-$"), t, F.lit(".50")), F.concat(F.lit("("), t, F.lit(")")), F.concat(F.lit("1 "), t), F.concat(t, F.lit(",5")), "")
+    rows = v.table(spark, sf_dir, "orders").select(file.alias("file"), k.alias("row_number"), a.alias("a"), b.alias("b"), c.alias("c"))
+    return profile.column_types(profile.stacked(rows, ["a", "b", "c"])).select("file", "name", "type")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,15 +326,19 @@ def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.template_match(files, templates).select("organization_id", "signature", "template_id")
 
 
-@query()
+_HEADERS = {"Client Name": ("text", "customer_name", 1.0), "Servce Date": ("date", "service_date", 22 / 23), "Invoce Total": ("money", "revenue_amount", 24 / 25), "Job ID": ("text", "external_job_id", 1.0), " zip-CODE ": ("text", "postal_code", 1.0), "Colour": ("text", None, None),
+    "equipment_manufacturer": ("text", "equipment_manufacturer", 1.0), "Start Tme": ("integer", None, None), "Warrantee": ("text", None, None), "Warranty?": ("boolean", "is_warranty", 1.0), "Customr Name": ("text", None, None)}
+
+
+@query("WITH h(k, header, target, confidence) AS (VALUES " + ", ".join(f"({i}, '{h}', '{t}', {c!r}::DOUBLE)" for i, (h, (_, t, c)) in enumerate(_HEADERS.items()) if t) + f") SELECT DISTINCT p_brand AS file, header, target, round(confidence, 6) AS confidence FROM part JOIN h ON p_partkey % {len(_HEADERS)} = k")
 def mapping_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers of many files: the test tables' part names, prefixed with words of an export."""
-    words = ["Client Name", "Servce Date", "Invoce Total", "Job ID", "Zip Code", "Colour"]
-    k = F.col("p_partkey")
-    name = F.element_at(F.array(*map(F.lit, words)), (k % 6 + 1).cast("int"))
-    kind = F.when(k % 6 == 1, "date").when(k % 6 == 2, "money").otherwise("text")
-    heads = v.table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.expr("cast(p_partkey div 6 as int)").alias("ordinal"), name.alias("header"), kind.alias("type"), k)
-    return profile.suggestions(heads.groupBy("file", "header").agg(F.min("ordinal").alias("ordinal"), F.first("type").alias("type")))
+    """Headers of a file for each brand: synonyms, a target's own name, misspelt ones, ones whose type doesn't
+    fit, one whose target is claimed by an earlier header (a file without that one takes it, and is left out)."""
+    k = F.col("p_partkey") % len(_HEADERS)
+    name, kind = (F.get(F.array(*map(F.lit, values)), k.cast("int")) for values in (list(_HEADERS), [x[0] for x in _HEADERS.values()]))
+    heads = v.table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), k.cast("int").alias("ordinal"), name.alias("header"), kind.alias("type")).distinct()
+    found = profile.suggestions(heads)
+    return found.where("header <> 'Customr Name'").withColumn("confidence", F.round("confidence", 6))
 
 
 def _batches(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
@@ -284,6 +372,99 @@ def resolved_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.select("organization_id", "key", "label")
 
 
+_PLACES = """'99' || customer_id || ' Main St.' AS line, 1000 + customer_id % 50 AS postal"""
+
+
+def _keyed(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
+    """A batch's rows with all natural keys, from texts of any case and spacing."""
+    k, c = F.col("id"), F.col("customer_id")
+    jobs = v.jobs(spark, sf_dir).where(k % 2 == (1 if late else 0))
+    org, src = F.col("organization_id"), F.lit(7)
+    shout = lambda x: F.when(k % 3 == 0, F.upper(x)).otherwise(F.concat(F.lit("\t"), x, F.lit("\u00a0 ")))
+    jobs = jobs.withColumn("customer_digest", identity.digest(org, c))
+    place = identity.location(org, src, F.when(c % 4 == 0, F.concat(F.lit("L"), c)), F.col("customer_digest"), shout(F.concat(F.lit("99"), c, F.lit(" Main St."))), shout((1000 + c % 50).cast("string")))
+    jobs = jobs.withColumn("location", place)
+    e = F.col("equipment_id")
+    gear = identity.equipment(org, src, F.when(e % 4 == 0, F.concat(F.lit("E"), e)), F.when(e % 4 == 1, shout(F.concat(F.lit("sn-"), e))), F.when(e % 4 == 2, F.col("location.digest")), shout(F.lit("Acme")), shout(F.concat(F.lit("Model "), e)), shout(F.lit("Boiler")))
+    t = F.col("technician_id")
+    worker = identity.technician(org, src, F.when(t % 3 == 0, F.concat(F.lit("T"), t)), F.when(t % 3 == 1, shout(F.concat(F.lit("code"), t))), F.when(t.isNotNull(), shout(F.concat(F.lit("Tech, "), t, F.lit(" Ltd.")))))
+    task = identity.job(org, src, F.when(k % 3 == 0, F.concat(F.lit("J"), k)), F.col("customer_digest"), F.col("service_date"), F.when(k % 3 == 1, shout(F.lit("No  heat"))), shout(F.lit("Noise")), F.when(k % 5 == 0, shout(F.concat(F.lit("Inv"), k))))
+    city = F.when(k % 5 == 0, F.concat(F.lit("City "), c % 9))
+    return jobs.select("organization_id", "customer_digest", k.alias("row_number"), "location", gear.alias("equipment"), worker.alias("technician"), task.alias("job"), city.alias("city"), F.when(k % 7 == 0, F.concat(F.lit("SN"), e)).alias("serial"), F.when(k % 4 == 0, F.concat(F.lit("Tech "), t)).alias("name"))
+
+
+def _resolved(spark: SparkSession, sf_dir: str, what: str, columns: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    snapshot = None
+    for late in (False, True):
+        rows = _keyed(spark, sf_dir, late).where(F.col(what).isNotNull()).select("organization_id", *more, "row_number", F.col(f"{what}.digest").alias("digest"), F.col(f"{what}.strategy").alias("strategy"), *columns)
+        snapshot = resolve.resolved(snapshot, rows, ["organization_id", *more, "digest"], ["strategy", *columns])
+    return snapshot
+
+
+_ENTITIES = f"""{v.JOBS_SQL}, b AS (SELECT *, id % 2 AS late, sha256(concat_ws('|', organization_id, customer_id)) AS cd FROM jobs),
+l AS (SELECT *, CASE WHEN customer_id % 4 = 0 THEN 'external_id' ELSE 'address' END AS l_way, CASE WHEN customer_id % 4 = 0 THEN sha256(concat_ws('|', organization_id, 7, 'L' || customer_id)) ELSE sha256(concat_ws('|', organization_id, cd, '99' || customer_id || ' main st.', 1000 + customer_id % 50)) END AS l_digest FROM b),
+e AS (SELECT *, CASE equipment_id % 4 WHEN 0 THEN 'external_id' WHEN 1 THEN 'serial_number' WHEN 2 THEN 'equipment_attributes' END AS e_way, CASE equipment_id % 4 WHEN 0 THEN sha256(concat_ws('|', organization_id, 7, 'E' || equipment_id)) WHEN 1 THEN sha256(concat_ws('|', organization_id, 'SN-' || equipment_id))
+   WHEN 2 THEN sha256(concat_ws('|', organization_id, l_digest, 'acme', 'model ' || equipment_id, 'boiler')) END AS e_digest,
+  CASE technician_id % 3 WHEN 0 THEN 'external_id' WHEN 1 THEN 'employee_code' WHEN 2 THEN 'normalized_name' END AS t_way, CASE technician_id % 3 WHEN 0 THEN sha256(concat_ws('|', organization_id, 7, 'T' || technician_id)) WHEN 1 THEN sha256(concat_ws('|', organization_id, 'code' || technician_id)) WHEN 2 THEN sha256(concat_ws('|', organization_id, 'tech ' || technician_id)) END AS t_digest,
+  CASE WHEN id % 5 = 0 THEN 'City ' || customer_id % 9 END AS city, CASE WHEN id % 7 = 0 THEN 'SN' || equipment_id END AS serial, CASE WHEN id % 4 = 0 THEN 'Tech ' || technician_id END AS name FROM l)"""
+_FIRST = "coalesce(arg_min({0}, id) FILTER (late = 0 AND {0} IS NOT NULL), arg_min({0}, id) FILTER (late = 1 AND {0} IS NOT NULL)) AS {0}"
+
+
+@query(_ENTITIES + f" SELECT organization_id, cd AS customer_digest, l_digest AS digest, any_value(l_way) AS strategy, {_FIRST.format('city')} FROM e GROUP BY 1, 2, 3")
+def resolved_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir, "location", ["city"], ("customer_digest",))
+
+
+@query(_ENTITIES + f" SELECT organization_id, e_digest AS digest, any_value(e_way) AS strategy, {_FIRST.format('serial')} FROM e WHERE e_digest IS NOT NULL GROUP BY 1, 2")
+def resolved_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir, "equipment", ["serial"])
+
+
+@query(_ENTITIES + f" SELECT organization_id, t_digest AS digest, any_value(t_way) AS strategy, {_FIRST.format('name')} FROM e WHERE t_digest IS NOT NULL GROUP BY 1, 2")
+def resolved_technicians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir, "technician", ["name"])
+
+
+@query(_ENTITIES + """ SELECT id, CASE WHEN id % 3 = 0 THEN 'external_id' ELSE 'job_natural_key' END AS strategy, CASE WHEN id % 3 = 0 THEN sha256(concat_ws('|', organization_id, 7, 'J' || id)) ELSE sha256(concat_ws('|', organization_id, cd, service_date::VARCHAR, CASE WHEN id % 3 = 1 THEN 'no heat' ELSE 'noise' END, CASE WHEN id % 5 = 0 THEN 'inv' || id ELSE '' END)) END AS digest FROM e""")
+def job_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _keyed(spark, sf_dir, False).union(_keyed(spark, sf_dir, True))
+    return rows.select(F.col("row_number").alias("id"), "job.strategy", "job.digest")
+
+
+@query(f"{v.JOBS_SQL} SELECT organization_id, customer_id, min(service_date) AS first_seen, max(service_date) AS last_seen, count_if(id % 2 = 1)::BIGINT + 5 AS job_count FROM jobs GROUP BY 1, 2 HAVING count_if(id % 2 = 0) > 0", days=("first_seen", "last_seen"))
+def customer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a first batch, said to have five jobs each, and what a second batch adds."""
+    jobs = v.jobs(spark, sf_dir)
+    keys = ["organization_id", "customer_id"]
+    known = resolve.rollup(jobs.where("id % 2 = 0"), keys).withColumn("job_count", F.lit(5).cast("long"))
+    return resolve.rolled(known, resolve.rollup(jobs.where("id % 2 = 1"), keys), keys)
+
+
+@query(f"""{v.JOBS_SQL}, k AS (SELECT organization_id, id, id % 1000 AS ext, id % 2 AS late, id % 10 = 1 AS bad FROM jobs), c AS (SELECT organization_id, ext, bool_or(late = 0) AS known FROM k GROUP BY 1, 2)
+SELECT id AS row_number, CASE WHEN bad THEN 'error' WHEN ext % 4 = 1 AND known THEN 'warning' WHEN known THEN 'updated' ELSE 'imported' END AS status, CASE WHEN NOT bad THEN sha256(concat_ws('|', organization_id, ext)) END AS job_id, CASE WHEN NOT bad AND ext % 4 = 1 AND known THEN 'POSSIBLE_DUPLICATE' ELSE '' END AS codes FROM k JOIN c USING (organization_id, ext) WHERE late = 1""")
+def row_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a second batch; jobs of every fourth id are known by natural keys alone."""
+    keys = ["organization_id", "external_id"]
+    rows = v.jobs(spark, sf_dir).select("organization_id", (F.col("id") % 1000).alias("external_id"), F.col("id").alias("row_number"), F.when(F.col("id") % 10 == 1, "error").otherwise("pending").alias("status"), n.no_issues().alias("issues"))
+    late = rows.where("row_number % 2 = 1")
+    jobs = resolve.jobs_upserted(None, rows.where("row_number % 2 = 0").select(*keys, "row_number"), keys, "batch-1").drop("change")
+    out = None
+    for natural in (False, True):
+        part = late.where((F.col("external_id") % 4 == 1) == F.lit(natural))
+        after = resolve.jobs_upserted(jobs, part.where("status <> 'error'").select(*keys, "row_number"), keys, "batch-2", by_natural_key=natural)
+        done = resolve.row_outcomes(part, after, keys)
+        out = done if out is None else out.union(done)
+    return out.select("row_number", "status", "job_id", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
+
+
+@query("SELECT source AS organization_id, count_if(doc_id % 6 IN (0, 1) AND doc_id % 5 > 0)::BIGINT AS active FROM documents GROUP BY 1")
+def active_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    status = F.get(F.array(*map(F.lit, ["queued", "processing", "completed", "failed", "uploaded", "validating"])), (k % 6).cast("int"))
+    batches = v.table(spark, sf_dir, "documents").select(F.col("source").alias("organization_id"), status.alias("status"), F.when(k % 5 == 0, F.lit("2026-01-01").cast("timestamp")).alias("deleted_at"))
+    return validate.active_imports(batches)
+
+
 @query(f"{v.JOBS_SQL}, k AS (SELECT organization_id, id % 1000 AS ext, id, id % 2 AS late, revenue FROM jobs) SELECT organization_id, ext AS external_id, arg_max(id, late * 1000000000 + id) AS row_number, coalesce(min(CASE WHEN late = 0 THEN 'batch-1' END), 'batch-2') AS first_import_batch_id, CASE WHEN max(late) = 1 THEN CASE WHEN min(late) = 0 THEN 'updated' ELSE 'created' END ELSE 'kept' END AS change FROM k GROUP BY 1, 2")
 def jobs_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.jobs(spark, sf_dir).select("organization_id", (F.col("id") % 1000).alias("external_id"), F.col("id").alias("row_number"), "revenue")
@@ -304,12 +485,12 @@ def batch_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.batch_range(v.jobs(spark, sf_dir).withColumn("batch_id", F.col("id") % 20))
 
 
-@query("SELECT doc_id, list_count(list_filter(list_distinct(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')), lambda x: x <> ''))::INTEGER AS n_tokens FROM documents")
+@query("SELECT doc_id, list_count(t)::INTEGER AS n_tokens, sha256(array_to_string(list_sort(t), ' ')) AS tokens FROM (SELECT doc_id, list_filter(list_distinct(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')), lambda x: x <> '') AS t FROM documents)")
 def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.table(spark, sf_dir, "documents").select("doc_id", F.size(n.search_tokens(F.col("text"))).alias("n_tokens"))
+    return v.table(spark, sf_dir, "documents").select("doc_id", n.search_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.sha2(F.array_join(F.array_sort("t"), " ").cast("binary"), 256).alias("tokens"))
 
 
 @query("SELECT doc_id FROM documents WHERE list_has_all(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), ['the', 'and', 'of'])")
 def job_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = v.table(spark, sf_dir, "documents")
-    return docs.where(F.size(F.array_except(F.array(*map(F.lit, ["the", "and", "of"])), n.search_tokens(F.col("text")))) == 0).select("doc_id")
+    return analytics.job_search(docs.withColumnRenamed("text", "description"), "The, of - AND").select("doc_id")

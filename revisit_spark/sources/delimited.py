@@ -2,49 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import csv
+import io
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as n
 from ..operators.validate import shape_issues
+from .tables import staged
+
+#: The columns of an issue report.
+REPORT = ("row_number", "status", "error_code", "field", "message", "raw_value")
+
+
+def cells_of(line: Column, separator: str = ",") -> Column:
+    """The cells of a line; quoted ones may hold separators and doubled quotes. A blank line has none."""
+    s = re.escape(separator)
+    found = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(rf'{s}("[^"]*+(?:""[^"]*+)*+"|[^{s}]*+)'), F.lit(1))
+    bare = F.transform(found, lambda c: F.when(c.rlike('^".*"$'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(bare)
+
+
+def _from_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """(file, at, cells): a row for each line, numbered from 0 within its file.
+
+    A line's number is its place within its block of the file plus the lines of the blocks before, so a
+    file of any size is read by many tasks. Lines are written once: numbers and lines are of one reading.
+    """
+    value = F.regexp_replace(F.make_valid_utf8("value"), "^\ufeff", "")
+    lines = staged(spark.read.text(path).select(value.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")))
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.count("*").alias("lines"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("low")).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("at"), cells_of(F.col("line"), separator).alias("cells"))
+
+
+def _from_files(spark: SparkSession, path: str, separator: str, encoding: str) -> DataFrame:
+    """The same for files whose cells hold line ends, or that aren't UTF-8: a file is one task."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                text = io.TextIOWrapper(io.BytesIO(content), encoding, errors="replace", newline="")
+                part: list[tuple] = []
+                for at, row in enumerate(csv.reader(text, delimiter=separator)):
+                    part.append((name, at, [c.removeprefix("\ufeff") for c in row] if at == 0 else row))
+                    if len(part) == 5000:
+                        yield pd.DataFrame(part, columns=["file", "at", "cells"])
+                        part = []
+                yield pd.DataFrame(part, columns=["file", "at", "cells"])
 
-def read_rows(spark: SparkSession, path: str, columns: list[str], separator: str = ",", encoding: str = "UTF-8", header: bool = True, extra: int = 8) -> DataFrame:
-    """(row_number, raw map, issues) of one file's rows; numbers start behind the header.
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, at long, cells array<string>")
 
-    Short rows are filled with empty cells, up to ``extra`` further cells are kept as ``__extra_n``; either
-    is an issue. Quoted cells may hold line ends. Numbers are dense within each part of the file first and
-    then shifted by the parts before it, so no task holds the file.
+
+def read_rows(spark: SparkSession, path: str, columns: list[str], separator: str = ",", encoding: str = "UTF-8", header: bool = True, multi_line: bool = False) -> DataFrame:
+    """(file, row_number, raw map, issues) of the rows of files; numbers start behind each file's header.
+
+    Short rows are filled with empty cells, all further cells are kept as ``__extra_n``; either is an issue.
+    Lines are read in parts of a file, unless cells may hold line ends (``multi_line``) or the encoding is
+    another one: then each file is a task. Bytes that can't be read become U+FFFD.
+    """
+    plain = encoding.upper().replace("_", "-") in ("UTF-8", "UTF8") and not multi_line
+    rows = _from_lines(spark, path, separator) if plain else _from_files(spark, path, separator, encoding)
+    if header:
+        rows = rows.where("at > 0")
+    k = len(columns)
+    own = F.array(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")) for i in range(k)))
+    beyond = F.slice("cells", k + 1, F.greatest(F.size("cells") - k, F.lit(0)))
+    names = F.concat(F.array(*map(F.lit, columns)), F.transform(beyond, lambda c, i: F.concat(F.lit("__extra_"), (i + 1).cast("string"))))
+    raw = F.map_from_arrays(names, F.concat(own, beyond))
+    return rows.select("file", (F.col("at") + 1).alias("row_number"), raw.alias("raw"), shape_issues(F.col("cells"), k).alias("issues"))
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """(batch_id, row_number, at, value): a report's lines, headed by one with the names of its columns.
+
+    Each line's last cell ends with a CR, which makes CRLF with the line end that is written.
     """
-    names = [*columns, *(f"__extra_{i + 1}" for i in range(extra))]
-    schema = ", ".join(f"`{c}` string" for c in names)
-    rows = spark.read.csv(path, schema=schema, sep=separator, encoding=encoding, header=header, multiLine=True, mode="PERMISSIVE", enforceSchema=True, nullValue="\u0000", emptyValue="")
-    cells = F.array(*(F.col(f"`{c}`") for c in names))
-    filled = F.size(F.filter(cells, lambda c: c.isNotNull()))
-    kept = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), cells), lambda k, v: v.isNotNull() | k.isin(*columns))
-    raw = F.transform_values(kept, lambda k, v: F.coalesce(v, F.lit("")))
-    fields = F.slice(cells, 1, filled)
-    found = rows.select(raw.alias("raw"), shape_issues(fields, len(columns)).alias("issues"), F.monotonically_increasing_id().alias("_id"))
-    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = found.groupBy(part.alias("_part")).count()
-    before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = found.withColumns({"_part": part, "_at": at}).join(F.broadcast(before), "_part")
-    return out.select((F.col("_before") + F.col("_at") + (2 if header else 1)).alias("row_number"), "raw", "issues")
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in REPORT]
+    lines = report.select("batch_id", "row_number", "at", F.concat(F.concat_ws(",", *quoted), F.lit("\r")).alias("value"))
+    head = report.sparkSession.range(1).select(F.lit(None).cast(report.schema["batch_id"].dataType).alias("batch_id"), F.lit(None).cast(report.schema["row_number"].dataType).alias("row_number"), F.lit(-1).alias("at"), F.lit(",".join(REPORT) + "\r").alias("value"))
+    return head.union(lines)
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """An issue report in order of rows, CRLF between lines: each line's last cell ends with the CR."""
-    columns = ["row_number", "status", "error_code", "field", "message", "raw_value"]
-    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
-    lines = report.orderBy("batch_id", "row_number", "at").select(F.concat(F.concat_ws(",", *quoted), F.lit("\r")).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    """An issue report: its header, then lines in order of rows."""
+    report_lines(report).orderBy(F.col("batch_id").asc_nulls_first(), F.col("row_number").asc_nulls_first(), "at").select("value").write.mode("overwrite").text(path)
 
 
-def write_export(rows: DataFrame, path: str) -> None:
-    """Any table as CSV with cells that are safe for spreadsheets; maps, lists and structs as JSON."""
+def export_cells(rows: DataFrame) -> DataFrame:
+    """Any table as text cells that are safe for spreadsheets; maps, lists and structs as JSON."""
     cells = []
     for f in rows.schema.fields:
         c = F.col(f"`{f.name}`")
-        c = F.to_json(c) if f.dataType.typeName() in ("struct", "array", "map") else c.cast("string")
+        if f.dataType.typeName() == "map":
+            c = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
+        else:
+            c = F.to_json(c) if f.dataType.typeName() in ("struct", "array") else c.cast("string")
         cells.append(n.csv_safe(c).alias(f.name))
-    rows.select(*cells).write.mode("overwrite").csv(path, header=True)
+    return rows.select(*cells)
+
+
+def write_export(rows: DataFrame, path: str) -> None:
+    export_cells(rows).write.mode("overwrite").csv(path, header=True)

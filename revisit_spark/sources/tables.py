@@ -19,9 +19,8 @@ def write(df: DataFrame, root: str, name: str, by: str | None = None) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{root}/{name}")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written into the shared folder of the cluster and read again, so that plans stay short."""
-    spark = df.sparkSession
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A new path in the shared folder of the cluster; a local one only where none is named (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -30,6 +29,11 @@ def staged(df: DataFrame) -> DataFrame:
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-stage-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/stage-{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written into the shared folder of the cluster and read again, so that plans stay short."""
+    spark, path = df.sparkSession, stage_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
