@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import search_tokens
+
 
 def trend(rows: DataFrame, confirmed: Column, cost: Column, period: str = "month") -> DataFrame:
     return rows.groupBy(F.trunc("service_date", period).alias("period")).agg(F.count("*").alias("jobs"), F.count_if(confirmed).alias("confirmed"), F.sum(cost).alias("cost"))
@@ -62,3 +64,55 @@ def related_visits(pairs: DataFrame, jobs: DataFrame) -> DataFrame:
     for own, other in (("prior_id", "followup_id"), ("followup_id", "prior_id")):
         sides.append(pairs.select("organization_id", F.col(own).alias("id"), F.col(other).alias("other_id")).join(ids, ["organization_id", "id"], "left_semi"))
     return sides[0].union(sides[1]).distinct()
+
+
+def suppression_error(suppressed: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Per reason: suppressed pairs, those that people took back, those then confirmed, and these per ten
+    thousand suppressed ones. ``suppressed`` has reason and taken_back."""
+    rows = suppressed.join(reviews.select(*_PAIR, "decision"), _PAIR, "left")
+    wrong = F.col("taken_back") & (F.col("decision") == "confirmed")
+    n = rows.groupBy("reason").agg(F.count("*").alias("suppressed"), F.count_if("taken_back").alias("taken_back"), F.count_if(wrong).alias("confirmed"))
+    return n.withColumn("error", F.expr("(confirmed * 10000) div suppressed"))
+
+
+def top_share(scored: DataFrame, parts: int = 10) -> DataFrame:
+    """``scored`` with in_top: whether fewer than one ``parts``-th of all rows have a higher score.
+
+    Rows are counted by score first (10,001 scores at most), so no task ranks them all.
+    """
+    counts = scored.groupBy("basis_points").agg(F.count("*").alias("_n"))
+    above = Window.orderBy(F.desc("basis_points")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select("basis_points", (F.coalesce(F.sum("_n").over(above), F.lit(0)) * parts < F.sum("_n").over(Window.partitionBy())).alias("in_top"))
+    return scored.join(F.broadcast(placed), "basis_points")
+
+
+def label_evaluation(scored: DataFrame, labels: DataFrame, surface: int = 40) -> DataFrame:
+    """Per kind of labelled pair (callback, maintenance, unrelated): how many there are, are in the top tenth of
+    all scores, are vetoed, and lie under the surface threshold."""
+    rows = top_share(scored).join(labels.select(*_PAIR, "kind"), _PAIR)
+    return rows.groupBy("kind").agg(F.count("*").alias("pairs"), F.count_if("in_top").alias("top_tenth"), F.count_if(F.col("suppressed_by").isNotNull()).alias("vetoed"), F.count_if(F.col("basis_points") < surface * 100).alias("under_surface"))
+
+
+def whatif(before: DataFrame, after: DataFrame, most: int = 20) -> DataFrame:
+    """The pairs among the first ``most`` under either of two rule sets, with their ranks (null: not among them)."""
+
+    def ranked(rows: DataFrame, name: str) -> DataFrame:
+        top = rows.orderBy(F.desc("basis_points"), *_PAIR).limit(most)
+        return top.select(*_PAIR, F.row_number().over(Window.orderBy(F.desc("basis_points"), *_PAIR)).alias(name))
+
+    return ranked(before, "rank_before").join(ranked(after, "rank_after"), _PAIR, "full_outer")
+
+
+def job_search(jobs: DataFrame, asked: str | None = None, texts: tuple[str, ...] = ("summary", "description", "symptoms", "diagnosis", "resolution"), **equal) -> DataFrame:
+    """Jobs with all words of ``asked`` in their texts, dated date_from to date_to, and equal in other columns given."""
+    for column, value in equal.items():
+        if column == "date_from":
+            jobs = jobs.where(F.col("service_date") >= F.lit(value).cast("date"))
+        elif column == "date_to":
+            jobs = jobs.where(F.col("service_date") <= F.lit(value).cast("date"))
+        elif value is not None:
+            jobs = jobs.where(F.col(column) == value)
+    if asked:
+        have = search_tokens(*(F.col(c) for c in texts if c in jobs.columns))
+        jobs = jobs.where(F.size(F.array_except(search_tokens(F.lit(asked)), have)) == 0)
+    return jobs

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 SORTS = ("basis_points", "days_between", "first_detected_run")
 PAGE, MOST = 50, 200
 
@@ -69,13 +71,17 @@ def proof(rows: DataFrame, most: int = 50) -> DataFrame:
 def hydrated(page_rows: DataFrame, jobs: DataFrame, customers: DataFrame | None = None, technicians: DataFrame | None = None, reviews: DataFrame | None = None) -> DataFrame:
     """A page with both jobs as structs (pairs without either drop out), names and the current review.
 
-    A page has a bounded number of rows, so it is sent to the large tables' scans, not the other way.
+    A page has MOST + 1 rows at most, which is checked here as it is worked out; so it is sent to the large
+    tables' scans, not the other way. Longer tables are joined as they are.
     """
-    small = F.broadcast(page_rows)
+    rows = staged(page_rows)
+    few = rows.count() <= MOST + 1
+    sent = F.broadcast if few else (lambda x: x)
+    small = sent(rows)
     columns = [c for c in jobs.columns if c not in ("organization_id", "id")]
     for side in ("prior", "followup"):
         part = jobs.select("organization_id", F.col("id").alias(f"{side}_id"), F.struct(*columns).alias(side))
-        small = F.broadcast(part.join(small, ["organization_id", f"{side}_id"]))
+        small = sent(part.join(small, ["organization_id", f"{side}_id"]))
     out = small
     if customers is not None:
         out = out.join(customers.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name")), "customer_id", "left")

@@ -56,3 +56,16 @@ def evidence(evaluated: DataFrame) -> DataFrame:
     order = F.array_sort(F.transform("signals", lambda s: F.struct((-s["contribution"]).alias("down"), s["key"].alias("key"), s.alias("s"))))
     each = evaluated.select("organization_id", "prior_id", "followup_id", F.posexplode(order).alias("at", "e"))
     return each.select("organization_id", "prior_id", "followup_id", (F.col("at") + 1).alias("rank"), "e.s.*")
+
+
+def current_evidence(stored: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Of the stored evidence of all runs, what belongs to each candidate's current run."""
+    return stored.join(snapshot.select("organization_id", "prior_id", "followup_id", "run_id"), ["organization_id", "prior_id", "followup_id", "run_id"], "left_semi")
+
+
+def merged(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of runs with those of a run put in: what is there under the same keys is replaced, so reruns agree.
+
+    Keys are pair, run and signal for evidence; pair and run for the score history.
+    """
+    return new if old is None else old.join(new.select(*keys), keys, "left_anti").unionByName(new)

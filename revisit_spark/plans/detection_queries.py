@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, candidates, pairs, queue, scoring, signals
+from ..operators import analytics, candidates, costs, lifecycle, pairs, queue, reviews, scoring, signals
+from ..sources import delimited
+from ..sources.tables import staged
 from . import testviews as v
 from .detect import detect
 
@@ -94,7 +96,7 @@ SCORES = "SELECT organization_id, prior_id, followup_id, raw_cents, basis_points
 
 
 def evaluated(spark: SparkSession, sf_dir: str, rules=signals.DEFAULT_RULES, window: int = 30, cap: int = 25) -> DataFrame:
-    jobs = v.jobs(spark, sf_dir)
+    jobs = staged(v.jobs(spark, sf_dir))
     found = pairs.candidate_pairs(jobs, window, cap)
     return signals.evaluated(signals.pair_context(found, jobs, v.equipment(spark, sf_dir), v.line_items(spark, sf_dir), window), with_maintenance(rules))
 
@@ -153,7 +155,7 @@ def scores_custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = v.jobs(spark, sf_dir)
+    jobs = staged(v.jobs(spark, sf_dir))
     first = candidates.upserted(None, pairs.candidate_pairs(jobs), "run-1").drop("change")
     second = candidates.upserted(first, pairs.candidate_pairs(jobs, window=7), "run-2")
     return candidates.out_of_window(second, pairs.visits(jobs), "run-2")
@@ -177,10 +179,10 @@ def candidate_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     AND f.service_date BETWEEN p.service_date AND p.service_date + 30 AND (f.service_date, f.order_ts, f.id) > (p.service_date, p.order_ts, p.id))
 SELECT count(*) AS pairs, 0::BIGINT AS created, count(*) AS updated, ((SELECT n FROM old) - count(*) + count(suppressed_by))::BIGINT AS suppressed, count(*) AS scored FROM scores""")
 def detection_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs, gear, lines = v.jobs(spark, sf_dir), v.equipment(spark, sf_dir), v.line_items(spark, sf_dir)
+    jobs, gear, lines = staged(v.jobs(spark, sf_dir)), v.equipment(spark, sf_dir), v.line_items(spark, sf_dir)
     rules = with_maintenance(signals.DEFAULT_RULES)
     first = detect(jobs, gear, lines, rules=rules)
-    second = detect(jobs, gear, lines, first.snapshot.drop("change"), "run-2", window=7, rules=rules)
+    second = detect(jobs, gear, lines, staged(first.snapshot.drop("change")), "run-2", window=7, rules=rules)
     return second.counters
 
 
@@ -188,7 +190,7 @@ QUEUE = scores_sql() + ", q AS (SELECT scores.*, sha256(concat_ws('|', organizat
 
 
 def open_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = v.jobs(spark, sf_dir)
+    jobs = staged(v.jobs(spark, sf_dir))
     snapshot = candidates.upserted(None, pairs.candidate_pairs(jobs), "run-1").drop("change")
     return queue.ready(snapshot, scored(spark, sf_dir))
 
@@ -208,7 +210,7 @@ def queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(QUEUE + ", c AS (SELECT basis_points AS v, candidate_id AS i FROM q WHERE suppressed_by IS NULL ORDER BY 1 DESC, 2 DESC LIMIT 1 OFFSET 49) SELECT candidate_id, basis_points FROM q, c WHERE suppressed_by IS NULL AND (basis_points < v OR basis_points = v AND candidate_id < i) ORDER BY basis_points DESC, candidate_id DESC LIMIT 51")
 def queue_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = open_queue(spark, sf_dir)
+    rows = staged(open_queue(spark, sf_dir))
     last = queue.page(rows, "basis_points").limit(50).orderBy("basis_points", "candidate_id").select("basis_points", "candidate_id").first()
     cursor = (last[0], last[1]) if last else None
     return queue.page(rows, "basis_points", cursor).select("candidate_id", "basis_points")
@@ -221,23 +223,23 @@ def queue_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on two of three pairs, by the follow-up's number."""
+    """A decision on every pair, by the follow-up's number."""
     k = F.col("followup_id") % 3
-    found = pairs.candidate_pairs(v.jobs(spark, sf_dir)).where(k < 2)
-    return found.select("organization_id", "prior_id", "followup_id", F.when(k == 0, "confirmed").otherwise("rejected").alias("decision"))
+    found = pairs.candidate_pairs(staged(v.jobs(spark, sf_dir)))
+    return found.select("organization_id", "prior_id", "followup_id", F.when(k == 0, "confirmed").when(k == 1, "rejected").otherwise("uncertain").alias("decision"))
 
 
-@query(scores_sql() + " SELECT band, count_if(followup_id % 3 = 0)::BIGINT AS confirmed, count_if(followup_id % 3 = 1)::BIGINT AS rejected, (count_if(followup_id % 3 = 0) * 10000 // count(*))::BIGINT AS precision FROM scores WHERE followup_id % 3 < 2 GROUP BY band")
+@query(scores_sql() + " SELECT band, count_if(followup_id % 3 = 0)::BIGINT AS confirmed, count_if(followup_id % 3 = 1)::BIGINT AS rejected, (count_if(followup_id % 3 = 0) * 10000 // nullif(count_if(followup_id % 3 < 2), 0))::BIGINT AS precision FROM scores GROUP BY band")
 def precision_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.precision_by_band(scored(spark, sf_dir), truth(spark, sf_dir))
 
 
-@query(scores_sql() + " SELECT least(basis_points // 1000, 9)::INTEGER AS bucket, count(*) AS reviewed, count_if(followup_id % 3 = 0)::BIGINT AS confirmed FROM scores WHERE followup_id % 3 < 2 GROUP BY 1")
+@query(scores_sql() + " SELECT least(basis_points // 1000, 9)::INTEGER AS bucket, count(*) AS reviewed, count_if(followup_id % 3 = 0)::BIGINT AS confirmed FROM scores GROUP BY 1")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.calibration(scored(spark, sf_dir), truth(spark, sf_dir))
 
 
-@query(scores_sql() + " SELECT key, count_if(outcome = 'matched')::BIGINT AS matched, count_if(outcome = 'matched' AND followup_id % 3 = 0)::BIGINT AS matched_confirmed, count_if(outcome = 'not_matched')::BIGINT AS not_matched, count_if(outcome = 'not_matched' AND followup_id % 3 = 0)::BIGINT AS not_matched_confirmed FROM each WHERE followup_id % 3 < 2 GROUP BY key")
+@query(scores_sql() + " SELECT key, count_if(outcome = 'matched')::BIGINT AS matched, count_if(outcome = 'matched' AND followup_id % 3 = 0)::BIGINT AS matched_confirmed, count_if(outcome = 'not_matched')::BIGINT AS not_matched, count_if(outcome = 'not_matched' AND followup_id % 3 = 0)::BIGINT AS not_matched_confirmed FROM each GROUP BY key")
 def signal_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.signal_lift(scoring.evidence(evaluated(spark, sf_dir)), truth(spark, sf_dir))
 
@@ -248,7 +250,133 @@ def failing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.failing_parts(signals.pair_context(pairs.candidate_pairs(jobs), jobs, None, v.line_items(spark, sf_dir)))
 
 
-@query(PAIRS + " SELECT DISTINCT organization_id, id, other_id FROM (SELECT organization_id, prior_id AS id, followup_id AS other_id FROM pairs UNION ALL SELECT organization_id, followup_id, prior_id FROM pairs) WHERE id % 2 = 0")
+@query(PAIRS + " SELECT DISTINCT organization_id, id, other_id FROM (SELECT organization_id, prior_id AS id, followup_id AS other_id FROM pairs UNION ALL SELECT organization_id, followup_id, prior_id FROM pairs)")
 def related_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = v.jobs(spark, sf_dir)
-    return analytics.related_visits(pairs.candidate_pairs(jobs), jobs.where("id % 2 = 0"))
+    return analytics.related_visits(pairs.candidate_pairs(jobs), jobs)
+
+
+@query(scores_sql() + """, c AS (SELECT *, CASE WHEN kind = 'additive' AND outcome = 'matched' THEN (w * strength * 2 + 10000) // 20000 ELSE 0 END::BIGINT AS c FROM each),
+r AS (SELECT *, row_number() OVER (PARTITION BY organization_id, prior_id, followup_id ORDER BY c DESC, key) AS n FROM c) SELECT organization_id, prior_id, followup_id, string_agg(key, ',' ORDER BY n) AS keys FROM r WHERE n <= 3 GROUP BY 1, 2, 3""")
+def top_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = queue.top_signals(scoring.evidence(evaluated(spark, sf_dir)))
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"])
+    return top.groupBy("organization_id", "prior_id", "followup_id").agg(F.array_join(keys, ",").alias("keys"))
+
+
+@query(QUEUE + """, h AS (SELECT *, followup_id % 3 = 0 AS back FROM q WHERE suppressed_by IS NOT NULL) SELECT suppressed_by AS reason, count(*) AS suppressed, count_if(back)::BIGINT AS taken_back, count_if(back AND followup_id % 2 = 0)::BIGINT AS confirmed,
+ (count_if(back AND followup_id % 2 = 0) * 10000 // count(*))::BIGINT AS error FROM h GROUP BY 1""")
+def suppression_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("followup_id")
+    hidden = staged(scored(spark, sf_dir).where("suppressed_by is not null").select("organization_id", "prior_id", "followup_id", F.col("suppressed_by").alias("reason"), (k % 3 == 0).alias("taken_back")))
+    decided = hidden.select("organization_id", "prior_id", "followup_id", F.when(k % 2 == 0, "confirmed").otherwise("rejected").alias("decision"))
+    return analytics.suppression_error(hidden, decided)
+
+
+@query(scores_sql() + """, l AS (SELECT *, CASE WHEN suppressed_by = 'scheduled_maintenance' THEN 'maintenance' WHEN followup_id % 3 = 0 THEN 'callback' ELSE 'unrelated' END AS kind, (rank() OVER (ORDER BY basis_points DESC) - 1) * 10 < count(*) OVER () AS top FROM scores)
+SELECT kind, count(*) AS pairs, count_if(top)::BIGINT AS top_tenth, count_if(suppressed_by IS NOT NULL)::BIGINT AS vetoed, count_if(basis_points < 4000)::BIGINT AS under_surface FROM l GROUP BY 1""")
+def label_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(scored(spark, sf_dir).drop("signals"))
+    kind = F.when(F.col("suppressed_by") == "scheduled_maintenance", "maintenance").when(F.col("followup_id") % 3 == 0, "callback").otherwise("unrelated")
+    return analytics.label_evaluation(rows, rows.select("organization_id", "prior_id", "followup_id", kind.alias("kind")))
+
+
+def _top_sql(rules, ratio: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY basis_points DESC, organization_id, prior_id, followup_id)::INTEGER AS place FROM ({scores_sql(rules, ratio)} SELECT organization_id, prior_id, followup_id, basis_points FROM scores) ORDER BY place LIMIT 20"
+
+
+@query(f"SELECT coalesce(a.organization_id, b.organization_id) AS organization_id, coalesce(a.prior_id, b.prior_id) AS prior_id, coalesce(a.followup_id, b.followup_id) AS followup_id, a.place AS rank_before, b.place AS rank_after FROM ({_top_sql(signals.DEFAULT_RULES, '0.20')}) a FULL JOIN ({_top_sql(CUSTOM_RULES, '0.50')}) b ON a.organization_id = b.organization_id AND a.prior_id = b.prior_id AND a.followup_id = b.followup_id")
+def whatif_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.whatif(scored(spark, sf_dir).drop("signals"), scored(spark, sf_dir, CUSTOM_RULES).drop("signals"))
+
+
+@query(scores_sql() + """, runs(run_no) AS (VALUES (1), (2), (3), (4), (5)) SELECT organization_id, prior_id, followup_id, run_no, count(*) AS n FROM each JOIN runs ON (prior_id + run_no) % 4 <> 0
+ WHERE (SELECT count(*) FROM runs later WHERE later.run_no > runs.run_no AND (prior_id + later.run_no) % 4 <> 0) < 3 GROUP BY 1, 2, 3, 4""")
+def evidence_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of five runs; a pair isn't in every run."""
+    rows = scoring.evidence(evaluated(spark, sf_dir)).withColumn("run_no", F.explode(F.array(*map(F.lit, range(1, 6))))).where((F.col("prior_id") + F.col("run_no")) % 4 != 0)
+    return lifecycle.evidence_retained(rows).groupBy("organization_id", "prior_id", "followup_id", "run_no").agg(F.count("*").alias("n"))
+
+
+@query(PAIRS + """, m AS (SELECT n_regionkey AS organization_id, 12 * (n_regionkey + 3) AS months FROM nation WHERE n_regionkey < 4 GROUP BY 1), k AS (SELECT jobs.organization_id, jobs.id FROM jobs LEFT JOIN m USING (organization_id) WHERE months IS NULL OR service_date >= DATE '2001-08-01' - to_months(months::INTEGER))
+SELECT organization_id, prior_id, followup_id, followup_id % 3 AS decided FROM pairs WHERE (organization_id, prior_id) IN (SELECT organization_id, id FROM k) AND (organization_id, followup_id) IN (SELECT organization_id, id FROM k)""")
+def reviews_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that hang on pairs whose both jobs are within their tenant's retention."""
+    jobs = staged(v.jobs(spark, sf_dir))
+    org = F.col("n_regionkey")
+    tenants = v.table(spark, sf_dir, "nation").where(org < 4).select(org.alias("organization_id"), ((org + 3) * 12).alias("retention_months")).distinct()
+    found = pairs.candidate_pairs(jobs)
+    kept = lifecycle.pairs_retained(found, lifecycle.jobs_retained(jobs, tenants, "2001-08-01"))
+    told = found.select("organization_id", "prior_id", "followup_id", (F.col("followup_id") % 3).alias("decided"))
+    return lifecycle.hanging_on(told, kept)
+
+
+@query(PAIRS + """, j AS (SELECT organization_id, id, id % 7 AS a, CASE WHEN id % 3 = 0 THEN (id + 1) % 7 ELSE id % 7 END AS b FROM jobs), t AS (SELECT DISTINCT organization_id, id, a = b AS goes, unnest([a, b]) AS batch_id FROM j),
+g AS (SELECT DISTINCT p.organization_id, prior_id, followup_id, batch_id FROM pairs p JOIN t ON t.organization_id = p.organization_id AND t.id IN (prior_id, followup_id) AND goes),
+x AS (SELECT organization_id, batch_id, count(*) AS candidates_deleted, sum(followup_id % 3)::BIGINT AS reviews_destroyed FROM g GROUP BY 1, 2)
+SELECT organization_id, batch_id, count_if(goes)::BIGINT AS jobs_deleted, count_if(NOT goes)::BIGINT AS jobs_retained, coalesce(any_value(candidates_deleted), 0) AS candidates_deleted, coalesce(any_value(reviews_destroyed), 0) AS reviews_destroyed FROM t LEFT JOIN x USING (organization_id, batch_id) GROUP BY 1, 2""")
+def import_delete_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = staged(v.jobs(spark, sf_dir))
+    k = F.col("id")
+    owned = jobs.select("organization_id", "id", (k % 7).alias("first_import_batch_id"), F.when(k % 3 == 0, (k + 1) % 7).otherwise(k % 7).alias("last_import_batch_id"))
+    found = staged(pairs.candidate_pairs(jobs))
+    told = found.select("organization_id", "prior_id", "followup_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("n")).where("n <= followup_id % 3")
+    return lifecycle.delete_preview(owned, found, told)
+
+
+@query(scores_sql() + """ SELECT organization_id::VARCHAR AS organization_id, prior_id::VARCHAR AS prior_id, followup_id::VARCHAR AS followup_id, basis_points::VARCHAR AS basis_points, band, coalesce(suppressed_by, '') AS suppressed_by, '''=' || band AS note FROM scores""")
+def candidate_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir).select("organization_id", "prior_id", "followup_id", "basis_points", "band", "suppressed_by", F.concat(F.lit("="), "band").alias("note"))
+    return delimited.export_cells(rows)
+
+
+_COST = """, v AS (SELECT p.organization_id, p.prior_id, p.followup_id, CASE WHEN p.followup_id % 6 = 0 THEN 90 ELSE 30 + p.followup_id % 180 END AS minutes, CASE WHEN f.technician_id IS NULL OR f.technician_id % 5 = 0 THEN {hourly} ELSE (20 + f.technician_id % 40) * 100 END AS rate,
+ coalesce((SELECT sum(round(l_extendedprice * 100)::BIGINT) FROM lineitem WHERE l_orderkey = p.followup_id AND l_returnflag = 'R'), 0)::BIGINT AS parts FROM pairs p JOIN jobs f ON f.organization_id = p.organization_id AND f.id = p.followup_id),
+cost{n} AS (SELECT *, (((minutes * (rate + 1500 + 100) + 60 * (2500 + 1000 + 99 + parts)) * 2 + 60) // 120)::BIGINT AS total_cents, ((minutes * rate * 2 + 60) // 120)::BIGINT AS labor_cents FROM v)"""
+
+
+def _costs(spark: SparkSession, sf_dir: str, version: int = 1, hourly: str = "45.50") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jobs, pairs and their costs under a model."""
+    jobs = staged(v.jobs(spark, sf_dir).withColumn("duration_minutes", F.when(F.col("id") % 6 != 0, 30 + F.col("id") % 180)))
+    s = F.col("s_suppkey")
+    technicians = v.table(spark, sf_dir, "supplier").select(s.alias("id"), F.when(s % 5 != 0, 20 + s % 40).alias("hourly_cost_amount"))
+    model = costs.CostModel(version, hourly, "25", "10", "15", custom=(("1", "hour"), ("0.99", "visit")))
+    found = staged(pairs.candidate_pairs(jobs))
+    return jobs, found, costs.visit_costs(found, jobs, technicians, v.line_items(spark, sf_dir), model)
+
+
+@query(PAIRS + _COST.format(hourly=4550, n=1) + " SELECT organization_id, prior_id, followup_id, labor_cents, 2500::BIGINT AS dispatch_cents, parts AS parts_cents, total_cents FROM cost1")
+def visit_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _costs(spark, sf_dir)[2].select("organization_id", "prior_id", "followup_id", "labor_cents", "dispatch_cents", "parts_cents", "total_cents")
+
+
+@query(PAIRS + _COST.format(hourly=4550, n=1) + ", w AS (SELECT * REPLACE (CASE WHEN technician_none THEN 9900 ELSE rate END AS rate) FROM (SELECT v.*, f.technician_id IS NULL OR f.technician_id % 5 = 0 AS technician_none FROM v JOIN jobs f ON f.organization_id = v.organization_id AND f.id = followup_id))"
+    " SELECT organization_id, prior_id, followup_id, CASE WHEN followup_id % 2 = 0 THEN c.total_cents ELSE (((w.minutes * (w.rate + 1500 + 100) + 60 * (2500 + 1000 + 99 + w.parts)) * 2 + 60) // 120)::BIGINT END AS total_cents FROM cost1 c JOIN w USING (organization_id, prior_id, followup_id)")
+def cost_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the pairs have a snapshot when the rates change under the same version; these stay."""
+    first, again = _costs(spark, sf_dir)[2], _costs(spark, sf_dir, hourly="99")[2]
+    return costs.snapshots(first.where("followup_id % 2 = 0"), again).select("organization_id", "prior_id", "followup_id", "total_cents")
+
+
+@query(PAIRS + _COST.format(hourly=4550, n=1) + """, n AS (SELECT organization_id, count(*) AS jobs_considered FROM jobs GROUP BY 1), r AS (SELECT organization_id, count_if(followup_id % 3 < 2)::BIGINT AS reviewed, count_if(followup_id % 3 = 2)::BIGINT AS pending, count_if(followup_id % 3 = 0)::BIGINT AS confirmed, sum(CASE WHEN followup_id % 3 = 0 THEN total_cents ELSE 0 END)::BIGINT AS cost_cents FROM cost1 GROUP BY 1)
+SELECT organization_id, jobs_considered, coalesce(reviewed, 0) AS reviewed, coalesce(pending, 0) AS pending, coalesce(confirmed, 0) AS confirmed, coalesce(cost_cents, 0) AS cost_cents, (coalesce(confirmed, 0) * 10000 // jobs_considered)::BIGINT AS rework_rate FROM n LEFT JOIN r USING (organization_id)""")
+def summary_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs, found, spent = _costs(spark, sf_dir)
+    k = F.col("followup_id") % 3
+    told = found.where(k < 2).select("organization_id", "prior_id", "followup_id", F.when(k == 0, "confirmed").otherwise("rejected").alias("decision"))
+    return costs.summary(jobs, found, told, spent).select("organization_id", "jobs_considered", "reviewed", "pending", "confirmed", "cost_cents", "rework_rate")
+
+
+@query(PAIRS + _COST.format(hourly=4550, n=1) + """, b AS (SELECT total_cents, CASE followup_id % 3 WHEN 0 THEN 'rework' WHEN 1 THEN 'not_rework' ELSE 'uncertain' END AS outcome, CASE WHEN followup_id % 3 = 0 THEN CASE WHEN followup_id % 2 = 0 THEN 'workmanship' ELSE 'other' END END AS root_cause FROM cost1)
+SELECT outcome, root_cause, count(*) AS pairs, sum(CASE WHEN outcome = 'rework' THEN total_cents ELSE 0 END)::BIGINT AS cost_cents FROM b GROUP BY ROLLUP (outcome, root_cause)""")
+def cause_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("followup_id")
+    rows = _costs(spark, sf_dir)[2].select("total_cents", F.when(k % 3 == 0, "warranty").when(k % 3 == 1, "unrelated").otherwise("unsure").alias("category"), F.when(k % 3 == 0, F.when(k % 2 == 0, "workmanship").otherwise("other")).alias("root_cause"))
+    return costs.breakdown(rows, "root_cause", reviews.categories(spark))
+
+
+@query(PAIRS + " SELECT p_brand AS what, count(*) AS pairs FROM pairs JOIN part ON p_partkey = equipment_id WHERE followup_id % 3 = 0 GROUP BY 1 ORDER BY pairs DESC, what LIMIT 50")
+def repeat_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    confirmed = truth(spark, sf_dir).where("decision = 'confirmed'").join(pairs.candidate_pairs(v.jobs(spark, sf_dir)), ["organization_id", "prior_id", "followup_id"])
+    gear = v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("model"))
+    return costs.repeat_equipment(confirmed, gear, "model")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, audit, queue, reviews, usage
+from ..operators import analytics, audit, lifecycle, queue, reviews, usage
 from . import testviews as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,10 +91,58 @@ def breakdown_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rollup("outcome", "category").agg(F.count("*").alias("n"))
 
 
-@query(f"{v.JOBS_SQL} SELECT id, CASE WHEN service_date < DATE '1998-01-01' THEN NULL ELSE raw_job_type END AS raw_data, service_date >= DATE '1996-01-01' AS retained FROM jobs")
+@query(f"""{v.JOBS_SQL}, m AS (SELECT n_regionkey AS organization_id, 12 * (n_regionkey + 3) AS months FROM nation WHERE n_regionkey < 4 GROUP BY 1) SELECT jobs.organization_id, id FROM jobs LEFT JOIN m USING (organization_id) WHERE months IS NULL OR service_date >= DATE '2001-08-01' - to_months(months::INTEGER)""")
 def jobs_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.jobs(spark, sf_dir).withColumn("kept", F.col("service_date") >= "1996-01-01")
-    return rows.select("id", analytics.pruned(F.col("raw_job_type"), F.col("service_date"), F.lit("imported"), "1998-04-01").alias("raw_data"), F.col("kept").alias("retained"))
+    org = F.col("n_regionkey")
+    tenants = v.table(spark, sf_dir, "nation").where(org < 4).select(org.alias("organization_id"), ((org + 3) * 12).alias("retention_months")).distinct()
+    return lifecycle.jobs_retained(v.jobs(spark, sf_dir), tenants, "2001-08-01").select("organization_id", "id")
+
+
+@query(f"{v.JOBS_SQL} SELECT id, CASE WHEN service_date < DATE '1998-01-01' AND id % 5 IN (0, 1, 2) THEN NULL ELSE raw_job_type END AS raw_data FROM jobs")
+def raw_payload_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.get(F.array(*map(F.lit, ["imported", "updated", "skipped_duplicate", "error", "warning"])), (F.col("id") % 5).cast("int"))
+    return v.jobs(spark, sf_dir).select("id", analytics.pruned(F.col("raw_job_type"), F.col("service_date"), status, "1998-04-01").alias("raw_data"))
+
+
+@query(_LOG + " SELECT candidate_id, id, row_number() OVER (PARTITION BY candidate_id ORDER BY id DESC)::INTEGER AS place FROM r")
+def review_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews.history(review_log(spark, sf_dir).dropDuplicates(["candidate_id", "id"])).select("candidate_id", "id", "place")
+
+
+@query(_LOG + " SELECT candidate_id, id, CASE WHEN candidate_id % 5 = 0 THEN 'unknown_candidate' WHEN candidate_id % 5 = 1 THEN 'candidate_suppressed' WHEN decision = 'confirmed' AND category IS NULL THEN 'category_required' WHEN root_cause IS NOT NULL AND decision <> 'confirmed' THEN 'root_cause_not_allowed' END AS refused, CASE WHEN candidate_id % 5 > 0 THEN candidate_id * 7 END AS basis_points_at_review FROM r")
+def reviews_of_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of candidates that are open, suppressed or not there."""
+    log = review_log(spark, sf_dir)
+    c = F.col("candidate_id")
+    known = log.select("candidate_id").distinct().where(c % 5 != 0).select("candidate_id", (c % 5 == 1).alias("suppressed"), (c * 7).alias("basis_points"))
+    return reviews.judged(log, reviews.categories(spark), known).select("candidate_id", "id", "refused", "basis_points_at_review").distinct()
+
+
+_DEFAULTS = ", ".join(f"('{k}', '{o}')" for o, keys in reviews.CATEGORIES.items() for k in keys)
+
+
+@query(f"WITH d(key, outcome) AS (VALUES {_DEFAULTS}), o AS (SELECT DISTINCT n_nationkey AS organization_id FROM nation) SELECT organization_id, key, outcome FROM o, d WHERE NOT (organization_id % 3 = 0 AND outcome = 'rework') AND NOT (organization_id % 2 = 0 AND key = 'unsure')")
+def taxonomy_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default categories that tenants lack: some have all of an outcome, some have one of their own under a default's key."""
+    org = F.col("organization_id")
+    tenants = v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("organization_id"))
+    defaults = reviews.categories(spark)
+    every = tenants.withColumn("one", F.lit(1)).join(F.broadcast(defaults.withColumn("one", F.lit(1))), "one").drop("one")
+    have = every.where(((org % 3 == 0) & (F.col("outcome") == "rework")) | ((org % 2 == 0) & (F.col("key") == "unsure")))
+    return reviews.missing_defaults(have, every, ["organization_id", "key"]).select("organization_id", "key", "outcome")
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id AS k FROM events) SELECT k AS organization_id, CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN 5000 WHEN 2 THEN 900 WHEN 3 THEN 900 WHEN 4 THEN 5000 WHEN 5 THEN 900 ELSE 5000 END::BIGINT AS most FROM u""")
+def limits_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0: an override without a limit, 1: an expired one, 2 to 5: plans (active, past due for 5 and for 40 days, trialing), 6: none."""
+    org = F.col("organization_id")
+    used = v.table(spark, sf_dir, "events").select(F.col("user_id").alias("organization_id"), F.lit("jobs_imported").alias("metric")).distinct()
+    at = lambda day: F.lit(day).cast("timestamp")
+    overrides = used.where(org % 7 < 2).select("organization_id", "metric", F.when(org % 7 == 1, 77).cast("long").alias("most"), F.when(org % 7 == 1, at("2025-12-31")).alias("expires_at"))
+    state = F.when(org % 7 == 2, "active").when(org % 7 == 5, "trialing").otherwise("past_due")
+    since = F.when(org % 7 == 3, at("2025-12-27")).when(org % 7 == 4, at("2025-11-22"))
+    plans = used.where((org % 7).between(2, 5)).select("organization_id", "metric", F.lit(900).cast("long").alias("most"), state.alias("status"), since.alias("past_due_since"))
+    return usage.limits(used, overrides, plans, "2026-01-01").select("organization_id", "most")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 51")
