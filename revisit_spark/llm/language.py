@@ -180,7 +180,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     """(n, key, lang, c): words (n = 0) and n-grams of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", 1 << 20):
+        for batch in pieces(batches, "_text", 1 << 18):
             langs = batch.column("lang").to_pylist()
             w = letter_words(batch.column("_text").to_pylist())
             lang, sums = np.repeat(np.arange(len(langs)), np.diff(w.at)), w.sums()
@@ -280,7 +280,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", names: tuple[s
     made = result_names(docs, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, 1 << 20):
+        for batch in pieces(batches, text, 1 << 18):
             pred, score, fit = sent.value.predict(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())], names=[*batch.schema.names, *made])
 

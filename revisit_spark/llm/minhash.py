@@ -147,7 +147,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
     """(id, n_shingles, digest, keys, sketch) of each row; digest is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", 1 << 20):
             sets = shingle_sets(batch.column("_text"), n)
             sig = signatures(sets)
             keys, sketch = band_keys(sig), sketches(sig)
@@ -171,7 +171,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             keep = member(wanted.value, whole.column("_spot").to_numpy().view(np.uint64))
-            for batch in pieces(iter([whole.filter(pa.array(keep))]), "_text"):
+            for batch in pieces(iter([whole.filter(pa.array(keep))]), "_text", 1 << 20):
                 sets = shingle_sets(batch.column("_text"), n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), pa.array([hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in sets], pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())],
