@@ -107,6 +107,11 @@ def unfiltered(rows: np.ndarray, heights: np.ndarray) -> np.ndarray:
     return done.reshape(total + 1, line)[place, 1:].astype(np.uint8)
 
 
+def unfilter(rows: np.ndarray) -> np.ndarray:
+    """Samples of one image's filtered rows."""
+    return unfiltered(rows, np.array([len(rows)]))
+
+
 def encoded(rows: np.ndarray, level: int = 1) -> bytes:
     """A PNG of filtered rows."""
     head = struct.pack(">IIBBBBB", rows.shape[1] - 1, len(rows), 8, GREY, 0, 0, INTERLACE_NONE)
@@ -147,8 +152,7 @@ def write_png(samples: np.ndarray, level: int = 1) -> bytes:
 
 def read_png(stored: bytes) -> np.ndarray:
     """The samples of an 8-bit grey PNG."""
-    rows = decoded(stored)
-    return unfiltered(rows, np.array([len(rows)]))
+    return unfilter(decoded(stored))
 
 
 def shrunk(image: np.ndarray) -> np.ndarray:
