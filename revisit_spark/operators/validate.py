@@ -119,7 +119,7 @@ def validated(rows: DataFrame, mapping: Mapping, today: str, order: Column | str
     known = F.col("_status").isNull() | F.col("_status").isin(*STATUSES)
     said = n.result(F.when(F.col("_status").isNotNull() & known, F.col("_status")).otherwise("unknown"), (~known, n.issue("UNKNOWN_ENUM_VALUE", "warning", "job_status", raw("job_status"))))
     kinds["job_status"] = "text"
-    out = out.withColumn("_job_status", said)
+    out = staged(out.withColumn("_job_status", said))  # parsed once; keys and issues below use each value many times
     value = lambda t: F.col(f"_{t}.value") if t in kinds else F.lit(None).cast("string")
     compared = [t for t in _COMPARED if t in kinds]
     out = out.withColumn("_e164", n.phone(value("customer_phone")))
