@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, in_arrow
 
 #: 2**25 bits are 4 MB.
 BITS = 25
@@ -72,7 +72,7 @@ def possible(rows: DataFrame, packed, spots: str, there: bool = True) -> DataFra
                 batch = whole.slice(i, 1000)
                 yield batch.filter(pa.array(member(packed.value, batch.column(spots).to_numpy().view(np.uint64)) == there))
 
-    return rows.mapInArrow(run, rows.schema)
+    return in_arrow(rows, run, rows.schema)
 
 
 def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:

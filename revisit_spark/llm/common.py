@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Word characters' complements, as Java patterns.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of rows that are sent to a Python worker at a time.
+BATCH = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +61,17 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_arrow(rows: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` in batches of ``BATCH`` bytes, unless the session names its own bound.
+
+    By Spark's own bound (10,000 rows or 64 MB) each task holds some batches of that size in the JVM and again in Python.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH)
+    return rows.mapInArrow(run, schema)
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text, the same wherever it is; null for null."""
     return F.unhex(F.md5(text.cast("binary")))

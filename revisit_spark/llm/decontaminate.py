@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, bits_for, cell, member, without
-from .common import ALNUM_WORD, saved, text_key
+from .common import ALNUM_WORD, in_arrow, saved, text_key
 from .words import ALNUM, grams, pieces, words
 
 WINDOW, SHINGLE = 10, 3
@@ -58,7 +58,7 @@ def _window_shingles(contents: DataFrame, shingle: int) -> DataFrame:
                     names=["content", "size", "shift", "n", "h"],
                 )
 
-    return contents.mapInArrow(run, "content string, size int, shift int, n int, h long")
+    return in_arrow(contents, run, "content string, size int, shift int, n int, h long")
 
 
 def _counted(docs: DataFrame, lengths: list[int], wanted) -> DataFrame:
@@ -72,7 +72,7 @@ def _counted(docs: DataFrame, lengths: list[int], wanted) -> DataFrame:
                 found, times = np.unique(h[ok & member(wanted.value, h)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "seen"])
 
-    return docs.select("_text").mapInArrow(run, "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen"))
+    return in_arrow(docs.select("_text"), run, "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen"))
 
 
 def _found(docs: DataFrame, lengths: list[int], wanted, window: int) -> DataFrame:
@@ -108,7 +108,7 @@ def _found(docs: DataFrame, lengths: list[int], wanted, window: int) -> DataFram
             )
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_row long, _id {kind}, n_words long, h long, at long, low long, around string")
+    return in_arrow(docs, run, f"_row long, _id {kind}, n_words long, h long, at long, low long, around string")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, free_name, saved
+from .common import forget, free_name, in_arrow, saved
 from .words import mixed, pieces, powers, runs
 
 LONGEST = 4
@@ -198,7 +198,7 @@ def _counts(sample: DataFrame) -> DataFrame:
                     key, c = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array([name] * len(key), pa.string()), pa.array(c.astype(np.int64))], names=["n", "key", "lang", "c"])
 
-    return sample.select("lang", "_text").mapInArrow(run, "n int, key long, lang string, c long").groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
+    return in_arrow(sample.select("lang", "_text"), run, "n int, key long, lang string, c long").groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
 
 
 def _least_counts(counts: DataFrame, words: int, grams: int, entries: int) -> tuple[dict, dict]:
@@ -285,7 +285,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", names: tuple[s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())], names=[*batch.schema.names, *made])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(made, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def result_names(docs: DataFrame, names: tuple[str, ...] = NAMES) -> tuple[str, ...]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, in_arrow
 from .words import pieces, text_bytes
 
 WIDTH = 64
@@ -211,7 +211,7 @@ def media_columns(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k
     fields = ["n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string", *["media binary"] * keep_image]
     names = [id_col, *(f.split()[0] for f in fields)]
     rows = docs.select(docs[id_col].alias("_id"), docs[text].cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(fields))
+    return in_arrow(rows, run, f"`{id_col}` {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(fields))
 
 
 def images(media: DataFrame, column: str = "media") -> DataFrame:
@@ -226,4 +226,4 @@ def images(media: DataFrame, column: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, name])
 
     name = free_name(media, "payload")
-    return media.mapInArrow(run, T.StructType([*media.schema.fields, T.StructField(name, T.BinaryType())]))
+    return in_arrow(media, run, T.StructType([*media.schema.fields, T.StructField(name, T.BinaryType())]))

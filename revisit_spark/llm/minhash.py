@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bits_for, bitmap, member, possible, spot, without
-from .common import forget, free_name, saved, text_key
+from .common import forget, free_name, in_arrow, saved, text_key
 from .components import components
 from .words import FOLDED, grams, mixed, pieces, ragged, words
 
@@ -140,7 +140,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["a", "a_digest", "b", "b_digest"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "digest", "key", "part").mapInArrow(run, f"a {kind}, a_digest binary, b {kind}, b_digest binary")
+    return in_arrow(rows.select("id", "digest", "key", "part"), run, f"a {kind}, a_digest binary, b {kind}, b_digest binary")
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
             )
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_shingles long, digest binary, keys array<long>, sketch array<long>")
+    return in_arrow(docs, run, f"id {kind}, n_shingles long, digest binary, keys array<long>, sketch array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -179,7 +179,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 )
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.where("_id is not null").withColumn("_spot", spot("_id", bits=bits)).mapInArrow(run, f"id {kind}, digest binary, hashes binary")
+    return in_arrow(docs.where("_id is not null").withColumn("_spot", spot("_id", bits=bits)), run, f"id {kind}, digest binary, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("id").alias("b"), F.col("digest").alias("b_digest"), F.col("hashes").alias("y"))
     both = pairs.join(one, ["a", "a_digest"]).join(two, ["b", "b_digest"]).select("a", "b", "x", "y")
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return in_arrow(both, run, f"a {kind}, b {kind}")
 
 
 def _confirmed_blocks(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
@@ -249,7 +249,7 @@ def _confirmed_blocks(pairs: DataFrame, contents: DataFrame, percent: int) -> Da
 
     kind = contents.schema["members"].dataType.elementType["id"].dataType.simpleString()
     one, two = (contents.select(F.col("block").alias(c), F.col("members").alias(f"{c}_members")) for c in ("x", "y"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "x_members", "y_members").mapInArrow(run, f"a {kind}, b {kind}")
+    return in_arrow(pairs.join(one, "x").join(two, "y").select("x", "y", "x_members", "y_members"), run, f"a {kind}, b {kind}")
 
 
 def _near_size(x: Column | str, y: Column | str, percent: int) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, in_arrow
 from .words import mixed, pieces, powers, ragged, text_bytes
 
 PLACES = 1 << 18
@@ -131,7 +131,7 @@ def _trained(examples: DataFrame, epochs: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["place", "weight"])
 
     one = examples.repartition(1).sortWithinPartitions("spot", "id").select("places", "label")
-    return one.mapInArrow(run, "place long, weight double")
+    return in_arrow(one, run, "place long, weight double")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, epochs: int = 4) -> Weights:
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
     kind = rows.schema["_id"].dataType.simpleString()
     joined = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("_id", "spot", "label", "_text")
-    examples = joined.mapInArrow(run, f"id {kind}, spot double, label int, places array<int>")
+    examples = in_arrow(joined, run, f"id {kind}, spot double, label int, places array<int>")
     got = _trained(examples, epochs).toPandas()
     w = np.zeros(PLACES + 1)
     w[got["place"].to_numpy(np.int64)] = got["weight"].to_numpy(float)
@@ -174,4 +174,4 @@ def scored(docs: DataFrame, model: Weights, text: str = "text", name: str = "sco
         for batch in pieces(batches, text, 1 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(batch.column(text)))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

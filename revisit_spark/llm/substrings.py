@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, bits_for, member, possible, spot
-from .common import forget, saved
+from .common import forget, in_arrow, saved
 from .words import PLAIN, anchors, mixed, pieces, range_hashes, runs, text_bytes, words
 
 WINDOW, GRAM = 50, 20
@@ -53,7 +53,7 @@ def _sketch(rows: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
                 cell, n = np.unique(cells, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(np.minimum(n, 2))], names=["cell", "n"])
 
-    return rows.select("_text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return in_arrow(rows.select("_text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def _repeated(rows: DataFrame, seen, window: int, gram: int, bits: int) -> DataFrame:
@@ -74,7 +74,7 @@ def _repeated(rows: DataFrame, seen, window: int, gram: int, bits: int) -> DataF
             )
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_key long, value long, d1 long, d2 long, at long, n long")
+    return in_arrow(rows, run, f"id {kind}, text_key long, value long, d1 long, d2 long, at long, n long")
 
 
 def _windows(asked: DataFrame, window: int) -> DataFrame:
@@ -95,7 +95,7 @@ def _windows(asked: DataFrame, window: int) -> DataFrame:
             )
 
     kind = asked.schema["_id"].dataType.simpleString()
-    return asked.select("_id", "_text", "asked").mapInArrow(run, f"run long, value long, id {kind}, last {kind}, shift int, h long")
+    return in_arrow(asked.select("_id", "_text", "asked"), run, f"run long, value long, id {kind}, last {kind}, shift int, h long")
 
 
 def _kept(texts: DataFrame, id_col: str, without=None) -> DataFrame:
@@ -130,7 +130,7 @@ def _kept(texts: DataFrame, id_col: str, without=None) -> DataFrame:
             )
 
     kind = texts.schema["_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept string, removed array<struct<begin: long, end: long>>")
+    return in_arrow(texts, run, f"`{id_col}` {kind}, n_words long, n_removed long, kept string, removed array<struct<begin: long, end: long>>")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bitmap import bitmap, bits_for, possible, spot
-from .common import saved
+from .common import in_arrow, saved
 from .words import PLAIN, Words, anchors, grams, pieces, range_hashes, words
 
 WINDOW, GRAM = 50, 20
@@ -78,7 +78,7 @@ def _suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
             )
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_key long, n_words long, value long, d1 long, d2 long, at long, n long, p long")
+    return in_arrow(rows, run, f"id {kind}, text_key long, n_words long, value long, d1 long, d2 long, at long, n long, p long")
 
 
 def _contexts(asked: DataFrame, window: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _contexts(asked: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([flat.field("run"), flat.field("value"), batch.column("_id").take(pa.array(of)), flat.field("last"), flat.field("n"), pa.array(p - at), pa.array(after, pa.binary()), pa.array(before, pa.binary())], names=["run", "value", "lo", "hi", "n", "shift", "after", "before"])
 
     kind = asked.schema["_id"].dataType.simpleString()
-    return asked.mapInArrow(run, f"run long, value long, lo {kind}, hi {kind}, n long, shift long, after binary, before binary")
+    return in_arrow(asked, run, f"run long, value long, lo {kind}, hi {kind}, n long, shift long, after binary, before binary")
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -170,7 +170,7 @@ def _compared(ordered: DataFrame) -> DataFrame:
     columns = ("run", "value", "lo", "hi", "after", "before")
     names = ["run", "left", "right", "lo", "hi", "value", "after", "before", "part", "role"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), arrow_id, arrow_id, pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
-    return ordered.select(*columns).mapInArrow(run, f"run long, left long, right long, lo {kind}, hi {kind}, value long, after binary, before binary, part int, role int")
+    return in_arrow(ordered.select(*columns), run, f"run long, left long, right long, lo {kind}, hi {kind}, value long, after binary, before binary, part int, role int")
 
 
 def _batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -214,7 +214,7 @@ def _across(borders: DataFrame, facing: dict[tuple[int, int], tuple]) -> DataFra
                     out += _matched(tuple(entry), other)
             yield _batch_of(out, ["run", "left", "right", "lo", "hi"], kinds)
 
-    return borders.select(*columns, "part", "role").mapInArrow(run, f"run long, left long, right long, lo {kind}, hi {kind}")
+    return in_arrow(borders.select(*columns, "part", "role"), run, f"run long, left long, right long, lo {kind}, hi {kind}")
 
 
 def _beside(contexts: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def _open_windows(contexts: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(which, pa.int64())) for c in ("run", "value", "lo", "hi")), pa.array(left, pa.int64()), pa.array(digest, pa.binary())], names=["run", "value", "lo", "hi", "left", "h"])
 
     kind = contexts.schema["lo"].dataType.simpleString()
-    return contexts.select("run", "value", "lo", "hi", "after", "before", "shift", "s0", "s1").mapInArrow(run, f"run long, value long, lo {kind}, hi {kind}, left long, h binary")
+    return in_arrow(contexts.select("run", "value", "lo", "hi", "after", "before", "shift", "s0", "s1"), run, f"run long, value long, lo {kind}, hi {kind}, left long, h binary")
 
 
 def _matches(contexts: DataFrame, window: int) -> DataFrame:
@@ -287,7 +287,7 @@ def _merged(spans: DataFrame, id_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(n_repeated, pa.int64()), pa.array(merged, span)], names=[id_col, "n_words", "n_repeated", "passages"])
 
     kind = spans.schema["id"].dataType.simpleString()
-    return spans.select("id", "n_words", "ranges").mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_repeated long, passages array<struct<begin: long, end: long>>")
+    return in_arrow(spans.select("id", "n_words", "ranges"), run, f"`{id_col}` {kind}, n_words long, n_repeated long, passages array<struct<begin: long, end: long>>")
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", id_col: str = "doc_id") -> DataFrame:

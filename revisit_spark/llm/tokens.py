@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .words import pieces, ragged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -213,7 +214,7 @@ def packed_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW,
 
     rows = docs.select(docs[id_col].alias("_id"), docs[text].cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"input_ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>, doc_starts array<long>")
+    return in_arrow(rows, run, f"input_ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>, doc_starts array<long>")
 
 
 def segments(packed: DataFrame, size: int = 2) -> DataFrame:
