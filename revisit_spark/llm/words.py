@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD1342543DE82EF95
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -151,8 +151,8 @@ def grams(w: Words, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return mixed(out + np.uint64(n)), ok
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of some MB of text, so that memory doesn't follow the batch size."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about a MB of text, so that memory doesn't follow the batch size."""
     for batch in batches:
         if not batch.num_rows:
             continue
