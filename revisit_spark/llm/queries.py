@@ -11,6 +11,7 @@ from . import quality
 from .common import ALNUM_WORD, id_remainder, table
 from .decontaminate import WINDOW, report
 from .language import identified, learn
+from .manifest import manifest, proof_digest, verified
 from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import UNIT, WEIGHTS, copies, word_count
@@ -73,6 +74,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), keep_image=False)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0
+    n_chars = docs["n_chars"].cast("decimal(20,0)")  # a larger one than a long still has its digits
+    found = verified(manifest(docs, presented={"n_chars": F.when(tampered, n_chars + 1).otherwise(n_chars)}))
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
