@@ -19,6 +19,7 @@ from .secrets import secrets
 from .substrings import substring_dedup
 from .suffixes import repeated_passages
 from .tokens import packed_tokens
+from .vectors import near_vectors
 
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
