@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import importance, quality
 from .common import ALNUM_WORD, id_remainder, table
 from .decontaminate import WINDOW, report
+from .importance import resampled
 from .language import identified, learn
 from .manifest import manifest, proof_digest, verified
 from .media import media_columns
@@ -87,10 +88,27 @@ def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: CRC-32 of the bytes of a hex string, from the polynomial alone; t is the table's one-row relation.
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t"
+
+
+def _crc(hexed: str) -> str:
+    each = f"list_transform(range(0, len({hexed}), 2), lambda i: ('0x' || substr({hexed}, i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({each}, lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256), 4294967295), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": f"""
 WITH d AS (
@@ -177,5 +195,86 @@ WITH d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(k), 0)::BIGINT AS n_removed,
   sha256(CASE WHEN k IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([w[j] for j in generate_series(1, len(w)) if not list_contains(k, j)], ' ') END) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)
+""",
+    "op11_manifest": f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+f AS (
+  SELECT *, coalesce(CASE WHEN {_crc("hex(encode(doc_id::VARCHAR))")} % 7 = 0 THEN n_chars::HUGEINT + 1 END, n_chars) AS shown_chars,
+    {_field("doc_id::VARCHAR")} AS a, {_field("source")} AS b, {_field("lang")} AS c, {_field("text")} AS e FROM documents, crc
+), d AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS part, sha256(a || b || c || {_field("n_chars::VARCHAR")} || e) AS leaf, sha256(a || b || c || {_field("shown_chars::VARCHAR")} || e) AS shown FROM f
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY part) AS size FROM d
+), tree AS (
+  SELECT part, 0 AS level, rank AS i, size, leaf AS digest FROM r
+  UNION ALL
+  SELECT part, level + 1, i // 2, (max(size) + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM tree WHERE size > 1 GROUP BY part, level, i // 2
+), sub AS (
+  SELECT part, digest, row_number() OVER (ORDER BY encode(part)) - 1 AS rank, count(*) OVER () AS size FROM tree WHERE size = 1
+), top AS (
+  SELECT 0 AS level, rank AS i, size, digest FROM sub
+  UNION ALL
+  SELECT level + 1, i // 2, (max(size) + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE size > 1 GROUP BY level, i // 2
+), up AS (
+  SELECT part, rank, 0 AS level, size, '' AS proof, shown AS x FROM r
+  UNION ALL
+  SELECT u.part, u.rank, u.level + 1, (u.size + 1) // 2, u.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN (u.rank >> u.level) % 2 = 1 THEN s.digest || u.x ELSE u.x || coalesce(s.digest, '') END)
+  FROM up u LEFT JOIN tree s ON s.part = u.part AND s.level = u.level AND s.i = xor(u.rank >> u.level, 1) WHERE u.size > 1
+), over AS (
+  SELECT u.part, u.rank, sub.rank AS own, 0 AS level, sub.size, u.proof, u.x FROM up u JOIN sub ON sub.part = u.part WHERE u.size = 1
+  UNION ALL
+  SELECT o.part, o.rank, o.own, o.level + 1, (o.size + 1) // 2, o.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN (o.own >> o.level) % 2 = 1 THEN s.digest || o.x ELSE o.x || coalesce(s.digest, '') END)
+  FROM over o LEFT JOIN top s ON s.level = o.level AND s.i = xor(o.own >> o.level, 1) WHERE o.size > 1
+)
+SELECT r.doc_id, r.leaf, sub.digest AS subroot, root.digest AS root, sha256(o.proof) AS proof_sha256, o.x AS folded_root, o.x = root.digest AS verified
+FROM r JOIN sub USING (part) JOIN over o ON o.part = r.part AND o.rank = r.rank AND o.size = 1, (SELECT digest FROM top WHERE size = 1) root
+""",
+    "op12_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT a AS r, b AS to_r FROM links UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.to_r
+), c AS (
+  SELECT reach.r, min(v.vec_id) AS least FROM reach JOIN v ON v.r = reach.to_r GROUP BY reach.r
+), n AS (
+  SELECT a AS r, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id)::BIGINT AS component_id, vec_id IS NOT DISTINCT FROM coalesce(least, vec_id) AS kept
+FROM v LEFT JOIN c USING (r) LEFT JOIN n USING (r)
+""",
+    "op13_importance": rf"""
+WITH crc AS ({CRC_TABLE}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM_WORD}'), []) AS w FROM documents
+), q AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM_WORD}')) AS f FROM benchmark
+), dw AS (
+  SELECT r, f, count(*) AS n FROM (SELECT r, unnest(w) AS f FROM d) GROUP BY r, f
+), words AS (
+  SELECT f, {_crc("hex(encode(f))")} % {importance.BUCKETS} AS bucket FROM (SELECT f FROM dw UNION SELECT f FROM q), crc
+), s AS (
+  SELECT bucket, sum(n) AS s FROM dw JOIN words USING (f) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM q JOIN words USING (f) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + {importance.BUCKETS}) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + {importance.BUCKETS}))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+), x AS (
+  SELECT r, sum(n * gain)::BIGINT AS weight FROM dw JOIN words USING (f) JOIN g USING (bucket) GROUP BY r
+), y AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM d LEFT JOIN x USING (r)
+), able AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS k, {importance.PERCENT} * count(*) OVER () // 100 AS most FROM y WHERE n_features >= {importance.LEAST_WORDS}
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= most THEN k END AS rank FROM y LEFT JOIN able USING (r)
 """,
 }
+

@@ -88,4 +88,4 @@ def test_pipeline_passes_hostile_rows(spark, hostile, bench, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert [int(q[2:].split("_")[0]) for q in queries.queries()] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in queries.queries()] == list(range(1, 14))
