@@ -42,16 +42,25 @@ SURE = r"(?i)(pass(word|wd|phrase)|(^|[^\p{L}])pass|(^|[^\p{L}])pw|pwd|secret|to
 _HOLDERS = r"(?i)^(example|sample|dummy|fake|placeholder|change_?me|your[_-]\w*|test|null|none|nil|undefined|true|false|string|[*x.]+|<.*>|\$?\{.*\}?|\$[a-z_]+|%[a-z_]+%)$"
 #: Formats of issuers, and an address with a user's password.
 ISSUED = r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|xox[abeoprs]-[\w\-]{10,}|[srp]k_(live|test)_[0-9A-Za-z]{16,}|sk-[\w\-]{20,}|AIza[\w\-]{35}|SG\.[\w\-]{16,}\.[\w\-]{16,}|npm_[0-9A-Za-z]{36}|pypi-[\w\-]{16,}|hf_[0-9A-Za-z]{30,}|ya29\.[\w\-]{20,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]*)$"
+_ISSUED = r"(?<![\p{L}\p{N}_\-])" + ISSUED[1:-1] + r"(?![\p{L}\p{N}_\-])"
 _WITH_USER = r"\p{L}[\p{L}\p{N}+.\-]{0,30}://[^/\s:@]{0,500}:[^/\s@]{1,500}@[^\s\"'`,;]+"
 #: Bounded, as are the other repetitions that a match may begin with: very long words stay linear work.
 _NAME = r"[\p{L}_][\p{L}\p{N}_.\-]{0,100}"
 #: A name, what sets it, and (looked at only, so that the next name may be in it) its value.
 _PART = rf"({_NAME})[\"'`]?\]?(?:=>|:=|==?|:(?!//))(?=(\"[^\"]*\"|'[^']*'|[^\s\"'`,;&{{}}]+))"
+#: The same, and what it is set to.
+_SET = rf"{_NAME}[\"'`]?\]?(?:=>|:=|==?|:(?!//))(?:\"[^\"]*\"|'[^']*'|[^\s\"'`,;&{{}}]+)"
 _SETS = "[=:]>?[\"'`]?$"
 _FLAG = rf"^--?{_NAME}$"
 
 FEATURES = ["length", "changes", "digits", "uppers", "lowers", "signs", "distinct", "covered", "before_known", "after_known", "before_length", "after_length", "path_example", "path_depth"]
 _NEAR = ["before_word", "after_word"]
+#: Characters of a word beside a candidate that are looked at: a very long word isn't repeated with all its candidates.
+REACH = 200
+#: White space that a quoted value may have, and what stands for it (characters that no text has) while words are split.
+_BLANKS, _MARKS = " \t\x0B\f\r", "\uFDD0\uFDD1\uFDD2\uFDD3\uFDD4"
+#: What stands before a secret's quoted value.
+_TELLS = rf"({KEYWORDS})[\w.\-]{{0,50}}[\"'`]?\]?\s{{0,20}}(=>|:=|==?|:)\s{{0,20}}$"
 _PEM = "^KEY-----"
 
 
@@ -61,46 +70,72 @@ def announced(before2: Column, before: Column) -> Column:
     return sign | (before.rlike(KEYWORDS) & (before.rlike(_SETS) | before.rlike(_FLAG))) | before.rlike("(?i)^[\"'`]?bearer$")
 
 
+def quoted(body: Column) -> Column:
+    """A text with the white space within the quoted value of a secret's name replaced, so that the value is one word.
+
+    A value goes to the closing quote of its line. Pieces between quotes are looked at one by one: those after
+    a sign that a secret's name stands before, with something behind the closing quote or the text's end.
+    """
+    tail = lambda x: F.coalesce(F.substring(x, -REACH, REACH), F.lit(""))
+    for quote in ('"', "'"):
+        pieces, none = F.split(body, quote), F.lit("")
+        # Each piece with its neighbours, so that a long text is split once and not for each of its pieces.
+        beside = F.arrays_zip(pieces.alias("it"), F.concat(F.array(none), pieces).alias("before"), F.concat(F.array(none, none), pieces).alias("before2"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("after"))
+        told = lambda x: F.concat(tail(x["before2"]), F.lit(quote), tail(x["before"])).rlike(_TELLS)  # noqa: B023, E731
+        held = lambda x: x["after"].isNotNull() & x["it"].rlike(f"[{_BLANKS}]") & ~x["it"].contains("\n") & told(x)  # noqa: B023, E731
+        kept = F.transform(F.filter(beside, lambda x: x["it"].isNotNull()), lambda x: F.when(held(x), F.translate(x["it"], _BLANKS, _MARKS)).otherwise(x["it"]))  # noqa: B023
+        body = F.when(body.rlike(KEYWORDS) & body.contains(quote), F.array_join(kept, quote)).otherwise(body)
+    return body
+
+
 def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
-    """(id, path, place, word, before2, before, after, name, value): each candidate of each text.
+    """(id, path, place, before2, before, after, name, value): each candidate of each text.
 
-    ``place`` counts words (split at the six ASCII spaces) from 0; a word may have several candidates.
-    A private key's head gives the name ``pem``. ``value`` is what stands after a ``=`` or ``:`` that follows a name, without quotes and punctuation at
-    its ends (a secret's keeps all but quotes, brackets and what ends a clause), ``name`` what stands before
-    it. Null texts have none.
+    ``place`` counts words (split at the six ASCII spaces; a secret's quoted value is one word) from 0; a word
+    may have several candidates, each value once. A private key's head gives the name ``pem``. ``value`` is what
+    stands after a sign that follows a name, without quotes and punctuation at its ends (a secret's keeps all but
+    quotes, brackets and what ends a clause), ``name`` what stands before it. The words around are given up to
+    REACH characters on the candidate's side. Null texts have none; repeated rows have candidates of their own.
     """
     body = docs[text].cast("string")
-    words = F.split(F.regexp_replace(body, _EDGES, ""), _SPACES)
-    rows = docs.select(docs[id_col].alias("id"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path"), words.alias("w")).where(body.rlike(_CANDIDATE) | body.rlike(KEYWORDS) | body.rlike(_WITH_USER) | body.contains("PRIVATE KEY-----"))
-    shaped = lambda x: (F.length(x) >= 8) & x.rlike(_CANDIDATE)
+    words = F.split(F.regexp_replace(quoted(body), _EDGES, ""), _SPACES)
+    shapes = body.rlike(_CANDIDATE) | body.rlike(KEYWORDS) | body.rlike(_WITH_USER) | body.contains("PRIVATE KEY-----") | body.rlike(_ISSUED)
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[id_col].alias("id"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path"), words.alias("w"), shapes.alias("_any")).where("_any")
+    shaped = lambda x: ((F.length(x) >= 8) & x.rlike(_CANDIDATE)) | x.rlike(_ISSUED)
     beside = lambda k: F.coalesce(F.get("w", k), F.lit(""))
     wanted = lambda x, i: shaped(x) | (x.rlike("[=:]") & (x.rlike(KEYWORDS) | x.rlike(_WITH_USER))) | announced(beside(i - 2), beside(i - 1)) | (x.rlike(_PEM) & (beside(i - 1) == "PRIVATE"))
     at = F.filter(F.transform("w", lambda x, i: F.when(wanted(x, i), i)), lambda i: i.isNotNull())
-    each = rows.select("id", "path", "w", F.explode(at).alias("place"))
+    each = rows.select("_row", "id", "path", "w", F.explode(at).alias("place"))
     near = lambda k: beside(F.col("place") + k)
-    each = each.select("id", "path", "place", near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
+    last = lambda x: F.when(F.length(x) > REACH, F.substring(x, -REACH, REACH)).otherwise(x)
+    each = each.select("_row", "id", "path", "place", near(0).alias("word"), *(F.translate(x, _MARKS, _BLANKS).alias(c) for c, x in (("before2", last(near(-2))), ("before", last(near(-1))), ("after", F.substring(near(1), 1, REACH)))))
     trimmed = lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]+$", "")
     secret = lambda x: F.regexp_replace(x, r"^[\"'`(\[{<]+|(?<![\"'`)\]}>,;.:])[\"'`)\]}>,;.:]+$", "")
     of = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
-    word = F.col("word")
-    bare = trimmed(word)
-    name = F.regexp_extract(bare, rf"^({_NAME})\s*(?:=|:(?!//))", 1)
-    value = F.regexp_replace(F.when(name != "", F.regexp_replace(bare, rf"^{_NAME}\s*[=:]", "")).otherwise(bare), r"^[^\p{L}\p{N}]+", "")
-    whole = F.when(shaped(word) & (F.length(value) >= 8) & ~name.rlike(KEYWORDS), F.array(of(name, value)))
-    own = F.regexp_extract(word, rf"^[^\p{{L}}\p{{N}}_]*({_NAME})[\"'`]?\]?(?:=>|:=|==?|:(?!//))", 1)
-    rest = F.regexp_replace(word, rf"^[^\p{{L}}\p{{N}}_]*{_NAME}[\"'`]?\]?(?:=>|:=|==?|:)", "")
+    word, blank = F.col("word"), F.lit("")
+    plain = F.regexp_replace(word, _WITH_USER, " ")  # an address is a value as a whole
+    bare = trimmed(plain)
+    own = F.regexp_extract(plain, rf"^[^\p{{L}}\p{{N}}_]*({_NAME})[\"'`]?\]?(?:=>|:=|==?|:(?!//))", 1)
+    rest = F.regexp_replace(plain, rf"^[^\p{{L}}\p{{N}}_]*{_NAME}[\"'`]?\]?(?:=>|:=|==?|:)", "")
     # All that follows the first name, for a secret may have the signs that end a part; not where more names follow.
-    set_to = F.when(own.rlike(KEYWORDS) & ~rest.rlike(rf"[,;&{{]\W{{0,20}}{_NAME}[\"'`]?[=:]"), F.array(of(own, secret(rest))))
-    follows = F.when(announced(F.col("before2"), F.col("before")), F.array(of(F.lit(""), secret(word))))
-    parts = F.arrays_zip(F.regexp_extract_all(word, F.lit(_PART), F.lit(1)).alias("name"), F.regexp_extract_all(word, F.lit(_PART), F.lit(2)).alias("value"))
+    whole = own.rlike(KEYWORDS) & ~rest.rlike(rf"[,;&{{]\W{{0,20}}{_NAME}[\"'`]?[=:]")
+    one = F.when(~F.coalesce(whole, F.lit(False)) & ~plain.rlike(_PART) & shaped(bare), F.array(of(blank, bare)))
+    set_to = F.when(whole, F.array(of(own, secret(rest))))
+    follows = F.when(announced(F.col("before2"), F.col("before")), F.array(of(blank, secret(word))))
+    parts = F.arrays_zip(F.regexp_extract_all(plain, F.lit(_PART), F.lit(1)).alias("name"), F.regexp_extract_all(plain, F.lit(_PART), F.lit(2)).alias("value"))
     cut = F.transform(parts, lambda p: of(p["name"], F.when(p["name"].rlike(KEYWORDS), secret(p["value"])).otherwise(trimmed(p["value"]))))
-    cut = F.filter(cut, lambda p: p["name"].rlike(KEYWORDS) | shaped(p["value"]))
-    users = F.transform(F.regexp_extract_all(word, F.lit(_WITH_USER), F.lit(0)), lambda u: of(F.lit(""), trimmed(u)))
+    cut = F.when(~F.coalesce(whole, F.lit(False)), F.filter(cut, lambda p: p["name"].rlike(KEYWORDS) | shaped(p["value"])))
+    loose = F.transform(F.split(F.regexp_replace(plain, _SET, " "), r"[\s\"'`,;&{}=]+"), lambda x: of(blank, trimmed(x)))
+    loose = F.when(plain.rlike(_PART) & ~F.coalesce(whole, F.lit(False)), F.filter(loose, lambda p: shaped(p["value"])))
+    users = F.transform(F.regexp_extract_all(word, F.lit(_WITH_USER), F.lit(0)), lambda u: of(blank, trimmed(u)))
     pem = F.when(word.rlike(_PEM) & (F.col("before") == "PRIVATE"), F.array(of(F.lit("pem"), F.lit("PRIVATE KEY-----"))))
     none = F.array().cast("array<struct<name:string,value:string>>")
-    found = F.array_distinct(F.concat(*(F.coalesce(x, none) for x in (whole, set_to, follows, cut, users, pem))))
-    each = each.withColumn("_c", F.explode(found))
-    return each.select(*each.columns[:-1], "_c.name", "_c.value").where("length(value) > 0")
+    found = F.concat(*(F.coalesce(x, none) for x in (one, set_to, follows, cut, loose, users, pem)))
+    around = ["id", "path", "before2", "before", "after"]
+    each = each.select("_row", "place", *around, F.explode(found).alias("_c")).select("_row", "place", *around, "_c.name", F.translate("_c.value", _MARKS, _BLANKS).alias("value"))
+    # One value of a word is one candidate, by the name if it has one: told apart by rows, not within an array of the word's parts.
+    each = each.where("length(value) > 0").groupBy("_row", "place", "value").agg(*(F.first(c).alias(c) for c in around), F.max("name").alias("name"))
+    return each.select("id", "path", "place", "before2", "before", "after", "name", "value")
 
 
 def dictionary(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> DataFrame:
@@ -220,12 +255,13 @@ def secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: s
     """Findings that the forest takes for secrets: id, place, name, value, score, and the words around.
 
     ``labels`` are people's findings (id, value, label of 0 or 1); without them the corpus' own findings
-    are labelled by form, those labelled as secrets stay and the forest decides on the rest. Null and
+    are labelled by form. Either way the forest decides on every finding, also on those that it has learnt from,
+    and what scores below ``threshold`` goes. Null and
     empty texts have no findings, an empty table gives none; a null id stays null; repeated rows give
     repeated findings. Texts are scanned whole. Other columns are not read.
     """
     found = findings(docs, text, id_col, path)
     if labels is not None:
         found = marked(found.drop("label"), labels, id_col)
-    kept = scored(found, learn(found)).where((F.col("score") >= threshold) | F.coalesce(F.col("label") == 1, F.lit(False)))
+    kept = scored(found, learn(found)).where(F.col("score") >= threshold)
     return kept.select(F.col("id").alias(id_col), "place", "name", "value", "score", "before2", "before", "after")
