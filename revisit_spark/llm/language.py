@@ -38,19 +38,23 @@ _POINTS = 0x33480  # code points with letters
 
 
 @cache
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """Which code points are letters or the marks on them, and each one's lower case."""
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which code points are letters, which are letters or the marks on them, and each one's lower case."""
     chars = [chr(i) for i in range(_POINTS)]
     low = np.arange(_POINTS, dtype=np.uint32)
     for i, c in enumerate(chars):
         if c != (x := c.lower()) and len(x) == 1:
             low[i] = ord(x)
-    return np.array([c.isalpha() or unicodedata.category(c)[0] == "M" for c in chars]), low
+    letter = np.array([c.isalpha() for c in chars])
+    return letter, letter | np.array([unicodedata.category(c)[0] == "M" for c in chars]), low
 
 
 @dataclass
 class LetterWords:
-    """Runs of letters, lower-cased, each with a space on either side, in one array of code points."""
+    """Runs of letters and the marks after them, lower-cased, each with a space on either side, in one array of code points.
+
+    A word begins at a letter: marks that follow none are in no word.
+    """
 
     points: np.ndarray
     begin: np.ndarray  # of the space before each word
@@ -69,12 +73,15 @@ class LetterWords:
 
 
 def letter_words(texts: list[str | None]) -> LetterWords:
-    is_letter, low = _letters()
+    is_letter, in_word, low = _letters()
     points = np.frombuffer("\n".join(t or "" for t in texts).encode("utf-32-le", "replace"), np.uint32)
     points = np.where(points < _POINTS, points, 0)
-    inside = np.concatenate([[False], is_letter[points], [False]])
+    inside = np.concatenate([[False], in_word[points], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edge[::2], edge[1::2]
+    letters = np.append(np.flatnonzero(is_letter[points]), len(points))
+    begin = letters[np.searchsorted(letters, begin)]
+    begin, end = begin[begin < end], end[begin < end]
     starts = np.cumsum([0] + [len(t or "") + 1 for t in texts])
     length = end - begin + 2
     out = np.full(int(length.sum()), 32, np.uint32)

@@ -64,6 +64,16 @@ def test_language_scores(spark):
             assert got[j] == pytest.approx(total, abs=1e-4) and cover[j] == pytest.approx(fit, abs=1e-6)
 
 
+def test_marks_are_no_letters(spark):
+    odd = ["\u0301\u0301", "5\u20e3", "\u0301 42", "...", "e\u0301t\u0301", "\u0301the"]
+    assert [len(language.letter_words([t]).begin) for t in odd] == [0, 0, 0, 0, 1, 1]
+    words = language.letter_words(["x\u0301\u0301the \u0301of"])
+    assert [bytes(words.points[b + 1 : b + n - 1].astype("<u4")).decode("utf-32-le") for b, n in zip(words.begin, words.length, strict=True)] == ["x\u0301\u0301the", "of"]
+    docs = spark.createDataFrame([(i, said(k, f"{k}{i}"), k) for i in range(9) for k in LANGS], "doc_id long, text string, lang string")
+    got = language.identified(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), language.learn(docs)).collect()
+    assert [r.lang_pred == "und" and r.lang_score == 0 for r in got] == [True] * 4 + [False] * 2
+
+
 def test_texts_that_fit_no_language_go(spark):
     rows = [(i, said(k, f"{k}{i}"), k) for i in range(30) for k in LANGS]
     other = "ich habe gestern einen neuen wagen gekauft weil der alte kaputt war und niemand konnte ihn noch reparieren"
