@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import moments
+
 ISSUE = "struct<code:string,severity:string,message:string,field:string,raw_value:string>"
 ISSUES = f"array<{ISSUE}>"
 MARKER = "… [truncated]"
@@ -44,6 +46,10 @@ MESSAGES = {
 }
 
 
+_OTHER_DIGITS = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.decimal(c, None) is not None]
+_DIGITS = "".join(_OTHER_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
+
+
 def stripped(x: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.btrim(x, F.lit(WHITE))
@@ -206,11 +212,16 @@ def boolean(raw: Column, more_true: tuple[str, ...] = (), field: str | None = No
     return boolean_steps(raw, more_true, field).column()
 
 
+def digits(x: Column) -> Column:
+    """A text with every script's decimal digits as 0 to 9."""
+    return F.when(_non_ascii(x), F.translate(x, *_DIGITS)).otherwise(x)
+
+
 def money_steps(raw: Column, decimal: str | None = None, thousands: str | None = None, field: str | None = None) -> Steps:
     """An amount of two decimals. Separators are inferred where they aren't given: of both the last is
     the decimal one; of one kind it is decimal only if it stands once, before exactly two characters."""
     absent = raw.isNull() | F.lower(stripped(raw)).isin(*NO_AMOUNT)
-    kept = F.regexp_replace(F.regexp_replace(raw, r"[^\p{Nd},.'() +\-]", ""), "[ ']", "")
+    kept = F.regexp_replace(F.regexp_replace(digits(raw), r"[^\p{Nd},.'() +\-]", ""), "[ ']", "")
     unwrapped = lambda k: F.struct((k.startswith("(") & k.endswith(")")).alias("wrapped"), F.regexp_replace(k, r"^\((.*)\)$", "$1").alias("body"))
 
     def separated(parts: Column) -> Column:
@@ -256,41 +267,27 @@ def money(raw: Column, decimal: str | None = None, thousands: str | None = None,
 _SLASHED = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}(\s|$)"
 
 
-def _moment(value: Column, order: Column, explicit: str | None) -> Column:
-    """A timestamp (without zone) or null, and for ISO forms with an offset the moment in UTC."""
-    if explicit:
-        return F.try_to_timestamp(value, F.lit(explicit)).cast("timestamp_ntz")
-    forms = (r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}$", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?$")
-    first, second, year = (F.regexp_extract(value, r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$", k) for k in (1, 3, 4))
-    slashed = value.rlike(r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$")
-    iso = F.concat_ws("-", F.when(slashed, year), F.lpad(F.when(order == "dmy", second).otherwise(first), 2, "0"), F.lpad(F.when(order == "dmy", first).otherwise(second), 2, "0"))
-    out = F.when(slashed, iso.try_cast("timestamp_ntz"))
-    for pattern in forms:
-        out = F.coalesce(out, F.when(value.rlike(pattern), value).try_cast("timestamp_ntz"))
-    offset = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})$"), F.regexp_replace(value, r"(Z|[+-]\d{2}:\d{2})$", ""))
-    out = F.coalesce(out, offset.try_cast("timestamp_ntz"))
-    for pattern, form in ((r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"), (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"), (r"^[A-Za-z]{4,9} \d{1,2} \d{4}$", "MMMM d yyyy")):
-        out = F.coalesce(out, F.try_to_timestamp(F.when(value.rlike(pattern), F.initcap(value)), F.lit(form)).cast("timestamp_ntz"))
-    return out
+def _read(value: Column, order: Column, explicit: str | None) -> Column:
+    unclear = F.lit(False) if explicit else value.rlike(_SLASHED) & (order == "ambiguous")
+    return F.struct((value == "").alias("blank"), unclear.alias("unclear"), F.when((value != "") & ~unclear, moments.written(value, order, explicit)).alias("at"))
 
 
 def date_steps(raw: Column, today: str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Steps:
     """A calendar day as written. ``today`` is a parameter so that runs repeat; it bounds the future by 366 days."""
     order = F.lit(order) if isinstance(order, str) else order
-    unclear = lambda v: F.lit(False) if explicit else v.rlike(_SLASHED) & (order == "ambiguous")
-    read = lambda v: F.struct((v == "").alias("blank"), unclear(v).alias("unclear"), F.when((v != "") & ~unclear(v), _moment(v, order, explicit)).cast("date").alias("day"))
 
     def judged(x: Column) -> Column:
-        inside = x["day"].between(F.lit("1990-01-01").cast("date"), F.date_add(F.lit(today).cast("date"), 366))
+        day = x["at"]["naive"].cast("date")
+        inside = day.between(F.lit("1990-01-01").cast("date"), F.date_add(F.lit(today).cast("date"), 366))
         return result(
-            F.when(inside, x["day"]),
+            F.when(inside, day),
             (x["blank"], issue("MISSING_REQUIRED_FIELD", "error", field, raw)),
             (~x["blank"] & x["unclear"], issue("AMBIGUOUS_DATE_FORMAT", "error", field, raw)),
-            (~x["blank"] & ~x["unclear"] & x["day"].isNull(), issue("INVALID_DATE", "error", field, raw)),
+            (~x["blank"] & ~x["unclear"] & day.isNull(), issue("INVALID_DATE", "error", field, raw)),
             (~inside, issue("DATE_OUT_OF_RANGE", "error", field, raw)),
         )
 
-    return Steps(stripped(F.coalesce(raw, F.lit(""))), read, judged)
+    return Steps(stripped(F.coalesce(raw, F.lit(""))), lambda v: _read(v, order, explicit), judged)
 
 
 def date(raw: Column, today: str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Column:
@@ -301,17 +298,13 @@ def moment_steps(raw: Column, zone: Column | str, order: Column | str = "ambiguo
     """A moment in UTC; without an offset it is read in the tenant's zone. Blank is null."""
     order = F.lit(order) if isinstance(order, str) else order
     zone = F.lit(zone) if isinstance(zone, str) else zone
-    unclear = lambda v: F.lit(False) if explicit else v.rlike(_SLASHED) & (order == "ambiguous")
-    offset = r"([+-])(\d{2}):(\d{2})$"
-    minutes = lambda v: F.regexp_extract(v, offset, 2).try_cast("int") * 60 + F.regexp_extract(v, offset, 3).try_cast("int")
-    shift = lambda v: F.when(v.endswith("Z"), 0).when(v.rlike(r"\+\d{2}:\d{2}$"), -minutes(v)).when(v.rlike(r":\d{2}-\d{2}:\d{2}$"), minutes(v))
-    read = lambda v: F.struct((v == "").alias("blank"), unclear(v).alias("unclear"), shift(v).alias("shift"), F.when((v != "") & ~unclear(v), _moment(v, order, explicit)).cast("timestamp").alias("naive"))
 
     def judged(x: Column) -> Column:
-        there = F.when(x["shift"].isNotNull(), F.timestamp_add("MINUTE", x["shift"], x["naive"])).otherwise(F.to_utc_timestamp(x["naive"], zone))
-        return result(there, (~x["blank"] & x["unclear"], issue("AMBIGUOUS_DATE_FORMAT", "error", field, raw)), (~x["blank"] & ~x["unclear"] & x["naive"].isNull(), issue("INVALID_DATE", "error", field, raw)))
+        naive, ahead = x["at"]["naive"].cast("timestamp"), x["at"]["ahead"]
+        there = F.when(ahead.isNotNull(), F.timestamp_add("SECOND", -ahead, naive)).otherwise(F.to_utc_timestamp(naive, zone))
+        return result(there, (~x["blank"] & x["unclear"], issue("AMBIGUOUS_DATE_FORMAT", "error", field, raw)), (~x["blank"] & ~x["unclear"] & naive.isNull(), issue("INVALID_DATE", "error", field, raw)))
 
-    return Steps(stripped(F.coalesce(raw, F.lit(""))), read, judged)
+    return Steps(stripped(F.coalesce(raw, F.lit(""))), lambda v: _read(v, order, explicit), judged)
 
 
 def moment(raw: Column, zone: Column | str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Column:
@@ -319,8 +312,10 @@ def moment(raw: Column, zone: Column | str, order: Column | str = "ambiguous", e
 
 
 def integer_steps(raw: Column, field: str | None = None) -> Steps:
-    """A whole number; 90.0 is one. Blank is null."""
-    read = lambda v: F.struct((v == "").alias("blank"), F.when(v.rlike(r"^[+-]?\d{1,18}(\.0*)?$"), v).try_cast("decimal(38,10)").cast("long").alias("n"))
+    """A whole number; 90.0 and 9e1 are some. Blank is null."""
+    number = lambda v: F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?$"), v).try_cast("decimal(38,10)")
+    whole = lambda x: F.when(x == F.floor(x), x).try_cast("long")
+    read = lambda v: F.struct((v == "").alias("blank"), bound(number(F.replace(digits(v), F.lit("_"), F.lit(""))), whole).alias("n"))
     judged = lambda x: result(x["n"], (~x["blank"] & x["n"].isNull(), issue("INVALID_NUMBER", "error", field, raw)))
     return Steps(stripped(F.coalesce(raw, F.lit(""))), read, judged)
 

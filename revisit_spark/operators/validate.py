@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import identity
 from ..functions import normalize as n
 from ..sources.tables import staged
+from . import transforms
 from .profile import SYNONYMS, TYPES
 
 #: Statuses a job may have.
@@ -28,6 +30,11 @@ class Skip:
 
 @dataclass(frozen=True)
 class Mapping:
+    """Target fields and the columns they come from; ``transforms`` has the settings of single fields (see transforms).
+
+    The formats, separators and zone given here hold for fields without settings of their own.
+    """
+
     fields: dict[str, str]
     retain: tuple[str, ...] = ()
     skip: tuple[Skip, ...] = ()
@@ -36,6 +43,29 @@ class Mapping:
     decimal: str | None = None
     thousands: str | None = None
     zone: str = "UTC"
+    transforms: dict[str, Any] = field(default_factory=dict)
+
+    @classmethod
+    def from_document(cls, document: dict[str, Any], zone: str = "UTC") -> Mapping:
+        """A mapping from its stored document: version, fields (source_column, transform), retain_unmapped, skip_rows_where."""
+        if odd := set(document) - {"version", "fields", "retain_unmapped", "skip_rows_where"}:
+            raise ValueError(f"a mapping has no {sorted(odd)}")
+        if document.get("version") != 1:
+            raise ValueError("a mapping's version is 1")
+        for target, f in document["fields"].items():
+            if set(f) - {"source_column", "transform"} or not f.get("source_column"):
+                raise ValueError(f"a field has a source_column and a transform: {target}")
+        made = {t: transforms.from_document(f["transform"]) for t, f in document["fields"].items() if f.get("transform")}
+        skip = tuple(Skip(**s) for s in document.get("skip_rows_where", ()))
+        return cls({t: f["source_column"] for t, f in document["fields"].items()}, tuple(document.get("retain_unmapped", ())), skip, zone=zone, transforms=made).checked()
+
+    def settings(self, target: str, kind: str) -> Any:
+        """A field's own settings, or those of the whole mapping."""
+        if target in self.transforms:
+            return self.transforms[target]
+        if kind == "money":
+            return transforms.Amount(self.decimal, self.thousands)
+        return transforms.When(self.date_format) if kind == "date" else None
 
     def checked(self, columns: list[str] | None = None) -> Mapping:
         if set(self.fields) - set(SYNONYMS):
@@ -50,8 +80,10 @@ class Mapping:
         for s in self.skip:
             if s.operator not in ("equals", "not_equals", "contains", "is_empty", "is_not_empty"):
                 raise ValueError(f"no such filter: {s.operator}")
-            if s.operator in ("equals", "not_equals", "contains") and not s.value:
+            if s.operator in ("equals", "not_equals", "contains") and s.value is None:
                 raise ValueError("a comparison needs a value")
+        if set(self.transforms) - set(self.fields):
+            raise ValueError(f"a transform without a field: {sorted(set(self.transforms) - set(self.fields))}")
         if self.decimal and self.decimal == self.thousands:
             raise ValueError("separators must differ")
         return self
@@ -78,10 +110,13 @@ def row_hash(raw: Column) -> Column:
 
 
 def _skipped(mapping: Mapping) -> Column:
+    """Whether a filter hits; cells and values are compared stripped and case-folded."""
+    if not mapping.skip:
+        return F.lit(False)
+    cells = n.casefold_all([n.stripped(F.coalesce(F.col("raw")[s.column], F.lit(""))) for s in mapping.skip])
     hit = F.lit(False)
-    for s in mapping.skip:
-        cell = F.lower(n.stripped(F.coalesce(F.col("raw")[s.column], F.lit(""))))
-        value = (s.value or "").strip().lower()
+    for i, s in enumerate(mapping.skip):
+        cell, value = F.get(cells, F.lit(i)), (s.value or "").strip().casefold()
         hit = hit | {"equals": cell == value, "not_equals": cell != value, "contains": F.contains(cell, F.lit(value)), "is_empty": cell == "", "is_not_empty": cell != ""}[s.operator]
     return hit
 
@@ -93,26 +128,26 @@ _COMPARED = ("customer_name", "postal_code", "address_line1", "equipment_manufac
 def validated(rows: DataFrame, mapping: Mapping, today: str, order: Column | str = "ambiguous", source: str = "source") -> DataFrame:
     """Rows (organization_id, batch_id, row_number, raw map, maybe issues) with issues, status, record and row_hash.
 
-    Skip filters first (nothing else counts then), every field's transform, the status, then customer and
-    equipment identity. An error leaves no record. No shuffle: each step is a projection of plain columns.
+    Issues of the row's own first. Skip filters then (no field counts after a hit), every field's transform, the status, then
+    customer and equipment identity. An error leaves no record. No shuffle: each step is a projection of plain columns.
+    ``order`` is the date order, or a column with that of each row's batch (see ``with_date_orders``).
     The result is written into the shared folder (it is the outcome table of the import): a later filter on
     issues or status would otherwise be pushed through every step, and make one huge expression of them.
     """
     mapping.checked()
     raw = lambda t: F.col("raw")[mapping.fields[t]] if t in mapping.fields else F.lit(None).cast("string")
     kinds = {t: TYPES.get(t, "text") for t in SYNONYMS if t in mapping.fields or t == "service_date" or TYPES.get(t) == "boolean"}
-    make = {
-        "date": lambda t: n.date_steps(raw(t), today, order, mapping.date_format, t), "datetime": lambda t: n.moment_steps(raw(t), mapping.zone, order, None, t), "integer": lambda t: n.integer_steps(raw(t), t),
-        "money": lambda t: n.money_steps(raw(t), mapping.decimal, mapping.thousands, t), "boolean": lambda t: n.boolean_steps(raw(t), field=t),
-    }
+    given = transforms.Given(today, order, mapping.zone)
     texts = [t for t, kind in kinds.items() if kind == "text" and t != "job_status"]
     have = rows if "issues" in rows.columns else rows.withColumn("issues", n.no_issues())
     keep = [c for c in have.columns if c != "issues"]
     out = have.select(*keep, F.concat(F.col("issues").cast(n.ISSUES), cell_issues(F.col("raw"))).alias("_before"), _skipped(mapping).alias("_skip"))
-    out = n.parsed(out, {f"_{t}": make[kind](t) for t, kind in kinds.items() if kind in make})
+    out = n.parsed(out, {f"_{t}": transforms.steps(kind, raw(t), mapping.settings(t, kind), given, t) for t, kind in kinds.items() if kind != "text"})
     retained = {f"_keep_{i}": F.col("raw")[c] for i, c in enumerate(mapping.retain)}
     out = n.clean_texts(out, {f"_{t}": raw(t) for t in texts} | {"_job_status": raw("job_status")} | retained)
-    words = F.create_map(*(F.lit(x) for kv in mapping.status_map.items() for x in kv)) if mapping.status_map else F.lit(None).cast("map<string,string>")
+    own = mapping.transforms.get("job_status")
+    status_map = own.map if isinstance(own, transforms.Values) else mapping.status_map
+    words = F.create_map(*(F.lit(x) for kv in status_map.items() for x in kv)) if status_map else F.lit(None).cast("map<string,string>")
     status = F.lower(F.coalesce(F.try_element_at(words, F.col("_job_status")), F.col("_job_status")))
     bounded = {f"_{t}": n.bounded_text(F.col(f"_{t}"), raw(t), field=t) for t in texts} | {f"_keep_{i}": n.bounded_text(F.col(f"_keep_{i}"), F.col("raw")[c], field=c) for i, c in enumerate(mapping.retain)}
     out = out.select(*(c for c in out.columns if c not in bounded), status.alias("_status"), *(c.alias(t) for t, c in bounded.items()))
@@ -136,7 +171,7 @@ def validated(rows: DataFrame, mapping: Mapping, today: str, order: Column | str
     late = n.issues_of((F.col("_customer").isNull(), n.issue("UNRESOLVABLE_CUSTOMER", "error")), (F.col("_equipment").isNull(), n.issue("EQUIPMENT_NOT_RESOLVED", "info")))
     ordered = [t for t in SYNONYMS if t in kinds and t != "job_status"] + ["job_status"]
     every = F.concat("_before", *(F.col(f"_{t}.issues") for t in ordered), *(F.col(f"{t}.issues") for t in retained), late)
-    out = out.withColumn("issues", F.when(F.col("_skip"), F.array(n.issue("ROW_SKIPPED_BY_FILTER", "info"))).otherwise(every))
+    out = out.withColumn("issues", F.when(F.col("_skip"), F.concat("_before", F.array(n.issue("ROW_SKIPPED_BY_FILTER", "info")))).otherwise(every))
     has = lambda s: F.exists("issues", lambda i: i["severity"] == s)
     out = out.withColumn("status", F.when(F.col("_skip"), "skipped_filtered").when(has("error"), "error").when(has("warning"), "warning").otherwise("pending"))
     extra = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, mapping.retain)), F.array(*(F.col(f"{t}.value") for t in retained))), lambda k, v: v.isNotNull()) if retained else F.lit(None).cast("map<string,string>")
@@ -190,6 +225,15 @@ def date_orders(values: DataFrame, most: int = 200) -> DataFrame:
     return few.groupBy("batch_id").agg(n.date_order(part(1), part(2)).alias("date_order"))
 
 
+def with_date_orders(rows: DataFrame, column: str) -> DataFrame:
+    """Raw rows with ``date_order``, the vote of their batch's cells in ``column``; batches of no vote are ambiguous.
+
+    One row for each batch is joined, so Spark may send the votes to all tasks where they are few.
+    """
+    votes = date_orders(rows.select("batch_id", "row_number", F.col("raw")[column].alias("value")))
+    return rows.join(votes, "batch_id", "left").withColumn("date_order", F.coalesce("date_order", F.lit("ambiguous")))
+
+
 def file_duplicates(batches: DataFrame) -> DataFrame:
     """(organization_id, batch_id, original, duplicate): the tenant's earliest batch with the same bytes."""
     first = batches.groupBy("organization_id", "file_sha256").agg(F.min_by("batch_id", F.struct("created_at", "batch_id")).alias("original"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
@@ -66,6 +66,7 @@ def money_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
     whole, rest = F.expr("_c div 100"), F.lpad((F.col("_c") % 100).cast("string"), 2, "0")
     us = F.concat(F.format_number(whole, 0), F.lit("."), rest)
+    us = F.when(k % 4 == 2, F.translate(us, "0123456789", "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669")).otherwise(us)  # Arabic digits
     eu = F.concat(F.replace(F.format_number(whole, 0), F.lit(","), F.lit(".")), F.lit(","), rest)
     raw = F.when(k % 6 == 0, F.concat(F.lit("$"), us)).when(k % 6 == 1, F.concat(F.lit("EUR "), eu)).when(k % 6 == 2, us).when(k % 6 == 3, F.concat(F.lit("("), us, F.lit(")"))).when(k % 6 == 4, F.lit("n/a")).otherwise(F.concat(whole.cast("string"), F.lit("."), rest, F.lit("4")))
     rows = v.table(spark, sf_dir, "orders").withColumn("_c", c).select(k.alias("k"), _padded(k, raw).alias("raw"))
@@ -74,30 +75,40 @@ def money_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", (F.col("m.value") * 100).cast("long").alias("cents"), F.array_join(F.transform("m.issues", lambda i: i["code"]), ",").alias("codes"))
 
 
-@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 IN (3, 6) THEN NULL ELSE o_orderdate::DATE END AS day, CASE o_orderkey % 7 WHEN 3 THEN 'AMBIGUOUS_DATE_FORMAT' WHEN 6 THEN 'INVALID_DATE' ELSE '' END AS codes FROM orders""", days=("day",))
+@query("""SELECT k, CASE WHEN f IN (3, 6, 12) THEN NULL WHEN f = 13 THEN date_trunc('week', d)::DATE ELSE d END AS day, CASE f WHEN 3 THEN 'AMBIGUOUS_DATE_FORMAT' WHEN 6 THEN 'INVALID_DATE' WHEN 12 THEN 'INVALID_DATE' ELSE '' END AS codes
+ FROM (SELECT o_orderkey AS k, o_orderkey % 16 AS f, o_orderdate::DATE AS d FROM orders)""", days=("day",))
 def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
-    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "d MMM yyyy", "MMMM d yyyy"]
-    raw = F.lit("no date")
-    for i, form in enumerate(forms):
-        raw = F.when(k % 7 == i, F.date_format(d, form)).otherwise(raw)
-    order = F.when(k % 7 == 1, "dmy").when(k % 7 == 2, "mdy").otherwise("ambiguous")
-    got = v.table(spark, sf_dir, "orders").select(k.alias("k"), n.date(_padded(k, raw), "2026-01-01", order).alias("d"))
+    """Dates in sixteen forms: ISO with and without signs, by weeks, with times; both orders; names; a format of their own."""
+    k, d, at = F.col("o_orderkey"), F.to_date("o_orderdate"), F.col("o_orderdate").cast("timestamp")
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), d), F.lit("-W"), F.lpad(F.weekofyear(d).cast("string"), 2, "0"))
+    forms = [F.date_format(at, x) for x in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "d MMM yyyy", "MMMM d yyyy")]
+    forms += [F.lit("no date"), F.date_format(d, "yyyyMMdd"), F.concat(week, F.lit("-"), (F.weekday(d) + 1).cast("string")), F.date_format(at, "yyyy-MM-dd'T'HH"), F.concat(F.date_format(at, "yyyyMMdd'T'HHmmss"), F.lit(",123+0530"))]
+    forms += [F.date_format(d, "dd_MM_yyyy"), F.date_format(d, "yyyy-MM-'32'"), week, F.concat(F.replace(week, F.lit("-"), F.lit("")), (F.weekday(d) + 1).cast("string"), F.lit("T0930")), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'99-11:59'")]
+    raw = _padded(k, F.get(F.array(*forms), (k % 16).cast("int")))
+    order = F.when(k % 16 == 1, "dmy").when(k % 16 == 2, "mdy").otherwise("ambiguous")
+    rows = v.table(spark, sf_dir, "orders").select(k.alias("k"), n.date(raw, "2026-01-01", order).alias("free"), n.date(raw, "2026-01-01", explicit="%d_%m_%Y").alias("given"))
+    got = rows.select("k", F.when(F.col("k") % 16 == 11, F.col("given")).otherwise(F.col("free")).alias("d"))
     return got.select("k", F.col("d.value").alias("day"), F.array_join(F.transform("d.issues", lambda i: i["code"]), ",").alias("codes"))
 
 
-@query("""SELECT event_id, epoch_us(CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN date_trunc('second', ts) - INTERVAL 8 HOUR WHEN 2 THEN date_trunc('second', ts) ELSE date_trunc('second', ts) - INTERVAL 2 HOUR END) AS us FROM events""")
+@query("""SELECT event_id, epoch_us(CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN t - INTERVAL 8 HOUR WHEN 2 THEN t WHEN 3 THEN t - INTERVAL 2 HOUR WHEN 4 THEN t - INTERVAL 330 MINUTE WHEN 5 THEN t + INTERVAL 250 MILLISECOND
+ WHEN 6 THEN date_trunc('hour', t) - INTERVAL 8 HOUR ELSE t + INTERVAL 570 MINUTE END) AS us FROM (SELECT event_id, date_trunc('second', ts) AS t FROM events)""")
 def datetimes_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, t = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    raw = F.when(k % 4 == 0, " ").when(k % 4 == 1, t).when(k % 4 == 2, F.concat(t, F.lit("Z"))).otherwise(F.concat(t, F.lit("+02:00")))
-    return v.table(spark, sf_dir, "events").select(k, F.unix_micros(n.moment(_padded(k, raw), "Asia/Manila")["value"]).alias("us"))
+    """Times in eight forms, with offsets of several kinds, by weeks, down to hours, and in a format of their own."""
+    k, ts, day = F.col("event_id"), F.col("ts"), F.to_date("ts")
+    t = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), day), F.lit("W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"), (F.weekday(day) + 1).cast("string"))
+    forms = [F.lit(" "), t, F.concat(t, F.lit("Z")), F.concat(t, F.lit("+02:00")), F.date_format(ts, "yyyyMMdd'T'HHmmss'+0530'"), F.concat(week, F.date_format(ts, " HH:mm:ss',25Z'")), F.date_format(ts, "yyyy-MM-dd'T'HH"), F.date_format(ts, "d.M.yyyy HH:mm:ss '-0930'")]
+    raw = _padded(k, F.get(F.array(*forms), (k % 8).cast("int")))
+    rows = v.table(spark, sf_dir, "events").select(k, n.moment(raw, "Asia/Manila")["value"].alias("free"), n.moment(raw, "Asia/Manila", explicit="%d.%m.%Y %H:%M:%S %z")["value"].alias("given"))
+    return rows.select("event_id", F.unix_micros(F.when(F.col("event_id") % 8 == 7, F.col("given")).otherwise(F.col("free"))).alias("us"))
 
 
-@query("SELECT event_id, event_type IN ('purchase', 'click') AS flag, CASE WHEN event_type = 'error' THEN 'UNKNOWN_ENUM_VALUE' ELSE '' END AS codes FROM events")
+@query("SELECT event_id, event_type IN ('purchase', 'click') OR (event_type = 'signup' AND event_id % 2 = 0) AS flag, CASE WHEN event_type = 'error' OR (event_type = 'signup' AND event_id % 2 = 1) THEN 'UNKNOWN_ENUM_VALUE' ELSE '' END AS codes FROM events")
 def booleans_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
-    raw = F.when(t == "purchase", " YES ").when(t == "click", "x").when(t == "error", "perhaps").when(t == "view", "No")
-    got = v.table(spark, sf_dir, "events").select("event_id", n.boolean(_padded(F.col("event_id"), raw)).alias("b"))
+    raw = F.when(t == "purchase", " YES ").when(t == "click", "x").when(t == "error", "perhaps").when(t == "view", "No").when(F.col("event_id") % 2 == 0, "SI").otherwise("nein")
+    got = v.table(spark, sf_dir, "events").select("event_id", n.boolean(_padded(F.col("event_id"), raw), more_true=("si",)).alias("b"))
     return got.select("event_id", F.col("b.value").alias("flag"), F.array_join(F.transform("b.issues", lambda i: i["code"]), ",").alias("codes"))
 
 
@@ -175,6 +186,43 @@ def batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.counters(validate.validated(raw_rows(spark, sf_dir), MAPPING, today="2026-01-01")).select("batch_id", "total", "errors", "warnings", "skipped", "importable")
 
 
+#: A stored mapping: two dates of different formats and zones, separators, words for true, a status map.
+DOCUMENT = {
+    "version": 1,
+    "fields": {
+        "external_job_id": {"source_column": "Job ID"}, "customer_name": {"source_column": "Customer"}, "service_date": {"source_column": "Date", "transform": {"type": "date", "format": "%d_%m_%Y"}},
+        "started_at": {"source_column": "Start", "transform": {"type": "datetime", "format": "%m/%d/%Y %I:%M %p", "timezone": "America/New_York"}}, "completed_at": {"source_column": "End"},
+        "revenue_amount": {"source_column": "Revenue", "transform": {"type": "money", "decimal_separator": ",", "thousands_separator": " "}}, "parts_amount": {"source_column": "Parts"},
+        "is_warranty": {"source_column": "Guarantee", "transform": {"type": "boolean", "true_values": ["Si"]}}, "job_status": {"source_column": "Status", "transform": {"type": "value_map", "map": {"Closed": "completed"}}},
+    },
+    "skip_rows_where": [{"column": "Status", "operator": "contains", "value": "DRAFT"}, {"column": "Zone", "operator": "is_empty"}, {"column": "Zone", "operator": "equals", "value": "stra\u00dfe"}],
+}
+
+
+@query(f"""{v.JOBS_SQL}, x AS (SELECT *, id % 13 = 0 OR id % 11 = 0 OR id % 19 = 0 AS skipped, id % 7 = 0 AS bad, id % 29 = 0 AS cut FROM jobs)
+SELECT id % 20 AS batch_id, id // 20 + 2 AS row_number, CASE WHEN skipped THEN 'skipped_filtered' WHEN bad THEN 'error' WHEN cut THEN 'warning' ELSE 'pending' END AS status,
+ CASE WHEN skipped THEN CASE WHEN cut THEN 'ENCODING_REPLACEMENT,' ELSE '' END || 'ROW_SKIPPED_BY_FILTER' ELSE concat_ws(',', CASE WHEN cut THEN 'ENCODING_REPLACEMENT' END, CASE WHEN bad THEN 'INVALID_DATE' END, 'EQUIPMENT_NOT_RESOLVED') END AS codes,
+ CASE WHEN NOT skipped AND NOT bad THEN service_date END AS service_date, CASE WHEN NOT skipped AND NOT bad THEN epoch(((service_date::TIMESTAMP + to_hours(id % 24)) AT TIME ZONE 'America/New_York'))::BIGINT END AS started,
+ CASE WHEN NOT skipped AND NOT bad THEN epoch(service_date::TIMESTAMP + to_hours(id % 24) - INTERVAL 8 HOUR)::BIGINT END AS completed, CASE WHEN NOT skipped AND NOT bad THEN (coalesce(revenue, 0) * 100)::BIGINT END AS cents,
+ CASE WHEN NOT skipped AND NOT bad THEN (coalesce(revenue, 0) * 100)::BIGINT END AS parts_cents, CASE WHEN NOT skipped AND NOT bad THEN is_warranty END AS is_warranty, CASE WHEN NOT skipped AND NOT bad THEN 'completed' END AS job_status FROM x""", days=("service_date",))
+def validated_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch under a stored mapping whose fields have transforms of their own."""
+    k, c = F.col("id"), (F.coalesce("revenue", F.lit(0)) * 100).cast("long")
+    parts, at = int(spark.conf.get("spark.sql.shuffle.partitions")), F.timestamp_add("HOUR", (k % 24).cast("int"), F.col("service_date").cast("timestamp"))
+    spaced = F.concat(F.replace(F.format_number(F.floor(c / 100), 0), F.lit(","), F.lit(" ")), F.lit(","), F.lpad((c % 100).cast("string"), 2, "0"))
+    plain = F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
+    cells = {
+        "Job ID": F.concat(F.lit("J"), k), "Customer": F.concat(F.lit("Customer "), F.col("customer_id"), F.when(k % 29 == 0, "\ufffd").otherwise("")), "Date": F.when(k % 7 == 0, F.date_format("service_date", "yyyy-MM-dd")).otherwise(F.date_format("service_date", "d_M_yyyy")),
+        "Start": F.date_format(at, "MM/dd/yyyy hh:mm a"), "End": F.date_format(at, "yyyy-MM-dd'T'HH:mm"), "Revenue": spaced, "Parts": plain, "Guarantee": F.when(F.col("is_warranty"), "SI").otherwise("no"),
+        "Status": F.when(k % 13 == 0, "my draft").otherwise("Closed"), "Zone": F.when(k % 11 == 0, " ").when(k % 19 == 0, "STRASSE").otherwise("z"),
+    }
+    raw = F.create_map(*(x for name, cell in cells.items() for x in (F.lit(name), cell)))
+    rows = v.jobs(spark, sf_dir).repartition(parts, "id").select("organization_id", (k % 20).alias("batch_id"), (F.expr("id div 20") + 2).alias("row_number"), raw.alias("raw"))
+    found = validate.validated(rows, validate.Mapping.from_document(DOCUMENT, zone="Asia/Manila"), today="2026-01-01")
+    cents = lambda t: (F.col(f"record.{t}") * 100).cast("long")
+    return found.select("batch_id", "row_number", "status", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"), "record.service_date", F.unix_seconds("record.started_at").alias("started"), F.unix_seconds("record.completed_at").alias("completed"), cents("revenue_amount").alias("cents"), cents("parts_amount").alias("parts_cents"), "record.is_warranty", "record.job_status")
+
+
 _MESSAGE = "CASE error_code " + " ".join(f"WHEN '{code}' THEN '{said.replace(chr(39), chr(39) * 2)}'" for code, said in n.MESSAGES.items()) + " END"
 _REPORT = _VALIDATED + f""", e AS (SELECT batch_id, row_number, unnest(CASE WHEN skipped THEN ['ROW_SKIPPED_BY_FILTER'] ELSE list_filter([CASE WHEN bad_date THEN 'INVALID_DATE' END, CASE WHEN minus THEN 'NEGATIVE_AMOUNT' END,
  CASE WHEN odd THEN 'UNKNOWN_ENUM_VALUE' END, CASE WHEN no_customer THEN 'UNRESOLVABLE_CUSTOMER' END, CASE WHEN no_gear THEN 'EQUIPMENT_NOT_RESOLVED' END], lambda c: c IS NOT NULL) END) AS error_code, status_of AS status,
@@ -293,13 +341,20 @@ def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = v.table(spark, sf_dir, "orders")
-    cells = {"flag": (F.col("o_orderkey") % 2).cast("string"), "key": F.col("o_orderkey").cast("string"), "total": F.format_number("o_totalprice", 2), "day": F.date_format("o_orderdate", "yyyy-MM-dd"), "moment": F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "priority": F.col("o_orderpriority"), "nothing": F.lit("")}
+    at = o.select("o_orderkey").withColumn("n", F.row_number().over(Window.orderBy("o_orderkey"))).where("n <= 20 and n % 3 = 0").select(F.col("o_orderkey").alias("_k"))
+    o = o.join(at, F.col("o_orderkey") == F.col("_k"), "left")
+    cells = {"late": F.when(F.col("_k").isNotNull(), F.col("o_orderpriority")).otherwise(""), "flag": (F.col("o_orderkey") % 2).cast("string"), "key": F.col("o_orderkey").cast("string"), "total": F.format_number("o_totalprice", 2), "day": F.date_format("o_orderdate", "yyyy-MM-dd"), "moment": F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "priority": F.col("o_orderpriority"), "nothing": F.lit("")}
     return profile.stacked(o.select(F.lit("orders").alias("file"), F.col("o_orderkey").alias("row_number"), *(c.alias(k) for k, c in cells.items())), list(cells))
 
 
-@query("WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) SELECT 'orders' AS file, 'priority' AS name, string_agg(o_orderpriority, '|' ORDER BY n) AS samples FROM (SELECT * FROM r WHERE n <= 5)")
+@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders), c AS (SELECT n, unnest([{'name': 'flag', 'x': (o_orderkey % 2)::VARCHAR}, {'name': 'key', 'x': o_orderkey::VARCHAR}, {'name': 'total', 'x': format('{:,.2f}', o_totalprice)},
+ {'name': 'day', 'x': strftime(o_orderdate, '%Y-%m-%d')}, {'name': 'moment', 'x': strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')}, {'name': 'priority', 'x': o_orderpriority}, {'name': 'late', 'x': CASE WHEN n % 3 = 0 THEN o_orderpriority ELSE '' END}, {'name': 'nothing', 'x': ''}]) AS c FROM r WHERE n <= 20)
+SELECT 'orders' AS file, c.name AS name, coalesce(string_agg(c.x, '|' ORDER BY n) FILTER (c.x <> '' AND k <= 5), '') AS samples FROM (SELECT *, count(*) FILTER (c.x <> '') OVER (PARTITION BY c.name ORDER BY n) AS k FROM c) GROUP BY c.name""")
 def column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.samples(_cells(spark, sf_dir)).where("name = 'priority'").select("file", "name", F.array_join("samples", "|").alias("samples"))
+    cells = _cells(spark, sf_dir)
+    heads = cells.select("file", "name").distinct()
+    found = heads.join(profile.samples(cells), ["file", "name"], "left")
+    return found.select("file", "name", F.coalesce(F.array_join("samples", "|"), F.lit("")).alias("samples"))
 
 
 @query("""WITH h AS (SELECT p_brand AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ordinal, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_type END AS raw FROM part),
@@ -310,8 +365,6 @@ def unique_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     return v.table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), place.alias("ordinal"), F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.col("p_type")).alias("raw"))
 

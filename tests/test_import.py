@@ -1,4 +1,5 @@
-from datetime import date
+from dataclasses import dataclass
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revisit_spark.functions import identity
 from revisit_spark.functions import normalize as n
-from revisit_spark.operators import profile, resolve, validate
+from revisit_spark.operators import profile, resolve, transforms, validate
 from revisit_spark.sources import delimited
 
 BLANKS = ["\t{}\t", " {} ", " {}\r", "\r\n{} ", "{}\x1c"]
@@ -130,3 +131,36 @@ def test_outcomes_carry_jobs(spark):
     jobs = resolve.jobs_upserted(old, rows.where("k <> 'c'").select("organization_id", "k", "row_number"), ["organization_id", "k"], "b2")
     got = {r.k: (r.status, r.job_id is not None) for r in resolve.row_outcomes(rows, jobs, ["organization_id", "k"]).collect()}
     assert got == {"a": ("updated", True), "b": ("imported", True), "c": ("error", False)}
+
+
+def test_transforms_of_single_fields(spark):
+    """Settings of another type's transform don't count; a transform of one's own does."""
+    fields = {"service_date": "Day", "customer_name": "Who", "started_at": "Start", "revenue_amount": "Paid", "labor_amount": "Work", "is_warranty": "W"}
+    raw = {"Day": "18_09_2025", "Who": "Ann", "Start": "18.9.2025 09:30", "Paid": "1.200,5", "Work": "1.200,50", "W": "Oui"}
+    how = {"service_date": transforms.When("%d_%m_%Y"), "started_at": transforms.When("%d.%m.%Y %H:%M", "Asia/Manila"), "revenue_amount": transforms.Amount(",", "."), "labor_amount": transforms.Flag(("x",)), "is_warranty": transforms.Flag((" OUI ",))}
+    status, codes, r = outcome(spark, raw, validate.Mapping(fields, transforms=how))
+    assert (r.service_date, r.started_at, r.revenue_amount, r.labor_amount, r.is_warranty) == (date(2025, 9, 18), datetime(2025, 9, 18, 1, 30), Decimal("1200.50"), Decimal("1200.50"), True)
+
+    @dataclass(frozen=True)
+    class Cents:
+        per: int = 100
+
+    transforms.register("cents", ("money",), Cents, lambda raw, how, given, t: n.Steps(n.stripped(raw), lambda v: n.result((v.try_cast("decimal(14,2)") / how.per).cast("decimal(14,2)"))))
+    document = {"version": 1, "fields": {t: {"source_column": c} for t, c in fields.items()}}
+    document["fields"]["revenue_amount"]["transform"] = {"type": "cents", "per": 1000}
+    assert outcome(spark, raw | {"Day": "2025-09-18", "Start": "", "Paid": "12500"}, validate.Mapping.from_document(document))[2].revenue_amount == Decimal("12.50")
+
+
+@pytest.mark.parametrize("change", [{"version": 2}, {"more": 1}, {"fields": {"service_date": {"source_column": "Day", "transform": {"type": "no"}}}}, {"fields": {"service_date": {"source_column": "Day", "transform": {"type": "date", "zone": "x"}}}}, {"fields": {"service_date": {"source_column": ""}}}, {"fields": {"revenue_amount": {"source_column": "a", "transform": {"type": "money", "decimal_separator": ",", "thousands_separator": ","}}}}])
+def test_documents_are_checked(change):
+    fine = {"version": 1, "fields": {"service_date": {"source_column": "Day"}, "customer_name": {"source_column": "Who"}}}
+    assert validate.Mapping.from_document(fine).fields["service_date"] == "Day"
+    with pytest.raises(ValueError):
+        validate.Mapping.from_document(fine | change | {"fields": fine["fields"] | change.get("fields", {})})
+
+
+def test_votes_of_batches(spark):
+    d = spark.createDataFrame([(1, b, i, {"Day": x, "Who": "Ann"}) for b, days in (("a", ["13/01/2025", "02/03/2025"]), ("b", ["01/13/2025", "02/03/2025"]), ("c", ["02/03/2025", ""])) for i, x in enumerate(days)], "organization_id int, batch_id string, row_number int, raw map<string,string>")
+    rows = validate.with_date_orders(d, "Day")
+    got = {(r.batch_id, r.row_number): (r.record and r.record.service_date, r.issues[0].code) for r in validate.validated(rows, validate.Mapping({"service_date": "Day", "customer_name": "Who"}), "2026-06-01", F.col("date_order")).collect()}
+    assert got[("a", 1)][0] == date(2025, 3, 2) and got[("b", 1)][0] == date(2025, 2, 3) and got[("c", 0)] == (None, "AMBIGUOUS_DATE_FORMAT")

@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from revisit_spark.functions import moments
 from revisit_spark.functions import normalize as n
 
 
@@ -53,3 +54,37 @@ def test_names_and_phones(spark):
 @pytest.mark.parametrize("raw", ["=1", "+1", "-1", "@x", "\tx", "\rx"])
 def test_csv_safe(spark, raw):
     assert one(spark, raw, n.csv_safe) == "'" + raw
+
+
+ISO = ["2024-01-05T", "2024-01-05T09.5", "2024-01-05T0930", "2024-01-05T09:3", "2024-W02", "2024-W02-3", "2024W023T0930", "2024W02T09", "2024-W53-1", "2020-W53-1", "2024-W02-09", "20240105T093000,123+0530", "2024-01-05T09:30:00.1234567", "2024-01-05x09", "2024-01-05T09+05", "2024-01-05T09:30+05:30:15", "2024-01-05T24:00", "2024-01-05T09:30:00.", "2024-01-05T09:30,5", "2024-01-05T093000+05:30"]
+ISO += ["2024-01-05T09:30:00-0000", "2024-01-05T09:30+24:00", "0000-01-01", "2024-01-05T09:3000", "20240105 09:30", "2024-W02-0", "2024-W00-1", "2024-01-05T-05:00", "2024-02-30", "20240230", "2024-01-05T09:60", "20240105", "2024-01-05T09:30:00Z", "1999-W52-7T23:59:59.999999-11:59", "2024-13-01", "2024-01-05 09:30:00+02", "2024", "2024-01", "2024-005"]
+
+
+def test_iso_forms_as_the_standard_library_reads_them(spark):
+    from datetime import datetime
+
+    got = spark.createDataFrame([(x,) for x in ISO], "x string").select("x", moments.written(F.col("x"), F.lit("dmy")).alias("w")).collect()
+    for r in got:
+        try:
+            d = datetime.fromisoformat(r.x.replace("Z", "+00:00"))
+            expect = d.replace(tzinfo=None), None if d.tzinfo is None else int(d.utcoffset().total_seconds())
+        except ValueError:
+            expect = None, None
+        assert ((None, None) if r.w is None or r.w.naive is None else (r.w.naive, r.w.ahead)) == expect, r.x
+
+
+@pytest.mark.parametrize("raw,format,value", [("18_09_2026", "%d_%m_%Y", (2026, 9, 18)), ("8_9_2026", "%d_%m_%Y", (2026, 9, 8)), ("18092026", "%d%m%Y", (2026, 9, 18)), ("18.09.26", "dd.MM.yy", (2026, 9, 18)), ("9/18/91", "%m/%d/%y", (1991, 9, 18)), ("on 18 sep 2026", "on %d %b %Y", (2026, 9, 18)), ("2026-09-18", "%d_%m_%Y", None), ("day 261 of 2026", "day %j of %Y", (2026, 9, 18)), ("09/18/2026 11:05 PM -0930", "%m/%d/%Y %I:%M %p %z", (2026, 9, 18)), ("09/18/2026 11:05 PM", "%m/%d/%Y %I:%M %p %z", None)])
+def test_formats(spark, raw, format, value):
+    assert one(spark, raw, lambda x: n.date(x, "2026-06-01", explicit=format)) == ((date(*value), []) if value else (None, ["INVALID_DATE"]))
+
+
+def test_odd_formats_are_errors():
+    for format in ("%d %Q", "100%"):
+        with pytest.raises(ValueError):
+            moments.spark_format(format)
+    assert moments.spark_format("at %I o'clock %p") == ("'at' h 'o''clock' a", False)
+
+
+def test_digits_of_other_scripts(spark):
+    assert one(spark, "\u0663.\u0665\u0660", n.money) == (Decimal("3.50"), [])
+    assert one(spark, "\u0967\u0968", n.integer) == (12, []) and one(spark, "1_000", n.integer) == (1000, []) and one(spark, "9e1", n.integer) == (90, []) and one(spark, "9e-1", n.integer) == (None, ["INVALID_NUMBER"])
