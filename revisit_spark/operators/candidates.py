@@ -43,13 +43,13 @@ def upserted(old: DataFrame | None, found: DataFrame, run_id: str) -> DataFrame:
     return rows.withColumn("candidate_id", F.coalesce("_id", candidate_id())).select(*COLUMNS, "change")
 
 
-def out_of_window(snapshot: DataFrame, scope: DataFrame, run_id: str) -> DataFrame:
+def out_of_window(snapshot: DataFrame, scope: DataFrame, run_id: str, priors: DataFrame | None = None) -> DataFrame:
     """Suppresses candidates that this run didn't touch though both of their jobs are in its scope.
 
-    ``scope`` has (organization_id, id) of the run's jobs. None is deleted.
+    ``scope`` has (organization_id, id) of the run's jobs; of a run over some priors alone, ``priors`` has those. None is deleted.
     """
-    ids = scope.select("organization_id", "id").distinct()
-    for side in ("prior", "followup"):
+    for side, jobs in (("prior", scope if priors is None else priors), ("followup", scope)):
+        ids = jobs.select("organization_id", "id").distinct()
         flag = ids.select("organization_id", F.col("id").alias(f"{side}_id"), F.lit(True).alias(f"_{side}"))
         snapshot = snapshot.join(flag, ["organization_id", f"{side}_id"], "left")
     gone = (F.col("run_id") != run_id) & F.col("_prior").isNotNull() & F.col("_followup").isNotNull() & ~F.col("suppressed")

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import normalize
 from ..operators import analytics, candidates, costs, lifecycle, pairs, queue, reviews, scoring, signals
 from ..sources import delimited
-from ..sources.tables import staged
+from ..sources.tables import stage_path, staged
+from ..streaming.incremental import Seen, Snapshots
 from . import testviews as v
 from .detect import detect
 
@@ -380,3 +382,28 @@ def repeat_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
     confirmed = truth(spark, sf_dir).where("decision = 'confirmed'").join(pairs.candidate_pairs(v.jobs(spark, sf_dir)), ["organization_id", "prior_id", "followup_id"])
     gear = v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("model"))
     return costs.repeat_equipment(confirmed, gear, "model")
+
+
+@query(PAIRS + " SELECT p.organization_id, p.prior_id, p.followup_id, p.customer_id, p.equipment_id, p.location_id, p.days_between, 'pending' AS workflow_status FROM pairs p")
+def incremental_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that arrive in three batches, a tenth of them with another date and customer first: what is open in the end."""
+    jobs, k = staged(v.jobs(spark, sf_dir)), F.col("id")
+    arrived = lambda rows, n: rows.withColumn("arrived_at", F.timestamp_seconds(F.lit(n)))
+    wrong = {"service_date": F.when(k % 10 == 0, F.date_add("service_date", 40)).otherwise(F.col("service_date")), "started_at": F.when(k % 10 > 0, F.col("started_at")), "customer_id": F.when(k % 10 == 0, F.col("customer_id") + 1).otherwise(F.col("customer_id"))}
+    first = jobs.withColumns(wrong)
+    store = Snapshots(stage_path(spark, "incremental"), buckets=1)
+    for number, rows in enumerate((first.where(k % 3 == 0), first.where(k % 3 == 1), jobs.where((k % 3 == 2) | (k % 10 == 0)))):
+        store.arrive(arrived(rows, number), number, v.equipment(spark, sf_dir), v.line_items(spark, sf_dir))
+    return store.candidates(spark).where("not suppressed").select("organization_id", "prior_id", "followup_id", "customer_id", "equipment_id", "location_id", "days_between", "workflow_status")
+
+
+@query("WITH r AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source, text ORDER BY doc_id % 3, doc_id) AS n FROM documents) SELECT doc_id, n > 1 AS duplicate FROM r")
+def late_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of files (sources) that arrive in three parts: a row is a duplicate of any that came before, in whichever part."""
+    docs, seen = v.table(spark, sf_dir, "documents"), Seen(stage_path(spark, "seen"))
+    rows = docs.select(F.col("source").alias("batch_id"), F.col("doc_id").alias("row_number"), F.lit("pending").alias("status"), F.create_map(F.lit("text"), "text").alias("raw"), normalize.no_issues().alias("issues"))
+    out = None
+    for number in range(3):
+        part = staged(seen.marked(rows.where(F.col("row_number") % 3 == number), number).select(F.col("row_number").alias("doc_id"), (F.col("status") == "skipped_duplicate").alias("duplicate")))
+        out = part if out is None else out.union(part)
+    return out
