@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ["organization_id", "prior_id", "followup_id"]
@@ -91,18 +91,22 @@ def summary(jobs: DataFrame, candidates: DataFrame, reviews: DataFrame, costs: D
 
 
 def breakdown(rows: DataFrame, by: str, taxonomy: DataFrame, cost: str = "total_cents") -> DataFrame:
-    """Reviewed pairs by outcome, whether the category counts toward cost, and a column (root cause, category,
-    equipment, model): their number and cost; also for all values of the column, and for all.
+    """Per tenant reviewed pairs by outcome, whether the category counts toward cost, and a column (root cause, category,
+    equipment, model): their number and cost; also for all values of the column, and for all of the tenant.
 
-    ``rows`` have category, the column and ``cost``; categories are known by what they mean, not by key.
+    ``rows`` have organization_id, category, the column and ``cost``; categories are known by what they mean to the
+    tenant, not by key: ``taxonomy`` is per tenant, unless it has no organization_id (defaults of all).
     """
-    known = taxonomy.select(F.col("key").alias("category"), "outcome", "counts_toward_cost")
-    both = rows.join(known, "category", "left") if by != "category" else rows.withColumn("category", F.col("category")).join(known, "category", "left")
+    on = [c for c in ("organization_id",) if c in taxonomy.columns] + ["category"]
+    known = taxonomy.select(*on[:-1], F.col("key").alias("category"), "outcome", "counts_toward_cost")
+    both = rows.select(*dict.fromkeys(("organization_id", "category", by, cost))).join(known, on, "left")
     spent = F.sum(F.when(F.col("counts_toward_cost"), F.col(cost)).otherwise(0))
-    return both.rollup("outcome", by).agg(F.count("*").alias("pairs"), spent.alias("cost_cents"))
+    found = both.rollup("organization_id", "outcome", by).agg(F.count("*").alias("pairs"), spent.alias("cost_cents"), F.grouping("organization_id").alias("_all"))
+    return found.where("_all = 0").drop("_all")
 
 
 def repeat_equipment(confirmed: DataFrame, equipment: DataFrame, by: str = "id", most: int = 50) -> DataFrame:
-    """The ``most`` pieces of equipment (or models, ``by`` model) with the most confirmed pairs; ties by name."""
-    rows = confirmed.where("equipment_id is not null").select("equipment_id").join(equipment.select(F.col("id").alias("equipment_id"), F.col(by).alias("what")), "equipment_id")
-    return rows.groupBy("what").agg(F.count("*").alias("pairs")).orderBy(F.desc("pairs"), "what").limit(most)
+    """Each tenant's ``most`` pieces of equipment (or models, ``by`` model) with the most confirmed pairs; ties by name."""
+    rows = confirmed.where("equipment_id is not null").select("organization_id", "equipment_id").join(equipment.select(F.col("id").alias("equipment_id"), F.col(by).alias("what")), "equipment_id")
+    order = Window.partitionBy("organization_id").orderBy(F.desc("pairs"), "what")
+    return rows.groupBy("organization_id", "what").agg(F.count("*").alias("pairs")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

@@ -17,8 +17,13 @@ def ready(snapshot: DataFrame, scored: DataFrame) -> DataFrame:
     return both.withColumn("suppressed", F.col("suppressed") | F.col("suppressed_by").isNotNull())
 
 
-def filtered(rows: DataFrame, jobs: DataFrame | None = None, *, status: str | None = None, suppressed: bool = False, min_basis_points: int | None = None, band: str | None = None, customer_id=None, equipment_id=None, technician_id=None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
-    """A date range is of the follow-up, of live jobs, both ends included; a technician may be on either side."""
+def filtered(rows: DataFrame, jobs: DataFrame | None = None, *, organization_id=None, status: str | None = None, suppressed: bool = False, min_basis_points: int | None = None, band: str | None = None, customer_id=None, equipment_id=None, technician_id=None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """A date range is of the follow-up, of live jobs, both ends included; a technician may be on either side.
+
+    People see their tenant's queue (``organization_id``); without one, rows of all tenants are left.
+    """
+    if organization_id is not None:
+        rows = rows.where(F.col("organization_id") == organization_id)
     if not suppressed:
         rows = rows.where(~F.col("suppressed"))
     if status is not None:
@@ -40,14 +45,14 @@ def filtered(rows: DataFrame, jobs: DataFrame | None = None, *, status: str | No
     return rows
 
 
-def page(rows: DataFrame, by: str = "basis_points", cursor: tuple | None = None, size: int = PAGE, suppressed: bool = False) -> DataFrame:
+def page(rows: DataFrame, by: str = "basis_points", cursor: tuple | None = None, size: int = PAGE, suppressed: bool = False, organization_id=None) -> DataFrame:
     """The next ``size`` rows and one more (it tells that there are further ones), largest first.
 
     ``cursor`` is the last row's (value, candidate_id). Top-k per partition, no full sort.
     """
     if by not in SORTS or not 1 <= size <= MOST:
         raise ValueError("unknown sort or page size")
-    rows = filtered(rows, suppressed=suppressed)
+    rows = filtered(rows, organization_id=organization_id, suppressed=suppressed)
     if cursor is not None:
         value, last = cursor
         rows = rows.where((F.col(by) < value) | ((F.col(by) == value) & (F.col("candidate_id") < last)))

@@ -26,11 +26,12 @@ def missing_defaults(existing: DataFrame, defaults: DataFrame, keys: list[str] =
 def judged(log: DataFrame, taxonomy: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Reviews with ``refused``: null where a review is fine, else the first rule that it breaks.
 
-    ``candidates`` (candidate_id, suppressed, maybe basis_points and rule_set) tells which may be reviewed;
+    ``taxonomy`` is per tenant (organization_id, key, ..), as keys are unique within one; without organization_id it
+    holds for all. ``candidates`` (candidate_id, suppressed, maybe basis_points and rule_set) tells which may be reviewed;
     what they have of score and rule set is kept with the review as it was then.
     """
-    known = F.broadcast(taxonomy.select(F.col("key").alias("category"), "outcome", "active"))
-    rows = log.join(known, "category", "left")
+    on = [c for c in ("organization_id",) if c in taxonomy.columns] + ["category"]
+    rows = log.join(taxonomy.select(*on[:-1], F.col("key").alias("category"), "outcome", "active"), on, "left")
     there = F.lit(None).cast("string")
     if candidates is not None:
         then = [c for c in ("basis_points", "rule_set") if c in candidates.columns]

@@ -231,22 +231,22 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("organization_id", "prior_id", "followup_id", F.when(k == 0, "confirmed").when(k == 1, "rejected").otherwise("uncertain").alias("decision"))
 
 
-@query(scores_sql() + " SELECT band, count_if(followup_id % 3 = 0)::BIGINT AS confirmed, count_if(followup_id % 3 = 1)::BIGINT AS rejected, (count_if(followup_id % 3 = 0) * 10000 // nullif(count_if(followup_id % 3 < 2), 0))::BIGINT AS precision FROM scores GROUP BY band")
+@query(scores_sql() + " SELECT organization_id, band, count_if(followup_id % 3 = 0)::BIGINT AS confirmed, count_if(followup_id % 3 = 1)::BIGINT AS rejected, (count_if(followup_id % 3 = 0) * 10000 // nullif(count_if(followup_id % 3 < 2), 0))::BIGINT AS precision FROM scores GROUP BY 1, 2")
 def precision_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.precision_by_band(scored(spark, sf_dir), truth(spark, sf_dir))
 
 
-@query(scores_sql() + " SELECT least(basis_points // 1000, 9)::INTEGER AS bucket, count(*) AS reviewed, count_if(followup_id % 3 = 0)::BIGINT AS confirmed FROM scores GROUP BY 1")
+@query(scores_sql() + " SELECT organization_id, least(basis_points // 1000, 9)::INTEGER AS bucket, count(*) AS reviewed, count_if(followup_id % 3 = 0)::BIGINT AS confirmed FROM scores GROUP BY 1, 2")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.calibration(scored(spark, sf_dir), truth(spark, sf_dir))
 
 
-@query(scores_sql() + " SELECT key, count_if(outcome = 'matched')::BIGINT AS matched, count_if(outcome = 'matched' AND followup_id % 3 = 0)::BIGINT AS matched_confirmed, count_if(outcome = 'not_matched')::BIGINT AS not_matched, count_if(outcome = 'not_matched' AND followup_id % 3 = 0)::BIGINT AS not_matched_confirmed FROM each GROUP BY key")
+@query(scores_sql() + " SELECT organization_id, key, count_if(outcome = 'matched')::BIGINT AS matched, count_if(outcome = 'matched' AND followup_id % 3 = 0)::BIGINT AS matched_confirmed, count_if(outcome = 'not_matched')::BIGINT AS not_matched, count_if(outcome = 'not_matched' AND followup_id % 3 = 0)::BIGINT AS not_matched_confirmed FROM each GROUP BY 1, 2")
 def signal_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.signal_lift(scoring.evidence(evaluated(spark, sf_dir)), truth(spark, sf_dir))
 
 
-@query(PAIRS + " SELECT a.l_partkey::VARCHAR AS code, count(DISTINCT (prior_id, followup_id)) AS pairs FROM pairs JOIN lineitem a ON a.l_orderkey = prior_id AND a.l_returnflag = 'R' JOIN lineitem b ON b.l_orderkey = followup_id AND b.l_returnflag = 'R' AND a.l_partkey = b.l_partkey GROUP BY 1")
+@query(PAIRS + " SELECT organization_id, a.l_partkey::VARCHAR AS code, count(DISTINCT (prior_id, followup_id)) AS pairs FROM pairs JOIN lineitem a ON a.l_orderkey = prior_id AND a.l_returnflag = 'R' JOIN lineitem b ON b.l_orderkey = followup_id AND b.l_returnflag = 'R' AND a.l_partkey = b.l_partkey GROUP BY 1, 2")
 def failing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = v.jobs(spark, sf_dir)
     return analytics.failing_parts(signals.pair_context(pairs.candidate_pairs(jobs), jobs, None, v.line_items(spark, sf_dir)))
@@ -266,8 +266,8 @@ def top_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("organization_id", "prior_id", "followup_id").agg(F.array_join(keys, ",").alias("keys"))
 
 
-@query(QUEUE + """, h AS (SELECT *, followup_id % 3 = 0 AS back FROM q WHERE suppressed_by IS NOT NULL) SELECT suppressed_by AS reason, count(*) AS suppressed, count_if(back)::BIGINT AS taken_back, count_if(back AND followup_id % 2 = 0)::BIGINT AS confirmed,
- (count_if(back AND followup_id % 2 = 0) * 10000 // count(*))::BIGINT AS error FROM h GROUP BY 1""")
+@query(QUEUE + """, h AS (SELECT *, followup_id % 3 = 0 AS back FROM q WHERE suppressed_by IS NOT NULL) SELECT organization_id, suppressed_by AS reason, count(*) AS suppressed, count_if(back)::BIGINT AS taken_back, count_if(back AND followup_id % 2 = 0)::BIGINT AS confirmed,
+ (count_if(back AND followup_id % 2 = 0) * 10000 // count(*))::BIGINT AS error FROM h GROUP BY 1, 2""")
 def suppression_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("followup_id")
     hidden = staged(scored(spark, sf_dir).where("suppressed_by is not null").select("organization_id", "prior_id", "followup_id", F.col("suppressed_by").alias("reason"), (k % 3 == 0).alias("taken_back")))
@@ -275,8 +275,8 @@ def suppression_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.suppression_error(hidden, decided)
 
 
-@query(scores_sql() + """, l AS (SELECT *, CASE WHEN suppressed_by = 'scheduled_maintenance' THEN 'maintenance' WHEN followup_id % 3 = 0 THEN 'callback' ELSE 'unrelated' END AS kind, (rank() OVER (ORDER BY basis_points DESC) - 1) * 10 < count(*) OVER () AS top FROM scores)
-SELECT kind, count(*) AS pairs, count_if(top)::BIGINT AS top_tenth, count_if(suppressed_by IS NOT NULL)::BIGINT AS vetoed, count_if(basis_points < 4000)::BIGINT AS under_surface FROM l GROUP BY 1""")
+@query(scores_sql() + """, l AS (SELECT *, CASE WHEN suppressed_by = 'scheduled_maintenance' THEN 'maintenance' WHEN followup_id % 3 = 0 THEN 'callback' ELSE 'unrelated' END AS kind, (rank() OVER (PARTITION BY organization_id ORDER BY basis_points DESC) - 1) * 10 < count(*) OVER (PARTITION BY organization_id) AS top FROM scores)
+SELECT organization_id, kind, count(*) AS pairs, count_if(top)::BIGINT AS top_tenth, count_if(suppressed_by IS NOT NULL)::BIGINT AS vetoed, count_if(basis_points < 4000)::BIGINT AS under_surface FROM l GROUP BY 1, 2""")
 def label_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(scored(spark, sf_dir).drop("signals"))
     kind = F.when(F.col("suppressed_by") == "scheduled_maintenance", "maintenance").when(F.col("followup_id") % 3 == 0, "callback").otherwise("unrelated")
@@ -284,7 +284,7 @@ def label_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top_sql(rules, ratio: str) -> str:
-    return f"SELECT *, row_number() OVER (ORDER BY basis_points DESC, organization_id, prior_id, followup_id)::INTEGER AS place FROM ({scores_sql(rules, ratio)} SELECT organization_id, prior_id, followup_id, basis_points FROM scores) ORDER BY place LIMIT 20"
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY basis_points DESC, prior_id, followup_id)::INTEGER AS place FROM ({scores_sql(rules, ratio)} SELECT organization_id, prior_id, followup_id, basis_points FROM scores)) WHERE place <= 20"
 
 
 @query(f"SELECT coalesce(a.organization_id, b.organization_id) AS organization_id, coalesce(a.prior_id, b.prior_id) AS prior_id, coalesce(a.followup_id, b.followup_id) AS followup_id, a.place AS rank_before, b.place AS rank_after FROM ({_top_sql(signals.DEFAULT_RULES, '0.20')}) a FULL JOIN ({_top_sql(CUSTOM_RULES, '0.50')}) b ON a.organization_id = b.organization_id AND a.prior_id = b.prior_id AND a.followup_id = b.followup_id")
@@ -369,21 +369,6 @@ def summary_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.summary(jobs, found, told, spent).select("organization_id", "jobs_considered", "reviewed", "pending", "confirmed", "cost_cents", "rework_rate")
 
 
-@query(PAIRS + _COST.format(hourly=4550, n=1) + """, b AS (SELECT total_cents, CASE followup_id % 3 WHEN 0 THEN 'rework' WHEN 1 THEN 'not_rework' ELSE 'uncertain' END AS outcome, CASE WHEN followup_id % 3 = 0 THEN CASE WHEN followup_id % 2 = 0 THEN 'workmanship' ELSE 'other' END END AS root_cause FROM cost1)
-SELECT outcome, root_cause, count(*) AS pairs, sum(CASE WHEN outcome = 'rework' THEN total_cents ELSE 0 END)::BIGINT AS cost_cents FROM b GROUP BY ROLLUP (outcome, root_cause)""")
-def cause_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("followup_id")
-    rows = _costs(spark, sf_dir)[2].select("total_cents", F.when(k % 3 == 0, "warranty").when(k % 3 == 1, "unrelated").otherwise("unsure").alias("category"), F.when(k % 3 == 0, F.when(k % 2 == 0, "workmanship").otherwise("other")).alias("root_cause"))
-    return costs.breakdown(rows, "root_cause", reviews.categories(spark))
-
-
-@query(PAIRS + " SELECT p_brand AS what, count(*) AS pairs FROM pairs JOIN part ON p_partkey = equipment_id WHERE followup_id % 3 = 0 GROUP BY 1 ORDER BY pairs DESC, what LIMIT 50")
-def repeat_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    confirmed = truth(spark, sf_dir).where("decision = 'confirmed'").join(pairs.candidate_pairs(v.jobs(spark, sf_dir)), ["organization_id", "prior_id", "followup_id"])
-    gear = v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("model"))
-    return costs.repeat_equipment(confirmed, gear, "model")
-
-
 @query(PAIRS + " SELECT p.organization_id, p.prior_id, p.followup_id, p.customer_id, p.equipment_id, p.location_id, p.days_between, 'pending' AS workflow_status FROM pairs p")
 def incremental_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs that arrive in three batches, a tenth of them with another date and customer first: what is open in the end."""

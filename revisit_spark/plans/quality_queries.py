@@ -72,25 +72,14 @@ def limit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.checked(asked, limits).select("organization_id", "current", "most", "allowed")
 
 
-_RATED = f"{v.JOBS_SQL}, t AS (SELECT technician_id, count(*) AS jobs, count_if(is_warranty) AS confirmed FROM jobs WHERE technician_id IS NOT NULL GROUP BY 1)"
+_RATED = f"{v.JOBS_SQL}, t AS (SELECT organization_id, technician_id, count(*) AS jobs, count_if(is_warranty) AS confirmed FROM jobs WHERE technician_id IS NOT NULL GROUP BY 1, 2)"
 
 
-@query(_RATED + " SELECT technician_id, jobs, CASE WHEN jobs >= 25 THEN round(confirmed * 10000 / jobs)::BIGINT END AS rate FROM t")
+@query(_RATED + " SELECT organization_id, technician_id, jobs, CASE WHEN jobs >= 25 THEN round(confirmed * 10000 / jobs)::BIGINT END AS rate FROM t")
 def technician_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.technician_rates(v.jobs(spark, sf_dir), F.col("is_warranty"))
 
 
-@query(f"{v.JOBS_SQL} SELECT date_trunc('month', service_date)::DATE AS period, count(*) AS jobs, count_if(is_warranty)::BIGINT AS confirmed, sum(revenue)::DOUBLE AS cost FROM jobs GROUP BY 1", days=("period",))
-def trend_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.trend(v.jobs(spark, sf_dir), F.col("is_warranty"), F.col("revenue")).withColumn("cost", F.col("cost").cast("double"))
-
-
-@query(f"{v.JOBS_SQL} SELECT status AS outcome, category_id AS category, count(*) AS n FROM jobs GROUP BY ROLLUP(status, category_id)")
-def breakdown_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.jobs(spark, sf_dir).select(F.col("status").alias("outcome"), F.col("category_id").alias("category"))
-    return rows.rollup("outcome", "category").agg(F.count("*").alias("n"))
-
-
 @query(f"""{v.JOBS_SQL}, m AS (SELECT n_regionkey AS organization_id, 12 * (n_regionkey + 3) AS months FROM nation WHERE n_regionkey < 4 GROUP BY 1) SELECT jobs.organization_id, id FROM jobs LEFT JOIN m USING (organization_id) WHERE months IS NULL OR service_date >= DATE '2001-08-01' - to_months(months::INTEGER)""")
 def jobs_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     org = F.col("n_regionkey")

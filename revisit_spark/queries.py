@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import detection_queries, import_queries, quality_queries
+from .plans import detection_queries, import_queries, quality_queries, tenant_queries
 
-_PARTS = (detection_queries, import_queries, quality_queries)
+_PARTS = (detection_queries, import_queries, quality_queries, tenant_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

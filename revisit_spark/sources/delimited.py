@@ -108,4 +108,5 @@ def export_cells(rows: DataFrame) -> DataFrame:
 
 
 def write_export(rows: DataFrame, path: str) -> None:
-    export_cells(rows).write.mode("overwrite").csv(path, header=True)
+    """The cells as delimited files with headers; quotes within a cell are doubled, as spreadsheets have them."""
+    export_cells(rows).write.mode("overwrite").csv(path, header=True, escape='"')

@@ -61,8 +61,28 @@ def test_evidence_is_merged_and_current(spark):
 
 
 def test_top_share_counts_ties_together(spark):
-    d = spark.createDataFrame([(i, 100 if i < 3 else i) for i in range(30)], "id int, basis_points int")
-    assert {r.id for r in analytics.top_share(d).collect() if r.in_top} == {0, 1, 2}
+    d = spark.createDataFrame([(i % 2, i, 100 if i < 6 else i) for i in range(60)], "organization_id int, id int, basis_points int")
+    assert {r.id for r in analytics.top_share(d).collect() if r.in_top} == {0, 1, 2, 3, 4, 5}
+
+
+def test_tenants_are_ranked_alone(spark):
+    rows = [(org, i, i + 1, (i * 37 + org) % 1000 if org else 0) for org, n in ((0, 300), (1, 40), (2, 3)) for i in range(n)]
+    d = spark.createDataFrame(rows, PAIR + ", basis_points int")
+    got = {(r.organization_id, r.prior_id): (r.rank_before, r.rank_after) for r in analytics.whatif(d, d.withColumn("basis_points", -F.col("basis_points")), most=5).collect()}
+    for org in (0, 1, 2):
+        own = [r for r in rows if r[0] == org]
+        for side, sign in ((0, -1), (1, 1)):
+            assert {k[1]: v[side] for k, v in got.items() if k[0] == org and v[side]} == {r[1]: n + 1 for n, r in enumerate(sorted(own, key=lambda r: (sign * r[3], r[1]))[:5])}
+
+
+def test_two_tenants_with_one_key(spark):
+    taxonomy = spark.createDataFrame([(1, "warranty", "rework", True, True), (2, "warranty", "not_rework", False, True)], "organization_id int, key string, outcome string, counts_toward_cost boolean, active boolean")
+    log = spark.createDataFrame([(o, "c", 1, 1, "confirmed", "warranty", None, "x") for o in (1, 2, 3)], "organization_id int, candidate_id string, id int, decided_at int, decision string, category string, root_cause string, note string")
+    got = {r.organization_id: r.refused for r in reviews.judged(log, taxonomy).collect()}
+    assert got == {1: None, 2: "category_does_not_fit", 3: "unknown_category"}
+    rows = spark.createDataFrame([(1, "warranty", "a", 100), (2, "warranty", "a", 7), (2, "warranty", "b", 9)], "organization_id int, category string, root_cause string, total_cents long")
+    found = {(r.organization_id, r.outcome, r.root_cause): (r.pairs, r.cost_cents) for r in costs.breakdown(rows, "root_cause", taxonomy).collect()}
+    assert found == {(1, "rework", "a"): (1, 100), (1, "rework", None): (1, 100), (1, None, None): (1, 100), (2, "not_rework", "a"): (1, 0), (2, "not_rework", "b"): (1, 0), (2, "not_rework", None): (2, 0), (2, None, None): (2, 0)}
 
 
 def test_pages_go_both_ways(spark):
