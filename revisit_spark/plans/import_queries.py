@@ -285,6 +285,19 @@ def delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited_files(spark, sf_dir).select("batch_id", "row_number", raw["Job ID"].alias("job_id"), raw["Customer"].alias("customer"), raw["Priority"].alias("priority"), extra.alias("extra"), F.when(extra > 0, F.element_at(raw, F.concat(F.lit("__extra_"), extra.cast("string")))).alias("last_extra"), F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
 
 
+@query(_LINES + """ SELECT batch_id, n + 1 AS row_number, id::VARCHAR AS job_id, CASE WHEN id % 3 = 0 THEN 'Customer "' || c || '",' || chr(10) || chr(10) || 'Inc.' WHEN id % 3 = 1 THEN p ELSE '' END AS customer FROM x""")
+def multi_line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as eight delimited files whose quoted cells hold line ends, and read again in parts."""
+    k = F.col("o_orderkey")
+    cell = F.when(k % 3 == 0, F.concat(F.lit('"Customer ""'), "o_custkey", F.lit('"",\n\nInc."'))).when(k % 3 == 1, F.col("o_orderpriority")).otherwise('""')
+    lines = v.table(spark, sf_dir, "orders").select((k % 8).alias("batch"), k.alias("k"), F.concat_ws(",", k.cast("string"), cell).alias("value"))
+    heads = spark.range(8).select(F.col("id").alias("batch"), F.lit(-1).cast("long").alias("k"), F.lit("Job ID,Customer").alias("value"))
+    path = stage_path(spark, "delimited")
+    lines.union(heads).repartition("batch").sortWithinPartitions("batch", "k").select("batch", "value").write.partitionBy("batch").text(path)
+    rows = delimited.read_rows(spark, f"{path}/batch=*/*", ["Job ID", "Customer"], multi_line=True)
+    return rows.select(F.regexp_extract("file", "batch=([0-9]+)", 1).cast("long").alias("batch_id"), "row_number", F.col("raw")["Job ID"].alias("job_id"), F.col("raw")["Customer"].alias("customer"))
+
+
 @query(_LINES + " SELECT batch_id, count(*) AS row_count, count_if(id % 7 = 0 OR id % 11 = 0)::BIGINT AS ragged, count_if((id % 7 = 0 OR id % 11 = 0) AND n <= 20)::BIGINT AS ragged_samples FROM x GROUP BY 1")
 def file_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(delimited_files(spark, sf_dir).drop("file").withColumnRenamed("batch_id", "file"))

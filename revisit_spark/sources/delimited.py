@@ -7,7 +7,9 @@ import io
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +22,15 @@ REPORT = ("row_number", "status", "error_code", "field", "message", "raw_value")
 
 
 def cells_of(line: Column, separator: str = ",") -> Column:
-    """The cells of a line; quoted ones may hold separators and doubled quotes. A blank line has none."""
-    s = re.escape(separator)
-    found = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(rf'{s}("[^"]*+(?:""[^"]*+)*+"|[^{s}]*+)'), F.lit(1))
-    bare = F.transform(found, lambda c: F.when(c.rlike('^".*"$'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
-    return F.when(line == "", F.array().cast("array<string>")).otherwise(bare)
+    """The cells of a row; quoted ones may hold separators, line ends and doubled quotes. A blank line has none.
+
+    What stands behind a closing quote belongs to the cell, and a quote that is never closed goes to the row's end.
+    """
+    s, quoted = re.escape(separator), r'"[^"]*+(?:""[^"]*+)*+'
+    found = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(rf'(?s){s}({quoted}"[^{s}]*+|{quoted}$|[^{s}]*+)'), F.lit(1))
+    parts = r'(?s)^"([^"]*+(?:""[^"]*+)*+)(?:"(.*))?$'
+    plain = lambda c: F.concat(F.replace(F.regexp_extract(c, parts, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, parts, 2))
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.transform(found, lambda c: F.when(c.startswith('"'), plain(c)).otherwise(c)))
 
 
 def _from_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -41,8 +47,83 @@ def _from_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return lines.join(starts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("at"), cells_of(F.col("line"), separator).alias("cells"))
 
 
+def _ends_open(line: Column, separator: str) -> Column:
+    """Whether a line that begins outside of a cell ends within a quoted one."""
+    s = re.escape(separator)
+    cell = rf'(?:"[^"]*+(?:""[^"]*+)*+"[^{s}]*+|[^"{s}][^{s}]*+)?+'
+    return line.rlike(rf'(?s)^(?:{cell}{s})*+"[^"]*+(?:""[^"]*+)*+$')
+
+
+def _line_states(lines: DataFrame) -> DataFrame:
+    """Lines with, for a block that begins outside (0) or within (1) a quoted cell, what holds before each: ``open0``,
+    ``open1``, and the rows begun in the block, ``rows0``, ``rows1``.
+
+    A line either sets the state (it ends alike in both cases), keeps it or turns it. So the state is that of the last
+    line that sets it, turned as often as lines turned since. One pass in order over each block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, begun = None, [False, True], [0, 0]
+        for batch in batches:
+            names = [f"{f}#{b}" for f, b in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True)]
+            out0, out1 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("out0", "out1"))
+            n, i = batch.num_rows, 0
+            opened, rows = np.zeros((2, n), bool), np.zeros((2, n), np.int64)
+            while i < n:
+                j = i + 1
+                while j < n and names[j] == names[i]:
+                    j += 1
+                if names[i] != at:
+                    at, state, begun = names[i], [False, True], [0, 0]
+                sets, turns = out0[i:j] == out1[i:j], np.cumsum(out0[i:j] & ~out1[i:j])
+                place = np.maximum.accumulate(np.where(sets, np.arange(j - i), -1))
+                since = turns - np.where(place >= 0, turns[place], 0)
+                for h in (0, 1):
+                    after = np.where(place >= 0, out0[i:j][place], state[h]) ^ (since % 2 == 1)
+                    opened[h, i:j] = np.concatenate([[state[h]], after[:-1]])
+                    rows[h, i:j] = begun[h] + np.cumsum(~opened[h, i:j])
+                    state[h], begun[h] = bool(after[-1]), int(rows[h, j - 1])
+                i = j
+            kept = [batch.column(c) for c in ("file", "block", "id", "line")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(opened[0]), pa.array(opened[1]), pa.array(rows[0]), pa.array(rows[1]), batch.column("out0"), batch.column("out1")], names=["file", "block", "id", "line", "open0", "open1", "rows0", "rows1", "out0", "out1"])
+
+    return lines.mapInArrow(run, "file string, block long, id long, line string, open0 boolean, open1 boolean, rows0 long, rows1 long, out0 boolean, out1 boolean")
+
+
+def _from_quoted_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """(file, at, cells) of UTF-8 files whose quoted cells may hold line ends, a file of any size by many tasks.
+
+    Where a line stands, within a quoted cell or not, depends on all before it; each block of a file works out both
+    cases, a prefix over the blocks (one row each) tells which one holds, and only rows of several lines are gathered.
+    A row of all lines behind a quote that is never closed is one row, as it is to any reader.
+    """
+    value = F.make_valid_utf8("value")
+    read = spark.read.option("lineSep", "\n").text(path).select(value.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    read = read.withColumn("line", F.when(F.col("block") == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
+    bare = F.regexp_replace("line", "\r$", "")
+    lines = staged(_line_states(read.select("file", "block", "id", "line", _ends_open(bare, separator).alias("out0"), _ends_open(F.concat(F.lit('"'), bare), separator).alias("out1"))))
+    after = lambda h: F.when(F.col(f"open{h}"), F.col("out1")).otherwise(F.col("out0")).alias(f"end{h}")
+    blocks = lines.groupBy("file", "block").agg(F.max_by(F.struct(after(0), after(1), "rows0", "rows1"), "id").alias("x")).select("file", "block", "x.*")
+    order = Window.partitionBy("file").orderBy("block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    turned = F.sum((F.col("end0") & ~F.col("end1")).cast("int"))
+    told = blocks.withColumn("turns", turned.over(order))
+    told = told.withColumns({"set": F.last(F.when(F.col("end0") == F.col("end1"), F.struct("end0", "turns")), ignorenulls=True).over(earlier), "so_far": F.coalesce(turned.over(earlier), F.lit(0))})
+    told = told.withColumn("within", F.coalesce("set.end0", F.lit(False)) != ((F.col("so_far") - F.coalesce("set.turns", F.lit(0))) % 2 == 1))
+    begun = F.when(F.col("within"), F.col("rows1")).otherwise(F.col("rows0"))
+    told = told.select("file", "block", "within", F.coalesce(F.sum(begun).over(earlier), F.lit(0)).alias("before"))
+    pick = lambda c: F.when(F.col("within"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    placed = lines.join(told, ["file", "block"]).withColumns({"open": pick("open"), "at": F.col("before") + pick("rows") - 1})
+    placed = placed.select("file", "block", "id", "line", "at", "open", F.when(F.col("open"), F.col("out1")).otherwise(F.col("out0")).alias("goes_on"))
+    alone = placed.where(~F.col("open") & ~F.col("goes_on")).select("file", "at", "line")
+    parts = F.array_sort(F.collect_list(F.struct("block", "id", "line")))
+    gathered = placed.where(F.col("open") | F.col("goes_on")).groupBy("file", "at").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("line"))
+    every = alone.union(gathered)
+    return every.select("file", "at", cells_of(F.regexp_replace("line", "\r$", ""), separator).alias("cells"))
+
+
 def _from_files(spark: SparkSession, path: str, separator: str, encoding: str) -> DataFrame:
-    """The same for files whose cells hold line ends, or that aren't UTF-8: a file is one task."""
+    """The same for files that aren't UTF-8: a file is one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,11 +144,13 @@ def read_rows(spark: SparkSession, path: str, columns: list[str], separator: str
     """(file, row_number, raw map, issues) of the rows of files; numbers start behind each file's header.
 
     Short rows are filled with empty cells, all further cells are kept as ``__extra_n``; either is an issue.
-    Lines are read in parts of a file, unless cells may hold line ends (``multi_line``) or the encoding is
-    another one: then each file is a task. Bytes that can't be read become U+FFFD.
+    Files are read in parts, also where quoted cells may hold line ends (``multi_line``); only of another
+    encoding each file is a task. Bytes that can't be read become U+FFFD.
     """
-    plain = encoding.upper().replace("_", "-") in ("UTF-8", "UTF8") and not multi_line
-    rows = _from_lines(spark, path, separator) if plain else _from_files(spark, path, separator, encoding)
+    if encoding.upper().replace("_", "-") not in ("UTF-8", "UTF8"):
+        rows = _from_files(spark, path, separator, encoding)
+    else:
+        rows = _from_quoted_lines(spark, path, separator) if multi_line else _from_lines(spark, path, separator)
     if header:
         rows = rows.where("at > 0")
     k = len(columns)

@@ -48,6 +48,39 @@ def test_ragged_rows_keep_every_cell(spark, tmp_path):
     assert row.raw["b"] == "�"
 
 
+def test_quoted_line_ends_by_many_tasks(spark, tmp_path):
+    """Rows of any number of lines, cut anywhere by the blocks, equal those of the standard library's reader."""
+    import csv
+    import random
+
+    r = random.Random(6)
+    cell = lambda: r.choice(["", "x", "1", "y z", 'a ""b"" c', "l1\nl2", "\n", "l\r\nm", ",", 'say ""hi""\n\nbye', "é" * r.randint(1, 9)])
+    for name, n in (("a.csv", 400), ("b.csv", 3), ("c.csv", 150)):
+        lines = ["h1,h2\n"]
+        for _ in range(n):
+            made = [cell() for _ in range(r.randint(1, 4))]
+            lines.append(",".join(f'"{c}"' if r.random() < 0.3 or any(x in c for x in '",\n\r') else c for c in made) + r.choice(["\n", "\r\n"]))
+            if r.random() < 0.05:
+                lines.append(r.choice(["\n", 'in 5" pipe,z\n', 'x,"never" closed well\n']))
+        lines.append('x,"never ""closed\nhere' if name == "c.csv" else "")
+        write(tmp_path, name, "".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for size in ("97", "300", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            found = delimited._from_quoted_lines(spark, f"file://{tmp_path}/*.csv", ",")
+            got = {}
+            for x in found.collect():
+                got.setdefault(x.file.rsplit("/", 1)[1], {})[x.at] = x.cells
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+        for name in ("a.csv", "b.csv", "c.csv"):
+            with open(tmp_path / name, newline="", encoding="utf-8") as f:
+                assert [got[name][k] for k in sorted(got[name])] == list(csv.reader(f)), (name, size)
+
+
 def test_numbers_start_anew_in_each_file(spark, tmp_path):
     for k in range(3):
         write(tmp_path, f"part{k}.csv", "a\n" + "".join(f"{k}-{i}\n" for i in range(5)))
