@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -257,14 +258,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     if not least:
         return Model([])
     names = sorted({k for _, k in least})
-    limits = counts.sparkSession.createDataFrame([(n, k, c) for (n, k), c in least.items()], "n int, lang string, least long")
-    got = counts.join(F.broadcast(limits), ["n", "lang"]).where("c >= least").select("n", "key", "lang", "c").toPandas()
-    forget(counts)
     place = {k: i for i, k in enumerate(names)}
+    limits = counts.sparkSession.createDataFrame([(n, k, place[k], c) for (n, k), c in least.items()], "n int, lang string, place int, least long")
+    got = counts.join(F.broadcast(limits), ["n", "lang"]).where("c >= least").select("n", "key", "place", "c").toArrow()  # numbers only: no object for each entry
+    forget(counts)
     tables = []
     for n in range(LONGEST + 1):
-        mine = got[got["n"] == n]
-        h, of, c = mine["key"].to_numpy(np.int64).view(np.uint64), np.array([place[x] for x in mine["lang"]], np.int32), mine["c"].to_numpy(float)
+        mine = got.filter(pa.compute.equal(got.column("n"), n))
+        h, of, c = mine.column("key").to_numpy().view(np.uint64), mine.column("place").to_numpy(), mine.column("c").to_numpy().astype(float)
         order = np.lexsort((of, h))
         h, of, c = h[order], of[order], c[order]
         keys, start = np.unique(h, return_index=True)
