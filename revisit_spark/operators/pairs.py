@@ -72,21 +72,27 @@ def recurrence(jobs: DataFrame, window: int = 30) -> DataFrame:
     """(organization_id, id, visits): visits of a job's customer or equipment from its date on, itself
     included, up to ``window`` days later: by customer, and by equipment, less those by both.
 
-    Visits are counted per key and day first, so a range window has a row for each day of a key at most,
-    and keys that are missing are in none.
+    Visits are counted once by (customer, equipment, day); the counts by customer and by equipment are sums of
+    these. A range window has a row for each day of a key at most, and keys that are missing are in none.
     """
-    rows = visits(jobs).select("organization_id", "id", "customer_id", "equipment_id", F.unix_date("service_date").alias("day"))
-
-    def counted(sign: int, *keys: str) -> DataFrame:
-        known = rows.select("organization_id", "id", "day", *keys).dropna(subset=list(keys))
-        on = ["organization_id", *keys, "day"]
-        ahead = Window.partitionBy("organization_id", *keys).orderBy("day").rangeBetween(0, window)
-        days = known.groupBy(*on).agg(F.count("*").alias("_n")).select(*on, F.sum("_n").over(ahead).alias("_ahead"))
-        return known.join(days, on).select("organization_id", "id", (F.col("_ahead") * sign).alias("visits"))
-
-    parts = counted(1, "customer_id").union(counted(1, "equipment_id")).union(counted(-1, "customer_id", "equipment_id"))
-    every = parts.union(rows.select("organization_id", "id", F.lit(0).cast("long")))
-    return every.groupBy("organization_id", "id").agg(F.sum("visits").alias("visits"))
+    org, both = "organization_id", ["customer_id", "equipment_id"]
+    rows = visits(jobs).select(org, "id", *both, F.unix_date("service_date").alias("day"))
+    cells = rows.groupBy(org, *both, "day").agg(F.count("*").alias("n"))
+
+    def ahead(counts: DataFrame, *keys: str) -> Column:
+        return F.sum("n").over(Window.partitionBy(org, *keys).orderBy("day").rangeBetween(0, window))
+
+    total = None
+    for keys, sign in ((both[:1], 1), (both[1:], 1), (both, -1)):
+        known = cells.dropna(subset=list(keys))
+        days = known if len(keys) == 2 else known.groupBy(org, *keys, "day").agg(F.sum("n").alias("n"))
+        days = days.select(org, *keys, "day", (ahead(days, *keys) * sign).alias("n"))
+        if len(keys) == 1:  # back to the cells of that key's day
+            days = known.select(org, *both, "day").join(days, [org, *keys, "day"])
+        total = days.select(org, *both, "day", "n") if total is None else total.unionByName(days.select(org, *both, "day", "n"))
+    known = total.groupBy(org, *both, "day").agg(F.sum("n").alias("visits"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in (org, *both, "day")]
+    return rows.alias("r").join(known.alias("k"), same, "left").select(f"r.{org}", "r.id", F.coalesce("k.visits", F.lit(0)).cast("long").alias("visits"))
 
 
 def part_codes(line_items: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import stripped
+from ..sources.tables import bucketed
 from . import pairs
 
 M, NM, NE = "matched", "not_matched", "not_evaluable"
@@ -171,21 +172,29 @@ def checked(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
     return on
 
 
+def job_facts(jobs: DataFrame, line_items: DataFrame | None, window: int = 30) -> DataFrame:
+    """(organization_id, id, job, visits, codes): what a pair is judged by, once for each job, kept in buckets of (tenant, id).
+
+    Recurrence and part codes are made once per job and travel with it.
+    """
+    wanted = ["customer_id", "location_id", "equipment_id", "technician_id", "category_id", "service_date", "revenue", "is_warranty", "raw_category", "raw_job_type", "extra_fields"]
+    have = jobs if "extra_fields" in jobs.columns else jobs.withColumn("extra_fields", F.lit(None).cast("map<string,string>"))
+    rows = have.select("organization_id", "id", F.struct("id", *wanted).alias("job")).join(pairs.recurrence(jobs, window), ["organization_id", "id"], "left")
+    if line_items is None:
+        return bucketed(rows.withColumn("codes", F.lit(None).cast("array<string>")), ["organization_id", "id"])
+    codes = pairs.part_codes(line_items).withColumnRenamed("job_id", "id")
+    known = jobs.select("organization_id", "id").join(codes, "id")  # few and narrow; the jobs stay where they are
+    return bucketed(rows.join(known, ["organization_id", "id"], "left"), ["organization_id", "id"])
+
+
 def pair_context(found: DataFrame, jobs: DataFrame, equipment: DataFrame | None, line_items: DataFrame | None, window: int = 30) -> DataFrame:
     """Pairs with both jobs (structs prior and followup), recurrence, part codes and the equipment's warranty.
 
-    Recurrence and codes are made once per job and travel with it, so that each pair needs two job joins.
+    Jobs lie in buckets of (tenant, id), so neither of the two joins moves them: pairs go to their jobs.
     """
-    wanted = ["id", "customer_id", "location_id", "equipment_id", "technician_id", "category_id", "service_date", "revenue", "is_warranty", "raw_category", "raw_job_type", "extra_fields"]
-    have = jobs if "extra_fields" in jobs.columns else jobs.withColumn("extra_fields", F.lit(None).cast("map<string,string>"))
-    counted = pairs.recurrence(jobs, window)
-    rows = have.join(counted, ["organization_id", "id"], "left").select("organization_id", F.col("id").alias("_id"), F.struct(*wanted).alias("job"), "visits")
-    if line_items is not None:
-        rows = rows.join(pairs.part_codes(line_items).withColumnRenamed("job_id", "_id"), "_id", "left")
-    else:
-        rows = rows.withColumn("codes", F.lit(None).cast("array<string>"))
-    prior = rows.select("organization_id", F.col("_id").alias("prior_id"), F.col("job").alias("prior"), "visits", F.col("codes").alias("prior_codes"))
-    followup = rows.select("organization_id", F.col("_id").alias("followup_id"), F.col("job").alias("followup"), F.col("codes").alias("followup_codes"))
+    rows = job_facts(jobs, line_items, window)
+    prior = rows.select("organization_id", F.col("id").alias("prior_id"), F.col("job").alias("prior"), "visits", F.col("codes").alias("prior_codes"))
+    followup = rows.select("organization_id", F.col("id").alias("followup_id"), F.col("job").alias("followup"), F.col("codes").alias("followup_codes"))
     keys = found.select("organization_id", "prior_id", "followup_id", "days_between")
     out = keys.join(prior, ["organization_id", "prior_id"]).join(followup, ["organization_id", "followup_id"])
     if equipment is None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import candidates, pairs, scoring, signals
+from ..sources.tables import staged
 
 
 @dataclass(frozen=True)
@@ -21,14 +22,18 @@ class Run:
 
 def detect(jobs: DataFrame, equipment: DataFrame | None = None, line_items: DataFrame | None = None, old: DataFrame | None = None, run_id: str = "run-1", window: int = 30, cap: int = 25, rules: tuple[signals.Rule, ...] = signals.DEFAULT_RULES, date_from: str | None = None, date_to: str | None = None) -> Run:
     """Pairs of the scope are created or refreshed, pairs of the scope that no longer hold are suppressed
-    and not rescored, and the pairs found are evaluated and scored. A caller keeps results by writing
-    them; writing them under the run's id makes a rerun idempotent."""
-    found = pairs.candidate_pairs(jobs, window, cap, date_from, date_to)
+    and not rescored, and the pairs found are evaluated and scored.
+
+    Pairs, snapshot and scores are each worked out once and written; counters are counted on what is written (two
+    columns of it), so they are exact also where tasks ran twice. A caller keeps results by writing them
+    under the run's id, which makes a rerun idempotent.
+    """
+    found = staged(pairs.candidate_pairs(jobs, window, cap, date_from, date_to))
     merged = candidates.upserted(old, found, run_id)
     scope = pairs.visits(jobs, date_from, date_to, window)
-    snapshot = candidates.out_of_window(merged, scope, run_id)
+    snapshot = staged(candidates.out_of_window(merged, scope, run_id))
     context = signals.pair_context(found, jobs, equipment, line_items, window)
-    scored = scoring.scored(signals.evaluated(context, rules), rules).withColumn("run_id", F.lit(run_id))
+    scored = staged(scoring.scored(signals.evaluated(context, rules), rules).withColumn("run_id", F.lit(run_id)))
     changes = snapshot.agg(F.count_if(F.col("change") == "created").alias("created"), F.count_if(F.col("change") == "updated").alias("updated"), F.count_if(F.col("change") == "suppressed").alias("out_of_window"))
     vetoed = scored.agg(F.count("*").alias("scored"), F.count_if(F.col("suppressed_by").isNotNull()).alias("vetoed"))
     one = F.lit(1).alias("_one")  # two single rows

@@ -1,3 +1,4 @@
+import re
 from datetime import date, datetime
 
 import pytest
@@ -104,3 +105,33 @@ def test_rerun_keeps_identity_and_suppresses(spark):
     narrow = candidates.upserted(first.drop("change"), pairs.candidate_pairs(j, window=1), "r2")
     out = {(r.prior_id, r.followup_id): (r.suppressed, r.suppressed_reason) for r in candidates.out_of_window(narrow, pairs.visits(j), "r2").collect()}
     assert out[(1, 2)] == (True, "out_of_window") and out[(2, 3)] == (False, None)
+
+
+def above(plan: str, leaf: str) -> list[list[str]]:
+    """For each line of a plan with ``leaf``, the operators above it up to the nearest join."""
+    out, stack = [], []
+    for line in plan.splitlines():
+        depth = len(re.match(r"(?:[: ]  )*(?:[:+]- )?", line)[0])
+        stack = [(d, x) for d, x in stack if d < depth] + [(depth, re.sub(r"^\*\(\d+\) ", "", line[depth:]))]
+        if leaf in line:
+            names = [x.split(" ")[0] for _, x in stack[:-1]]
+            joins = [i for i, x in enumerate(names) if "Join" in x]
+            out.append(names[joins[-1] + 1 :])
+    return out
+
+
+def test_jobs_stay_where_they_are(spark):
+    """Pairs go to the buckets of their jobs: no exchange between the jobs' scans and their joins."""
+    jobs = spark.createDataFrame([(1, i, 1, None, None, None, "c", date(2026, 1, 1 + i), None, "completed", None, False, "c", None) for i in range(9)], "organization_id long, id long, customer_id long, location_id long, equipment_id long, technician_id long, category_id string, service_date date, started_at timestamp, status string, revenue decimal(14,2), is_warranty boolean, raw_category string, raw_job_type string")
+    found = pairs.candidate_pairs(jobs)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, x in zip(held, ("-1", "false"), strict=True):
+        spark.conf.set(k, x)
+    try:
+        context = signals.pair_context(found, jobs, None, None)
+        over = above(context._jdf.queryExecution().executedPlan().toString(), ".buckets_")
+        assert len(over) == 2 and not any("Exchange" in x for names in over for x in names)
+        assert context.count() == found.count() == 36
+    finally:
+        for k, x in held.items():
+            spark.conf.set(k, x)
