@@ -351,8 +351,13 @@ def csv_safe(x: Column) -> Column:
     return F.when(x.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), x)).otherwise(x)
 
 
+def search_words(*parts: Column) -> Column:
+    """All words to search by, lower-cased, in their order."""
+    return F.array_remove(F.split(F.lower(F.concat_ws(" ", *parts)), r"[^\p{L}\p{N}]+"), "")
+
+
 def search_tokens(*parts: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(F.concat_ws(" ", *parts)), r"[^\p{L}\p{N}]+")), "")
+    return F.array_distinct(search_words(*parts))
 
 
 def no_charge(revenue: Column) -> Column:

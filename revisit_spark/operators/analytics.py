@@ -114,7 +114,10 @@ def whatif(before: DataFrame, after: DataFrame, most: int = 20) -> DataFrame:
 
 
 def job_search(jobs: DataFrame, asked: str | None = None, texts: tuple[str, ...] = ("summary", "description", "symptoms", "diagnosis", "resolution"), **equal) -> DataFrame:
-    """Jobs with all words of ``asked`` in their texts, dated date_from to date_to, and equal in other columns given."""
+    """Jobs with all words of ``asked`` in their texts, dated date_from to date_to, and equal in other columns given.
+
+    Every text is read; where searches are many, ``search`` has an index.
+    """
     for column, value in equal.items():
         if column == "date_from":
             jobs = jobs.where(F.col("service_date") >= F.lit(value).cast("date"))

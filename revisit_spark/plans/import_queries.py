@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import normalize as n
-from ..operators import analytics, profile, queue, resolve, validate
+from ..operators import profile, queue, resolve, search, validate
 from ..sources import delimited
 from ..sources.tables import stage_path, staged
 from . import testviews as v
@@ -560,7 +560,19 @@ def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "documents").select("doc_id", n.search_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.sha2(F.array_join(F.array_sort("t"), " ").cast("binary"), 256).alias("tokens"))
 
 
+def searched(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
+    """Documents as jobs of their source, indexed, and then searched."""
+    docs = v.table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("organization_id"), F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    path = stage_path(spark, "index")
+    search.write_index(docs, path, buckets=16)
+    return search.search(spark, path, asked, buckets=16).select(F.col("id").alias("doc_id"))
+
+
 @query("SELECT doc_id FROM documents WHERE list_has_all(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), ['the', 'and', 'of'])")
 def job_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = v.table(spark, sf_dir, "documents")
-    return analytics.job_search(docs.withColumnRenamed("text", "description"), "The, of - AND").select("doc_id")
+    return searched(spark, sf_dir, "The, of - AND")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ', ' of the ') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'and')")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searched(spark, sf_dir, 'and "Of THE"')

@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from revisit_spark.operators import analytics, audit, costs, lifecycle, queue, reviews, scoring, usage
+from revisit_spark.operators import analytics, audit, costs, lifecycle, queue, reviews, scoring, search, usage
 
 PAIR = "organization_id int, prior_id int, followup_id int"
 
@@ -97,3 +97,17 @@ def test_limits_and_audit(spark):
     assert {r.organization_id: (r.allowed, r.reason) for r in usage.checked(asked, found).collect()} == {1: (False, "limit of 5 reached"), 2: (True, None)}
     got = spark.range(1).select(audit.sanitized(F.lit("membership"), F.create_map(F.lit("role"), F.repeat(F.lit("x"), 300), F.lit("secret"), F.lit("y"))).alias("c")).first().c
     assert got == {"role": "x" * 200}
+
+
+def test_search_reads_its_words_alone(spark, tmp_path):
+    texts = ["No heat in the hall", "heat: no", "the Hall, no heat", None, "", "café 12 heat no heat", "no no heat"]
+    jobs = spark.createDataFrame([(1 + i % 2, i, t, "more here") for i, t in enumerate(texts)], "organization_id int, id int, summary string, resolution string")
+    path = f"file://{tmp_path}/index"
+    search.write_index(jobs, path, buckets=32)
+    ids = lambda asked, **more: sorted(r.id for r in search.search(spark, path, asked, buckets=32, **more).collect())
+    assert ids("HEAT no") == [0, 1, 2, 5, 6] and ids('"no heat"') == [0, 2, 5, 6] and ids('"the hall" heat') == [0, 2] and ids("heat", organization_id=2) == [1, 5]
+    assert ids("nowhere heat") == [] and ids(" - ") == [] and ids('"no no heat"') == [6] and ids('"12 heat no heat more"') == [5] and ids("here") == list(range(7))
+    found = search.search(spark, path, "hall", buckets=32)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "PushedFilters" in plan and "word" in plan.split("PushedFilters")[1]
