@@ -13,7 +13,8 @@ def resolved(old: DataFrame | None, rows: DataFrame, keys: list[str], columns: l
 
     Aggregates sum up before the shuffle, so a key with very many rows is no task of its own.
     """
-    new = rows.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns))
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
+    new = rows.groupBy(*keys).agg(*first) if first else rows.select(*keys).distinct()
     if old is None:
         return new
     more = [c for c in old.columns if c not in keys and c not in columns]
@@ -45,11 +46,12 @@ def rolled(snapshot: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*(c for c in snapshot.columns if c not in names), *(c.alias(k) for k, c in merged.items()))
 
 
-def jobs_upserted(old: DataFrame | None, rows: DataFrame, keys: list[str], batch_id: str, order: str = "row_number", by_natural_key: bool = False) -> DataFrame:
+def jobs_upserted(old: DataFrame | None, rows: DataFrame, keys: list[str], batch_id: str, order: Column | str = "row_number", by_natural_key: bool | str = False) -> DataFrame:
     """The job table after a batch, with change: created, updated, possible_duplicate or kept.
 
     Of a key's rows in the batch the last one counts and its fields win, nulls too; the first batch that
-    a job came with is kept. A batch that meets a job by its natural key may be a duplicate.
+    a job came with is kept. A batch that meets a job by its natural key may be a duplicate; ``by_natural_key`` tells
+    whether that is the key, or names the column that does.
     """
     columns = [c for c in rows.columns if c not in keys]
     new = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*keys, "r.*")
@@ -57,7 +59,8 @@ def jobs_upserted(old: DataFrame | None, rows: DataFrame, keys: list[str], batch
         return new.select("*", F.lit(batch_id).alias("first_import_batch_id"), F.lit(batch_id).alias("last_import_batch_id"), F.lit("created").alias("change"))
     both = old.withColumn("_old", F.lit(True)).alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), keys, "full_outer")
     seen, known = F.col("n._new").isNotNull(), F.col("o._old").isNotNull()
-    met = "possible_duplicate" if by_natural_key else "updated"
+    natural = F.col(f"n.{by_natural_key}") if isinstance(by_natural_key, str) else F.lit(by_natural_key)
+    met = F.when(natural, "possible_duplicate").otherwise("updated")
     return both.select(
         *keys,
         *(F.when(seen, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns),

@@ -11,7 +11,9 @@ from ..functions import identity
 from ..functions import normalize as n
 from ..operators import profile, queue, resolve, search, validate
 from ..sources import delimited
+from ..sources.files import file_digests
 from ..sources.tables import stage_path, staged
+from . import ingest
 from . import testviews as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,15 +402,16 @@ _HEADERS = {"Client Name": ("text", "customer_name", 1.0), "Servce Date": ("date
     "equipment_manufacturer": ("text", "equipment_manufacturer", 1.0), "Start Tme": ("integer", None, None), "Warrantee": ("text", None, None), "Warranty?": ("boolean", "is_warranty", 1.0), "Customr Name": ("text", None, None)}
 
 
-@query("WITH h(k, header, target, confidence) AS (VALUES " + ", ".join(f"({i}, '{h}', '{t}', {c!r}::DOUBLE)" for i, (h, (_, t, c)) in enumerate(_HEADERS.items()) if t) + f") SELECT DISTINCT p_brand AS file, header, target, round(confidence, 6) AS confidence FROM part JOIN h ON p_partkey % {len(_HEADERS)} = k")
+@query("WITH h(k, header, target, confidence) AS (VALUES " + ", ".join(f"({i}, '{h}', '{t}', {c!r}::DOUBLE)" for i, (h, (_, t, c)) in enumerate(_HEADERS.items()) if t) + f") SELECT DISTINCT p_brand AS file, header, target, round(confidence, 6) AS confidence FROM part JOIN h ON p_partkey % {len(_HEADERS)} = k AND (k <> 0 OR substr(p_brand, 7, 1) <> '3')"
+    f" UNION ALL SELECT DISTINCT p_brand, 'Customr Name', 'customer_name', 0.96 FROM part WHERE p_partkey % {len(_HEADERS)} = 10 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % {len(_HEADERS)} = 0 AND substr(p_brand, 7, 1) <> '3')")
 def mapping_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of a file for each brand: synonyms, a target's own name, misspelt ones, ones whose type doesn't
-    fit, one whose target is claimed by an earlier header (a file without that one takes it, and is left out)."""
+    fit, one whose target is claimed by an earlier header (files of some brands don't have that one, and take it)."""
     k = F.col("p_partkey") % len(_HEADERS)
     name, kind = (F.get(F.array(*map(F.lit, values)), k.cast("int")) for values in (list(_HEADERS), [x[0] for x in _HEADERS.values()]))
-    heads = v.table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), k.cast("int").alias("ordinal"), name.alias("header"), kind.alias("type")).distinct()
-    found = profile.suggestions(heads)
-    return found.where("header <> 'Customr Name'").withColumn("confidence", F.round("confidence", 6))
+    parts = v.table(spark, sf_dir, "part").where((k != 0) | (F.substring("p_brand", 7, 1) != "3"))
+    heads = parts.select(F.col("p_brand").alias("file"), k.cast("int").alias("ordinal"), name.alias("header"), kind.alias("type")).distinct()
+    return profile.suggestions(heads).withColumn("confidence", F.round("confidence", 6))
 
 
 def _batches(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
@@ -576,3 +579,62 @@ def job_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ', ' of the ') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'and')")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched(spark, sf_dir, 'and "Of THE"')
+
+
+@query("SELECT f AS batch_id, CASE WHEN f BETWEEN 6 AND 10 THEN f - 6 ELSE f END AS original, f BETWEEN 6 AND 10 AS duplicate FROM (SELECT DISTINCT o_orderkey % 12 AS f FROM orders)")
+def file_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve files are written, five are copies of others, one differs by a letter; they are known by their bytes."""
+    k = F.col("o_orderkey")
+    files = v.table(spark, sf_dir, "orders").select(F.explode(F.array(k % 6, k % 6 + 6)).alias("f"), k.alias("k"), "o_orderpriority", "o_totalprice")
+    lines = files.select("f", "k", F.concat_ws(",", "k", F.concat(F.lit('"'), "o_orderpriority", F.lit('"')), "o_totalprice", F.when(F.col("f") == 11, "x").otherwise("y")).alias("value"))
+    path = stage_path(spark, "files")
+    lines.repartition("f").sortWithinPartitions("f", "k").select("f", "value").write.partitionBy("f").text(path)
+    found = file_digests(spark, f"{path}/f=*/*").withColumn("batch_id", F.regexp_extract("file", "f=([0-9]+)", 1).cast("long"))
+    batches = found.select((F.col("batch_id") % 2).alias("organization_id"), "batch_id", F.col("digest").alias("file_sha256"), F.col("batch_id").alias("created_at"))
+    return validate.file_duplicates(batches).select("batch_id", "original", "duplicate")
+
+
+_CHAIN = validate.Mapping(fields={"external_job_id": "Job ID", "customer_name": "Customer", "customer_external_id": "Customer ID", "service_date": "Date", "job_status": "Status", "revenue_amount": "Revenue", "equipment_serial": "Serial"}, skip=(validate.Skip("Status", "equals", "estimate"),), status_map={"Closed": "completed"})
+
+
+def exported(spark: SparkSession, sf_dir: str, earlier: bool) -> DataFrame:
+    """Jobs as six files, even ones with days first, odd ones with months first, read as raw rows; a row in seventeen comes twice."""
+    k, head = F.col("id"), ["Job ID", "Customer", "Customer ID", "Date", "Status", "Revenue", "Serial"]
+    jobs = v.jobs(spark, sf_dir)
+    jobs = jobs.where(k % 4 == 0) if earlier else jobs
+    jobs = jobs.withColumn("copy", F.explode(F.when(k % 17 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    day = F.when(k % 19 == 0, "soon").when(k % 6 % 2 == 0, F.date_format("service_date", "d/M/yyyy")).otherwise(F.date_format("service_date", "M/d/yyyy"))
+    cells = [F.when(k % 5 != 0, F.concat(F.lit("J"), k)), F.concat(F.lit('"Customer, '), "customer_id", F.lit('"')), F.col("customer_id"), day, F.when(k % 10 == 3, "ESTIMATE").otherwise("Closed"), F.col("revenue"), F.concat(F.lit("sn-"), "equipment_id")]
+    line = F.concat_ws(",", *(F.coalesce(c.cast("string"), F.lit("")) for c in cells))
+    lines = jobs.select((k % 6).alias("batch"), k.alias("k"), "copy", line.alias("value"))
+    heads = spark.range(6).select(F.col("id").alias("batch"), F.lit(-1).cast("long"), F.lit(0), F.lit(",".join(head)))
+    path = stage_path(spark, "export")
+    lines.union(heads).repartition("batch").sortWithinPartitions("batch", "k", "copy").select("batch", "value").write.partitionBy("batch").text(path)
+    rows = delimited.read_rows(spark, f"{path}/batch=*/*", head)
+    return rows.select(F.lit(1).alias("organization_id"), F.regexp_extract("file", "batch=([0-9]+)", 1).cast("long").alias("batch_id"), "row_number", "raw", "issues")
+
+
+def chained(spark: SparkSession, sf_dir: str) -> ingest.Import:
+    first = ingest.run_import(exported(spark, sf_dir, True), _CHAIN, "first", "2026-01-01")
+    return ingest.run_import(exported(spark, sf_dir, False), _CHAIN, "second", "2026-01-01", first.jobs, first.entities)
+
+
+#: Rows without an id are known by customer, day and texts, so that of several on one day the last one counts.
+_CHAINED = v.JOBS_SQL + """, e AS (SELECT *, id % 6 AS batch_id, id % 10 = 3 AS skipped, id % 19 = 0 AS bad, CASE WHEN id % 5 <> 0 THEN 'J' || id ELSE 'n' || customer_id || '|' || service_date::VARCHAR END AS key FROM jobs),
+o AS (SELECT DISTINCT key FROM e WHERE id % 4 = 0 AND NOT skipped AND NOT bad), s AS (SELECT e.*, CASE WHEN skipped THEN 'skipped' WHEN bad THEN 'error' WHEN o.key IS NULL THEN 'created' WHEN id % 5 = 0 THEN 'warning' ELSE 'updated' END AS outcome FROM e LEFT JOIN o USING (key))"""
+
+
+@query(_CHAINED + """ SELECT batch_id, (count(*) + count_if(id % 17 = 0))::BIGINT AS total, count_if(outcome = 'error')::BIGINT AS errors, count_if(outcome = 'warning')::BIGINT AS warnings, (count_if(outcome = 'skipped') + count_if(id % 17 = 0))::BIGINT AS skipped, count_if(outcome = 'created')::BIGINT AS created, count_if(outcome = 'updated')::BIGINT AS updated,
+ (count(*) - count_if(outcome IN ('error', 'skipped')))::BIGINT AS importable, CASE WHEN count_if(outcome = 'error') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS batch_status FROM s GROUP BY 1""")
+def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two imports, the second of all jobs after one of a quarter of them: counters of its batches."""
+    return chained(spark, sf_dir).counters
+
+
+@query(_CHAINED + """, j AS (SELECT key, arg_max(id, batch_id * 1000000000 + id) AS id FROM s WHERE outcome NOT IN ('error', 'skipped') GROUP BY key) SELECT j.id % 6 AS batch_id, jobs.service_date::VARCHAR AS service_date, customer_id::VARCHAR AS customer_external_id, 'Customer, ' || customer_id AS customer_name, revenue::DOUBLE AS revenue, CASE WHEN o.key IS NULL THEN 'second' ELSE 'first' END AS first_import_batch_id, count(*) AS n
+ FROM j JOIN jobs USING (id) LEFT JOIN o USING (key) GROUP BY ALL""")
+def import_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job table after both imports."""
+    jobs = chained(spark, sf_dir).jobs
+    r = F.col("record")
+    return jobs.groupBy("batch_id", r["service_date"].cast("string").alias("service_date"), r["customer_external_id"].alias("customer_external_id"), r["customer_name"].alias("customer_name"), r["revenue_amount"].cast("double").alias("revenue"), "first_import_batch_id").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revisit_spark.functions import identity
 from revisit_spark.functions import normalize as n
 from revisit_spark.operators import profile, resolve, transforms, validate
-from revisit_spark.sources import delimited
+from revisit_spark.sources import delimited, files
 
 BLANKS = ["\t{}\t", " {} ", " {}\r", "\r\n{} ", "{}\x1c"]
 
@@ -81,6 +81,23 @@ def test_quoted_line_ends_by_many_tasks(spark, tmp_path):
                 assert [got[name][k] for k in sorted(got[name])] == list(csv.reader(f)), (name, size)
 
 
+def test_digests_don_t_depend_on_cuts(spark, tmp_path):
+    made = {"a": b"x\ny\r\n" * 400, "b": b"x\ny\r\n" * 400, "c": b"x\ny\r\n" * 400 + b"x", "d": b"x\ny\r\n" * 399 + b"y\nx\r\n", "e": b"\xff\x00\n" * 500, "f": b"", "g": b"\n", "h": b""}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    before, seen = {k: spark.conf.get(f"spark.sql.files.{k}") for k in ("maxPartitionBytes", "openCostInBytes")}, []
+    for size in ("133", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            seen.append({r.file.rsplit("/", 1)[1]: (r["size"], r.digest) for r in files.file_digests(spark, f"file://{tmp_path}/*").collect()})
+        finally:
+            for k, x in before.items():
+                spark.conf.set(f"spark.sql.files.{k}", x)
+    assert seen[0] == seen[1] and seen[0]["a"] == seen[0]["b"] and seen[0]["f"] == seen[0]["h"] and len({x for _, x in seen[0].values()}) == 6
+    assert {k: x[0] for k, x in seen[0].items()} == {k: len(x) for k, x in made.items()}
+
+
 def test_numbers_start_anew_in_each_file(spark, tmp_path):
     for k in range(3):
         write(tmp_path, f"part{k}.csv", "a\n" + "".join(f"{k}-{i}\n" for i in range(5)))
