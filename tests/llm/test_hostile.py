@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from revisit_spark.llm import language, media, quality, queries
 from revisit_spark.llm.decontaminate import decontaminated, report
+from revisit_spark.llm.importance import resampled
+from revisit_spark.llm.manifest import manifest, verified
 from revisit_spark.llm.minhash import near_duplicates, without_near_duplicates
 from revisit_spark.llm.mixing import copies, mix, result_names
 from revisit_spark.llm.secrets import secrets
 from revisit_spark.llm.substrings import substring_dedup
 from revisit_spark.llm.suffixes import repeated_passages
 from revisit_spark.llm.tokens import packed_tokens
+from revisit_spark.llm.vectors import near_vectors
 
 LONG = " " * 1_000_000
-CLASHES = ["target", "copies", "source_size", "_part", "_shift", "_named", "_of", "_key", "_cell", "_row", "lang_pred", "lang_score", "lang_fit", "score", "payload", "_words_of_text", "_again", "row", "_id", "_text", "_spot", "_number", "_stays"]
+CLASHES = ["target", "copies", "source_size", "_part", "_shift", "_named", "_of", "_key", "_cell", "_row", "lang_pred", "lang_score", "lang_fit", "score", "payload", "_words_of_text", "_again", "row", "_id", "_text", "_spot", "_number", "_stays", "part", "rank", "size", "digest", "held", "leaf", "path", "lo", "hi", "block", "bucket", "n_features", "weight", "group", "n_words", "cls", "w", "n_links", "component"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
@@ -40,6 +43,12 @@ def labels(spark):
     return spark.createDataFrame([(1, 1.0), (9, 0.0), (10, 0.7), (4, 0.0), (4, 1.0), (None, 1.0)], "doc_id long, quality double")
 
 
+def vectors(docs):
+    """Hostile vectors: of the texts' lengths, null for null texts, empty for empty ones."""
+    n = F.length("text").cast("double")
+    return docs.withColumns({"vec_id": F.col("doc_id"), "label": F.col("lang"), "embedding": F.when(n == 0, F.array().cast("array<double>")).when(n > 0, F.array(n, n % 7, F.lit(1.0)))})
+
+
 def each(docs, bench, labels):
     """Every operator's result on ``docs`` by name, and whether it has one row for each of ``docs``."""
     model = language.learn(docs)
@@ -48,6 +57,7 @@ def each(docs, bench, labels):
         "packed_tokens": (packed_tokens(docs), False), "copies": (copies(sized), True), "mix": (mix(docs), False), "repeated_passages": (repeated_passages(docs), False),
         "report": (report(docs, bench), True), "decontaminated": (decontaminated(docs, bench), False), "near_duplicates": (near_duplicates(docs), True), "without_near_duplicates": (without_near_duplicates(docs), False),
         "quality": (quality.scored(docs, quality.learn(docs, labels)), True), "substring_dedup": (substring_dedup(docs), True), "secrets": (secrets(docs, path="source"), False), "language": (language.identified(docs, model), True),
+        "manifest": (verified(manifest(docs, presented={"n_chars": F.lit(1)})), True), "resampled": (resampled(docs, bench), True), "near_vectors": (near_vectors(vectors(docs)), True),
         "media": (media.media_columns(docs), True), "images": (media.images(media.media_columns(docs)), True),
     }
 
