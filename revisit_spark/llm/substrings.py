@@ -3,11 +3,12 @@
 A window is 50 words in a row. Every window has a smallest 20-word gram (by hash), the same wherever
 the window stands; neighbouring windows mostly share it and form a run, some 16 windows long.
 
-1. Each partition counts its runs by smallest gram in a sketch of two rows; the sketches are merged
-   by an aggregation. Equal windows have equal grams, so a cell's count is never below the number of
-   runs that hold any one window of those that fall into it. (Windows of different documents are in
-   different runs; how often one repeats within a run is not counted, as no document removes its own
-   words.) Which cells have two or more is a bitmap, sized by the text there is, 32 MB at most.
+1. Each partition counts its runs by smallest gram in a sketch of two rows, up to two; the sketches are
+   merged part by part, sent as bitmaps or as places of two bytes. Equal windows have equal grams, so
+   a cell's count is never below the number of runs that hold any one window of those that fall into
+   it. (Windows of different documents are in different runs; how often one repeats within a run is
+   not counted, as no document removes its own words.) Which cells have two or more is a bitmap, sized
+   by the text there is, 32 MB at most.
 2. The second pass lets only runs through whose cells are repeated in both rows, and groups them
    exactly: first whole runs, by their words; then, where one gram has several different runs, their
    single windows. None is lost: a window that repeats has a gram that repeats.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import bitmap, bits_for, member, possible, spot
 from .common import forget, in_arrow, saved
+from .sketch import repeated_cells
 from .words import PLAIN, anchors, mixed, pieces, range_hashes, runs, text_bytes, words
 
 WINDOW, GRAM = 50, 20
@@ -43,17 +45,15 @@ def _cells(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h & low, (h >> np.uint64(bits) & low) + np.uint64(1 << bits)
 
 
-def _sketch(rows: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
-    """(cell, n) of the merged sketch; counts of a part beyond 2 are kept as 2."""
+def _sketch(rows: DataFrame, window: int, gram: int, bits: int) -> np.ndarray:
+    """The cells of the merged sketch that two runs or more fall into, as a bitmap."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in pieces(batches, "_text", 2 << 20):
             found = anchors(words(batch.column("_text"), PLAIN), window, gram)
-            for cells in _cells(found.value, bits):
-                cell, n = np.unique(cells, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(np.minimum(n, 2))], names=["cell", "n"])
+            yield from _cells(found.value, bits)
 
-    return in_arrow(rows.select("_text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return repeated_cells(rows.select("_text"), cells_of, bits + 1)
 
 
 def _repeated(rows: DataFrame, seen, window: int, gram: int, bits: int) -> DataFrame:
@@ -149,8 +149,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     named = rows.where("_id is not null")
     size = named.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     bits = bits_for(size // RUN_BYTES) - 1
-    sketch = _sketch(named, window, gram, bits)
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap(sketch.where("n > 1").select("cell"), bits + 1))
+    seen = docs.sparkSession.sparkContext.broadcast(_sketch(named, window, gram, bits))
     found = saved(_repeated(named, seen, window, gram, bits), "runs")
     place = F.struct("id", "text_key", "at", "n")
     whole = found.groupBy("value", "d1", "d2").agg(F.min(place).alias("first"), F.max("id").alias("last"), F.count("*").alias("c"))
