@@ -294,21 +294,32 @@ def date(raw: Column, today: str, order: Column | str = "ambiguous", explicit: s
     return date_steps(raw, today, order, explicit, field).column()
 
 
-def moment_steps(raw: Column, zone: Column | str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Steps:
-    """A moment in UTC; without an offset it is read in the tenant's zone. Blank is null."""
+def _there(naive: Column, zone: Column, later: bool) -> Column:
+    """The moment of a clock's time in a zone. An hour that comes twice is the first one or, with ``later``, the second;
+    one that is left out is told as before the clocks moved."""
+    first = F.to_utc_timestamp(naive, zone)
+    if not later:
+        return first
+    day = F.expr("INTERVAL 24 HOURS")
+    second = F.to_utc_timestamp(naive + day, zone) - day  # by the offset that holds after the clocks moved
+    return F.when(F.from_utc_timestamp(second, zone) == naive, F.greatest(first, second)).otherwise(first)
+
+
+def moment_steps(raw: Column, zone: Column | str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None, later: bool = False) -> Steps:
+    """A moment in UTC; without an offset it is read in the tenant's zone, of an hour that comes twice the first one unless ``later``. Blank is null."""
     order = F.lit(order) if isinstance(order, str) else order
     zone = F.lit(zone) if isinstance(zone, str) else zone
 
     def judged(x: Column) -> Column:
         naive, ahead = x["at"]["naive"].cast("timestamp"), x["at"]["ahead"]
-        there = F.when(ahead.isNotNull(), F.timestamp_add("SECOND", -ahead, naive)).otherwise(F.to_utc_timestamp(naive, zone))
+        there = F.when(ahead.isNotNull(), F.timestamp_add("SECOND", -ahead, naive)).otherwise(_there(naive, zone, later))
         return result(there, (~x["blank"] & x["unclear"], issue("AMBIGUOUS_DATE_FORMAT", "error", field, raw)), (~x["blank"] & ~x["unclear"] & naive.isNull(), issue("INVALID_DATE", "error", field, raw)))
 
     return Steps(stripped(F.coalesce(raw, F.lit(""))), lambda v: _read(v, order, explicit), judged)
 
 
-def moment(raw: Column, zone: Column | str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None) -> Column:
-    return moment_steps(raw, zone, order, explicit, field).column()
+def moment(raw: Column, zone: Column | str, order: Column | str = "ambiguous", explicit: str | None = None, field: str | None = None, later: bool = False) -> Column:
+    return moment_steps(raw, zone, order, explicit, field, later).column()
 
 
 def integer_steps(raw: Column, field: str | None = None) -> Steps:

@@ -18,14 +18,18 @@ from ..functions import normalize as n
 
 @dataclass(frozen=True)
 class When:
-    """A date or a time: its format (``%d/%m/%Y``, or Spark's ``dd/MM/yyyy``), and the zone it is told in."""
+    """A date or a time: its format (``%d/%m/%Y``, or Spark's ``dd/MM/yyyy``), the zone it is told in, and whether
+    an hour that comes twice there is the ``earlier`` or the ``later`` one."""
 
     format: str | None = None
     timezone: str | None = None
+    repeated: str = "earlier"
 
     def __post_init__(self):
         if self.format:
             moments.spark_format(self.format)
+        if self.repeated not in ("earlier", "later"):
+            raise ValueError("a repeated hour is the earlier or the later one")
 
 
 @dataclass(frozen=True)
@@ -67,7 +71,7 @@ Make = Callable[[Column, Any, Given, str], n.Steps]
 #: For each field type but text, the column of a raw cell: (raw, settings or None, given, target) -> steps.
 MAKE: dict[str, Make] = {
     "date": lambda raw, how, given, t: n.date_steps(raw, given.today, given.order, how and how.format, t),
-    "datetime": lambda raw, how, given, t: n.moment_steps(raw, (how and how.timezone) or given.zone, given.order, how and how.format, t),
+    "datetime": lambda raw, how, given, t: n.moment_steps(raw, (how and how.timezone) or given.zone, given.order, how and how.format, t, bool(how) and how.repeated == "later"),
     "money": lambda raw, how, given, t: n.money_steps(raw, how and how.decimal_separator, how and how.thousands_separator, t),
     "boolean": lambda raw, how, given, t: n.boolean_steps(raw, tuple((how and how.true_values) or ()), t),
     "integer": lambda raw, how, given, t: n.integer_steps(raw, t),

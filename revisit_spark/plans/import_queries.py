@@ -193,7 +193,7 @@ DOCUMENT = {
     "version": 1,
     "fields": {
         "external_job_id": {"source_column": "Job ID"}, "customer_name": {"source_column": "Customer"}, "service_date": {"source_column": "Date", "transform": {"type": "date", "format": "%d_%m_%Y"}},
-        "started_at": {"source_column": "Start", "transform": {"type": "datetime", "format": "%m/%d/%Y %I:%M %p", "timezone": "America/New_York"}}, "completed_at": {"source_column": "End"},
+        "started_at": {"source_column": "Start", "transform": {"type": "datetime", "format": "%m/%d/%Y %I:%M %p", "timezone": "America/New_York", "repeated": "later"}}, "completed_at": {"source_column": "End"},
         "revenue_amount": {"source_column": "Revenue", "transform": {"type": "money", "decimal_separator": ",", "thousands_separator": " "}}, "parts_amount": {"source_column": "Parts"},
         "is_warranty": {"source_column": "Guarantee", "transform": {"type": "boolean", "true_values": ["Si"]}}, "job_status": {"source_column": "Status", "transform": {"type": "value_map", "map": {"Closed": "completed"}}},
     },

@@ -88,3 +88,9 @@ def test_odd_formats_are_errors():
 def test_digits_of_other_scripts(spark):
     assert one(spark, "\u0663.\u0665\u0660", n.money) == (Decimal("3.50"), [])
     assert one(spark, "\u0967\u0968", n.integer) == (12, []) and one(spark, "1_000", n.integer) == (1000, []) and one(spark, "9e1", n.integer) == (90, []) and one(spark, "9e-1", n.integer) == (None, ["INVALID_NUMBER"])
+
+
+@pytest.mark.parametrize("text,zone,first,second", [("2000-10-29 01:00", "America/New_York", 972795600, 972799200), ("2000-10-29 00:59", "America/New_York", 972795540, 972795540), ("2000-10-29 02:00", "America/New_York", 972802800, 972802800), ("2000-04-02 02:30", "America/New_York", 954660600, 954660600), ("2020-04-05 01:45", "Australia/Lord_Howe", 1586011500, 1586013300), ("2000-10-28 12:00", "UTC", 972734400, 972734400)])
+def test_hours_that_come_twice(spark, text, zone, first, second):
+    at = lambda later: one(spark, text, lambda x: F.unix_seconds(n.moment(x, zone, later=later)["value"]))
+    assert (at(False), at(True)) == (first, second)
