@@ -256,12 +256,14 @@ def _near_size(x: Column | str, y: Column | str, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those pairs whose ends are not in one component yet."""
-    of = lambda c: F.coalesce(f"{c}_label", c)
-    for c in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label")), c, "left")
-    return pairs.where(of("a") != of("b")).drop("a_label", "b_label")
+def _centres_apart(split: DataFrame, percent: int) -> DataFrame:
+    """(a, a_digest, b, b_digest): centres and the members of their buckets that are not in the centre's component.
+
+    Only buckets of several components are looked at (``split``), so pairs that are linked already are never made.
+    """
+    home = split.where("id = centre.id and digest = centre.digest").select("key", F.col("part").alias("_home"))
+    far = split.join(home, "key").where("part <> _home").where(_near_size("n", "centre.n", percent))
+    return far.select(F.col("centre.id").alias("a"), F.col("centre.digest").alias("a_digest"), F.col("id").alias("b"), F.col("digest").alias("b_digest")).distinct()
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int, text: str, id_col: str, large_from: int) -> tuple[DataFrame, DataFrame]:
@@ -293,7 +295,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, text: str, id_col: str
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = split.repartitionByRange(parts, "key", "o1", "o2", "digest").sortWithinPartitions("key", "o1", "o2", "digest")
     edge = ["a", "a_digest", "b", "b_digest"]
-    rest = _apart(stars.drop("bands"), labels).join(best, edge, "left_anti").union(_neighbours(ordered)).distinct()
+    rest = _centres_apart(split, percent).join(best, edge, "left_anti").union(_neighbours(ordered)).distinct()
     links = same.union(under).union(_confirmed(rest, sets, percent))
     labels = saved(components(links), "labels")
 
