@@ -24,10 +24,10 @@ from revisit_spark.llm.tokens import packed_tokens
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in one of the labelled languages; those without a letter, in none for sure, or that the likeliest
     one doesn't fit (a language without labels, letters at random), go."""
-    model = language.learn(docs)
-    pred, score, fit = map(F.col, language.result_names(docs))
-    kept = language.has_language(pred, score, fit, language.least_fits(model, docs))
-    return language.identified(docs, model).where(kept).select(*docs.columns)
+    names = language.result_names(docs)
+    found = saved(language.identified(docs, language.learn(docs)), "identified")  # once, for the least fits and for what stays
+    kept = language.has_language(*map(F.col, names), language.least_fits(found, names=names))
+    return found.where(kept).select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ languages are weighed by the sums over its words. Beside this rank there is a fi
 the likeliest language covers the text at all: the share of its words that this language has, where an
 unseen word counts by half the share of its 4-grams.
 
-The model is learnt by Spark from a bounded sample of labelled texts. Each language has its own most
+The model is learnt by Spark from all labelled texts. Each language has its own most
 frequent entries, so a small one isn't outvoted; there are no more than ENTRIES in all, so the model is
 sent to every task. Scoring is one pass over the texts without a shuffle.
 """
@@ -22,7 +22,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +30,11 @@ from .common import forget, free_name, in_arrow, saved
 from .words import mixed, pieces, powers, runs
 
 LONGEST = 4
-#: Bounds of the sample (documents of each language, about) and of the model: words, and n-grams of each
-#: length, of a language; and all entries, which very many languages share equally.
-SAMPLE, WORDS, GRAMS, ENTRIES = 10_000, 60_000, 30_000, 4_000_000
+#: Bounds of the model: words, and n-grams of each length, of a language; and all entries, which very many
+#: languages share equally.
+WORDS, GRAMS, ENTRIES = 60_000, 30_000, 4_000_000
+#: Entries that a task holds while it counts, at 16 bytes each.
+HELD = 500_000
 #: What an unseen word's 4-grams count next to a known word, in the fit.
 NEAR = 0.5
 _POINTS = 0x33480  # code points with letters
@@ -184,10 +186,24 @@ class Model:
         return [self.languages[k] if n else "und" for k, n in zip(best.tolist(), counts.tolist(), strict=True)], np.where(there, share, 0.0), np.where(there, fit, 0.0)
 
 
-def _counts(sample: DataFrame) -> DataFrame:
-    """(n, key, lang, c): words (n = 0) and n-grams of the sample."""
+def _counts(docs: DataFrame) -> DataFrame:
+    """(n, key, lang, c): words (n = 0) and n-grams of the labelled texts (lang, _text).
+
+    A task adds up what it has counted until it holds HELD entries, then sends it; most repeats end there.
+    """
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return key, np.bincount(at, np.concatenate([c for _, c in held]), len(key)).astype(np.int64)
+
+    def sent(cells: dict) -> Iterator[pa.RecordBatch]:
+        for (name, n), held in cells.items():
+            key, c = added(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array([name], pa.string()).take(pa.array(np.zeros(len(key), np.int32))), pa.array(c)], names=["n", "key", "lang", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        many = lambda: sum(len(k) for held in cells.values() for k, _ in held)
         for batch in pieces(batches, "_text", 1 << 18):
             langs = batch.column("lang").to_pylist()
             w = letter_words(batch.column("_text").to_pylist())
@@ -203,57 +219,48 @@ def _counts(sample: DataFrame) -> DataFrame:
                         h = w.hashes(sums, begin, np.full(len(begin), n))
                     else:
                         h = w.hashes(sums, w.begin[mine], w.length[mine])
-                    key, c = np.unique(h, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array([name] * len(key), pa.string()), pa.array(c.astype(np.int64))], names=["n", "key", "lang", "c"])
+                    cells.setdefault((name, n), []).append(np.unique(h, return_counts=True))
+            if many() > HELD:
+                cells = {at: [added(held)] for at, held in cells.items()}
+                if many() > HELD // 2:
+                    yield from sent(cells)
+                    cells = {}
+        yield from sent(cells)
 
-    return in_arrow(sample.select("lang", "_text"), run, "n int, key long, lang string, c long").groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
+    return in_arrow(docs.select("lang", "_text"), run, "n int, key long, lang string, c long").groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
 
 
 def _least_counts(counts: DataFrame, words: int, grams: int, entries: int) -> tuple[dict, dict]:
     """For each (n, language): the least count that the model keeps, so that not more entries than allowed
     have it, and all counts' sum.
 
-    Found from how many entries have each count; entries of one count stay or go together.
+    Found from how many entries have each count; entries of one count stay or go together. A window holds
+    one row for each count that occurs, whatever the number of entries.
     """
-    by_count: dict[tuple[int, str], list[tuple[int, int]]] = {}
-    for r in counts.groupBy("n", "lang", "c").agg(F.count("*").alias("m")).collect():
-        by_count.setdefault((r.n, r.lang), []).append((r.c, r.m))
-    languages = max(1, len({k for _, k in by_count}))
-    least, every = {}, {}
-    for (n, k), found in by_count.items():
-        room = min(grams if n else words, max(1, entries // (languages * (LONGEST + 1))))
-        least[n, k] = max(c for c, _ in found) + 1
-        every[n, k] = sum(c * m for c, m in found)
-        for c, m in sorted(found, reverse=True):
-            room -= m
-            if room < 0:
-                break
-            least[n, k] = c
-    return least, every
+    levels = counts.groupBy("n", "lang", "c").agg(F.count("*").alias("m"))
+    languages = max(1, counts.select("lang").distinct().count())
+    share = max(1, entries // (languages * (LONGEST + 1)))
+    room = F.when(F.col("n") > 0, min(grams, share)).otherwise(min(words, share))
+    above = F.sum("m").over(Window.partitionBy("n", "lang").orderBy(F.desc("c")))
+    kept = levels.withColumn("kept", above <= room).groupBy("n", "lang").agg(F.coalesce(F.min(F.when(F.col("kept"), F.col("c"))), F.max("c") + 1).alias("least"), F.sum(F.col("c") * F.col("m")).alias("every"))
+    found = kept.collect()
+    return {(r.n, r.lang): r.least for r in found}, {(r.n, r.lang): r.every for r in found}
 
 
-def sampled(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """(lang, _text) of about ``sample`` labelled documents of each language, chosen by their ids' hashes.
-
-    Null languages and texts are left out; null ids are one id, chosen or not.
-    """
-    rows = docs.select(docs[id_col].alias("_id"), docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("_text")).where("lang is not null and _text is not null")
-    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not many:
-        return rows.select("lang", "_text").where("false")
-    share = F.create_map(*(F.lit(x) for lang_of, n in many.items() for x in (lang_of, min(1.0, sample / n))))[F.col("lang")]
-    spot = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string"), F.lit(9)), 11) / float(1 << 53)
-    return rows.where(spot < share).select("lang", "_text")
+def labelled(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, _text) of all labelled documents; null languages and texts are left out. Ids aren't looked at."""
+    rows = docs.select(docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("_text"))
+    return rows.where("lang is not null and _text is not null")
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS, entries: int = ENTRIES) -> Model:
-    """A model of the labelled texts: of a sample (see ``sampled``), each language's ``words`` most frequent
-    words and ``grams`` most frequent n-grams of each length, less if all were more than ``entries``.
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, grams: int = GRAMS, entries: int = ENTRIES) -> Model:
+    """A model of all labelled texts: each language's ``words`` most frequent words and ``grams`` most frequent
+    n-grams of each length, less if all were more than ``entries``.
 
-    No language is left out. Without any labelled text the model has none. One row for each language and
-    each count that occurs comes to the driver, then the model's entries.
+    No language is left out. Without any labelled text the model has none. Five rows for each language come
+    to the driver, then the model's entries.
     """
-    counts = saved(_counts(sampled(docs, text, lang, id_col, sample)), "language")
+    counts = saved(_counts(labelled(docs, text, lang)), "language")
     least, every = _least_counts(counts, words, grams, entries)
     if not least:
         return Model([])
@@ -301,12 +308,19 @@ def result_names(docs: DataFrame, names: tuple[str, ...] = NAMES) -> tuple[str,
     return tuple(free_name(docs, n) for n in names)
 
 
-def least_fits(model: Model, docs: DataFrame, share: float = 0.5, low: float = 0.01, **sample) -> dict[str, float]:
-    """For each language the fit that a text of it has for sure: ``share`` of what all but the ``low`` part of
-    the labelled sample reach. One row for each language comes to the driver."""
-    found = identified(sampled(docs, **sample), model, "_text").where(F.col("lang_pred") == F.col("lang"))
-    rows = found.groupBy("lang").agg(F.percentile_approx("lang_fit", low, 1000).alias("fit")).collect()
-    return {r.lang: share * r.fit for r in rows}
+def least_fits(found: DataFrame, lang: str = "lang", names: tuple[str, str, str] = NAMES, share: float = 0.5, low: float = 0.01) -> dict[str, float]:
+    """For each language the fit that a text of it has for sure: ``share`` of what all but the ``low`` part of its
+    labelled texts reach that are identified (``found``, under ``names``) as it.
+
+    All of them count, by fits in ten-thousandths; one row for each language comes to the driver.
+    """
+    pred, _, fit = map(F.col, names)
+    right = found.where(pred == F.col(lang).cast("string"))
+    levels = right.groupBy(pred.alias("lang"), F.floor(fit * 10_000).alias("level")).agg(F.count("*").alias("m"))
+    by_lang = Window.partitionBy("lang")
+    below = F.sum("m").over(by_lang.orderBy("level"))
+    reached = levels.withColumns({"below": below, "all": F.sum("m").over(by_lang)}).where(F.col("below") >= F.col("all") * low)
+    return {r.lang: share * r.level / 10_000 for r in reached.groupBy("lang").agg(F.min("level").alias("level")).collect()}
 
 
 def has_language(pred: Column, score: Column, fit: Column, fits: dict[str, float], least: float = 0.5) -> Column:

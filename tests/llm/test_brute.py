@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from revisit_spark.llm import language, media, quality
-from revisit_spark.llm.minhash import near_duplicates
+from revisit_spark.llm.minhash import _centres_apart, near_duplicates
 from revisit_spark.llm.mixing import copies
 from revisit_spark.llm.secrets import evaluated, findings, learn, marked, scored, secrets
 from revisit_spark.llm.tokens import VOCABULARY, Encoder, segments
@@ -64,6 +64,24 @@ def test_language_scores(spark):
             assert got[j] == pytest.approx(total, abs=1e-4) and cover[j] == pytest.approx(fit, abs=1e-6)
 
 
+def test_all_labelled_texts_count(spark, monkeypatch):
+    """Texts of any number are all counted, also where tasks send what they hold before they end."""
+    monkeypatch.setattr(language, "HELD", 50)
+    rows = [(i % 3, f"alpha beta w{'abcdefghij'[i % 10]}", "en") for i in range(12_000)] + [(0, "beta gamma", "fr"), (0, None, "fr"), (0, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {(r.lang, r.c) for r in language._counts(language.labelled(docs)).where("n = 0").collect()}
+    assert got == {("en", 12_000), ("en", 1_200), ("fr", 1)}
+    counts = language._counts(language.labelled(docs))
+    least, every = language._least_counts(counts, 2, 2, 1000)
+    assert (least[0, "en"], every[0, "en"], least[0, "fr"], every[0, "fr"]) == (12_000, 36_000, 1, 2)
+
+
+def test_least_fits_are_of_all_texts(spark):
+    rows = [("en", "en", x / 1000) for x in range(1000)] + [("en", "fr", 0.0), (None, "en", 0.0), ("fr", "fr", 0.7)]
+    found = spark.createDataFrame(rows, "lang string, lang_pred string, lang_fit double").selectExpr("lang", "lang_pred", "1D as lang_score", "lang_fit")
+    assert language.least_fits(found) == {"en": pytest.approx(0.0045), "fr": pytest.approx(0.35)}
+
+
 def test_marks_are_no_letters(spark):
     odd = ["\u0301\u0301", "5\u20e3", "\u0301 42", "...", "e\u0301t\u0301", "\u0301the"]
     assert [len(language.letter_words([t]).begin) for t in odd] == [0, 0, 0, 0, 1, 1]
@@ -260,3 +278,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for (i, _), found in parts.items():
         assert all(encoder.encoding.decode(x[:-1].tolist()) == docs[i if i < 100 else i - 76][1] for x in found)
     assert five.select(F.sum(F.size("doc_ids"))).first()[0] == sum(times.values())
+
+
+def test_centres_meet_members_of_other_components_alone(spark):
+    rows = [("k", 1, 10, 1, 1), ("k", 2, 10, 1, 1), ("k", 3, 10, 3, 1), ("k", 4, 2, 4, 1), ("m", 5, 10, 5, 5), ("m", 6, 10, 6, 5)]
+    split = spark.createDataFrame(rows, "key string, id long, n long, part long, c long").selectExpr("key", "id", "cast(string(id) as binary) as digest", "n", "part", "named_struct('id', c, 'digest', cast(string(c) as binary), 'n', 10L) as centre")
+    assert {(r.a, r.b) for r in _centres_apart(split, 80).collect()} == {(1, 3), (5, 6)}
