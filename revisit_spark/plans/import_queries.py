@@ -448,29 +448,45 @@ def resolved_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLACES = """'99' || customer_id || ' Main St.' AS line, 1000 + customer_id % 50 AS postal"""
 
 
-def _keyed(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
-    """A batch's rows with all natural keys, from texts of any case and spacing."""
-    k, c = F.col("id"), F.col("customer_id")
-    jobs = v.jobs(spark, sf_dir).where(k % 2 == (1 if late else 0))
+#: The texts that each natural key compares.
+_TEXTS = {"location": ("address", "postal"), "equipment": ("address", "postal", "maker", "model", "kind"), "technician": ("code", "worker"), "job": ("summary", "description", "invoice")}
+
+
+def _keyed(jobs: DataFrame, what: str) -> DataFrame:
+    """A batch's rows with one of the natural keys, from texts of any case and spacing.
+
+    The texts are cleaned and folded by one call of each helper for a row, then the key is made of plain columns.
+    """
+    k, c, e, t = F.col("id"), F.col("customer_id"), F.col("equipment_id"), F.col("technician_id")
     org, src = F.col("organization_id"), F.lit(7)
     shout = lambda x: F.when(k % 3 == 0, F.upper(x)).otherwise(F.concat(F.lit("\t"), x, F.lit("\u00a0 ")))
-    jobs = jobs.withColumn("customer_digest", identity.digest(org, c))
-    place = identity.location(org, src, F.when(c % 4 == 0, F.concat(F.lit("L"), c)), F.col("customer_digest"), shout(F.concat(F.lit("99"), c, F.lit(" Main St."))), shout((1000 + c % 50).cast("string")))
-    jobs = jobs.withColumn("location", place)
-    e = F.col("equipment_id")
-    gear = identity.equipment(org, src, F.when(e % 4 == 0, F.concat(F.lit("E"), e)), F.when(e % 4 == 1, shout(F.concat(F.lit("sn-"), e))), F.when(e % 4 == 2, F.col("location.digest")), shout(F.lit("Acme")), shout(F.concat(F.lit("Model "), e)), shout(F.lit("Boiler")))
-    t = F.col("technician_id")
-    worker = identity.technician(org, src, F.when(t % 3 == 0, F.concat(F.lit("T"), t)), F.when(t % 3 == 1, shout(F.concat(F.lit("code"), t))), F.when(t.isNotNull(), shout(F.concat(F.lit("Tech, "), t, F.lit(" Ltd.")))))
-    task = identity.job(org, src, F.when(k % 3 == 0, F.concat(F.lit("J"), k)), F.col("customer_digest"), F.col("service_date"), F.when(k % 3 == 1, shout(F.lit("No  heat"))), shout(F.lit("Noise")), F.when(k % 5 == 0, shout(F.concat(F.lit("Inv"), k))))
+    texts = {
+        "address": shout(F.concat(F.lit("99"), c, F.lit(" Main St."))), "postal": shout((1000 + c % 50).cast("string")), "maker": shout(F.lit("Acme")), "model": shout(F.concat(F.lit("Model "), e)), "kind": shout(F.lit("Boiler")),
+        "code": F.when(t % 3 == 1, shout(F.concat(F.lit("code"), t))), "worker": F.when(t.isNotNull(), shout(F.concat(F.lit("Tech, "), t, F.lit(" Ltd.")))), "summary": F.when(k % 3 == 1, shout(F.lit("No  heat"))), "description": shout(F.lit("Noise")), "invoice": F.when(k % 5 == 0, shout(F.concat(F.lit("Inv"), k))),
+    }
+    used = _TEXTS[what]
+    rows = n.clean_texts(jobs.withColumn("customer_digest", identity.digest(org, c)), {f"_{x}": texts[x] for x in used})
+    rows = rows.select(*jobs.columns, "customer_digest", n.casefold_all([F.col(f"_{x}") for x in used]).alias("_folds"))
+    of = lambda x: F.get("_folds", F.lit(used.index(x))) if x in used else F.lit(None).cast("string")
+    place = identity.location(org, src, F.when(c % 4 == 0, F.concat(F.lit("L"), c)), F.col("customer_digest"), of("address"), of("postal"), ready=True)
+    worker = identity.technician(org, src, F.when(t % 3 == 0, F.concat(F.lit("T"), t)), of("code"), of("worker"), ready=True)
+    task = identity.job(org, src, F.when(k % 3 == 0, F.concat(F.lit("J"), k)), F.col("customer_digest"), F.col("service_date"), of("summary"), of("description"), of("invoice"), ready=True)
+    gear = identity.equipment(org, src, F.when(e % 4 == 0, F.concat(F.lit("E"), e)), F.when(e % 4 == 1, shout(F.concat(F.lit("sn-"), e))), F.when(e % 4 == 2, F.col("location.digest")), of("maker"), of("model"), of("kind"), ready=True)
     city = F.when(k % 5 == 0, F.concat(F.lit("City "), c % 9))
-    return jobs.select("organization_id", "customer_digest", k.alias("row_number"), "location", gear.alias("equipment"), worker.alias("technician"), task.alias("job"), city.alias("city"), F.when(k % 7 == 0, F.concat(F.lit("SN"), e)).alias("serial"), F.when(k % 4 == 0, F.concat(F.lit("Tech "), t)).alias("name"))
+    if what == "equipment":  # some are known by their place
+        rows = rows.withColumn("location", place)
+    key = {"location": place, "equipment": gear, "technician": worker, "job": task}[what]
+    return rows.select("organization_id", "customer_digest", k.alias("row_number"), key.alias("key"), city.alias("city"), F.when(k % 7 == 0, F.concat(F.lit("SN"), e)).alias("serial"), F.when(k % 4 == 0, F.concat(F.lit("Tech "), t)).alias("name"))
 
 
 def _resolved(spark: SparkSession, sf_dir: str, what: str, columns: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Two batches, one after the other. Keys are written before rows without one are left out: that filter would be
+    pushed through all steps otherwise, and these worked out twice."""
+    keyed = _keyed(v.jobs(spark, sf_dir), what).select("organization_id", *more, "row_number", "key", *columns)
+    rows = staged(keyed).where("key is not null").select("organization_id", *more, "row_number", F.col("key.digest").alias("digest"), F.col("key.strategy").alias("strategy"), *columns)
     snapshot = None
-    for late in (False, True):
-        rows = _keyed(spark, sf_dir, late).where(F.col(what).isNotNull()).select("organization_id", *more, "row_number", F.col(f"{what}.digest").alias("digest"), F.col(f"{what}.strategy").alias("strategy"), *columns)
-        snapshot = resolve.resolved(snapshot, rows, ["organization_id", *more, "digest"], ["strategy", *columns])
+    for late in (0, 1):
+        snapshot = resolve.resolved(snapshot, rows.where(F.col("row_number") % 2 == late), ["organization_id", *more, "digest"], ["strategy", *columns])
     return snapshot
 
 
@@ -500,8 +516,7 @@ def resolved_technicians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ENTITIES + """ SELECT id, CASE WHEN id % 3 = 0 THEN 'external_id' ELSE 'job_natural_key' END AS strategy, CASE WHEN id % 3 = 0 THEN sha256(concat_ws('|', organization_id, 7, 'J' || id)) ELSE sha256(concat_ws('|', organization_id, cd, service_date::VARCHAR, CASE WHEN id % 3 = 1 THEN 'no heat' ELSE 'noise' END, CASE WHEN id % 5 = 0 THEN 'inv' || id ELSE '' END)) END AS digest FROM e""")
 def job_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _keyed(spark, sf_dir, False).union(_keyed(spark, sf_dir, True))
-    return rows.select(F.col("row_number").alias("id"), "job.strategy", "job.digest")
+    return _keyed(v.jobs(spark, sf_dir), "job").select(F.col("row_number").alias("id"), "key.strategy", "key.digest")
 
 
 @query(f"{v.JOBS_SQL} SELECT organization_id, customer_id, min(service_date) AS first_seen, max(service_date) AS last_seen, count_if(id % 2 = 1)::BIGINT + 5 AS job_count FROM jobs GROUP BY 1, 2 HAVING count_if(id % 2 = 0) > 0", days=("first_seen", "last_seen"))

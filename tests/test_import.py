@@ -214,3 +214,12 @@ def test_votes_of_batches(spark):
     rows = validate.with_date_orders(d, "Day")
     got = {(r.batch_id, r.row_number): (r.record and r.record.service_date, r.issues[0].code) for r in validate.validated(rows, validate.Mapping({"service_date": "Day", "customer_name": "Who"}), "2026-06-01", F.col("date_order")).collect()}
     assert got[("a", 1)][0] == date(2025, 3, 2) and got[("b", 1)][0] == date(2025, 2, 3) and got[("c", 0)] == (None, "AMBIGUOUS_DATE_FORMAT")
+
+
+@pytest.mark.parametrize("what,helpers", [("technician", 2), ("equipment", 2), ("location", 2)])
+def test_keys_call_each_helper_once(spark, what, helpers):
+    """A key's texts go to Python once to be composed and once to be folded."""
+    from revisit_spark.plans import import_queries, testviews
+
+    plan = import_queries._keyed(testviews.jobs(spark, "/root/testdata/sf0.001"), what).select("row_number", "key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == helpers
