@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.normalize import search_words
 
@@ -15,27 +20,68 @@ TEXTS = ("summary", "description", "symptoms", "diagnosis", "resolution")
 BUCKETS = 256
 #: Files that a partition may have: very common words' postings are written by several tasks.
 SPREAD = 8
+#: Bytes of rows that are sent to a Python worker at a time, unless the session names its own bound.
+BATCH = "4m"
 
 
 def bucket(word: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
+def _packed(jobs: DataFrame, texts: tuple[str, ...], buckets: int) -> DataFrame:
+    """(organization_id, id, bucket, words, ats): a job's postings of one partition as two texts, words and their places.
+
+    A job's words are grouped where the job is, so they don't move for it, and what they are sent with is sent once for many.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            org, key, words, homes = b.columns
+            row, size = words.value_parent_indices().to_numpy(), words.value_lengths().fill_null(0).to_numpy()
+            place, home = np.arange(len(row)) - (np.cumsum(size) - size)[row], homes.flatten().to_numpy()
+            word = words.flatten().cast(pa.string()).dictionary_encode()
+            code = word.indices.to_numpy()
+            order = np.lexsort((code, home, row))  # stable: places stay in order
+            row, home, code = row[order], home[order], code[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (home[1:] != home[:-1])
+            posting = new.copy()
+            posting[1:] |= code[1:] != code[:-1]
+            at, first = np.flatnonzero(posting), np.flatnonzero(new)
+            joined = lambda starts, end, x, by: pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, end).astype(np.int32)), x), by)
+            ats, lists = joined(at, len(row), pa.array(place[order]).cast(pa.string()), ","), np.searchsorted(at, first)
+            columns = [org.take(pa.array(row[first])), key.take(pa.array(row[first])), pa.array(home[first]), joined(lists, len(at), word.dictionary.take(pa.array(code[at])), " "), joined(lists, len(at), ats, " ")]
+            yield pa.RecordBatch.from_arrays(columns, names=["organization_id", "id", "bucket", "words", "ats"])
+
+    conf, key = jobs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH)
+    words = search_words(*(F.col(c) for c in texts if c in jobs.columns))
+    rows = jobs.select("organization_id", "id", words.alias("words")).withColumn("homes", F.transform("words", lambda w: bucket(w, buckets)))
+    schema = StructType([*rows.schema.fields[:2], StructField("bucket", IntegerType()), StructField("words", StringType()), StructField("ats", StringType())])
+    return rows.mapInArrow(run, schema)
+
+
+def _each(packed: DataFrame) -> DataFrame:
+    one = packed.select("organization_id", "id", "bucket", F.explode(F.arrays_zip(F.split("words", " ").alias("word"), F.split("ats", " ").alias("at"))).alias("p"))
+    return one.select("organization_id", "id", F.col("p.word").alias("word"), F.split("p.at", ",").cast("array<int>").alias("at"), "bucket")
+
+
 def postings(jobs: DataFrame, texts: tuple[str, ...] = TEXTS) -> DataFrame:
     """(organization_id, id, word, at): each word of each job, with its places (from 0) in all of the texts, in order.
 
     Null texts have no words; those of further texts go on counting.
     """
-    words = search_words(*(F.col(c) for c in texts if c in jobs.columns))
-    each = jobs.select("organization_id", "id", F.posexplode(words).alias("place", "word"))
-    return each.groupBy("organization_id", "id", "word").agg(F.array_sort(F.collect_list("place")).alias("at"))
+    return _each(_packed(jobs, texts, 1)).drop("bucket")
 
 
 def write_index(jobs: DataFrame, path: str, texts: tuple[str, ...] = TEXTS, buckets: int = BUCKETS) -> None:
-    """Replaces the index. Files are sorted by word, so that within a partition other words' row groups are skipped."""
-    rows = postings(jobs, texts).withColumns({"bucket": bucket(F.col("word"), buckets), "_part": F.pmod(F.xxhash64("organization_id", "id"), F.lit(SPREAD))})
-    dealt = rows.repartition("bucket", "_part").sortWithinPartitions("bucket", "word", "organization_id", "id").drop("_part")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Replaces the index. Files are sorted by word, so that within a partition other words' row groups are skipped.
+
+    Postings move once, packed, to their partition's file, where they are unpacked.
+    """
+    rows = _each(_packed(jobs, texts, buckets).repartition("bucket", F.pmod(F.xxhash64("organization_id", "id"), F.lit(SPREAD))))
+    rows.sortWithinPartitions("bucket", "word", "organization_id", "id").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def asked_words(spark: SparkSession, asked: str, buckets: int = BUCKETS) -> tuple[list[list[str]], dict[str, int]]:

@@ -111,3 +111,11 @@ def test_search_reads_its_words_alone(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "bucket#" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
     assert "PushedFilters" in plan and "word" in plan.split("PushedFilters")[1]
+
+
+def test_an_index_moves_its_postings_once(spark, tmp_path):
+    texts = ["no no heat", None, "heat no", "", "no"]
+    jobs = spark.createDataFrame([(None if i == 4 else 1, i, t, "no") for i, t in enumerate(texts)], "organization_id int, id int, summary string, resolution string")
+    found = search.postings(jobs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.organization_id or 0, r.id, r.word, r.at) for r in found.collect()) == [(0, 4, "no", [0, 1]), (1, 0, "heat", [2]), (1, 0, "no", [0, 1, 3]), (1, 1, "no", [0]), (1, 2, "heat", [0]), (1, 2, "no", [1, 2]), (1, 3, "no", [0])]
