@@ -68,12 +68,13 @@ def candidate_pairs(jobs: DataFrame, window: int = 30, cap: int = 25, date_from:
     return kept.select("organization_id", F.col("p.id").alias("prior_id"), F.col("f.id").alias("followup_id"), *shared, F.col("p.technician_id").alias("prior_technician_id"), F.col("f.technician_id").alias("followup_technician_id"), F.datediff("f.service_date", "p.service_date").alias("days_between"))
 
 
-def recurrence(jobs: DataFrame, window: int = 30) -> DataFrame:
+def recurrence(jobs: DataFrame, window: int = 30, wanted: DataFrame | None = None) -> DataFrame:
     """(organization_id, id, visits): visits of a job's customer or equipment from its date on, itself
     included, up to ``window`` days later: by customer, and by equipment, less those by both.
 
     Visits are counted once by (customer, equipment, day); the counts by customer and by equipment are sums of
     these. A range window has a row for each day of a key at most, and keys that are missing are in none.
+    ``wanted`` has the (organization_id, id) to be told; all visits are counted.
     """
     org, both = "organization_id", ["customer_id", "equipment_id"]
     rows = visits(jobs).select(org, "id", *both, F.unix_date("service_date").alias("day"))
@@ -91,6 +92,7 @@ def recurrence(jobs: DataFrame, window: int = 30) -> DataFrame:
             days = known.select(org, *both, "day").join(days, [org, *keys, "day"])
         total = days.select(org, *both, "day", "n") if total is None else total.unionByName(days.select(org, *both, "day", "n"))
     known = total.groupBy(org, *both, "day").agg(F.sum("n").alias("visits"))
+    rows = rows if wanted is None else rows.join(wanted, [org, "id"], "left_semi")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in (org, *both, "day")]
     return rows.alias("r").join(known.alias("k"), same, "left").select(f"r.{org}", "r.id", F.coalesce("k.visits", F.lit(0)).cast("long").alias("visits"))
 

@@ -97,10 +97,19 @@ def scores_sql(rules: tuple[signals.Rule, ...] = signals.DEFAULT_RULES, ratio: s
 SCORES = "SELECT organization_id, prior_id, followup_id, raw_cents, basis_points, band, suppressed_by, gates_passed, suppressed_by IS NULL AND gates_passed AND basis_points >= 4000 AS surfaced FROM scores"
 
 
-def evaluated(spark: SparkSession, sf_dir: str, rules=signals.DEFAULT_RULES, window: int = 30, cap: int = 25) -> DataFrame:
+def detected(spark: SparkSession, sf_dir: str, window: int = 30, cap: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Jobs and their pairs, each written once."""
     jobs = staged(v.jobs(spark, sf_dir))
-    found = pairs.candidate_pairs(jobs, window, cap)
-    return signals.evaluated(signals.pair_context(found, jobs, v.equipment(spark, sf_dir), v.line_items(spark, sf_dir), window), with_maintenance(rules))
+    return jobs, staged(pairs.candidate_pairs(jobs, window, cap))
+
+
+def context(spark: SparkSession, sf_dir: str, jobs: DataFrame, found: DataFrame, window: int = 30) -> DataFrame:
+    return signals.pair_context(found, jobs, v.equipment(spark, sf_dir), v.line_items(spark, sf_dir), window)
+
+
+def evaluated(spark: SparkSession, sf_dir: str, rules=signals.DEFAULT_RULES, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Pairs with their signals; ``made`` has the jobs and pairs where the caller has them."""
+    return signals.evaluated(context(spark, sf_dir, *(made or detected(spark, sf_dir))), with_maintenance(rules))
 
 
 def with_maintenance(rules: tuple[signals.Rule, ...]) -> tuple[signals.Rule, ...]:
@@ -108,8 +117,8 @@ def with_maintenance(rules: tuple[signals.Rule, ...]) -> tuple[signals.Rule, ...
     return tuple(signals.Rule(r.key, r.label, r.weight, r.kind, {"categories": ["5-low"]}) if r.key == "scheduled_maintenance" else r for r in rules)
 
 
-def scored(spark: SparkSession, sf_dir: str, rules=signals.DEFAULT_RULES) -> DataFrame:
-    return scoring.scored(evaluated(spark, sf_dir, rules), with_maintenance(rules))
+def scored(spark: SparkSession, sf_dir: str, rules=signals.DEFAULT_RULES, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return scoring.scored(evaluated(spark, sf_dir, rules, made), with_maintenance(rules))
 
 
 @query(PAIRS + " SELECT * FROM pairs")
@@ -192,9 +201,14 @@ QUEUE = scores_sql() + ", q AS (SELECT scores.*, sha256(concat_ws('|', organizat
 
 
 def open_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = staged(v.jobs(spark, sf_dir))
-    snapshot = candidates.upserted(None, pairs.candidate_pairs(jobs), "run-1").drop("change")
-    return queue.ready(snapshot, scored(spark, sf_dir))
+    return _queue(spark, sf_dir)[1]
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs, and the queue of their pairs."""
+    made = detected(spark, sf_dir)
+    snapshot = candidates.upserted(None, made[1], "run-1").drop("change")
+    return made[0], queue.ready(snapshot, scored(spark, sf_dir, made=made).drop("signals"))
 
 
 @query(QUEUE + " SELECT candidate_id, organization_id, prior_id, followup_id, basis_points, band FROM q WHERE suppressed_by IS NULL ORDER BY basis_points DESC, candidate_id LIMIT 50")
@@ -204,9 +218,10 @@ def proof_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(QUEUE + " SELECT candidate_id, basis_points, days_between, p.raw_job_type AS prior_type, f.raw_job_type AS followup_type, c_name AS customer_name FROM (SELECT * FROM q WHERE suppressed_by IS NULL ORDER BY basis_points DESC, candidate_id DESC LIMIT 51) x JOIN jobs p ON p.id = prior_id JOIN jobs f ON f.id = followup_id LEFT JOIN customer ON c_custkey = x.customer_id")
 def queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = queue.page(open_queue(spark, sf_dir), "basis_points")
+    jobs, rows = _queue(spark, sf_dir)
+    page = queue.page(rows, "basis_points")
     names = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    full = queue.hydrated(page, v.jobs(spark, sf_dir), names)
+    full = queue.hydrated(page, jobs, names)
     return full.select("candidate_id", "basis_points", "days_between", F.col("prior.raw_job_type").alias("prior_type"), F.col("followup.raw_job_type").alias("followup_type"), "customer_name")
 
 
@@ -220,36 +235,39 @@ def queue_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(QUEUE + " SELECT candidate_id, basis_points, band FROM q JOIN jobs f ON f.id = followup_id WHERE suppressed_by IS NULL AND basis_points >= 3000 AND band = 'medium' AND f.service_date >= DATE '1996-01-01' AND f.service_date <= DATE '2000-12-31'")
 def queue_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = queue.filtered(open_queue(spark, sf_dir), v.jobs(spark, sf_dir), min_basis_points=3000, band="medium", date_from="1996-01-01", date_to="2000-12-31")
+    jobs, rows = _queue(spark, sf_dir)
+    kept = queue.filtered(rows, jobs, min_basis_points=3000, band="medium", date_from="1996-01-01", date_to="2000-12-31")
     return kept.select("candidate_id", "basis_points", "band")
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def truth(found: DataFrame) -> DataFrame:
     """A decision on every pair, by the follow-up's number."""
     k = F.col("followup_id") % 3
-    found = pairs.candidate_pairs(staged(v.jobs(spark, sf_dir)))
     return found.select("organization_id", "prior_id", "followup_id", F.when(k == 0, "confirmed").when(k == 1, "rejected").otherwise("uncertain").alias("decision"))
 
 
 @query(scores_sql() + " SELECT organization_id, band, count_if(followup_id % 3 = 0)::BIGINT AS confirmed, count_if(followup_id % 3 = 1)::BIGINT AS rejected, (count_if(followup_id % 3 = 0) * 10000 // nullif(count_if(followup_id % 3 < 2), 0))::BIGINT AS precision FROM scores GROUP BY 1, 2")
 def precision_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.precision_by_band(scored(spark, sf_dir), truth(spark, sf_dir))
+    made = detected(spark, sf_dir)
+    return analytics.precision_by_band(scored(spark, sf_dir, made=made), truth(made[1]))
 
 
 @query(scores_sql() + " SELECT organization_id, least(basis_points // 1000, 9)::INTEGER AS bucket, count(*) AS reviewed, count_if(followup_id % 3 = 0)::BIGINT AS confirmed FROM scores GROUP BY 1, 2")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.calibration(scored(spark, sf_dir), truth(spark, sf_dir))
+    made = detected(spark, sf_dir)
+    return analytics.calibration(scored(spark, sf_dir, made=made), truth(made[1]))
 
 
 @query(scores_sql() + " SELECT organization_id, key, count_if(outcome = 'matched')::BIGINT AS matched, count_if(outcome = 'matched' AND followup_id % 3 = 0)::BIGINT AS matched_confirmed, count_if(outcome = 'not_matched')::BIGINT AS not_matched, count_if(outcome = 'not_matched' AND followup_id % 3 = 0)::BIGINT AS not_matched_confirmed FROM each GROUP BY 1, 2")
 def signal_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.signal_lift(scoring.evidence(evaluated(spark, sf_dir)), truth(spark, sf_dir))
+    made = detected(spark, sf_dir)
+    return analytics.signal_lift(scoring.evidence(evaluated(spark, sf_dir, made=made)), truth(made[1]))
 
 
 @query(PAIRS + " SELECT organization_id, a.l_partkey::VARCHAR AS code, count(DISTINCT (prior_id, followup_id)) AS pairs FROM pairs JOIN lineitem a ON a.l_orderkey = prior_id AND a.l_returnflag = 'R' JOIN lineitem b ON b.l_orderkey = followup_id AND b.l_returnflag = 'R' AND a.l_partkey = b.l_partkey GROUP BY 1, 2")
 def failing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = v.jobs(spark, sf_dir)
-    return analytics.failing_parts(signals.pair_context(pairs.candidate_pairs(jobs), jobs, None, v.line_items(spark, sf_dir)))
+    jobs, found = detected(spark, sf_dir)
+    return analytics.failing_parts(signals.pair_context(found, jobs, None, v.line_items(spark, sf_dir)))
 
 
 @query(PAIRS + " SELECT DISTINCT organization_id, id, other_id FROM (SELECT organization_id, prior_id AS id, followup_id AS other_id FROM pairs UNION ALL SELECT organization_id, followup_id, prior_id FROM pairs)")
@@ -289,7 +307,10 @@ def _top_sql(rules, ratio: str) -> str:
 
 @query(f"SELECT coalesce(a.organization_id, b.organization_id) AS organization_id, coalesce(a.prior_id, b.prior_id) AS prior_id, coalesce(a.followup_id, b.followup_id) AS followup_id, a.place AS rank_before, b.place AS rank_after FROM ({_top_sql(signals.DEFAULT_RULES, '0.20')}) a FULL JOIN ({_top_sql(CUSTOM_RULES, '0.50')}) b ON a.organization_id = b.organization_id AND a.prior_id = b.prior_id AND a.followup_id = b.followup_id")
 def whatif_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.whatif(scored(spark, sf_dir).drop("signals"), scored(spark, sf_dir, CUSTOM_RULES).drop("signals"))
+    """Two rule sets on one context: jobs, pairs and what these are judged by are worked out once."""
+    told = context(spark, sf_dir, *detected(spark, sf_dir))
+    under = lambda rules: scoring.scored(signals.evaluated(told, with_maintenance(rules)), with_maintenance(rules)).drop("signals")
+    return analytics.whatif(under(signals.DEFAULT_RULES), under(CUSTOM_RULES))
 
 
 @query(scores_sql() + """, runs(run_no) AS (VALUES (1), (2), (3), (4), (5)) SELECT organization_id, prior_id, followup_id, run_no, count(*) AS n FROM each JOIN runs ON (prior_id + run_no) % 4 <> 0

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revisit_spark.operators import candidates, pairs, scoring, signals
+from revisit_spark.sources.tables import staged
 
 SCHEMA = "organization_id long, id long, customer_id long, location_id long, equipment_id long, technician_id long, service_date date, started_at timestamp, status string, deleted_at timestamp"
 
@@ -135,3 +136,18 @@ def test_jobs_stay_where_they_are(spark):
     finally:
         for k, x in held.items():
             spark.conf.set(k, x)
+
+
+def test_signals_are_worked_out_once_and_for_jobs_of_pairs_alone(spark):
+    jobs = spark.createDataFrame([(1, i, 1 if i < 3 else i, f"2024-01-0{i + 1}") for i in range(6)], "organization_id int, id int, customer_id int, day string")
+    none = {c: F.lit(None).cast(t) for c, t in {"location_id": "int", "equipment_id": "int", "technician_id": "int", "category_id": "string", "started_at": "timestamp", "revenue": "decimal(14,2)", "is_warranty": "boolean", "raw_category": "string", "raw_job_type": "string"}.items()}
+    jobs = jobs.withColumns(none | {"service_date": F.to_date("day"), "status": F.lit("completed")})
+    found = staged(pairs.candidate_pairs(jobs))
+    lines = jobs.select(F.col("id").alias("job_id"), F.lit("part").alias("kind"), F.lit(" AB").alias("code"))
+    told = signals.pair_context(found, jobs, None, lines)
+    assert sorted((r.prior_id, r.followup_id, r.visits, r.prior_codes, r.followup_codes) for r in told.collect()) == [(0, 1, 3, ["ab"], ["ab"]), (0, 2, 3, ["ab"], ["ab"]), (1, 2, 2, ["ab"], ["ab"])]
+    wanted = jobs.where("id < 3").select("organization_id", "id")
+    assert sorted(r.id for r in signals.job_facts(jobs, lines, wanted=wanted).collect()) == [0, 1, 2]
+    uses = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("repeat_part_code")
+    evaluated = signals.evaluated(told)
+    assert uses(scoring.scored(evaluated).drop("signals")) == uses(evaluated)
