@@ -240,8 +240,8 @@ def issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_REPORT + ", p AS (SELECT DISTINCT batch_id, row_number FROM report WHERE batch_id = 3 AND row_number > 40) SELECT row_number FROM p ORDER BY row_number LIMIT 51")
 def issue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page of a batch's rows with issues behind row 40."""
-    rows = validate.validated(raw_rows(spark, sf_dir), MAPPING, today="2026-01-01").where("batch_id = 3 and size(issues) > 0")
+    """The page of a batch's rows with issues behind row 40. Rows are judged one by one, so only that batch's are."""
+    rows = validate.validated(raw_rows(spark, sf_dir).where("batch_id = 3"), MAPPING, today="2026-01-01").where("size(issues) > 0")
     return queue.ascending(rows.select("row_number", "id"), ["row_number"], cursor=(40,)).select("row_number")
 
 
