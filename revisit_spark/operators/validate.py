@@ -125,14 +125,15 @@ def _skipped(mapping: Mapping) -> Column:
 _COMPARED = ("customer_name", "postal_code", "address_line1", "equipment_manufacturer", "equipment_model", "equipment_type", "technician_code", "technician_name", "summary", "description", "invoice_number")
 
 
-def validated(rows: DataFrame, mapping: Mapping, today: str, order: Column | str = "ambiguous", source: str = "source") -> DataFrame:
+def validated(rows: DataFrame, mapping: Mapping, today: str, order: Column | str = "ambiguous", source: str = "source", write: bool = True) -> DataFrame:
     """Rows (organization_id, batch_id, row_number, raw map, maybe issues) with issues, status, record and row_hash.
 
     Issues of the row's own first. Skip filters then (no field counts after a hit), every field's transform, the status, then
     customer and equipment identity. An error leaves no record. No shuffle: each step is a projection of plain columns.
     ``order`` is the date order, or a column with that of each row's batch (see ``with_date_orders``).
     The result is written into the shared folder (it is the outcome table of the import): a later filter on
-    issues or status would otherwise be pushed through every step, and make one huge expression of them.
+    issues or status would otherwise be pushed through every step, and make one huge expression of them. With ``write``
+    False the caller writes it, before any such filter.
     """
     mapping.checked()
     raw = lambda t: F.col("raw")[mapping.fields[t]] if t in mapping.fields else F.lit(None).cast("string")
@@ -177,7 +178,8 @@ def validated(rows: DataFrame, mapping: Mapping, today: str, order: Column | str
     extra = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, mapping.retain)), F.array(*(F.col(f"{t}.value") for t in retained))), lambda k, v: v.isNotNull()) if retained else F.lit(None).cast("map<string,string>")
     labels = {"customer_label": n.label(*map(value, ("customer_name", "customer_external_id", "customer_phone"))), "technician_label": n.label(*map(value, ("technician_name", "technician_code", "technician_external_id"))), "is_no_charge": n.no_charge(value("revenue_amount").cast("decimal(14,2)"))}
     record = F.struct(*(value(t).alias(t) for t in ordered), F.col("_e164").alias("customer_phone_e164"), extra.alias("extra_fields"), *(c.alias(k) for k, c in labels.items()), *(F.col(f"_{k}").alias(f"{k}_key") for k in ("customer", "location", "equipment", "technician", "job")))
-    return staged(out.select(*keep, "issues", "status", F.when(F.col("status").isin("pending", "warning"), record).alias("record"), row_hash(F.col("raw")).alias("row_hash")))
+    judged = out.select(*keep, "issues", "status", F.when(F.col("status").isin("pending", "warning"), record).alias("record"), row_hash(F.col("raw")).alias("row_hash"))
+    return staged(judged) if write else judged
 
 
 def record_json(record: Column) -> Column:

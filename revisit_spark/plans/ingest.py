@@ -36,7 +36,7 @@ def run_import(raw: DataFrame, mapping: validate.Mapping, name: str, today: str,
     change no table.
     """
     voted = validate.with_date_orders(raw, mapping.fields["service_date"])
-    judged = validate.validated(voted, mapping, today, F.col("date_order"), source)
+    judged = validate.validated(voted, mapping, today, F.col("date_order"), source, write=False)
     rows = staged(validate.duplicates_marked(judged))
     good = rows.where(F.col("status").isin("pending", "warning"))
     key = F.col("record.job_key")

@@ -33,9 +33,12 @@ def stage_path(spark: SparkSession, name: str = "stage") -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written into the shared folder of the cluster and read again, so that plans stay short."""
+    """``df`` written into the shared folder of the cluster and read again, so that plans stay short.
+
+    With zstd: rows of imports are digests in hex for a large part, which snappy leaves as they are.
+    """
     spark, path = df.sparkSession, stage_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from revisit_spark.functions import identity
 from revisit_spark.functions import normalize as n
 from revisit_spark.operators import profile, resolve, transforms, validate
 from revisit_spark.sources import delimited, files
+from revisit_spark.sources.tables import staged
 
 BLANKS = ["\t{}\t", " {} ", " {}\r", "\r\n{} ", "{}\x1c"]
 
@@ -223,3 +224,22 @@ def test_keys_call_each_helper_once(spark, what, helpers):
 
     plan = import_queries._keyed(testviews.jobs(spark, "/root/testdata/sf0.001"), what).select("row_number", "key")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == helpers
+
+
+def test_an_import_writes_its_judged_rows_once(spark, monkeypatch):
+    from revisit_spark.operators import validate as operator
+    from revisit_spark.plans import import_queries, ingest
+
+    written = []
+    keep = lambda df: written.append(df) or staged(df)
+    monkeypatch.setattr(operator, "staged", keep)
+    monkeypatch.setattr(ingest, "staged", keep)
+    raw = F.create_map(F.lit("Job ID"), F.lit("J1"), F.lit("Customer ID"), F.lit("c"), F.lit("Date"), F.lit("2026-01-02"))
+    rows = spark.range(2, numPartitions=1).select(F.lit(1).alias("organization_id"), F.lit(1).alias("batch_id"), F.col("id").alias("row_number"), raw.alias("raw"))
+    mapping = validate.Mapping(fields={"external_job_id": "Job ID", "customer_external_id": "Customer ID", "service_date": "Date"})
+    told = ingest.run_import(rows, mapping, "a", "2026-06-01").rows
+    assert sorted((r.row_number, r.status) for r in told.collect()) == [(0, "imported"), (1, "skipped_duplicate")]
+    assert sum("row_hash" in df.columns for df in written) == 1
+    monkeypatch.setattr(validate, "validated", lambda rows, *a, **k: written.append(rows) or rows.withColumn("issues", F.array(F.lit(1))))
+    import_queries.issue_page(spark, "/root/testdata/sf0.001")
+    assert [r.batch_id for r in written[-1].select("batch_id").distinct().collect()] == [3]
