@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,22 +129,32 @@ def casefold(x: Column) -> Column:
     return F.when(_non_ascii(x), _folded(F.when(_non_ascii(x), x))).otherwise(F.lower(x))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _all_composed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for x in values:
-        yield x.map(lambda a: None if a is None else [None if s is None else unicodedata.normalize("NFC", s) for s in a])
+def _on_lists(f: Callable[[str], str]):
+    """A helper for f of each text of lists; a batch of empty lists alone stays as it is. Made here, as workers can't import this module."""
 
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def every(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in values:
+            none = not len(x.flatten())
+            yield x if none else pa.array([None if a is None else [None if s is None else f(s) for s in a] for a in x.to_pylist()], pa.list_(pa.string()))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _all_folded(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for x in values:
-        yield x.map(lambda a: None if a is None else [None if s is None else s.casefold() for s in a])
+    return every
+
+
+_all_composed = _on_lists(lambda s: unicodedata.normalize("NFC", s))
+_all_folded = _on_lists(lambda s: s.casefold())
+
+
+def _only(odd: Column, every: Column) -> Column:
+    """What a helper gets: the row's texts where they are odd, else none. An empty list and not null, since a batch of
+    lists is measured row by row, each time from the last one that isn't null."""
+    return F.when(odd, every).otherwise(F.array().cast("array<string>"))
 
 
 def casefold_all(values: list[Column]) -> Column:
     """An array of the values' case foldings; rows of ASCII alone don't go to the helper, others go once."""
     every, odd = F.array(*values), _non_ascii(F.concat_ws("", *values))
-    return F.when(odd, _all_folded(F.when(odd, every))).otherwise(F.array(*(F.lower(v) for v in values)))
+    return F.when(odd, _all_folded(_only(odd, every))).otherwise(F.array(*(F.lower(v) for v in values)))
 
 
 def _bare(raw: Column) -> Column:
@@ -166,7 +177,7 @@ def clean_texts(rows: DataFrame, raws: dict[str, Column]) -> DataFrame:
         return rows
     keep = rows.columns
     bare, odd = F.array(*map(_bare, raws.values())), _non_ascii(F.concat_ws("", *raws.values()))
-    rows = rows.select(*keep, F.when(odd, _all_composed(F.when(odd, bare))).otherwise(bare).alias("_composed"))
+    rows = rows.select(*keep, F.when(odd, _all_composed(_only(odd, bare))).otherwise(bare).alias("_composed"))
     return rows.select(*keep, *(_collapsed(F.get("_composed", F.lit(i))).alias(t) for i, t in enumerate(raws)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revisit_spark.functions import identity
 from revisit_spark.functions import normalize as n
 from revisit_spark.operators import profile, resolve, transforms, validate
+from revisit_spark.plans import import_queries
 from revisit_spark.sources import delimited, files
 from revisit_spark.sources.tables import staged
 
@@ -243,3 +244,26 @@ def test_an_import_writes_its_judged_rows_once(spark, monkeypatch):
     monkeypatch.setattr(validate, "validated", lambda rows, *a, **k: written.append(rows) or rows.withColumn("issues", F.array(F.lit(1))))
     import_queries.issue_page(spark, "/root/testdata/sf0.001")
     assert [r.batch_id for r in written[-1].select("batch_id").distinct().collect()] == [3]
+
+
+def test_report_and_records_write_only_what_they_tell(spark, monkeypatch):
+    written = []
+
+    def noted(df):
+        written.append(df.columns)
+        return staged(df)
+
+    monkeypatch.setattr(import_queries, "staged", noted)
+    lines = import_queries.report_lines(spark, "/root/testdata/sf0.001")
+    assert written == [["batch_id", "row_number", "status", "issues"]] and lines.count() > 1
+
+
+def test_helpers_of_lists_get_no_nulls(spark):
+    """Thousands of null lists in a batch are measured again with each row: rows without work are empty lists."""
+    rows = spark.createDataFrame([(i, ["Straße", None, "B"][i % 3], "Ⅷ" if i == 4 else "Cd") for i in range(9)], "i int, a string, b string")
+    sent = rows.select(n._only(F.col("b") == "Ⅷ", F.array("a", "b")).alias("x"))
+    assert [r.x for r in sent.collect()] == [[] if i != 4 else [None, "Ⅷ"] for i in range(9)]
+    folded = rows.select(n.casefold_all([F.col("a"), F.col("b")]).alias("x"))
+    assert [r.x for r in folded.collect()] == [[["strasse", None, "b"][i % 3], "ⅷ" if i == 4 else "cd"] for i in range(9)]
+    clean = n.clean_texts(rows, {"x": F.concat("a", F.lit("é "))}).orderBy("i")
+    assert [r.x for r in clean.collect()] == [["Straßeé", None, "Bé"][i % 3] for i in range(9)]
