@@ -256,6 +256,8 @@ def test_report_and_records_write_only_what_they_tell(spark, monkeypatch):
     monkeypatch.setattr(import_queries, "staged", noted)
     lines = import_queries.report_lines(spark, "/root/testdata/sf0.001")
     assert written == [["batch_id", "row_number", "status", "issues"]] and lines.count() > 1
+    back = import_queries.record_round_trip(spark, "/root/testdata/sf0.001")
+    assert written[1:] == [["batch_id", "row_number", "payload"]] and back.where("same").count() == back.count() > 0
 
 
 def test_helpers_of_lists_get_no_nulls(spark):
