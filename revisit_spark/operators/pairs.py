@@ -99,5 +99,5 @@ def recurrence(jobs: DataFrame, window: int = 30, wanted: DataFrame | None = Non
 
 def part_codes(line_items: DataFrame) -> DataFrame:
     """(job_id, codes): distinct trimmed, lower-cased part codes of each job, sorted."""
-    code = casefold(stripped(F.col("code").cast("string")))
-    return line_items.where((F.col("kind") == "part") & (code != "")).groupBy("job_id").agg(F.array_sort(F.collect_set(code)).alias("codes"))
+    code = stripped(F.col("code").cast("string"))  # folded behind the filter, so that the helper sees each code once
+    return line_items.where((F.col("kind") == "part") & (code != "")).groupBy("job_id").agg(F.array_sort(F.collect_set(casefold(code))).alias("codes"))

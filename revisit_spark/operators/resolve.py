@@ -46,15 +46,15 @@ def rolled(snapshot: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*(c for c in snapshot.columns if c not in names), *(c.alias(k) for k, c in merged.items()))
 
 
-def jobs_upserted(old: DataFrame | None, rows: DataFrame, keys: list[str], batch_id: str, order: Column | str = "row_number", by_natural_key: bool | str = False) -> DataFrame:
+def jobs_upserted(old: DataFrame | None, rows: DataFrame, keys: list[str], batch_id: str, order: Column | str = "row_number", by_natural_key: bool | str = False, unique: bool = False) -> DataFrame:
     """The job table after a batch, with change: created, updated, possible_duplicate or kept.
 
     Of a key's rows in the batch the last one counts and its fields win, nulls too; the first batch that
     a job came with is kept. A batch that meets a job by its natural key may be a duplicate; ``by_natural_key`` tells
-    whether that is the key, or names the column that does.
+    whether that is the key, or names the column that does. With ``unique`` no key comes twice, and ``order`` isn't asked.
     """
     columns = [c for c in rows.columns if c not in keys]
-    new = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*keys, "r.*")
+    new = rows if unique else rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*keys, "r.*")
     if old is None:
         return new.select("*", F.lit(batch_id).alias("first_import_batch_id"), F.lit(batch_id).alias("last_import_batch_id"), F.lit("created").alias("change"))
     both = old.withColumn("_old", F.lit(True)).alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), keys, "full_outer")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize
 from ..operators import analytics, candidates, costs, lifecycle, pairs, queue, reviews, scoring, signals
 from ..sources import delimited
-from ..sources.tables import stage_path, staged
+from ..sources.tables import bucketed, stage_path, staged
 from ..streaming.incremental import Seen, Snapshots
 from . import testviews as v
 from .detect import detect
@@ -398,8 +398,9 @@ def incremental_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = {"service_date": F.when(k % 10 == 0, F.date_add("service_date", 40)).otherwise(F.col("service_date")), "started_at": F.when(k % 10 > 0, F.col("started_at")), "customer_id": F.when(k % 10 == 0, F.col("customer_id") + 1).otherwise(F.col("customer_id"))}
     first = jobs.withColumns(wrong)
     store = Snapshots(stage_path(spark, "incremental"), buckets=1)
+    used = bucketed(v.line_items(spark, sf_dir).where("kind = 'part'").select("job_id", "kind", "code"), ["job_id"])  # all that signals ask of them, moved once
     for number, rows in enumerate((first.where(k % 3 == 0), first.where(k % 3 == 1), jobs.where((k % 3 == 2) | (k % 10 == 0)))):
-        store.arrive(arrived(rows, number), number, v.equipment(spark, sf_dir), v.line_items(spark, sf_dir))
+        store.arrive(arrived(rows, number), number, v.equipment(spark, sf_dir), used)
     return store.candidates(spark).where("not suppressed").select("organization_id", "prior_id", "followup_id", "customer_id", "equipment_id", "location_id", "days_between", "workflow_status")
 
 

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .tables import staged
-
 #: Columns that a row's partition is told by.
 PARTS = ["month", "bucket"]
 
@@ -45,6 +43,11 @@ def there(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def _files(spark: SparkSession, path: str) -> set[str]:
+    fs, at = _folder(spark, f"{path}/month=*/bucket=*/*")
+    return {f.getPath().toString() for f in fs.globStatus(at) or ()}
+
+
 def read(spark: SparkSession, path: str, schema: StructType, parts: list[tuple[str, int]] | None = None, months: list[str] | None = None) -> DataFrame:
     """Rows of these partitions, or months (all if neither is given); none where the table isn't there yet.
 
@@ -61,13 +64,15 @@ def read(spark: SparkSession, path: str, schema: StructType, parts: list[tuple[s
 def replace(rows: DataFrame, path: str, parts: list[tuple[str, int]]) -> None:
     """The partitions ``parts`` hold ``rows`` from now on, and nothing where there are none; no other one is touched.
 
-    ``rows`` may come from the same partitions: they are written elsewhere first. Run again, it leaves the same.
+    ``rows`` may come from the same partitions: Spark moves files to their places when all of them are written. A row of
+    any other partition fails the write before that. Run again, it leaves the same.
     """
-    spark, rows = rows.sparkSession, staged(rows)
-    filled = of(rows)
-    if odd := set(filled) - set(parts):
-        raise ValueError(f"rows of partitions that were not read: {sorted(odd)[:3]}")
-    rows.repartition(*PARTS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
-    for m, b in set(parts) - set(filled):
+    spark, before = rows.sparkSession, _files(rows.sparkSession, path)
+    month = F.when(_within(parts), F.col("month")).otherwise(F.raise_error(F.lit("a row of a partition that was not read")))
+    told = rows.withColumn("month", month).repartition(*PARTS)
+    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+    filled = {f.rpartition("/")[0] for f in _files(spark, path) - before}  # files of each write have names of their own
+    for m, b in parts:
         fs, at = _folder(spark, f"{path}/month={m}/bucket={b}")
-        fs.delete(at, True)
+        if not any(f.endswith(f"/month={m}/bucket={b}") for f in filled):
+            fs.delete(at, True)

@@ -106,13 +106,15 @@ class Snapshots:
             known = known.select(*(F.col(k).cast(t).alias(k) for k, t in keys.items()), "month", "bucket").join(new.select(*KEYS), KEYS, "left_semi")
             homes = sorted({*homes, *parts.of(known)})
         old = parts.read(spark, path, new.schema, homes)
-        rest = [c for c in new.columns if c not in KEYS]
-        # A job may lie in two partitions only after a run that broke off between them; its own rows don't count then.
-        old = old.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), F.col("last_import_batch_id") != name).alias("r")).select(*KEYS, "r.*")
+        # A job may lie in two partitions only after this batch's own run broke off between them; its own rows don't count then.
+        own = old.where(F.col("last_import_batch_id") == name)
+        if not own.isEmpty():
+            before = old.where(F.col("last_import_batch_id") != name)
+            old = before.unionByName(own.join(before.select(*KEYS), KEYS, "left_anti").select(*old.columns))
         narrow = [*KEYS, "customer_id", "equipment_id", "location_id", "service_date", "status", "month", "bucket"]
         touched = staged(new.select(*narrow, F.lit(True).alias("now")).union(old.join(new.select(*KEYS), KEYS, "left_semi").select(*narrow, F.lit(False))))
         plain = new.drop("month", "bucket", "first_import_batch_id", "last_import_batch_id")
-        merged = resolve.jobs_upserted(old.drop("month", "bucket"), plain, KEYS, name, order=self.order)
+        merged = resolve.jobs_upserted(old.drop("month", "bucket"), plain, KEYS, name, unique=True)
         parts.replace(self._dealt(merged.drop("change")).select(*new.columns), path, homes)
         new.select(*KEYS, "month", "bucket", F.lit(number).alias("number")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("number", "bucket").parquet(index)
         return {"jobs": homes}, touched
@@ -123,7 +125,7 @@ class Snapshots:
         near = touched.where("service_date is not null").select(months(F.date_sub(day, days), day).alias("first")).distinct()
         ahead = near.select(months(F.col("first"), F.date_add(F.last_day("first"), days)).alias("first")).distinct()
         wide = sorted(r[0] for r in ahead.select(parts.month(F.col("first"))).collect())  # months of a calendar
-        scope = staged(pairs.visits(parts.read(spark, f"{self.root}/jobs", schema, months=wide)))
+        scope = pairs.visits(parts.read(spark, f"{self.root}/jobs", schema, months=wide))  # written just now, and not changed below
         own = touched.where(F.col("now") & F.col("status").isin(*pairs.VISITED))
         affected, neighbours = touched.select(*KEYS), None
         for key in pairs.KEYS:

@@ -1,8 +1,12 @@
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 from revisit_spark.functions import normalize as n
 from revisit_spark.operators import pairs
+from revisit_spark.sources import parts
 from revisit_spark.streaming.incremental import Seen, Snapshots, first_rows, on_arrival
 
 SCHEMA = "organization_id long, id long, customer_id long, location_id long, equipment_id long, technician_id long, category_id string, service_date date, started_at timestamp, status string, revenue decimal(14,2), is_warranty boolean, raw_category string, raw_job_type string, arrived_at timestamp"
@@ -104,3 +108,31 @@ def test_duplicates_are_known_until_their_batch_ends(spark, tmp_path):
     assert part(1, late) == expect and part(1, late) == expect
     seen.ended(spark, "a")
     assert part(2, [("a", 7, "x"), ("b", 4, "x")]) == {("a", 7): ("pending", []), ("b", 4): again}
+
+
+def test_partitions_are_replaced_from_themselves(spark, tmp_path):
+    """Rows are written once and nowhere else; an emptied partition goes; a row of a partition that wasn't read changes nothing."""
+    path, homes = f"file://{tmp_path}/t", [("a", 0), ("b", 0)]
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 0) for i in range(6)], "x int, month string, bucket int")
+    stages = lambda: len(list(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).iterdir()))
+    before, kept = stages(), lambda: sorted(r.x for r in spark.read.schema(rows.schema).parquet(path).collect())
+    parts.replace(rows, path, homes)
+    parts.replace(parts.read(spark, path, rows.schema, homes).where("month = 'a'").withColumn("x", F.col("x") + 10), path, homes)
+    assert kept() == [10, 12, 14] and stages() == before and not (tmp_path / "t/month=b/bucket=0").exists()
+    with pytest.raises(Exception, match="not read"):
+        parts.replace(rows, path, [("a", 0)])
+    assert kept() == [10, 12, 14]
+    parts.replace(rows.where("x > 99"), path, [("a", 0)])
+    assert not (tmp_path / "t/month=a/bucket=0").exists()
+
+
+def test_a_run_that_broke_off_between_partitions(spark, tmp_path):
+    """A moved job whose old row is still there: the batch run again leaves one row, with its first batch."""
+    store, path = Snapshots(f"file://{tmp_path}/store", buckets=1), f"file://{tmp_path}/store/jobs"
+    store.arrive(spark.createDataFrame([job(1, 0, 1), job(2, 5, 1)], SCHEMA), 0)
+    old = spark.createDataFrame(spark.read.parquet(path).where("id = 1").collect(), spark.read.parquet(path).schema)
+    moved = spark.createDataFrame([job(1, 60, 1, at=1)], SCHEMA)
+    store.arrive(moved, 1)
+    old.write.mode("append").partitionBy("month", "bucket").parquet(path)
+    store.arrive(moved, 1)
+    assert [(r.id, r.month, r.first_import_batch_id, r.last_import_batch_id) for r in spark.read.parquet(path).orderBy("id").collect()] == [(1, "2025-03", "batch-0", "batch-1"), (2, "2025-01", "batch-0", "batch-0")]
