@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, costs, pairs, queue, reviews
+from ..operators import analytics, costs, queue, reviews
 from ..sources import delimited
 from ..sources.tables import stage_path
 from . import detection_queries as d
@@ -87,7 +87,8 @@ def trend_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(d.PAIRS + " SELECT organization_id, p_brand AS what, count(*) AS pairs, row_number() OVER (PARTITION BY organization_id ORDER BY count(*) DESC, p_brand)::INTEGER AS place FROM pairs JOIN part ON p_partkey = equipment_id WHERE followup_id % 3 = 0 GROUP BY 1, 2 QUALIFY place <= 5")
 def repeat_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    confirmed = d.truth(spark, sf_dir).where("decision = 'confirmed'").join(pairs.candidate_pairs(v.jobs(spark, sf_dir)), ["organization_id", "prior_id", "followup_id"])
+    _, found = d.detected(spark, sf_dir)
+    confirmed = d.truth(found).where("decision = 'confirmed'").join(found, ["organization_id", "prior_id", "followup_id"])
     gear = v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("model"))
     return costs.repeat_equipment(confirmed, gear, "model", most=5)
 
