@@ -200,13 +200,13 @@ def detection_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUEUE = scores_sql() + ", q AS (SELECT scores.*, sha256(concat_ws('|', organization_id, prior_id, followup_id)) AS candidate_id, days_between, customer_id, equipment_id, prior_technician_id, followup_technician_id FROM scores JOIN pairs USING (organization_id, prior_id, followup_id))"
 
 
-def open_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _queue(spark, sf_dir)[1]
+def open_queue(spark: SparkSession, sf_dir: str, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return _queue(spark, sf_dir, made)[1]
 
 
-def _queue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Jobs, and the queue of their pairs."""
-    made = detected(spark, sf_dir)
+def _queue(spark: SparkSession, sf_dir: str, made: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Jobs, and the queue of their pairs; ``made`` has the jobs and pairs where the caller has them."""
+    made = made or detected(spark, sf_dir)
     snapshot = candidates.upserted(None, made[1], "run-1").drop("change")
     return made[0], queue.ready(snapshot, scored(spark, sf_dir, made=made).drop("signals"))
 

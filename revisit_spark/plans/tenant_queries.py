@@ -112,8 +112,9 @@ def queue_of_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(d.QUEUE + """ SELECT candidate_id, CASE followup_id % 3 WHEN 0 THEN 'confirmed' ELSE 'rejected' END AS decision, basis_points::VARCHAR AS basis_points, CASE followup_id % 3 WHEN 0 THEN chr(39) || '=x, "y"' ELSE '' END AS note FROM q WHERE followup_id % 3 < 2""")
 def review_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews of candidates as they are exported, read back from the files."""
-    told = d.truth(spark, sf_dir).where("decision <> 'uncertain'")
-    rows = d.open_queue(spark, sf_dir).join(told, ["organization_id", "prior_id", "followup_id"]).select("candidate_id", "decision", "basis_points", F.when(F.col("decision") == "confirmed", '=x, "y"').alias("note"))
+    made = d.detected(spark, sf_dir)
+    told = d.truth(made[1]).where("decision <> 'uncertain'")
+    rows = d.open_queue(spark, sf_dir, made).join(told, ["organization_id", "prior_id", "followup_id"]).select("candidate_id", "decision", "basis_points", F.when(F.col("decision") == "confirmed", '=x, "y"').alias("note"))
     path = stage_path(spark, "export")
     delimited.write_export(rows, path)
     return spark.read.csv(path, header=True, escape='"').fillna("")

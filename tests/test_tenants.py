@@ -21,3 +21,7 @@ def same_as_sql(spark, name):
 
 def test_repeat_equipment_equals_its_sql(spark):
     assert same_as_sql(spark, "repeat_equipment")
+
+
+def test_review_export_equals_its_sql(spark):
+    assert same_as_sql(spark, "review_export")
