@@ -89,3 +89,41 @@ def test_strips_and_centres():
     c = spherical_kmeans(u, 8)
     assert c.shape == (8, 3) and np.allclose((c**2).sum(axis=1), 1)
     assert len(spherical_kmeans(np.ones((5, 1)), 3)) == 1
+
+
+def near_copies(n, dims=64, seed=9):
+    """Vectors in all directions, every fourth one beside the one before it."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, dims))
+    x[::4] = x[1::4][: len(x[::4])] + 0.03 * r.normal(size=x[::4].shape)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_signatures_miss_no_link():
+    from revisit_spark.llm.vectors import LOST, signatures
+
+    for dims in (3, 20, 64, 200):
+        u = near_copies(400, dims)
+        s = signatures(u).astype(np.float32)
+        assert (s @ s.T >= u @ u.T - LOST).all()
+        d = lambda x: np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(axis=2)))
+        assert (d(s.astype(np.float64)) <= d(u) + LOST).all()
+
+
+def test_vectors_of_no_link_stay_where_they_are(spark, monkeypatch):
+    """Few of the bytes of vectors without clusters are written again: only those that signatures link are compared by all they have."""
+    from revisit_spark.llm import vectors
+
+    put = {}
+
+    def saved(df, name="t"):
+        put.setdefault(name, []).append(kept := df.localCheckpoint())
+        return kept
+
+    monkeypatch.setattr(vectors, "saved", saved)
+    u = near_copies(3000)
+    d = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(u)], "vec_id long, embedding array<float>, label string")
+    near = (u @ u.T >= 0.98) & ~np.eye(len(u), dtype=bool)
+    got = {r.vec_id: r.n_links for r in near_vectors(d).collect()}
+    assert [got[i] for i in range(len(u))] == near.sum(axis=1).tolist() and near.sum() == 1500
+    assert put["units"][0].count() == 1500 and "cells" not in put and "whole" not in put
