@@ -75,15 +75,16 @@ def job_id(keys: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)), 256)
 
 
-def row_outcomes(rows: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFrame:
+def row_outcomes(rows: DataFrame, jobs: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
     """Rows with job_id and final status: imported, updated, or warning for a possible duplicate.
 
-    Rows that weren't written (errors, skipped ones, those of no job) keep their status and have no job.
+    ``by`` names shorter columns that tell jobs apart as ``keys`` do, for rows and jobs to be joined by. Rows that weren't written (errors, skipped ones, those of no job) keep their status and have no job.
     """
-    change = jobs.where("change <> 'kept'").select(*keys, F.col("change").alias("_change"))
+    by = by or keys
+    change = jobs.where("change <> 'kept'").select(*by, F.col("change").alias("_change"))
     written = F.col("_change").isNotNull() & F.col("status").isin("pending", "warning")
     status = F.when(F.col("_change") == "created", "imported").when(F.col("_change") == "updated", "updated").when(F.col("_change") == "possible_duplicate", "warning")
-    out = rows.join(change, keys, "left").withColumns({"job_id": F.when(written, job_id(keys)), "status": F.when(written, status).otherwise(F.col("status"))})
+    out = rows.join(change, by, "left").withColumns({"job_id": F.when(written, job_id(keys)), "status": F.when(written, status).otherwise(F.col("status"))})
     if "issues" in rows.columns:
         again = F.col("job_id").isNotNull() & (F.col("_change") == "possible_duplicate")
         out = out.withColumn("issues", F.when(again, F.concat(F.col("issues").cast(n.ISSUES), F.array(n.issue("POSSIBLE_DUPLICATE", "warning")))).otherwise(F.col("issues").cast(n.ISSUES)))

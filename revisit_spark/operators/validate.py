@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import normalize as n
-from ..sources.tables import staged
+from ..sources.tables import forget, staged
 from . import transforms
 from .profile import SYNONYMS, TYPES
 
@@ -155,7 +155,7 @@ def validated(rows: DataFrame, mapping: Mapping, today: str, order: Column | str
     known = F.col("_status").isNull() | F.col("_status").isin(*STATUSES)
     said = n.result(F.when(F.col("_status").isNotNull() & known, F.col("_status")).otherwise("unknown"), (~known, n.issue("UNKNOWN_ENUM_VALUE", "warning", "job_status", raw("job_status"))))
     kinds["job_status"] = "text"
-    out = staged(out.withColumn("_job_status", said))  # parsed once; keys and issues below use each value many times
+    parsed = out = staged(out.withColumn("_job_status", said))  # parsed once; keys and issues below use each value many times
     value = lambda t: F.col(f"_{t}.value") if t in kinds else F.lit(None).cast("string")
     compared = [t for t in _COMPARED if t in kinds]
     out = out.withColumn("_e164", n.phone(value("customer_phone")))
@@ -179,7 +179,11 @@ def validated(rows: DataFrame, mapping: Mapping, today: str, order: Column | str
     labels = {"customer_label": n.label(*map(value, ("customer_name", "customer_external_id", "customer_phone"))), "technician_label": n.label(*map(value, ("technician_name", "technician_code", "technician_external_id"))), "is_no_charge": n.no_charge(value("revenue_amount").cast("decimal(14,2)"))}
     record = F.struct(*(value(t).alias(t) for t in ordered), F.col("_e164").alias("customer_phone_e164"), extra.alias("extra_fields"), *(c.alias(k) for k, c in labels.items()), *(F.col(f"_{k}").alias(f"{k}_key") for k in ("customer", "location", "equipment", "technician", "job")))
     judged = out.select(*keep, "issues", "status", F.when(F.col("status").isin("pending", "warning"), record).alias("record"), row_hash(F.col("raw")).alias("row_hash"))
-    return staged(judged) if write else judged
+    if not write:
+        return judged
+    written = staged(judged)
+    forget(parsed)
+    return written
 
 
 def record_json(record: Column) -> Column:
@@ -192,14 +196,25 @@ def record_from_json(payload: Column, schema: str) -> Column:
     return F.from_json(payload, schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
 
 
+def with_firsts(rows: DataFrame) -> DataFrame:
+    """Raw rows with ``_first``, the number of the first row of their batch with the same cells, for ``duplicates_marked``.
+
+    Raw rows move once for it; judged ones, which are several times as wide, don't. By 16 bytes of the row hash.
+    """
+    same = Window.partitionBy("batch_id", "_cells")
+    return rows.withColumn("_cells", F.unhex(F.substring(row_hash(F.col("raw")), 1, 32))).withColumn("_first", F.min("row_number").over(same)).drop("_cells")
+
+
 def duplicates_marked(rows: DataFrame) -> DataFrame:
     """The first row of each (batch, row hash) stays, others become skipped_duplicate, whatever they were.
 
-    The first is found by an aggregation on hash and number alone; the wide rows don't move for it.
+    The first is that of ``with_firsts`` where rows come with it. Else it is found by an aggregation on hash and number alone.
     """
     have = rows if "row_hash" in rows.columns else rows.withColumn("row_hash", row_hash(F.col("raw")))
-    first = have.groupBy("batch_id", "row_hash").agg(F.min("row_number").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    both = have.join(first, ["batch_id", "row_hash"], "left")
+    both = have
+    if "_first" not in rows.columns:
+        first = have.groupBy("batch_id", "row_hash").agg(F.min("row_number").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        both = have.join(first, ["batch_id", "row_hash"], "left")
     again = F.coalesce(F.col("row_number") > F.col("_first"), F.lit(False))
     issues = F.when(again, F.concat(F.col("issues").cast(n.ISSUES), F.array(n.issue("DUPLICATE_ROW_IN_FILE", "info")))).otherwise(F.col("issues"))
     return both.withColumns({"issues": issues, "status": F.when(again, "skipped_duplicate").otherwise(F.col("status"))}).drop("_first")
@@ -230,10 +245,10 @@ def date_orders(values: DataFrame, most: int = 200) -> DataFrame:
 def with_date_orders(rows: DataFrame, column: str) -> DataFrame:
     """Raw rows with ``date_order``, the vote of their batch's cells in ``column``; batches of no vote are ambiguous.
 
-    One row for each batch is joined, so Spark may send the votes to all tasks where they are few.
+    There is one vote for each batch, which all tasks get, so no row moves to its batch's task.
     """
     votes = date_orders(rows.select("batch_id", "row_number", F.col("raw")[column].alias("value")))
-    return rows.join(votes, "batch_id", "left").withColumn("date_order", F.coalesce("date_order", F.lit("ambiguous")))
+    return rows.join(F.broadcast(votes), "batch_id", "left").withColumn("date_order", F.coalesce("date_order", F.lit("ambiguous")))
 
 
 def file_duplicates(batches: DataFrame) -> DataFrame:

@@ -37,14 +37,15 @@ def _from_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """(file, at, cells): a row for each line, numbered from 0 within its file.
 
     A line's number is its place within its block of the file plus the lines of the blocks before, so a
-    file of any size is read by many tasks. Lines are written once: numbers and lines are of one reading.
+    file of any size is read by many tasks. Lines are written once: numbers and lines are of one reading. They don't
+    move to be numbered: all tasks get the blocks, of which there is a row each.
     """
     value = F.regexp_replace(F.make_valid_utf8("value"), "^\ufeff", "")
     lines = staged(spark.read.text(path).select(value.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")))
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.count("*").alias("lines"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("file", "block", (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("low")).alias("shift"))
-    return lines.join(starts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("at"), cells_of(F.col("line"), separator).alias("cells"))
+    return lines.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("at"), cells_of(F.col("line"), separator).alias("cells"))
 
 
 def _ends_open(line: Column, separator: str) -> Column:
@@ -113,7 +114,7 @@ def _from_quoted_lines(spark: SparkSession, path: str, separator: str) -> DataFr
     begun = F.when(F.col("within"), F.col("rows1")).otherwise(F.col("rows0"))
     told = told.select("file", "block", "within", F.coalesce(F.sum(begun).over(earlier), F.lit(0)).alias("before"))
     pick = lambda c: F.when(F.col("within"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
-    placed = lines.join(told, ["file", "block"]).withColumns({"open": pick("open"), "at": F.col("before") + pick("rows") - 1})
+    placed = lines.join(F.broadcast(told), ["file", "block"]).withColumns({"open": pick("open"), "at": F.col("before") + pick("rows") - 1})
     placed = placed.select("file", "block", "id", "line", "at", "open", F.when(F.col("open"), F.col("out1")).otherwise(F.col("out0")).alias("goes_on"))
     alone = placed.where(~F.col("open") & ~F.col("goes_on")).select("file", "at", "line")
     parts = F.array_sort(F.collect_list(F.struct("block", "id", "line")))

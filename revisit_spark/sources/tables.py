@@ -39,7 +39,17 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark, path = df.sparkSession, stage_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(stage: DataFrame) -> None:
+    """Deletes a table of ``staged`` whose only readers have been written themselves."""
+    path = stage.__dict__.get("_written_to")
+    if path is not None:
+        at = stage.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(stage.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
